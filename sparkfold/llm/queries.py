@@ -1,9 +1,14 @@
-"""Queries of this subpackage and their SQL, by name; a None in ORACLES means that SQL cannot express the query."""
+"""Queries of this subpackage and their SQL, by name; a query without SQL here is one that SQL cannot express."""
 
+from sparkfold.llm.line_quality import op3_line_quality
 from sparkfold.llm.packing import op5_packing
 from sparkfold.llm.prefix_counts import op4_token_counts
 from sparkfold.llm.token_files import op1_token_files
+from sparkfold.llm.topk import OP6_SQL, op6_exact_topk
+from sparkfold.llm.toxicity import op9_toxicity
+from sparkfold.llm.viterbi_pieces import op2_sentencepiece
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op4_token_counts, op5_packing)}
+_ALL = (op1_token_files, op2_sentencepiece, op3_line_quality, op4_token_counts, op5_packing, op6_exact_topk, op9_toxicity)
+QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_exact_topk": OP6_SQL}
