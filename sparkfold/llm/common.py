@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a vectorised step takes at once; a single longer text is its own slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2_000_000
 
 _U = np.uint64
 #: Odd multiplier of the rolling hash and of the mixers.
@@ -70,7 +70,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
-    """doc_id and text alone (and `more`), whatever else the table has; null text becomes empty."""
+    """doc_id and text alone (and `more`), whatever else the table has; null text becomes empty.
+
+    Arrow batches hold fewer rows than by default, as rows of text are long; a session that has set a bound keeps its own."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     return docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.llm import common
 from sparkfold.llm.token_files import encode_ids
+from sparkfold.llm.wordpieces import encoder
 
 
 def pack_histogram(histogram: dict[int, int], most: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -69,41 +70,38 @@ def pack_histogram(histogram: dict[int, int], most: int) -> list[tuple[int, tupl
 
 
 def pieces(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int | None = 1, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, start, length, ids_crc32 and doc_tokens of each piece, before packing; its ids too, if asked for."""
+    """doc_id, start, length, ids_crc32 and doc_tokens of each piece, before packing, and `part` and `local`: the task that
+    made it and its number among that task's pieces of the same length. Its ids too, if asked for."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "local", *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for d, w, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                own = np.frombuffer(x.as_buffer(), f"<u{w}").astype("<u4")
-                for s in range(0, len(own), most):
-                    raw = own[s : s + most].tobytes()
-                    rows.append((d, s, len(raw) // 4, zlib.crc32(raw), len(own), *[raw] * with_ids))
-            kinds = [b.column(0).type, *[pa.int64()] * 4, *[pa.binary()] * with_ids]
+        enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
+        tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+        for b in common.slices(batches):
+            ids, n = enc.encode(*common.bytes_of(b.column(1)))
+            raw, at, rows = ids.astype("<u4").tobytes(), 0, []
+            for d, k in zip(b.column(0).to_pylist(), n.tolist()):
+                own = raw[at : at + 4 * k] + tail
+                at += 4 * k
+                for s in range(0, len(own), 4 * most):
+                    x = own[s : s + 4 * most]
+                    length = len(x) // 4
+                    rows.append((d, s // 4, length, zlib.crc32(x), len(own) // 4, part, seen[length], *[x] * with_ids))
+                    seen[length] += 1
+            kinds = [b.column(0).type, *[pa.int64()] * 6, *[pa.binary()] * with_ids]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
-    return encode_ids(docs, vocabulary, end_id, text).mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    numbers = ", ".join(f"{c} long" for c in names[1:7])
+    return common.texts(docs, text=text).mapInArrow(cut, f"doc_id {kind}, {numbers}" + ", ids binary" * with_ids)
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """`found` written with `rank`: a gapless number from 0 among the rows of the same length, in no special order."""
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), Counter()
-        for b in batches:
-            own = []
-            for n in b.column(b.schema.get_field_index("length")).to_pylist():
-                own.append(seen[n])
-                seen[n] += 1
-            yield pa.record_batch([*b.columns, pa.array([part] * len(own), pa.int64()), pa.array(own, pa.int64())], names=[*b.schema.names, "part", "local"])
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes)
-    kept = common.stored(found.mapInArrow(local, f"{schema}, part long, local long"))
-    per_part = kept.groupBy("length", "part").agg(F.count("*").alias("n"))
+    """Written pieces with `rank`: a gapless number from 0 among the rows of the same length, in no special order. `found` must be
+    stored, as a second run could deal its rows to other tasks."""
+    per_part = found.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return kept.join(per_part.select("length", "part", before.alias("before")), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
+    return found.join(per_part.select("length", "part", before.alias("before")), ["length", "part"]).withColumn("rank", F.col("before") + F.col("local")).drop("part", "local", "before")
 
 
 def plan(histogram: dict[int, int], most: int, slack: int) -> tuple[dict[int, list[np.ndarray]], int]:
@@ -130,8 +128,9 @@ def plan(histogram: dict[int, int], most: int, slack: int) -> tuple[dict[int, li
 def pack(found: DataFrame, most: int = 2048, slack: int = 16) -> tuple[DataFrame, DataFrame]:
     """(whole pieces, pieces cut once more) with sequence_id and offset. The cut ones keep the length and checksum of the piece
     they come from as `of_length` and `of_crc32`; their own ids_crc32 is still to be taken from the ids (recut())."""
-    ranked = common.stored(numbered(found))
-    histogram = {r.length: r.n for r in ranked.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `most` rows
+    found = common.stored(found)
+    ranked = numbered(found)
+    histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `most` rows
     slots, sequences = plan(histogram, most, slack)
     placed = {k: int((v[0] + v[1]).max()) for k, v in slots.items()}
     # What is left over lies end to end by length, then rank, and is cut at `most`: its place is arithmetic on the rank.
@@ -142,7 +141,7 @@ def pack(found: DataFrame, most: int = 2048, slack: int = 16) -> tuple[DataFrame
     for bit in reversed(range(most.bit_length())):  # the end: sequences of power-of-two lengths
         if total % most >> bit & 1:
             ends.append((ends[-1] if ends else whole * most) + (1 << bit))
-    names = found.columns
+    names = [c for c in found.columns if c not in ("part", "local")]
     extra = ["sequence_id", "offset", "of_length", "of_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +169,7 @@ def pack(found: DataFrame, most: int = 2048, slack: int = 16) -> tuple[DataFrame
             kinds = {c: b.schema.field(c).type for c in names} | {c: pa.int64() for c in extra}
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes)
+    schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes if c in names)
     out = ranked.select(*names, "rank").mapInArrow(place, f"{schema}, " + ", ".join(f"{c} long" for c in extra))
     return out.where("of_length is null").drop("of_length", "of_crc32"), out.where("of_length is not null")
 

@@ -39,11 +39,11 @@ class WordEncoder:
         self.alphabet = _byte_letters()
         self.most = most
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}  # hash of a chunk: its number
-        self.parts: dict[str, tuple[int, ...]] = {}
         self.flat, self.start, self.size = array("I"), array("q"), array("i")
 
     def _part(self, p: str) -> tuple[int, ...]:
@@ -68,8 +68,10 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data, offs: UTF-8 bytes of the texts and where each begins, as bytes_of() gives them."""
-        if len(self.known) > self.most or len(self.parts) > self.most:
+        if len(self.known) > self.most:
             self.clear()
+        if len(self.parts) > self.most:
+            self.parts.clear()
         n = len(offs) - 1
         starts, ends, row, h = words_of(data, offs)
         if not len(h):
