@@ -72,7 +72,7 @@ class _Bags:
         self.gram_at = np.cumsum(self.grams) - self.grams
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 17, size: int = 8, epochs: int = 5, batch: int = 64, rate: float = 0.03, decay: float = 0.15, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int = 1 << 17, size: int = 8, epochs: int = 4, least_steps: int = 400, least_docs: int = 3, least_sure: float = 3.0, start: float = 1.0, batch: int = 32, rate: float = 0.01, decay: float = 0.3, seed: int = 7) -> Model:
     """Fit vectors and softmax together. The texts are a bounded sample (see sample())."""
     rng = np.random.default_rng(seed)
     scale = 30.0
@@ -89,6 +89,24 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int
         own = order[lo : lo + batch]
         col = pa.array([texts[k] for k in own], pa.large_string())
         bags.append((_Bags(*common.bytes_of(col), buckets), labels[own], weights[own]))
+    seen = np.zeros((2, buckets))  # documents of each class that hold each vector
+    for x, y, _ in bags:
+        pair = np.unique(x.row * max(1, len(x.grams)) + x.word)
+        r, word = pair // max(1, len(x.grams)), pair % max(1, len(x.grams))
+        n = x.grams[word]
+        own = np.unique(np.repeat(r, n) * buckets + x.gram[common.ranges(x.gram_at[word], n)])
+        for c in (0, 1):
+            seen[c] += np.bincount(own[y[own // buckets] == c] % buckets, minlength=buckets)
+    # Vectors that tell the classes apart by more than chance are fitted; the rest, and rare ones, could only memorise
+    # documents, and stay zero. The first component starts from the log-odds of the classes' document counts.
+    n1, n0 = (labels == 1).sum(), (labels == 0).sum()
+    odds = np.log((seen[1] + 0.5) / (n1 + 1)) - np.log((seen[0] + 0.5) / (n0 + 1))
+    sure = np.abs(odds) / np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    known = ((seen.sum(0) >= least_docs) & (sure >= least_sure)).astype(np.float32)[:, None]
+    e *= known
+    e[:, 0] += known[:, 0] * start * odds
+    w[0] = -0.5, 0.5
+    epochs = max(epochs, -(-least_steps // max(1, len(bags))))  # a small sample is gone through more often
     step = 0
     for epoch in range(epochs):
         for k in rng.permutation(len(bags)):
@@ -126,7 +144,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int
             me[rows] = 0.9 * me[rows] + 0.1 * ge  # Adam, lazily: only vectors of this batch move
             ve[rows] = 0.999 * ve[rows] + 0.001 * ge * ge
             e[rows] *= 1 - lr * decay
-            e[rows] -= lr * (me[rows] / c1) / (np.sqrt(ve[rows] / c2) + 1e-8)
+            e[rows] -= lr * known[rows] * (me[rows] / c1) / (np.sqrt(ve[rows] / c2) + 1e-8)
             for v, gr, m1, m2 in ((w, gw, small[0], small[1]), (b, gb, small[2], small[3])):
                 m1[:] = 0.9 * m1 + 0.1 * gr
                 m2[:] = 0.999 * m2 + 0.001 * gr * gr
