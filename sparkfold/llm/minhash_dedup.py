@@ -4,11 +4,12 @@ A document's set is its distinct word shingles; documents with equal sets are on
 number. One hash of each shingle gives both its bin and its value; a bin's least value is the sketch there, and an empty
 bin takes the value of the bin that its own sequence of probes reaches first. Bands of `rows` bins make bucket keys.
 
-Candidates of a bucket are a star, each class with the bucket's least one, so a bucket of n gives n - 1 pairs; a pair is
-confirmed on the full sets. Classes of one bucket that the confirmed links leave in different components are compared
-once more, those outside the bucket's largest component with all of other components, so that no link between bucket mates is lost;
-these pairs are few because mates are nearly always linked already. With 32 bands of 4 rows, two sets at
-the threshold share no bucket about once in ten million times.
+Candidates of a bucket are a star, each class with one centre of the bucket (of four, by band), so a bucket of n gives n - 1
+pairs; a pair is confirmed on the full sets. Buckets whose classes the confirmed links leave in different components give
+further stars, the centres drawn anew. What is still apart after these rounds is settled exactly: a bucket's sets go to one
+task, which counts shared shingles by postings and gives back only links that join components, so no link between bucket
+mates is lost and nothing grows with the square of a bucket. With 32 bands of 4 rows, two sets at the threshold
+share no bucket about once in ten million times.
 
 Null and empty texts (and those without words) have the empty set: linked with nothing, their own component, kept. A row
 without doc_id is in its class's component but never kept. Of rows that share a doc_id, each is judged by its text.
@@ -125,46 +126,110 @@ def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
     return common.texts(docs, text=text).mapInArrow(run, "node long, hashes array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, classes: DataFrame, size: int, similarity: int, text: str) -> DataFrame:
-    """Those of `pairs` (a, b: nodes) whose full sets have 100 * intersection >= similarity * union."""
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = classes.join(nodes, "node").select("node", "least")
-    own = docs.join(wanted.select(F.col("least").alias("own_id")).distinct(), F.col("doc_id") == F.col("own_id"), "left_semi")
-    sets = common.stored(_sets(own, size, text).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "none")
-    x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
-    y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    shared = F.size(F.array_intersect("ha", "hb"))
-    union = F.size("ha") + F.size("hb") - shared
-    return pairs.join(x, "a").join(y, "b").where(100 * shared >= similarity * union).select("a", "b")
+def _stars(buckets: DataFrame, draw) -> DataFrame:
+    """Pairs (a, b) of each bucket's members (key, node, n) with the member that has the least draw."""
+    centres = buckets.groupBy("key").agg(F.min(F.struct(draw.alias("d"), "node", "n")).alias("c")).select("key", F.col("c.node").alias("cn"), F.col("c.n").alias("ck"))
+    return buckets.join(centres, "key").where("node <> cn").select(F.least("node", "cn").alias("a"), F.greatest("node", "cn").alias("b"), F.col("n").alias("p"), F.col("ck").alias("q"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, bins: int = 128, rows: int = 4, text: str = "text") -> DataFrame:
+def _postings(members: list[tuple], similarity: int) -> list[tuple[int, int]]:
+    """Links that join the components of one bucket. members: (node, root, hashes). Every member outside the largest component is
+    held against all others, by the postings of its shingles."""
+    parent = {m[1]: m[1] for m in members}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    sizes = np.array([len(m[2]) for m in members])
+    _, word = np.unique(np.concatenate([m[2] for m in members]), return_inverse=True)
+    owner = np.repeat(np.arange(len(members)), sizes)
+    order = np.argsort(word, kind="stable")
+    posted, count = owner[order], np.bincount(word)
+    at = np.cumsum(count) - count
+    begin = np.cumsum(sizes) - sizes
+    roots, tally = np.unique([m[1] for m in members], return_counts=True)
+    main = roots[tally.argmax()]
+    out = []
+    for p, (node, root, _) in enumerate(members):
+        if root == main:
+            continue
+        own = word[begin[p] : begin[p] + sizes[p]]
+        shared = np.bincount(posted[common.ranges(at[own], count[own])], minlength=len(members))
+        for q in np.flatnonzero(100 * shared >= similarity * (sizes[p] + sizes - shared)):
+            x, y = find(root), find(members[q][1])
+            if x != y:
+                parent[x] = y
+                out.append((node, members[q][0]))
+    return out
+
+
+def _settle(apart: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        current = None
+        for b in batches:
+            found = []
+            for k, (key, node, root) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if key != current and held:
+                    found += _postings(held, similarity)
+                    held = []
+                current = key
+                held.append((node, root, b.column(3)[k].values.to_numpy(zero_copy_only=False)))
+            yield pa.record_batch([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        if held:
+            found = _postings(held, similarity)
+            yield pa.record_batch([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    rows = apart.select("key", "node", "root").join(sets, "node").repartition("key").sortWithinPartitions("key")
+    return rows.select("key", "node", "root", "hashes").mapInArrow(run, "a long, b long").distinct()
+
+
+def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, node, n, root) of the buckets that hold more than one component. Buckets that hold the same members are one."""
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mark = F.sum(F.xxhash64("node").cast("decimal(38,0)"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), mark.alias("mark")).where("lo <> hi")
+    mixed = mixed.groupBy("m", "mark", "lo", "hi").agg(F.min("key").alias("key")).select("key")
+    return placed.join(mixed, "key").select("key", "node", "n", "root")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, bins: int = 128, rows: int = 4, rounds: int = 1, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`."""
     docs = docs.select("doc_id", text)
     base = common.stored(_profile(docs, words, bins, rows, text))
     classes = common.stored(base.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    fits = lambda p, q: 100 * F.least(p, q) >= similarity * F.greatest(p, q)  # noqa: E731  else the sizes alone rule it out
-    buckets = classes.select("node", "n", F.explode("bands").alias("key"))
-    centres = buckets.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", "c")
-    members = common.stored(buckets.join(centres, "key").select("key", "node", "n", F.col("c.node").alias("centre"), F.col("c.n").alias("centre_n")))
-    stars = members.where("node <> centre").where(fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    stars = common.stored(stars)
-    links = common.stored(_confirm(stars, docs, classes, words, similarity, text))
+    fits = 100 * F.least("p", "q") >= similarity * F.greatest("p", "q")  # else the sizes alone rule it out
+    buckets = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    members = common.stored(buckets.join(shared, "key"))
+    nodes = members.select("node").distinct()
+    wanted = classes.join(nodes, "node").select(F.col("least").alias("own_id")).distinct()
+    own = docs.join(wanted, F.col("doc_id") == F.col("own_id"), "left_semi")
+    sets = common.stored(_sets(own, words, text).join(nodes, "node", "left_semi").dropDuplicates(["node"]), "none")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        x = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
+        y = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
+        common_n = F.size(F.array_intersect("ha", "hb"))
+        ok = 100 * common_n >= similarity * (F.size("ha") + F.size("hb") - common_n)
+        return pairs.where(fits).select("a", "b").distinct().join(x, "a").join(y, "b").where(ok).select("a", "b")
+
+    links = common.stored(confirmed(_stars(members, F.xxhash64("node", F.col("band") % 4))))
     roots = common.stored(components(links))
-    # Bucket mates in different components: all pairs of these that no star has compared.
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    apart = common.stored(placed.join(mixed, "key").select("key", "node", "n", "root", "centre"))
-    of_root = apart.groupBy("key", "root").agg(F.count("*").alias("m"))
-    largest = of_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x")).select("key", F.col("x.root").alias("main"))
-    outside = apart.join(largest, "key").where("root <> main")
-    p, q = outside.select("key", F.col("node").alias("pn"), F.col("n").alias("pk"), F.col("root").alias("pr"), "main"), apart.select("key", F.col("node").alias("qn"), F.col("n").alias("qk"), F.col("root").alias("qr"), "centre")
-    more = p.join(q, "key").where("pr <> qr and (qr = main or pn < qn) and pn <> centre and qn <> centre").where(fits(F.col("pk"), F.col("qk")))
-    more = common.stored(more.select(F.least("pn", "qn").alias("a"), F.greatest("pn", "qn").alias("b")).distinct())
-    more = more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    late = common.stored(_confirm(more, docs, classes, words, similarity, text))
-    if not late.isEmpty():
-        roots = common.stored(components(links.unionByName(late)))
+    apart = common.stored(_mixed(members, roots))
+    for k in range(rounds):
+        if apart.isEmpty():
+            break
+        links = common.stored(links.unionByName(confirmed(_stars(apart, F.xxhash64("node", "key", F.lit(k))).unionByName(_stars(apart, F.xxhash64("root", "node", F.lit(k)))))))
+        roots = common.stored(components(links))
+        apart = common.stored(_mixed(members, roots))
+    if not apart.isEmpty():
+        late = common.stored(_settle(apart, sets, similarity))
+        if not late.isEmpty():
+            roots = common.stored(components(links.unionByName(late)))
     labelled = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(component, "root").select("node", "component_id")
