@@ -62,7 +62,7 @@ class Pieces:
 
     @staticmethod
     def _hashes(codes: np.ndarray, begin: int, end: int) -> np.ndarray:
-        h = np.zeros(len(codes), _U)
+        h = np.full(len(codes), common._BASE, _U)
         for k in range(begin, end):
             h = (h ^ codes[:, k]) * common._M1
             h ^= h >> _U(29)
@@ -78,7 +78,7 @@ class Pieces:
         # prefix[b]: running hash of the substrings that begin at b, for those that can still be pieces
         run: dict[int, np.ndarray] = {}
         for end in range(1, length + 1):
-            run[end - 1] = np.zeros(n, _U)
+            run[end - 1] = np.full(n, common._BASE, _U)
             run.pop(end - 1 - self.longest, None)
             c = codes[:, end - 1]
             for begin in range(max(0, end - self.longest), end):
