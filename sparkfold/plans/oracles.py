@@ -181,4 +181,17 @@ WITH c AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 6 = 0 THEN '' ELSE o_o
 r AS (SELECT *, k % 7 = 0 OR k % 11 = 0 OR (k % 3 <> 0 AND k % 2 = 0 AND o <> substr(o, 1, 3)) AS raw FROM c)
 SELECT k AS capture_id, CASE WHEN raw THEN 'passthrough' ELSE 'short' END AS filter_name, CASE WHEN raw THEN 'ByteExact' WHEN k % 2 = 0 THEN 'PotentiallyLossy' ELSE 'FactComplete' END AS evidence,
   CASE WHEN o = '' AND e = '' THEN concat('(CMD exited ', CAST(k % 3 AS VARCHAR), ' with no output)') WHEN raw THEN o ELSE substr(o, 1, 3) END AS shown_stdout, e AS shown_stderr FROM r""",
+    "tool_lines": f"""
+WITH s AS ({synthetic.TOOL_LINES}), k(tool, kept) AS (VALUES ('ctest', ['1/2 Test #1: a .... 50%', 'x.cs(1,2): error CS0103: gone']), ('cmake', ['-- Configuring done', '[ 50%] Building', 'x.cs(1,2): error CS0103: gone', '    3 Warning(s)']), ('swift', ['Executed 4 tests']),
+  ('uv', ['Resolved 12 packages', '+ left==1', '-- Configuring done']), ('dotnet', ['x.cs(1,2): error CS0103: gone', '    3 Warning(s)']), ('plan', ['Plan: 1 to add', '# a.b will be created'])),
+c AS (SELECT DISTINCT capture_id FROM s),
+j AS (SELECT c.capture_id, k.tool, string_agg(concat(s.line, chr(10)), '' ORDER BY s.line_no) AS b FROM c CROSS JOIN k LEFT JOIN s ON s.capture_id = c.capture_id AND list_contains(k.kept, s.line) GROUP BY c.capture_id, k.tool)
+SELECT capture_id, tool, coalesce(b, CASE tool WHEN 'swift' THEN concat('ok', chr(10)) WHEN 'plan' THEN concat('plan ok', chr(10)) ELSE '' END) AS body FROM j""",
+    "buildkit_steps": f"""
+WITH s AS ({synthetic.BUILDKIT}), g AS (SELECT capture_id, count(DISTINCT CASE WHEN line LIKE '%DONE%' THEN split_part(line, ' ', 1) END) AS n, arg_max(replace(replace(line, '#9 naming to ', ''), ' done', ''), line_no) FILTER (WHERE line LIKE '%naming%') AS image, bool_and(starts_with(line, '#')) AS ok FROM s GROUP BY capture_id)
+SELECT capture_id, concat('BuildKit: ', CAST(n AS VARCHAR), ' steps completed', CASE WHEN image IS NULL THEN '' ELSE concat(chr(10), 'image: ', image) END) AS line FROM g WHERE ok AND n > 0""",
+    "live_transitions": """
+WITH s AS (SELECT user_id % 25 AS capture_id, event_id AS line_no, concat('job-', CAST(event_id % 4 AS VARCHAR)) AS job, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'passed' ELSE 'running' END AS status FROM events),
+t AS (SELECT *, lag(status) OVER (PARTITION BY capture_id, job ORDER BY line_no) AS was FROM s)
+SELECT capture_id, line_no, concat(job, ': ', CASE WHEN was IS NULL THEN status ELSE concat(was, '->', status) END) AS change FROM t WHERE was IS NULL OR was <> status""",
 }

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import checks, generic, git, listing, logs
+from sparkfold.operators import checks, generic, git, keep, listing, logs
 from sparkfold.plans import catalog, guards, synthetic, usage
-from sparkfold.sources.tables import table, views
+from sparkfold.sources.tables import stream, table, views
 
 
 def _capture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -180,10 +180,37 @@ def guard_fall_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.guarded(c)
 
 
+def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = L.render(_capture(spark, sf_dir, synthetic.TOOL_LINES))
+    out = None
+    for tool in keep.RULES:
+        one = keep.keep(bodies, tool).select("capture_id", F.lit(tool).alias("tool"), "body")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def buildkit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep.buildkit(_capture(spark, sf_dir, synthetic.BUILDKIT))
+
+
+def live_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream: job states per group of users, their changes written as they come and read back."""
+    from sparkfold.sources.tables import scratch
+    from sparkfold.streaming import live
+
+    events = stream(spark, sf_dir, "events")
+    status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "passed").otherwise("running")
+    jobs = events.select((F.col("user_id") % 25).alias("capture_id"), F.col("event_id").alias("line_no"), F.concat(F.lit("job-"), (F.col("event_id") % 4).cast("string")).alias("job"), status.alias("status"))
+    out = scratch(spark)
+    query = live.transitions(jobs).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema("capture_id long, line_no long, change string").parquet(f"{out}/rows")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
-        git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open,
+        git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, live_transitions,
     )
 }

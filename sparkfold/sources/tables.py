@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as a stream of its files; a table that is a single file is found by its name."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    folder = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return reader.parquet(f"{sf_dir}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def views(spark: SparkSession, sf_dir: str) -> None:
     """The tables that captures are built from, as views of their names."""
     for name in ("supplier", "part", "orders", "lineitem", "events", "documents"):
@@ -27,3 +40,14 @@ def sessions(spark: SparkSession, path: str) -> DataFrame:
     """path, line_no-free rows of `record` (a variant) for each valid line of the session logs below `path`."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     return lines.select("path", F.try_parse_json("value").alias("record")).where("record is not null")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder path under spark.checkpoint.dir; only where that is unset, under a local temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="sparkfold-")
+        atexit.register(shutil.rmtree, base, True)
+        base = f"file://{base}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/sparkfold-{uuid.uuid4().hex}"
