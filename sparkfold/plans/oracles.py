@@ -194,4 +194,10 @@ SELECT capture_id, concat('BuildKit: ', CAST(n AS VARCHAR), ' steps completed',
 WITH s AS (SELECT user_id % 25 AS capture_id, event_id AS line_no, concat('job-', CAST(event_id % 4 AS VARCHAR)) AS job, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'purchase' THEN 'passed' ELSE 'running' END AS status FROM events),
 t AS (SELECT *, lag(status) OVER (PARTITION BY capture_id, job ORDER BY line_no) AS was FROM s)
 SELECT capture_id, line_no, concat(job, ': ', CASE WHEN was IS NULL THEN status ELSE concat(was, '->', status) END) AS change FROM t WHERE was IS NULL OR was <> status""",
+    "docker_ps": """
+WITH s AS (SELECT s_nationkey AS k, s_suppkey AS i, (s_suppkey + s_nationkey) % 3 <> 0 AS up FROM supplier)
+SELECT k AS capture_id, concat('d', CAST(count(*) AS VARCHAR), CASE WHEN sum(CASE WHEN up THEN 1 ELSE 0 END) = 0 THEN 'none' WHEN bool_and(up) THEN 'up' ELSE 'm' END, string_agg(concat(' web-', CAST(i AS VARCHAR)), '' ORDER BY i)) AS line FROM s GROUP BY k""",
+    "shell_chains": """
+SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 END AS BIGINT) AS n,
+  CASE event_id % 5 WHEN 0 THEN concat('run ', event_type, '  /  echo "a;b"  /  cat') WHEN 1 THEN concat('run ', event_type, ' 2>&1 /  ls  / ') WHEN 3 THEN concat('run ', event_type, '  /  true') WHEN 4 THEN concat('run ', event_type) END AS parts FROM events""",
 }

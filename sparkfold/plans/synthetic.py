@@ -91,3 +91,10 @@ BUILDKIT = """
 SELECT s_nationkey AS capture_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS line_no,
        CASE WHEN s_nationkey = 5 THEN 'plain' WHEN s_suppkey % 4 = 0 THEN concat('#', CAST(s_suppkey % 8 AS VARCHAR(9)), ' DONE 0.1s') WHEN s_suppkey % 4 = 1 THEN concat('#9 naming to img', CAST(s_suppkey AS VARCHAR(9)), ' done') ELSE '#3 RUN x' END AS line
 FROM supplier"""
+
+DOCKER_PS = """
+SELECT s_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, 'CONTAINER ID   IMAGE   STATUS       NAMES' AS line FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT), concat('abcdef012345   img     ', CASE WHEN (s_suppkey + s_nationkey) % 3 = 0 THEN 'Exited (0)   ' ELSE 'Up 2 hours   ' END, 'web-', CAST(s_suppkey AS VARCHAR(20))) FROM supplier"""
+
+CHAINS = """
+SELECT event_id, concat('run ', event_type, CASE event_id % 5 WHEN 0 THEN ' && echo "a;b" | cat' WHEN 1 THEN ' 2>&1; ls &' WHEN 2 THEN ' "open' WHEN 3 THEN ' || true' ELSE '' END) AS command FROM events"""

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import checks, generic, git, listing, logs
+from sparkfold.operators import checks, generic, git, keep, listing, logs, shell
 from sparkfold.plans import catalog, guards, usage
 
 
@@ -85,6 +85,22 @@ def test_guards_and_reports(spark):
     assert {r.command for r in catalog.uncovered(spark).collect()} == {"poetry", "npx"}
 
 
+def test_kept_lines(spark):
+    df = spark.createDataFrame([(0, "noise\nPlan: 1 to add\n"), (1, "noise"), (2, "")], "capture_id long, body string")
+    assert [r.body for r in keep.keep(df, "plan").orderBy("capture_id").collect()] == ["Plan: 1 to add\n", "plan ok\n", ""]
+    hooks = "black....................Passed\nruff.....................Failed\n- hook id: ruff\nchatter\na.py:1: bad\n"
+    assert _out(keep.pre_commit(_lines(spark, hooks))) == ["ruff Failed", "- hook id: ruff", "a.py:1: bad", "passed: 1 hook"]
+    assert _out(keep.docker_stats(_lines(spark, "CONTAINER ID NAME CPU %\nabc web 1% 2MiB / 3GiB 4% x y"))) == ["web 1% 2MiB/3GiB 4%"]
+
+
+def test_shell_and_trees(spark):
+    df = spark.createDataFrame([("a && b 'x;y' | c 2>&1; d",), ("it's",), ("",)], "s string")
+    assert [r.v for r in df.select(shell.chain(df.s).alias("v")).collect()] == [["a ", " b 'x;y' ", " c 2>&1", " d"], None, [""]]
+    add = "The following paths are ignored by one of your .gitignore files:\n\tout\n  (use -f)\n\nfatal: pathspec 'zz' did not match\nwarning: CRLF will be replaced by LF in f.txt.\nThe file will have its original line endings in x\n"
+    assert _out(shell.git_add(_lines(spark, add))) == ["! out", "! zz", "! f.txt"]
+    assert _out(shell.worktrees(_lines(spark, "/a/b   abcdef12  [main]\n/c (bare)\n"))) == ["/a/b abcdef12 [main]", "/c (bare)"]
+
+
 def test_live_transitions(spark, tmp_path):
     from sparkfold.streaming import live
 
