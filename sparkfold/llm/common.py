@@ -6,6 +6,9 @@ Everything here treats text as UTF-8 bytes; a null text is an empty one.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a vectorised step takes at once; a single longer text is its own slice.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _U = np.uint64
 #: Odd multiplier of the rolling hash and of the mixers.
@@ -75,7 +78,7 @@ def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     Arrow batches hold fewer rows than by default, as rows of text are long; a session that has set a bound keeps its own."""
     conf = docs.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) == 10000:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
     return docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
 
 
@@ -91,6 +94,15 @@ def slices(batches: Iterator[pa.RecordBatch], col: str = "text", most: int = SLI
             hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
             yield b.slice(lo, hi - lo)
             lo = hi
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: workers outlive their tasks, and what an idle one holds is missing elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def _buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int | Non
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for b in common.slices(batches):
+        for b in common.slices(batches, most=2_000_000):
             ids, n = enc.encode(*common.bytes_of(b.column(1)))
             raw, at, rows = ids.astype("<u4").tobytes(), 0, []
             for d, k in zip(b.column(0).to_pylist(), n.tolist()):

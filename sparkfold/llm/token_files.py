@@ -67,7 +67,7 @@ def encode_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         width = 2 if enc.library.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
-        for b in common.slices(batches):
+        for b in common.slices(batches, most=2_000_000):
             ids, n = enc.encode(*common.bytes_of(b.column(1)))
             ids = ids.astype(f"<u{width}")
             ends = np.cumsum(n)
