@@ -4,7 +4,7 @@ from sparkfold.llm.line_quality import op3_line_quality
 from sparkfold.llm.minhash_dedup import OP7_SQL, op7_minhash_dedup
 from sparkfold.llm.packing import op5_packing
 from sparkfold.llm.prefix_counts import op4_token_counts
-from sparkfold.llm.substring_dedup import op10_substring_dedup
+from sparkfold.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from sparkfold.llm.suffix_dedup import op8_suffix_dedup
 from sparkfold.llm.token_files import op1_token_files
 from sparkfold.llm.topk import OP6_SQL, op6_exact_topk
@@ -14,4 +14,4 @@ from sparkfold.llm.viterbi_pieces import op2_sentencepiece
 _ALL = (op1_token_files, op2_sentencepiece, op3_line_quality, op4_token_counts, op5_packing, op6_exact_topk, op7_minhash_dedup, op8_suffix_dedup, op9_toxicity, op10_substring_dedup)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op7_minhash_dedup": OP7_SQL}
+ORACLES: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL}

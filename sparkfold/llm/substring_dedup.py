@@ -240,3 +240,15 @@ _BLANK = bytes(0x20 if 9 <= b <= 13 else b for b in range(256))
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM i),
+f AS (SELECT h, min(doc_id) AS d FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM (SELECT k.doc_id, k.i FROM k JOIN f ON f.h = k.h WHERE f.d < k.doc_id)),
+a AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM w WHERE len(w) > 0),
+r AS (SELECT a.doc_id, string_agg(CASE WHEN g.p IS NULL THEN a.x END, ' ' ORDER BY a.p) AS kept, count(g.p) AS gone FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY a.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(r.gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(r.kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON r.doc_id = w.doc_id
+"""
