@@ -200,4 +200,9 @@ SELECT k AS capture_id, concat('d', CAST(count(*) AS VARCHAR), CASE WHEN sum(CAS
     "shell_chains": """
 SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 END AS BIGINT) AS n,
   CASE event_id % 5 WHEN 0 THEN concat('run ', event_type, '  /  echo "a;b"  /  cat') WHEN 1 THEN concat('run ', event_type, ' 2>&1 /  ls  / ') WHEN 3 THEN concat('run ', event_type, '  /  true') WHEN 4 THEN concat('run ', event_type) END AS parts FROM events""",
+    "docker_images": """
+WITH s AS (SELECT s_nationkey AS k, s_suppkey AS i, s_suppkey % 5 = 0 AS bare, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 = 0 ORDER BY s_suppkey) AS r FROM supplier),
+g AS (SELECT k, count(*) AS n, sum(CASE WHEN bare THEN 1 ELSE 0 END) AS d, string_agg(CASE WHEN NOT bare AND r <= 8 THEN concat(' r', CAST(i AS VARCHAR), ':1.0(', CAST(i % 9 AS VARCHAR), 'MB)') END, '' ORDER BY i) AS s FROM s GROUP BY k)
+SELECT k AS capture_id, concat('images ', CAST(n AS VARCHAR), ':', s, CASE WHEN d > 0 THEN concat(' dangling x', CAST(d AS VARCHAR)) ELSE '' END, CASE WHEN n - d > 8 THEN concat(' (+', CAST(n - d - 8 AS VARCHAR), ')') ELSE '' END) AS line FROM g""",
+    "grid_rows": "SELECT r_regionkey AS capture_id, n AS line_no, concat(CAST(n AS VARCHAR), chr(9), r_name) AS line FROM region, (VALUES (CAST(1 AS BIGINT)), (3), (5)) AS t(n) WHERE r_regionkey <> 3",
 }

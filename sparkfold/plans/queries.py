@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import checks, generic, git, keep, listing, logs, shell
+from sparkfold.operators import checks, generic, git, keep, listing, logs, shell, tables
 from sparkfold.plans import catalog, guards, synthetic, usage
 from sparkfold.sources.tables import stream, table, views
 
@@ -202,6 +202,14 @@ def shell_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("event_id", F.size("parts").cast("long").alias("n"), F.array_join("parts", " / ").alias("parts"))
 
 
+def docker_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.docker_images(_capture(spark, sf_dir, synthetic.DOCKER_IMAGES))
+
+
+def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.grid(_capture(spark, sf_dir, synthetic.GRID))
+
+
 def live_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream: job states per group of users, their changes written as they come and read back."""
     from sparkfold.sources.tables import scratch
@@ -220,6 +228,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
-        git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, live_transitions,
+        git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, docker_images, grid_rows, live_transitions,
     )
 }

@@ -98,3 +98,11 @@ UNION ALL SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey O
 
 CHAINS = """
 SELECT event_id, concat('run ', event_type, CASE event_id % 5 WHEN 0 THEN ' && echo "a;b" | cat' WHEN 1 THEN ' 2>&1; ls &' WHEN 2 THEN ' "open' WHEN 3 THEN ' || true' ELSE '' END) AS command FROM events"""
+
+DOCKER_IMAGES = """
+SELECT s_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, 'REPOSITORY   TAG      IMAGE ID   SIZE' AS line FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT), concat(rpad(CASE WHEN s_suppkey % 5 = 0 THEN '<none>' ELSE concat('r', CAST(s_suppkey AS VARCHAR(20))) END, 13, ' '), '1.0      abcdef     ', CAST(s_suppkey % 9 AS VARCHAR(9)), 'MB') FROM supplier"""
+
+GRID = """
+SELECT r_regionkey AS capture_id, CAST(n AS BIGINT) AS line_no, CASE WHEN n % 2 = 0 THEN '+----+-------+' WHEN r_regionkey = 3 AND n = 5 THEN 'oops' ELSE concat('| ', CAST(n AS VARCHAR(9)), '  | ', r_name, ' |') END AS line
+FROM region JOIN (SELECT DISTINCT n_nationkey % 7 AS n FROM nation) ON n >= 0"""

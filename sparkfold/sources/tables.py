@@ -27,7 +27,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def views(spark: SparkSession, sf_dir: str) -> None:
     """The tables that captures are built from, as views of their names."""
-    for name in ("supplier", "part", "orders", "lineitem", "events", "documents"):
+    for name in ("region", "nation", "supplier", "part", "orders", "lineitem", "events", "documents"):
         table(spark, sf_dir, name).createOrReplaceTempView(name)
 
 
