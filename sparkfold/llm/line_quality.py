@@ -199,13 +199,20 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500, text: str = "tex
     chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * most ids
     rows = common.texts(docs, text=text).join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
-    data, offs = common.bytes_of(pa.array([r.text for r in rows], pa.large_string()))
-    seen = describe(data, offs)
     y = np.array([ids[r.doc_id] for r in rows], np.int64)
-    lines = np.bincount(seen.doc, minlength=len(rows))
-    if not len(seen.doc):
+    doc, features, before = [], [], 0
+    for part in common.slices(iter([pa.record_batch({"text": pa.array([r.text for r in rows], pa.large_string())})])):
+        seen = describe(*common.bytes_of(part.column(0)))
+        doc.append(seen.doc + before)
+        features.append(seen.features)
+        before += part.num_rows
+    doc, features = np.concatenate(doc), np.concatenate(features)
+    lines = np.bincount(doc, minlength=len(rows))
+    if not len(doc):
         return flat
-    return fit(seen.doc, seen.features, y[seen.doc], 1 / np.maximum(1, lines), len(rows))
+    field = fit(doc, features, y[doc], 1 / np.maximum(1, lines), len(rows))
+    common.release()
+    return field
 
 
 def judge(docs: DataFrame, field: Field, least: float = 0.5, text: str = "text") -> DataFrame:

@@ -188,7 +188,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2500, text: str = "tex
     texts, y, weight = sample(docs, labels, most, text)
     if not len(y) or y.min() == y.max():  # nothing to tell apart: every score is the share of the one class, or one half
         return Model(np.zeros(1 << 10, np.float32), 0.0 if not len(y) else float(np.where(y[0], 5, -5)), 1.0)
-    return fit(texts, y, weight)
+    model = fit(texts, y, weight)
+    common.release()
+    return model
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
