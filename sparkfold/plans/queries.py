@@ -164,10 +164,9 @@ def catalog_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.substring("text", 1, 200).alias("body"))
-    old = d.where("case_id % 10 <> 1")
-    new = d.where("case_id % 10 <> 2").withColumn("body", F.when(F.col("case_id") % 5 == 0, F.regexp_replace("body", "e", "E")).otherwise(F.col("body")))
-    return usage.parity(old, new)
+    """Whole texts of all documents, against the same with every e of each fifth one made an E."""
+    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("text").alias("body"))
+    return usage.parity(old, old.withColumn("body", F.when(F.col("case_id") % 5 == 0, F.regexp_replace("body", "e", "E")).otherwise(F.col("body"))))
 
 
 def guard_fall_open(spark: SparkSession, sf_dir: str) -> DataFrame:

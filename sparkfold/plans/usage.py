@@ -55,13 +55,30 @@ def effective(usage: DataFrame) -> DataFrame:
     return t.groupBy("command", "chain").agg(F.count("*").alias("n"))
 
 
+def first_difference(x: Column, y: Column) -> Column:
+    """The first character (from 1) at which two unequal strings differ; where one is the other's beginning, the one behind it. Each of the 31 steps
+    keeps the half that differs, so all together read each string about twice, whatever its length."""
+    rest = (1 << 31) - 1
+
+    def state(x: Column, y: Column, at: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"), at.alias("at"))
+
+    def step(s: Column, _: Column) -> Column:
+        h = F.ceil(F.greatest(F.length(s["x"]), F.length(s["y"])) / 2).cast("int")
+        a, b = F.substring(s["x"], F.lit(1), h), F.substring(s["y"], F.lit(1), h)
+        return F.when(a != b, state(a, b, s["at"])).otherwise(state(F.substring(s["x"], h + 1, F.lit(rest)), F.substring(s["y"], h + 1, F.lit(rest)), s["at"] + h))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), state(x, y, F.lit(1)), step, lambda s: s["at"])
+
+
 def parity(baseline: DataFrame, candidate: DataFrame) -> DataFrame:
-    """case_id, verdict (equal, differs, only in baseline, only in candidate), first differing character (from 1)."""
-    j = baseline.select("case_id", F.col("body").alias("x")).join(candidate.select("case_id", F.col("body").alias("y")), "case_id", "full_outer")
-    verdict = F.when(F.col("y").isNull(), "only in baseline").when(F.col("x").isNull(), "only in candidate").when(F.col("x") == F.col("y"), "equal").otherwise("differs")
-    places = F.sequence(F.lit(1), F.least(F.length("x"), F.length("y")) + 1)
-    first = F.get(F.filter(places, lambda i: F.substring("x", i, F.lit(1)) != F.substring("y", i, F.lit(1))), 0)
-    return j.select("case_id", verdict.alias("verdict"), F.when(verdict == "differs", F.coalesce(first, F.least(F.length("x"), F.length("y")) + 1)).cast("long").alias("first_difference"))
+    """case_id, verdict (equal, differs, only in baseline, only in candidate), first differing character (from 1). A null body is one of its own: equal to
+    another null, different from any text at once."""
+    x = baseline.select("case_id", F.col("body").alias("x"), F.lit(True).alias("old"))
+    j = x.join(candidate.select("case_id", F.col("body").alias("y"), F.lit(True).alias("new")), "case_id", "full_outer")
+    verdict = F.when(F.col("new").isNull(), "only in baseline").when(F.col("old").isNull(), "only in candidate").when(F.col("x").eqNullSafe(F.col("y")), "equal").otherwise("differs")
+    first = F.when(F.col("x").isNull() | F.col("y").isNull(), 1).otherwise(first_difference(F.col("x"), F.col("y")))
+    return j.withColumn("verdict", verdict).select("case_id", "verdict", F.when(F.col("verdict") == "differs", first).cast("long").alias("first_difference"))
 
 
 def reduction_gate(report: DataFrame, least_percent: int = 10) -> DataFrame:
