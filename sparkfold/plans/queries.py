@@ -115,7 +115,7 @@ def git_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tsc_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.tsc(_capture(spark, sf_dir, synthetic.TSC))
+    return checks.tsc(_capture(spark, sf_dir, synthetic.TSC_WHOLE))
 
 
 def kubectl_pods(spark: SparkSession, sf_dir: str) -> DataFrame:

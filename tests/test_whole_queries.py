@@ -1,6 +1,7 @@
 """Queries and reports over whole tables and whole texts, against brute force."""
 
 import random
+from collections import defaultdict
 
 from sparkfold.plans import queries, usage
 from sparkfold.sources.tables import table
@@ -35,3 +36,33 @@ def test_parity_check_reads_whole_texts_of_all_documents(spark):
     assert all((r.verdict == "differs") == (want[r.case_id] is not None) for r in got)
     late = spark.createDataFrame([(5, "x" * 300 + "e"), (11, "a"), (12, "b")], "case_id long, body string")
     assert [r.first_difference for r in usage.parity(late, late.replace("x" * 300 + "e", "x" * 300 + "E")).orderBy("case_id").collect()] == [301, None, None]
+
+
+def _lineitem(spark, captures):
+    """Rows of lineitem by capture, in the order in which they make its lines."""
+    out = defaultdict(list)
+    for r in table(spark, DATA, "lineitem").collect():
+        out[r.l_suppkey % captures].append(r)
+    for rows in out.values():
+        rows.sort(key=lambda r: (r.l_orderkey, r.l_linenumber, r.l_partkey, r.l_suppkey, r.l_extendedprice))
+    return out
+
+
+def test_tsc_errors_reads_all_of_lineitem(spark):
+    want = []
+    for capture, rows in _lineitem(spark, 20).items():
+        codes = defaultdict(list)
+        for k, r in enumerate(rows):
+            if r.l_orderkey % 97 == 0:
+                want.append((capture, 1 << 40, k, "error TS18003 no inputs"))
+            elif r.l_orderkey % 89:
+                message = f"Cannot find name flag {r.l_returnflag if r.l_linenumber == 2 else 'X'} in this scope of the module"
+                codes[f"TS{2000 + r.l_suppkey % 7 * 10 + r.l_linenumber}"].append((k, f"src/f{r.l_partkey}.ts:{r.l_linenumber}:1", message))
+        for code, d in codes.items():
+            first = d[0][0]
+            if len(d) >= 3 and len({m[:40] for _, _, m in d}) == 1:
+                more = f", ... ({len(d) - 3} more)" if len(d) > 3 else ""
+                want += [(capture, first, 0, f"{code} x{len(d)}: {', '.join(p for _, p, _ in d[:3])}{more}"), (capture, first, 1, d[0][2])]
+            else:
+                want += [(capture, first, k, f"{p} {code}: {m}") for k, p, m in d]
+    assert sorted(tuple(r) for r in queries.tsc_errors(spark, DATA).collect()) == sorted(want)
