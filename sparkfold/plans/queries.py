@@ -180,7 +180,7 @@ def guard_fall_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = L.render(_capture(spark, sf_dir, synthetic.TOOL_LINES))
+    bodies = L.render(_capture(spark, sf_dir, synthetic.TOOL_LINES_WHOLE))
     out = None
     for tool in keep.RULES:
         one = keep.keep(bodies, tool).select("capture_id", F.lit(tool).alias("tool"), "body")

@@ -66,3 +66,12 @@ def test_tsc_errors_reads_all_of_lineitem(spark):
             else:
                 want += [(capture, first, k, f"{p} {code}: {m}") for k, p, m in d]
     assert sorted(tuple(r) for r in queries.tsc_errors(spark, DATA).collect()) == sorted(want)
+
+
+def test_tool_lines_reads_all_of_lineitem(spark):
+    say = {0: "Plan: 1 to add", 1: "-- Configuring done", 2: "[ 50%] Building", 3: "x.cs(1,2): error CS0103: gone", 4: "    3 Warning(s)", 5: "Resolved 12 packages", 6: "+ left==1", 7: "Executed 4 tests", 8: "# a.b will be created", 9: "1/2 Test #1: a .... 50%"}
+    kept = {"ctest": (3, 9), "cmake": (1, 2, 3, 4), "swift": (7,), "uv": (1, 5, 6), "dotnet": (3, 4), "plan": (0, 8)}
+    nothing = {"swift": "ok\n", "plan": "plan ok\n"}
+    want = {(c, tool): "".join(say[r.l_partkey % 12] + "\n" for r in rows if r.l_partkey % 12 in k) or nothing.get(tool, "") for c, rows in _lineitem(spark, 25).items() for tool, k in kept.items()}
+    got = queries.tool_lines(spark, DATA).collect()
+    assert len(got) == len(want) and {(r.capture_id, r.tool): r.body for r in got} == want
