@@ -7,6 +7,7 @@ docs. All but the last return the columns of `documents`, reduced to what the st
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkfold.llm import common, line_quality, minhash_dedup, packing, suffix_dedup, toxicity
 
@@ -25,9 +26,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the least doc_id."""
-    kept = minhash_dedup.near_duplicates(docs, words=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """One row of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the least doc_id; rows without one come last, and of
+    rows that share one, each is judged by its text and any one stays. Texts without words are in no group and stay."""
+    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()))  # stored, as the numbers are not the same when computed again
+    groups = minhash_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5).select(F.col("doc_id").alias("_row"), "component_id")
+    least = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("least"))
+    return rows.join(least.select("least._row"), "_row", "left_semi").select(docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
