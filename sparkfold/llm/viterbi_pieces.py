@@ -1,6 +1,7 @@
-"""SentencePiece encoding and decoding: batched numpy Viterbi.
+"""SentencePiece encoding and decoding.
 
-The segmentation of a text with the greatest sum of piece scores. Pieces cross no space mark that follows another
+The ids that the library gives for a byte-pair vocabulary (Merges), or, reading the model as a unigram one, the segmentation of a
+text with the greatest sum of piece scores, by batched numpy Viterbi (Pieces). Pieces cross no space mark that follows another
 character, so units (marks with what follows up to the next) are segmented apart and remembered per worker. Units of
 equal length advance together: at each end position, the hashes of all substrings that end there are looked up in the
 sorted hashes of the pieces, and a vectorised maximum over the begin positions stores the score and the backpointer.
@@ -10,8 +11,9 @@ last piece wins. Scores are summed in doubles, which is exact for this vocabular
 Decoding joins pieces and bytes, turns marks into spaces and drops the one put before the text. It gives back every
 text that has no mark of its own; a byte sequence that is no UTF-8 becomes replacement characters.
 
-The vocabulary's own merge order is another rule: its library counts (prefix_counts.py) differ from this one's. The
-library gives the same ids when told that the model is a unigram one, apart from the rounding of its single floats.
+The vocabulary's own merge order is another rule than the sum of scores. Under it a path through the pieces is admitted only where
+neighbours go together (prefix_counts.py), which leaves one. The library gives the ids of the sum of scores when told that the
+model is a unigram one, apart from the rounding of its single floats.
 
 Null and empty texts have no ids. Repeated rows are encoded each.
 """
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkfold.llm import common
+from sparkfold.llm import common, prefix_counts
 
 MARK = 0x2581
 #: Units longer than this advance alone, in the same way.
@@ -157,9 +159,50 @@ class Pieces:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
+class Merges(Pieces):
+    """Units are segmented as byte-pair merges do: of the pieces that end at a place, the one that goes with the last piece before it."""
+
+    def __init__(self, path: str, most: int = 500_000):
+        super().__init__(path, most)
+        self.counter = prefix_counts.counter(path)
+        self.own = {self.text[i]: i for i in self.ids.tolist()}
+
+    def merged(self, unit: str) -> list[int]:
+        c = self.counter
+        usable, longest, pairs = c.pieces, c.longest, c.pairs
+        last = [""]
+        for end in range(1, len(unit) + 1):
+            for begin in range(max(0, end - longest), end):
+                p = unit[begin:end]
+                if p in usable or begin == end - 1:
+                    before = last[begin]
+                    if not before or (pairs[before, p] if (before, p) in pairs else c.go_together(before, p)):
+                        last.append(p)
+                        break
+        ids: list[int] = []
+        at = len(unit)
+        while at:
+            p = last[at]
+            if p in usable:
+                ids.append(self.own[p])
+            else:
+                ids += self.byte[np.frombuffer(p.encode(), np.uint8)][::-1].tolist()
+            at -= len(p)
+        return ids[::-1]
+
+    def learn(self, units: list[str]) -> list[int]:
+        first = len(self.size)
+        for u in units:
+            ids = self.merged(u)
+            self.start.append(len(self.flat))
+            self.size.append(len(ids))
+            self.flat.extend(ids)
+        return list(range(first, len(self.size)))
+
+
 def _spans(data: np.ndarray, offs: np.ndarray):
     """Units of each text: start, end, row, and whether the mark before a text goes before it. A unit begins at a space that
-    follows another byte, at a text's begin, and at a line feed and the byte after one (no piece holds a line feed)."""
+    follows another byte (but not a mark), at a text's begin, and at a line feed and the byte after one (no piece holds a line feed)."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
@@ -167,7 +210,9 @@ def _spans(data: np.ndarray, offs: np.ndarray):
     space, feed = data == 0x20, data == 0x0A
     begins = offs[:-1][offs[:-1] < offs[1:]]
     cut = feed.copy()
-    cut[1:] |= space[1:] & ~space[:-1] | feed[:-1]
+    blank = space.copy()  # a mark in a text is as good as a space
+    blank[2:] |= (data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81)
+    cut[1:] |= space[1:] & ~blank[:-1] | feed[:-1]
     cut[begins] = True
     starts = np.flatnonzero(cut)
     ends = np.append(starts[1:], n)
@@ -185,11 +230,20 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
+_MERGES: dict[str, Merges] = {}
+
+
+def merges(path: str) -> Merges:
+    if path not in _MERGES:
+        _MERGES[path] = Merges(path)
+    return _MERGES[path]
+
+
 def encode(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """doc_id and ids of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
+        p = merges(model)
         for b in common.slices(batches):
             ids, n = p.encode(*common.bytes_of(b.column(1)))
             yield pa.record_batch({"doc_id": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.astype(np.int32)))})
@@ -212,7 +266,7 @@ def digest(docs: DataFrame, model: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_crc32, round_trip of every whole text, encoded and decoded in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = pieces(model)
+        p = merges(model)
         for b in common.slices(batches):
             ids, n = p.encode(*common.bytes_of(b.column(1)))
             ends = np.cumsum(n)
