@@ -9,6 +9,9 @@ the block) as integers; `docs`, `sizes` (little-endian 64- and 32-bit), `control
 begins at a control byte. Spark's committer writes the parts, so lost executors and retries leave no half files; shards
 and blocks are in ascending order of document id. `ranks` beside it maps ranks back to ids.
 
+Ids are counted and checked where they are made, and ranked and coded after the exchange, a slice of documents at once, so
+Python sees each id once on the way in and once on the way out.
+
 Null text is empty (its ids are the end id alone). A null doc_id sorts first. Repeated rows are kept, tied ids ordered
 by checksum; an empty table gives empty files.
 """
@@ -35,15 +38,31 @@ LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 TOTAL = LENGTHS.sum(1)
 
 
+def pack_all(ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(control, data, control bytes of each document, data bytes of each) of documents of `sizes` ids laid one after another; the
+    spare slots of a document's last control byte are zero."""
+    r = ranks.astype(np.uint32, copy=False)
+    size = np.ones(len(r), np.uint8)
+    for k in (8, 16, 24):
+        size += r >> np.uint32(k) != 0
+    groups = -(-sizes // 4)
+    code = np.zeros(4 * int(groups.sum()), np.uint8)
+    code[common.ranges(4 * (np.cumsum(groups) - groups), sizes)] = size - 1
+    control = code[0::4] | code[1::4] << 2 | code[2::4] << 4 | code[3::4] << 6
+    ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+    at = ends[:-1]
+    data = np.empty(int(ends[-1]), np.uint8)
+    data[at] = r  # the lowest byte
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(size > k)
+        data[at[longer] + k] = r[longer] >> np.uint32(8 * k)
+    return control, data, groups, np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])])
+
+
 def pack_ids(ranks: np.ndarray) -> tuple[bytes, bytes]:
-    """(control, data) of one document's ranks; the last control byte's spare slots are zero."""
-    r = ranks.astype(np.uint32)
-    size = 1 + (r > 0xFF) + (r > 0xFFFF).astype(np.int64) + (r > 0xFFFFFF)
-    code = np.zeros(-(-len(r) // 4) * 4, np.uint8)
-    code[: len(r)] = size - 1
-    control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
-    raw = r.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), raw[np.arange(4) < size[:, None]].tobytes()
+    """(control, data) of one document's ranks."""
+    control, data, _, _ = pack_all(ranks, np.array([len(ranks)]))
+    return control.tobytes(), data.tobytes()
 
 
 def unpack_ids(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
@@ -61,38 +80,60 @@ def unpack_ids(control: bytes, data: bytes, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def encode_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1, text: str = "text") -> DataFrame:
-    """doc_id and `ids` (little-endian 32-bit, or 16-bit where `width` is 2) of every whole text, the end id appended."""
+def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Rows of bytes that end at `ends` of `data`, without a copy per row."""
+    offs = np.concatenate([[0], ends])
+    wide = offs[-1] >= 1 << 31
+    made = (pa.LargeBinaryArray if wide else pa.BinaryArray).from_buffers(pa.large_binary() if wide else pa.binary(), len(ends), [None, pa.py_buffer(offs.astype(np.int64 if wide else np.int32)), pa.py_buffer(data)])
+    return made
+
+
+def encode_ids(docs: DataFrame, vocabulary: str, end_id: int | None = 1, text: str = "text", counted: bool = False, wide: bool = False) -> DataFrame:
+    """doc_id, n, crc (of the ids as little-endian 32-bit integers) and `ids` (little-endian 32-bit, or 16-bit where `width` is 2, never so if
+    `wide`) of every whole text, the end id appended. If `counted`, each task adds a last row, which alone has `counts`: how often it met each id."""
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        width = 2 if enc.library.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
-        for b in common.slices(batches, most=2_000_000):
-            ids, n = enc.encode(*common.bytes_of(b.column(1)))
-            ids = ids.astype(f"<u{width}")
+        width = 2 if not wide and enc.library.get_vocab_size() <= 1 << 16 and (end_id or 0) < 1 << 16 else 4
+        tail = int(end_id is not None)
+        total = np.zeros(max(enc.library.get_vocab_size(), (end_id or 0) + 1), np.int64)
+        schema = None
+        for b in common.slices(batches):
+            own, n = enc.encode(*common.bytes_of(b.column(1)))
+            n = n + tail
             ends = np.cumsum(n)
-            tail = b"" if end_id is None else np.array([end_id], f"<u{width}").tobytes()
-            rows = [ids[e - k : e].tobytes() + tail for e, k in zip(ends.tolist(), n.tolist())]
-            yield pa.record_batch({"doc_id": b.column(0), "width": pa.array([width] * len(rows), pa.int32()), "ids": pa.array(rows, pa.binary())})
-
-    return common.texts(docs, text=text).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, width int, ids binary")
+            ids = np.full(int(n.sum()), end_id or 0, "<u4")
+            ids[common.ranges(ends - n, n - tail)] = own
+            raw = memoryview(ids.tobytes())
+            sums = [zlib.crc32(raw[4 * (e - k) : 4 * e]) for e, k in zip(ends.tolist(), n.tolist())]
+            row = {"doc_id": b.column(0), "width": pa.array(np.full(len(n), width, np.int32)), "n": pa.array(n), "crc": pa.array(sums, pa.int64()), "ids": _binary(ids.astype(f"<u{width}").view(np.uint8), ends * width)}
+            if counted:
+                total += np.bincount(ids, minlength=len(total))
+                row["counts"] = pa.nulls(len(n), pa.binary())
+            out = pa.record_batch(row)
+            schema = out.schema
+            yield out
+        if counted and schema is not None:
+            yield pa.record_batch([pa.nulls(1, f.type) for f in schema][:-1] + [pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=schema)
+
+    return common.texts(docs, text=text).mapInArrow(run, f"doc_id {kind}, width int, n long, crc long, ids binary" + ", counts binary" * counted)
 
 
 def rank_table(encoded: DataFrame) -> np.ndarray:
-    """Ids by falling frequency over the whole corpus, ties to the smaller id. As many entries as ids occur: at most the vocabulary."""
+    """Ids by falling frequency over the whole corpus, ties to the smaller id, from the counts of encode_ids(). As many entries as ids
+    occur: at most the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
+        total = np.zeros(0, np.int64)
         for b in batches:
-            for w, ids in zip(b.column(0).to_pylist(), b.column(1)):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{w}"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
+            for x in b.column(0):
+                n = np.frombuffer(x.as_buffer(), "<i8")
+                total = n.copy() if not len(total) else total + n
         some = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(some, pa.int64()), "n": pa.array(total[some], pa.int64())})
 
-    got = encoded.select("width", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    got = encoded.where("counts is not null").select("counts").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r.id for r in sorted(got, key=lambda r: (-r.n, r.id))], np.uint32)
 
 
@@ -100,51 +141,46 @@ def write(docs: DataFrame, vocabulary: str, path: str, end_id: int | None = 1, t
     """Write the token files of `docs` under `path`; returns the block table as read back from there (with the ranks as `path`/ranks)."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    encoded = common.stored(encode_ids(docs, vocabulary, end_id, text))
+    encoded = common.stored(encode_ids(docs, vocabulary, end_id, text, counted=True))
     ids = rank_table(encoded)
     spark.createDataFrame([(int(k), int(i)) for k, i in enumerate(ids)], "rank long, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(int(ids.max(initial=0)) + 1, np.uint32)
     rank_of[ids] = np.arange(len(ids), dtype=np.uint32)
 
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            control, data, sizes, sums = [], [], [], []
-            for w, x in zip(b.column(1).to_pylist(), b.column(2)):
-                own = np.frombuffer(x.as_buffer(), f"<u{w}")
-                c, d = pack_ids(rank_of[own])
-                control.append(c)
-                data.append(d)
-                sizes.append(len(own))
-                sums.append(zlib.crc32(own.astype("<u4").tobytes()))
-            yield pa.record_batch({"doc_id": b.column(0), "n": pa.array(sizes, pa.int64()), "crc": pa.array(sums, pa.int64()), "control": pa.array(control, pa.binary()), "data": pa.array(data, pa.binary())})
-
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, number, first = TaskContext.get().partitionId(), 0, 0
-        held: list[list] = [[], [], [], []]
-        size = 0
+        docs, sizes, control, data, size = [], [], [], [], 0
 
         def flush():
-            row = {"shard": [shard], "block": [number], "first": [first], "n_ids": [sum(held[1])], "docs": [list(held[0])], "sizes": [np.array(held[1], "<u4").tobytes()], "control": [b"".join(held[2])], "data": [b"".join(held[3])]}
-            return pa.record_batch(row, schema=schema)
+            row = {"shard": [shard], "block": [number], "first": [first], "n_ids": [int(sum(s.sum() for s in sizes))], "docs": [pa.concat_arrays(docs)], "sizes": [np.concatenate(sizes).astype("<u4").tobytes()], "control": [b"".join(control)], "data": [b"".join(data)]}
+            return pa.record_batch([pa.array(row[f.name], f.type) if f.name != "docs" else pa.ListArray.from_arrays(pa.array([0, len(row["docs"][0])], pa.int32()), row["docs"][0]) for f in schema], schema=schema)
 
-        for b in batches:
+        for b in common.slices(batches, "ids"):
             schema = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("docs", pa.list_(b.column(0).type)), ("sizes", pa.binary()), ("control", pa.binary()), ("data", pa.binary())])
-            for d, n, c, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                for k, v in enumerate((d, n, c, x)):
-                    held[k].append(v)
-                size += len(c) + len(x) + 12
+            n = b.column(2).to_numpy()
+            raw, _ = common.bytes_of(b.column(3))
+            c, d, groups, lens = pack_all(rank_of[raw.view(f"<u{b.column(1)[0].as_py()}")], n)
+            cuts, c_ends, d_ends = (np.concatenate([[0], np.cumsum(x)]) for x in (groups + lens + 12, groups, lens))
+            lo = 0
+            while lo < len(n):  # up to the document that fills the block
+                hi = min(len(n), int(np.searchsorted(cuts, cuts[lo] + BLOCK_BYTES - size)))
+                docs.append(b.column(0).slice(lo, hi - lo))
+                sizes.append(n[lo:hi])
+                control.append(c[c_ends[lo] : c_ends[hi]].tobytes())
+                data.append(d[d_ends[lo] : d_ends[hi]].tobytes())
+                size += int(cuts[hi] - cuts[lo])
                 if size >= BLOCK_BYTES:
                     yield flush()
-                    number, first, size = number + 1, first + sum(held[1]), 0
-                    for h in held:
-                        h.clear()
-        if held[0]:
+                    number, first, size = number + 1, first + int(sum(s.sum() for s in sizes)), 0
+                    docs, sizes, control, data = [], [], [], []
+                lo = hi
+        if docs:
             yield flush()
 
-    ranked = encoded.mapInArrow(rank, f"doc_id {kind}, n long, crc long, control binary, data binary")
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = ranked.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "n")
-    ordered.select("doc_id", "n", "control", "data").mapInArrow(block, f"shard long, block long, first long, n_ids long, docs array<{kind}>, sizes binary, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
+    rows = encoded.where("counts is null").select("doc_id", "width", "n", "ids", "crc")
+    ordered = rows.repartitionByRange(parts, "doc_id", "crc").sortWithinPartitions("doc_id", "crc", "n").drop("crc")
+    ordered.mapInArrow(block, f"shard long, block long, first long, n_ids long, docs array<{kind}>, sizes binary, control binary, data binary").write.option("compression", "none").parquet(f"{path}/blocks")
     common.discard(encoded)
     return spark.read.parquet(f"{path}/blocks")
 
