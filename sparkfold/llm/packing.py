@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, vocabulary: str, most: int = 2048, end_id: int | Non
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        for b in common.slices(batches, most=2_000_000):
+        for b in common.slices(batches):
             ids, n = enc.encode(*common.bytes_of(b.column(1)))
             raw, at, rows = ids.astype("<u4").tobytes(), 0, []
             for d, k in zip(b.column(0).to_pylist(), n.tolist()):
@@ -132,42 +132,54 @@ def pack(found: DataFrame, most: int = 2048, slack: int = 16) -> tuple[DataFrame
     ranked = numbered(found)
     histogram = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `most` rows
     slots, sequences = plan(histogram, most, slack)
-    placed = {k: int((v[0] + v[1]).max()) for k, v in slots.items()}
+    # One sorted array of (length, first rank) finds the interval of any piece; interval 0 only stands before all others.
+    made = [np.concatenate([[0], *[slots[k][j] for k in sorted(slots)]]).astype(np.int64) for j in range(4)]
+    of_length = np.repeat([0, *sorted(slots)], [1, *[len(slots[k][0]) for k in sorted(slots)]]).astype(np.int64)
+    keys, (first, count, seq_of, at_of) = (of_length << 44) + made[0], made
+    placed, spare = np.zeros(most + 1, np.int64), np.zeros(most + 1, np.int64)
+    np.maximum.at(placed, of_length, first + count)
     # What is left over lies end to end by length, then rank, and is cut at `most`: its place is arithmetic on the rank.
-    spare_before, total = {}, 0
+    total = 0
     for n in sorted(histogram):
-        spare_before[n], total = total, total + n * (histogram[n] - placed.get(n, 0))
-    whole, ends = total // most, []
+        spare[n], total = total, total + n * (histogram[n] - int(placed[n]))
+    whole = total // most
+    ends = [whole * most]
     for bit in reversed(range(most.bit_length())):  # the end: sequences of power-of-two lengths
         if total % most >> bit & 1:
-            ends.append((ends[-1] if ends else whole * most) + (1 << bit))
+            ends.append(ends[-1] + (1 << bit))
+    edge = np.array(ends, np.int64)
     names = [c for c in found.columns if c not in ("part", "local")]
     extra = ["sequence_id", "offset", "of_length", "of_crc32"]
 
+    def loose_sequence(x: np.ndarray) -> np.ndarray:
+        return np.where(x < whole * most, x // most, whole + np.searchsorted(edge, x, "right") - 1)
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                n, rank = r["length"], r.pop("rank")
-                if rank < placed.get(n, 0):
-                    first, count, seq, at = slots[n]
-                    k = np.searchsorted(first, rank, "right") - 1
-                    rows.append(r | {"sequence_id": int(seq[k] + (rank - first[k])), "offset": int(at[k]), "of_length": None, "of_crc32": None})
-                    continue
-                x = lo = spare_before[n] + (rank - placed.get(n, 0)) * n
-                while x < lo + n:
-                    if x < whole * most:
-                        seq = x // most
-                        begin, end = seq * most, seq * most + most
-                    else:
-                        k = next(i for i, e in enumerate(ends) if x < e)
-                        seq, begin, end = whole + k, (ends[k - 1] if k else whole * most), ends[k]
-                    upto = min(lo + n, end)
-                    cut = upto - x < n
-                    rows.append(r | {"start": r["start"] + x - lo, "length": upto - x, "sequence_id": sequences + seq, "offset": x - begin, "of_length": n if cut else None, "of_crc32": r["ids_crc32"] if cut else None})
-                    x = upto
-            kinds = {c: b.schema.field(c).type for c in names} | {c: pa.int64() for c in extra}
-            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in kinds.items()], names=list(kinds))
+            n, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            packed, loose = np.flatnonzero(rank < placed[n]), np.flatnonzero(rank >= placed[n])
+            k = np.searchsorted(keys, (n[packed] << 44) + rank[packed], "right") - 1
+            lo = spare[n[loose]] + (rank[loose] - placed[n[loose]]) * n[loose]
+            hi = lo + n[loose]
+            begun = loose_sequence(lo)
+            parts = loose_sequence(hi - 1) - begun + 1
+            again = np.repeat(np.arange(len(loose)), parts)
+            s = begun[again] + common.ranges(np.zeros(len(parts), np.int64), parts)
+            tail = np.clip(s - whole, 0, len(edge) - 2) if len(edge) > 1 else np.zeros(len(s), np.int64)
+            opens = np.where(s < whole, s * most, edge[tail])
+            closes = np.where(s < whole, s * most + most, edge[np.minimum(tail + 1, len(edge) - 1)])
+            x, upto = np.maximum(lo[again], opens), np.minimum(hi[again], closes)
+            cut = upto - x < n[loose][again]
+            rows = np.concatenate([packed, loose[again]])
+            out = {c: b.column(b.schema.get_field_index(c)).take(pa.array(rows)) for c in names}
+            since = np.concatenate([np.zeros(len(packed), np.int64), x - lo[again]])
+            whole_piece = np.concatenate([np.ones(len(packed), bool), ~cut])
+            own = {
+                "start": out["start"].to_numpy() + since, "length": np.concatenate([n[packed], upto - x]), "sequence_id": np.concatenate([seq_of[k] + rank[packed] - first[k], sequences + s]),
+                "offset": np.concatenate([at_of[k], x - opens]),
+            }
+            out |= {c: pa.array(v, pa.int64()) for c, v in own.items()} | {"of_length": pa.array(n[rows], pa.int64(), mask=whole_piece), "of_crc32": pa.array(out["ids_crc32"].to_numpy(), pa.int64(), mask=whole_piece)}
+            yield pa.record_batch([out[c] for c in [*names, *extra]], names=[*names, *extra])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in found.dtypes if c in names)
     out = ranked.select(*names, "rank").mapInArrow(place, f"{schema}, " + ", ".join(f"{c} long" for c in extra))
@@ -193,10 +205,13 @@ def recut(docs: DataFrame, cut: DataFrame, vocabulary: str, most: int = 2048, en
 
 
 def sequences(docs: DataFrame, packed: DataFrame, vocabulary: str, end_id: int | None = 1, text: str = "text") -> DataFrame:
-    """sequence_id, length and `ids` of each packed sequence, joined from the pieces' documents."""
-    ids = encode_ids(docs, vocabulary, end_id, text)
-    part = F.expr("substring(ids, cast(start * width + 1 as int), cast(length * width as int))")
-    return packed.join(ids, "doc_id").select("sequence_id", "offset", "length", "width", part.alias("ids")).groupBy("sequence_id").agg(F.sum("length").alias("length"), F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")).select("sequence_id", "length", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids"))
+    """sequence_id, length and `ids` (little-endian 32-bit) of each packed sequence, joined from the pieces' documents. Null ids match null
+    ones; of documents that share an id, a piece is taken from one whose ids there have its checksum."""
+    ids = encode_ids(docs, vocabulary, end_id, text, wide=True).dropDuplicates(["doc_id", "n", "crc"]).select(F.col("doc_id").alias("own_id"), "n", "ids")
+    part = F.expr("substring(ids, cast(start * 4 + 1 as int), cast(length * 4 as int))")
+    found = packed.join(ids, F.expr("doc_id <=> own_id and doc_tokens = n")).select("sequence_id", "offset", "ids_crc32", part.alias("ids")).where("crc32(ids) = ids_crc32")
+    laid = found.groupBy("sequence_id").agg(F.sort_array(F.collect_set(F.struct("offset", "ids"))).alias("parts"))
+    return laid.select("sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids")).select("sequence_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("length"), "ids")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

@@ -131,6 +131,11 @@ def test_packing(docs, rows):
         assert at <= 64
         padding += 0 if at & (at - 1) == 0 else 64 - at
     assert padding <= 4 * len(by_sequence)
+    packed = whole.unionByName(packing.recut(docs, cut, WORDS, most=64))
+    laid = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(docs, packed, WORDS).collect()}
+    for s, parts in by_sequence.items():
+        assert len(laid[s]) == sum(r.length for r in parts)
+        assert all(zlib.crc32(laid[s][r.offset : r.offset + r.length].tobytes()) == r.ids_crc32 for r in parts)
 
 
 def test_packing_of_an_empty_table(empty):
