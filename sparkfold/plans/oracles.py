@@ -1,6 +1,6 @@
 """The same results in plain SQL, for comparison with another engine on the same tables."""
 
-from sparkfold.plans import catalog, synthetic
+from sparkfold.plans import catalog, scripts, synthetic
 
 #: Cleaning of a line: escapes out, white space at the end off, inner runs of blanks to one.
 _ANSI = "regexp_replace({x}, '\\x1b(\\[[^@-~]*[@-~]?|\\][^\\x07\\x1b]*(\\x07|\\x1b\\\\)?|(?s:.))?', '', 'g')"
@@ -96,7 +96,7 @@ _COVER = "CASE WHEN command IN ({}) THEN 'auto-wrap' WHEN {} THEN 'transparent-r
     ", ".join(f"'{c}'" for c in catalog.WRAPPER),
 )
 
-ORACLES = {
+ORACLES = {s.name: scripts.sql(s, True, False) for s in scripts.SCRIPTS} | {
     "generic_compact": f"WITH {_GENERIC} SELECT * FROM compact",
     "reduction_report": f"WITH {_REPORT} SELECT source, count(*) AS captures, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(displayed_bytes) AS BIGINT) AS displayed_bytes, CAST(sum(greatest(0, raw_bytes - displayed_bytes)) AS BIGINT) AS omitted_bytes, CAST(sum(greatest(0, raw_bytes - displayed_bytes)) * 100 // sum(raw_bytes) AS BIGINT) AS saved_percent FROM report GROUP BY source",
     "reduction_gate": f"WITH {_REPORT} SELECT doc_id, raw_bytes, displayed_bytes, (raw_bytes - displayed_bytes) * 100 >= raw_bytes * 10 AS passes FROM report",

@@ -3,13 +3,15 @@ them (synthetic.py)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import checks, generic, git, keep, listing, logs, shell, tables
-from sparkfold.plans import catalog, guards, synthetic, usage
+from sparkfold.operators import captured, checks, generic, git, keep, listing, logs, shell, tables
+from sparkfold.plans import catalog, guards, scripts, synthetic, usage
 from sparkfold.sources.tables import stream, table, views
 
 
@@ -223,7 +225,22 @@ def live_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("capture_id long, line_no long, change string").parquet(f"{out}/rows")
 
 
-QUERIES = {
+def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]:
+    """What is shown of the captures that a script prints: capture_id, line_no, line."""
+    module, _, name = script.form.partition(".")
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        printed = _capture(spark, sf_dir, scripts.sql(script, False, True))
+        if not name:
+            return captured.shown(captured.compact(L.render(printed).withColumnRenamed("body", script.stream), script.form))
+        out = getattr({"git": git, "shell": shell, "tables": tables, "keep": keep}[module], name)(printed)
+        order = Window.partitionBy("capture_id").orderBy("line_no")
+        return out.select("capture_id", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
+
+    return query
+
+
+QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
     f.__name__: f
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
