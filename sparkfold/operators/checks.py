@@ -11,7 +11,8 @@ from sparkfold.functions import text as T
 
 def tsc(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, ord, sub, line: three or more diagnostics of one code whose messages begin alike become one line with three places, then the message;
-    others stand as they are, by code in order of first sight. Lines of another shape and summaries follow."""
+    others stand as they are, by code in order of first sight. Lines of another shape and summaries follow. A capture with none of these has no
+    type errors, and says so."""
     t = table.withColumn("line", T.trim_ascii(T.strip_ansi(F.col("line")))).where("line <> ''")
     summary = F.startswith("line", F.lit("Found ")) & F.contains("line", F.lit("error"))
     at = F.instr("line", " - error TS")
@@ -20,26 +21,17 @@ def tsc(table: DataFrame, key: str = "capture_id") -> DataFrame:
     t = t.withColumn("code", F.regexp_extract("rest", r"^([^:]*):", 1)).withColumn("message", T.trim_ascii(F.regexp_replace("rest", r"^[^:]*:", "")))
     d = t.where("rest is not null")
     w = Window.partitionBy(key, "code")
-    d = d.withColumn("n", F.count("*").over(w)).withColumn("first", F.min("line_no").over(w)).withColumn("nth", F.row_number().over(w.orderBy("line_no"))).withColumn("alike", F.min(F.substring("message", 1, 40)).over(w) == F.max(F.substring("message", 1, 40)).over(w))
+    start = F.substring(F.encode("message", "UTF-8"), 1, 40)  # bytes, not characters
+    d = d.withColumn("n", F.count("*").over(w)).withColumn("first", F.min("line_no").over(w)).withColumn("nth", F.row_number().over(w.orderBy("line_no"))).withColumn("alike", F.min(start).over(w) == F.max(start).over(w))
     g = d.where("n >= 3 and alike").groupBy(key, "code", "n", "first").agg(F.sort_array(F.collect_list(F.when(F.col("nth") <= 3, F.struct("nth", "place")))).alias("p"), F.min(F.struct("line_no", "message")).alias("m"))
     label = F.concat("code", F.lit(" x"), F.col("n").cast("string"), F.lit(": "), F.array_join(F.transform("p", lambda x: x["place"]), ", "), F.when(F.col("n") > 3, F.concat(F.lit(", ... ("), (F.col("n") - 3).cast("string"), F.lit(" more)"))).otherwise(""))
     grouped = g.select(key, F.col("first").alias("ord"), F.explode(F.array(F.struct(F.lit(0).cast("long").alias("sub"), label.alias("line")), F.struct(F.lit(1).cast("long").alias("sub"), F.col("m.message").alias("line")))).alias("x")).select(key, "ord", "x.sub", "x.line").where("line <> ''")
     single = d.where("n < 3 or not alike").select(key, F.col("first").alias("ord"), F.col("line_no").cast("long").alias("sub"), F.concat("place", F.lit(" "), "rest").alias("line"))
     raw = t.where("rest is null and (summary or contains(line, 'error TS'))").select(key, (F.lit(1 << 40) + F.when(F.col("summary"), 1).otherwise(0)).cast("long").alias("ord"), F.col("line_no").cast("long").alias("sub"), "line")
-    return grouped.withColumn("ord", F.col("ord").cast("long")).unionByName(single.withColumn("ord", F.col("ord").cast("long"))).unionByName(raw)
-
-
-def kubectl_pods(table: DataFrame, ready: int = 20, status: int = 28, key: str = "capture_id") -> DataFrame:
-    """key, line: one line per capture: number of pods, their joint state, names, and what is not well. `ready`, `status`: columns of
-    the header's fields."""
-    field = lambda c: F.regexp_extract(F.substring("line", c + 1, 1 << 30), r"^[ \t]*([^ \t]*)", 1)
-    t = table.where("line <> ''").select(key, "line_no", F.regexp_extract("line", r"^[ \t]*([^ \t]*)", 1).alias("name"), field(ready).alias("ready"), field(status).alias("status"))
-    full = F.regexp_like("ready", F.lit(r"^(\d+)/\1$")) & ~F.startswith("ready", F.lit("0/"))
-    t = t.withColumn("well", (F.col("status") == "Running") & full)
-    g = t.groupBy(key).agg(F.count("*").alias("n"), F.count_if("well").alias("up"), F.sort_array(F.collect_list(F.struct("line_no", "name", "ready", "status", "well"))).alias("pods"))
-    g = g.withColumn("state", F.when(F.col("up") == 0, "n").when(F.col("up") == F.col("n"), "r").otherwise("m"))
-    one = F.transform("pods", lambda p: F.concat(F.lit(" "), p["name"], F.when(F.col("state") == "r", "").otherwise(F.concat(F.lit("("), p["ready"], F.when(p["well"], "").otherwise(F.concat(F.lit(","), p["status"])), F.lit(")")))))
-    return g.select(key, F.concat(F.lit("k"), F.col("n").cast("string"), "state", F.array_join(one, "")).alias("line"))
+    said = F.count_if(F.col("rest").isNotNull() | F.col("summary") | F.contains("line", F.lit("error TS")))
+    none = table.select(key).distinct().join(t.groupBy(key).agg(said.alias("said")).where("said > 0"), key, "left_anti")
+    clean = none.select(key, F.lit(0).cast("long").alias("ord"), F.lit(0).cast("long").alias("sub"), F.lit("no type errors").alias("line"))
+    return grouped.withColumn("ord", F.col("ord").cast("long")).unionByName(single.withColumn("ord", F.col("ord").cast("long"))).unionByName(raw).unionByName(clean)
 
 
 def gh_checks(table: DataFrame, key: str = "capture_id") -> DataFrame:

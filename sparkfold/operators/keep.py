@@ -6,6 +6,7 @@ pattern for what these cannot say.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,6 +25,8 @@ class Rule:
     pattern: str = ""
     trim: bool = False  # both ends, else only the right one
     nothing: str = ""  # said where nothing was kept of a body
+    begins: str = ""  # from the first line that has this on,
+    then: str = ""  # lines of this pattern stay too
 
 
 RULES = {
@@ -32,48 +35,49 @@ RULES = {
     "swift": Rule(
         has=("** BUILD FAILED **", "** BUILD SUCCEEDED **", "** TEST FAILED **", "** TEST SUCCEEDED **", "SwiftCompile", "CompileSwift", "Failing tests:", "Test Suite", "Executed "), has_any_case=("error:", "warning:"), nothing="ok",
     ),
-    "uv": Rule(starts=("Resolved ", "Prepared ", "Installed ", "Uninstalled ", "Audited ", "error:", "warning:", "+", "-")),
+    "uv": Rule(starts=("Resolved ", "Prepared ", "Installed ", "Uninstalled ", "Audited ", "error:", "warning:", "+", "-", "├──", "└──")),
     "dotnet": Rule(
         starts=("Restored ", "Failed ", "Expected:", "Actual:"), ends=(" Error(s)", " Warning(s)"), has=(" error CS", " warning CS", "Assert."),
         has_any_case=(": error ", ": warning ", "build failed", "build succeeded", "restore failed", "restore succeeded", "test run failed", "error message:", "stack trace:", "failed!", "passed!", "failed:", "passed:", "total tests:", "failed tests:", "format complete", "formatted code file", "would be formatted"),
         pattern=r"^\[xUnit\.net .*\[FAIL\]|^at .*\.cs:line ",
     ),
-    "plan": Rule(starts=("Plan: ", "No changes.", "Terraform will perform", "OpenTofu will perform", "+ resource ", "- resource ", "~ resource ", "-/+ resource "), pattern=r"^(?:│ )?(?:Error|Warning): |^# .* (?:will|must) be ", trim=True, nothing="plan ok"),
+    "plan": Rule(starts=("Plan: ", "No changes.", "Terraform will perform", "OpenTofu will perform", "+ resource ", "- resource ", "~ resource ", "-/+ resource "), pattern=r"^(?:│ )?(?:Error|Warning): |^# .* (?:will|must) be ", trim=True, nothing="plan ok",
+                 begins="will perform the following actions", then=r"# forces replacement|^(?:-/\+|~|\+|-) "),
 }
 
 
 def matters(line: Column, rule: Rule) -> Column:
-    core = T.trim_ascii(line)
-    out = F.lit(False)
-    for p in rule.starts:
-        out = out | F.startswith(core if rule.trim or rule.ends else line, F.lit(p))
-    for p in rule.ends:
-        out = out | F.endswith(core, F.lit(p))
-    for p in rule.has:
-        out = out | F.contains(core, F.lit(p))
-    low = F.lower(core)
-    for p in rule.has_any_case:
-        out = out | F.contains(low, F.lit(p))
-    if rule.pattern:
-        out = out | F.regexp_like(core, F.lit(rule.pattern))
-    return out & (core != "")
+    """One pattern for all words of the rule, as lambdas run without code generation and each predicate would trim and fold the line anew."""
+    any_of = lambda words: "(?:" + "|".join(map(re.escape, words)) + ")"
+    parts = [("^[ \t\n\f\r]*" if rule.trim or rule.ends else "^") + any_of(rule.starts)] if rule.starts else []
+    parts += [any_of(rule.ends) + "$"] if rule.ends else []
+    parts += [any_of(rule.has)] if rule.has else []
+    parts += [f"(?i:{any_of(rule.has_any_case)})"] if rule.has_any_case else []
+    out = F.regexp_like(line, F.lit("|".join(parts))) if parts else F.lit(False)
+    return out | F.regexp_like(T.trim_ascii(line), F.lit(rule.pattern)) if rule.pattern else out
 
 
 def keep(bodies: DataFrame, tool: str, key: str = "capture_id", body: str = "body") -> DataFrame:
     """key, body: the lines of each body that matter to `tool`, or its word for nothing."""
     rule = RULES[tool]
     clean = lambda x: T.trim_ascii(T.strip_ansi(x)) if rule.trim else F.rtrim(T.strip_ansi(x), F.lit(" \t\n\f\r"))
-    kept = F.filter(F.transform(F.split(F.col(body), "\n"), clean), lambda x: matters(x, rule))
-    text = F.when(F.size(kept) > 0, F.concat(F.array_join(kept, "\n"), F.lit("\n")))
+    rows = F.transform(F.split(F.col(body), "\n"), clean)
+    kept = F.filter(rows, lambda x: matters(x, rule))
+    if rule.begins:
+        at = F.array_position(F.transform(rows, lambda x: F.contains(x, F.lit(rule.begins))), True).cast("int")  # outside of lambdas: once for a body
+        head, rest = F.slice(rows, F.lit(1), at - 1), F.slice(rows, at, F.size(rows))
+        later = F.concat(F.filter(head, lambda x: matters(x, rule)), F.filter(rest, lambda x: matters(x, rule) | F.regexp_like(x, F.lit(rule.then))))
+        kept = F.when(at > 0, later).otherwise(kept)
+    text = F.nullif(F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit("\n"))), ""), F.lit(""))
     return bodies.select(key, F.coalesce(text, F.when(F.col(body) == "", "").otherwise(F.lit(f"{rule.nothing}\n" if rule.nothing else ""))).alias("body"))
 
 
 def buildkit(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, line: number of build steps done and the last image's name; a capture with a line of another shape, or without a step done, gives none."""
     t = table.where("line <> ''")
-    done = F.when(F.regexp_like("line", F.lit(r"^#\S+\s.*? ?DONE (?:.*)$|^#\S+.* DONE$")), F.regexp_extract("line", r"^(#\S+)", 1))
+    done = F.when(F.regexp_like("line", F.lit(r"^#\S*(?=\s).* DONE(?: .*)?$")), F.regexp_extract("line", r"^(#\S*)", 1))
     image = F.when(F.contains("line", F.lit("naming to ")), F.struct("line_no", F.regexp_replace(F.regexp_extract("line", r"naming to (.*)$", 1), " done$", "").alias("name")))
-    g = t.groupBy(key).agg(F.bool_and(F.startswith("line", F.lit("#"))).alias("ok"), F.countDistinct(done).alias("n"), F.max(image).alias("image")).where("ok and n > 0")
+    g = t.groupBy(key).agg(F.bool_and(F.regexp_like("line", F.lit(r"^#\S*\s"))).alias("ok"), F.countDistinct(done).alias("n"), F.max(image).alias("image")).where("ok and n > 0")
     return g.select(key, F.concat(F.lit("BuildKit: "), F.col("n").cast("string"), F.lit(" steps completed"), F.when(F.col("image").isNotNull(), F.concat(F.lit("\nimage: "), F.col("image.name"))).otherwise("")).alias("line"))
 
 

@@ -41,22 +41,6 @@ def find(table: DataFrame, noun: str = "entries", key: str = "capture_id") -> Da
     return head.unionByName(few.select(key, "parent", "ord", F.col("path").alias("line")))
 
 
-def du_rows(table: DataFrame, key: str = "capture_id") -> DataFrame:
-    """number, unit, bytes and path of each line of disk usage; null where a line is none."""
-    rule = r"^[ \t]*(\d+(?:\.\d*)?)([KMGTPEkmgtpe]?)[bB]?\t(.*?)[ \t\r]*$"
-    t = table.where("line <> ''").withColumn("number", F.regexp_extract("line", rule, 1)).withColumn("unit", F.upper(F.regexp_extract("line", rule, 2))).withColumn("path", F.regexp_extract("line", rule, 3))
-    return t.withColumn("bytes", F.when(F.col("number") != "", T.du_bytes(F.col("number"), F.col("unit"))))
-
-
-def du_top(table: DataFrame, key: str = "capture_id", top: int = 10) -> DataFrame:
-    """key, ord, line: the largest entries with rounded sizes, and the size and number of the rest."""
-    t = du_rows(table, key).withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("bytes"), "line_no")))
-    shown = t.where(F.col("ord") <= top).select(key, F.col("ord").cast("long").alias("ord"), F.concat(T.rounded_number(F.col("number")), "unit", F.lit("\t"), "path").alias("line"))
-    rest = t.where(F.col("ord") > top).groupBy(key).agg(F.sum("bytes").alias("b"), F.count("*").alias("n"))
-    rest = rest.select(key, F.lit(top + 1).cast("long").alias("ord"), F.concat(T.human_size(F.col("b")), F.lit("\t(+"), F.col("n").cast("string"), F.lit(")")).alias("line"))
-    return shown.unionByName(rest)
-
-
 def rg(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, line_no, line: `path:line:text` rows say the path once for each run of it."""
     t = table.withColumn("path", F.regexp_extract("line", r"^([^{ \t].*?):\d+:", 1))
@@ -73,13 +57,14 @@ def rg_files(table: DataFrame, key: str = "capture_id") -> DataFrame:
     return t.select(key, "line_no", line.alias("line"))
 
 
-def file_slice(table: DataFrame, key: str = "capture_id") -> DataFrame:
-    """key, line_no, line: the first four and last three lines of a text of more than eight."""
-    w = Window.partitionBy(key)
-    t = table.withColumn("n", F.count("*").over(w))
-    long, short = t.where("n > 8"), t.where("n <= 8").select(key, "line_no", "line")
-    notice = F.concat(F.lit("... "), F.col("dropped").cast("string"), F.lit(" lines omitted ..."))
-    return L.head_tail(long.drop("n"), 4, 3, notice, key).unionByName(short)
+def file_slice(bodies: DataFrame, key: str = "capture_id", body: str = "body") -> DataFrame:
+    """key, line_no, line: the first four and last three lines of a text of more than eight; texts with control characters stay whole. The line feed at the
+    end ends the last line. One projection per text."""
+    rows = F.split(F.regexp_replace(body, r"\n\z", ""), "\n")
+    notice = F.concat(F.lit("... "), (F.size(rows) - 7).cast("string"), F.lit(" lines omitted ..."))
+    long = (F.size(rows) > 8) & ~F.regexp_like(body, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"))
+    shown = F.when(long, F.concat(F.slice(rows, 1, 4), F.array(notice), F.slice(rows, -3, 3))).otherwise(rows)
+    return bodies.where(F.col(body) != "").select(key, F.posexplode(shown).alias("line_no", "line"))
 
 
 def env(table: DataFrame, name: str = "name", value: str = "value") -> DataFrame:

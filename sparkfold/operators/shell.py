@@ -11,13 +11,15 @@ from sparkfold.functions import text as T
 #: Quoted text, escapes and redirections are words; then come what ends a command, plain text, and a quote without its end.
 _TOKENS = r"""('[^']*'|"(?:\\[\s\S]|[^"\\])*"|\\[\s\S]|[<>]&|&>|&&|\|\||\|&|[;|&\n]|[^'"\;|&\n<>]+|[<>]|['"\\])"""
 _ENDS = ("&&", "||", "|&", ";", "|", "&", "\n")
+_MARK = "\x00\x01\x00"
 
 
 def chain(command: Column) -> Column:
     """The commands of a chain, quotes kept; null where a quote or an escape has no end."""
     tokens = F.regexp_extract_all(command, F.lit(_TOKENS), F.lit(1))
-    grown = lambda acc, t: F.when(t.isin(*_ENDS), F.concat(acc, F.array(F.lit("")))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(F.element_at(acc, -1), t))))
-    return F.when(~F.exists(tokens, lambda t: t.isin("'", '"', "\\")), F.aggregate(tokens, F.array(F.lit("")), grown))
+    # A mark that no command has stands for each end, so that one join and one split do, whatever the number of tokens.
+    marked = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(*_ENDS), _MARK).otherwise(t)), "")
+    return F.when(~F.exists(tokens, lambda t: t.isin("'", '"', "\\")), F.split(marked, _MARK))
 
 
 def git_add(table: DataFrame, key: str = "capture_id") -> DataFrame:
@@ -36,20 +38,3 @@ def worktrees(table: DataFrame, key: str = "capture_id") -> DataFrame:
     line = T.trim_ascii(F.col("line"))
     out = F.regexp_replace(line, r"^(.*?)[ \t]+([0-9A-Fa-f]{7,})[ \t]*(\[.*|)$", "$1 $2 $3")
     return table.select(key, "line_no", F.rtrim(out).alias("line")).where("line <> ''")
-
-
-def docker_ps(table: DataFrame, key: str = "capture_id") -> DataFrame:
-    """key, line: number of containers, their joint state, and their names, by the columns of the header line."""
-    header = F.first("line").over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    t = table.withColumn("header", header).where("line_no > 0 and line <> ''")
-    status, names = F.instr("header", "STATUS"), F.when(F.instr("header", "NAMES") > 0, F.instr("header", "NAMES")).otherwise(F.instr("header", "NAME"))
-    compose = (names == 1) & F.startswith("header", F.lit("NAME"))
-    up = F.startswith(F.ltrim(F.substring("line", F.greatest(status, F.lit(1)), F.length("line"))), F.lit("Up"))
-    first = F.regexp_extract("line", r"^[ \t]*(\S*)", 1)
-    image = F.regexp_extract("line", r"^[ \t]*\S+[ \t]+(\S+)", 1)
-    name = F.when(compose, F.concat(first, F.when(image != "", F.concat(F.lit("("), image, F.lit(")"))).otherwise(""))).when((names > 1) & (names <= F.length("line")), T.trim_ascii(F.substring("line", names, F.length("line")))).otherwise(F.regexp_extract("line", r"(\S*)[ \t]*$", 1))
-    t = t.withColumn("up", up).withColumn("name", name)
-    g = t.groupBy(key).agg(F.count("*").alias("n"), F.count_if("up").alias("u"), F.sort_array(F.collect_list(F.struct("line_no", "name"))).alias("names"))
-    state = F.when(F.col("u") == 0, "none").when(F.col("u") == F.col("n"), "up").otherwise("m")
-    shown = F.transform(F.filter("names", lambda x: x["name"] != ""), lambda x: F.concat(F.lit(" "), x["name"]))
-    return g.select(key, F.concat(F.lit("d"), F.col("n").cast("string"), state, F.array_join(shown, "")).alias("line"))

@@ -16,22 +16,6 @@ def _fields(table: DataFrame) -> DataFrame:
     return table.withColumn("f", F.filter(F.split("line", r"[ \t\n\f\r]+"), lambda x: x != "")).where(F.size("f") > 0)
 
 
-def docker_images(table: DataFrame, key: str = "capture_id", most: int = 8) -> DataFrame:
-    """key, line: number of images, the first ones as `repository:tag(size)`, how many have no name, how many more."""
-    header = F.first("line").over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    t = table.withColumn("header", header).where("line_no > 0 and line <> ''")
-    tag, image, size = F.instr("header", "TAG"), F.instr("header", "IMAGE ID"), F.instr("header", "SIZE")
-    t = t.withColumn("repo", T.trim_ascii(F.substring("line", F.lit(1), tag - 1))).withColumn("tag", T.trim_ascii(F.substring("line", tag, image - tag))).withColumn("size", T.trim_ascii(F.substring("line", size, F.length("line"))))
-    t = t.where((F.length("line") >= size) & (F.col("repo") != "") & (F.col("tag") != "") & (F.col("size") != ""))
-    none = (F.col("repo") == "<none>") | (F.col("tag") == "<none>")
-    t = t.withColumn("none", none).withColumn("i", F.row_number().over(Window.partitionBy(key, "none").orderBy("line_no")))
-    shown = F.when(~F.col("none") & (F.col("i") <= most), F.struct("line_no", F.concat(F.lit(" "), "repo", F.lit(":"), "tag", F.lit("("), "size", F.lit(")")).alias("s")))
-    g = t.groupBy(key).agg(F.count("*").alias("n"), F.count_if("none").alias("d"), F.sort_array(F.collect_list(shown)).alias("s"))
-    named = F.col("n") - F.col("d")
-    line = F.concat(F.lit("images "), F.col("n").cast("string"), F.lit(":"), F.array_join(F.transform("s", lambda x: x["s"]), ""), F.when(F.col("d") > 0, F.concat(F.lit(" dangling x"), F.col("d").cast("string"))).otherwise(""), F.when(named > most, F.concat(F.lit(" (+"), (named - most).cast("string"), F.lit(")"))).otherwise(""))
-    return g.select(key, line.alias("line"))
-
-
 def helm_list(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, line_no, line: name, namespace, revision, and the last three columns (status, chart, version)."""
     t = _fields(table.where("line_no > 0"))

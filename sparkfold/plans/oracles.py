@@ -123,15 +123,21 @@ UNION ALL SELECT capture_id, parent, CAST(i AS BIGINT), path FROM r WHERE n < 3"
 WITH s AS ({synthetic.DU}), p AS (SELECT capture_id, line_no, regexp_extract(line, '^(\\d+)', 1) AS num, regexp_extract(line, '^\\d+([KM]?)', 1) AS unit, split_part(line, chr(9), 2) AS path FROM s),
 b AS (SELECT *, CASE WHEN unit = 'M' THEN 10 * CAST(num AS BIGINT) * 104857 + 10 * CAST(num AS BIGINT) * 6 // 10 ELSE 10 * CAST(num AS BIGINT) * 102 + 10 * CAST(num AS BIGINT) * 4 // 10 END AS bytes FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY bytes DESC, line_no) AS i FROM b),
-z AS (SELECT capture_id, CAST(sum(bytes) AS BIGINT) AS t, count(*) AS n FROM r WHERE i > 10 GROUP BY capture_id)
-SELECT capture_id, CAST(i AS BIGINT) AS ord, concat(CASE WHEN length(num) <= 2 THEN num ELSE rpad(substr(num, 1, 2), CAST(length(num) AS INTEGER), '0') END, unit, chr(9), path) AS line FROM r WHERE i <= 10
-UNION ALL SELECT capture_id, 11, concat(CASE WHEN t >= 1099511627776 THEN concat(CAST(t // 109951162777 // 10 AS VARCHAR), '.', CAST(t // 109951162777 % 10 AS VARCHAR), 'T') WHEN t >= 1073741824 THEN concat(CAST(t // 107374182 // 10 AS VARCHAR), '.', CAST(t // 107374182 % 10 AS VARCHAR), 'G') WHEN t >= 1048576 THEN concat(CAST(t // 104857 // 10 AS VARCHAR), '.', CAST(t // 104857 % 10 AS VARCHAR), 'M') ELSE concat(CAST(t // 102 // 10 AS VARCHAR), '.', CAST(t // 102 % 10 AS VARCHAR), 'K') END, chr(9), '(+', CAST(n AS VARCHAR), ')') FROM z""",
+e AS (SELECT capture_id, min(path) AS lo, max(path) AS hi, count(*) AS c FROM r WHERE i <= 10 GROUP BY capture_id),
+f AS (SELECT capture_id, CASE WHEN c > 1 THEN regexp_extract(list_max(list_filter(list_transform(range(0, length(lo) + 1), lambda k: substr(lo, 1, k)), lambda x: starts_with(hi, x))), '^(.*/)', 1) ELSE '' END AS pre FROM e),
+g AS (SELECT capture_id, CASE WHEN length(pre) > 2 THEN pre ELSE '' END AS pre FROM f),
+z AS (SELECT capture_id, CAST(sum(bytes) AS BIGINT) AS t, count(*) AS n FROM r WHERE i > 10 GROUP BY capture_id),
+o AS (SELECT capture_id, 0 AS i, pre AS line FROM g WHERE pre <> ''
+  UNION ALL SELECT r.capture_id, i, concat(CASE WHEN length(num) <= 2 THEN num ELSE rpad(substr(num, 1, 2), CAST(length(num) AS INTEGER), '0') END, unit, chr(9), substr(path, length(pre) + 1)) FROM r JOIN g ON g.capture_id = r.capture_id WHERE i <= 10
+  UNION ALL SELECT capture_id, 11, concat(CASE WHEN t >= 1099511627776 THEN concat(CAST(t // 109951162777 // 10 AS VARCHAR), '.', CAST(t // 109951162777 % 10 AS VARCHAR), 'T') WHEN t >= 1073741824 THEN concat(CAST(t // 107374182 // 10 AS VARCHAR), '.', CAST(t // 107374182 % 10 AS VARCHAR), 'G') WHEN t >= 1048576 THEN concat(CAST(t // 104857 // 10 AS VARCHAR), '.', CAST(t // 104857 % 10 AS VARCHAR), 'M') ELSE concat(CAST(t // 102 // 10 AS VARCHAR), '.', CAST(t // 102 % 10 AS VARCHAR), 'K') END, chr(9), '(+', CAST(n AS VARCHAR), ')') FROM z)
+SELECT capture_id, CAST(row_number() OVER (PARTITION BY capture_id ORDER BY i) - 1 AS BIGINT) AS line_no, line FROM o""",
     "rg_matches": _PREFIX_LAG.format(source=synthetic.GREP, value="split_part(line, ':', 1)", where="true", out="CASE WHEN was = v THEN substr(line, length(v) + 1) ELSE line END"),
     "rg_files": _PREFIX_LAG.format(source=synthetic.FIND, value="regexp_extract(line, '^(.*/)', 1)", where="true", out="CASE WHEN was <> '' AND starts_with(line, was) AND length(line) > length(was) THEN concat(':', substr(line, length(was) + 1)) ELSE line END"),
-    "file_slice": f"""
-WITH l AS ({_LINES.format(where="")}), n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM l)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM n WHERE n <= 8 OR line_no < 4 OR line_no >= n - 3
-UNION ALL SELECT doc_id, 4, concat('... ', CAST(n - 7 AS VARCHAR), ' lines omitted ...') FROM n WHERE n > 8 AND line_no = 4""",
+    "file_slice": """
+WITH l AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no, len(l) > 8 AND NOT odd AS long, len(l) AS n FROM
+  (SELECT doc_id, string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10)) AS l, regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') AS odd FROM documents WHERE text <> ''))
+SELECT doc_id, CAST(CASE WHEN long AND line_no >= n - 3 THEN line_no - n + 8 ELSE line_no END AS INTEGER) AS line_no, line FROM l WHERE NOT long OR line_no < 4 OR line_no >= n - 3
+UNION ALL SELECT doc_id, 4, concat('... ', CAST(n - 7 AS VARCHAR), ' lines omitted ...') FROM l WHERE long AND line_no = 4""",
     "git_status_short": _PREFIX_LAG.format(source=synthetic.STATUS_SHORT, value="CASE WHEN starts_with(line, 'R') THEN '' ELSE regexp_extract(line, '^(.*/)', 1) END", where="true", out="CASE WHEN was <> '' AND was = v THEN concat(substr(line, 1, 3), substr(line, length(v) + 1)) ELSE line END"),
     "git_reflog": _PREFIX_LAG.format(source=synthetic.REFLOG, value="regexp_extract(line, '^([0-9a-f]{7}) [^ ]+@', 1)", where="true",
         out="CASE WHEN v = '' THEN line ELSE concat(CASE WHEN was = v THEN '~' ELSE v END, ' ', CASE WHEN contains(line, ' HEAD@') THEN '' ELSE 'main' END, '@', regexp_extract(line, '@\\{(\\d+)\\}', 1), ' ', regexp_extract(line, '\\}: (.*)$', 1)) END"),
@@ -147,12 +153,14 @@ g AS (SELECT capture_id, code, n, first, max(CASE WHEN nth = 1 THEN place END) A
 SELECT capture_id, CAST(first AS BIGINT) AS ord, CAST(0 AS BIGINT) AS sub, concat(code, ' x', CAST(n AS VARCHAR), ': ', a, ', ', b, ', ', c, CASE WHEN n > 3 THEN concat(', ... (', CAST(n - 3 AS VARCHAR), ' more)') ELSE '' END) AS line FROM g
 UNION ALL SELECT capture_id, first, 1, m FROM g
 UNION ALL SELECT capture_id, first, line_no, concat(place, ' ', rest) FROM w WHERE n < 3 OR NOT alike
-UNION ALL SELECT capture_id, 1099511627776, line_no, line FROM l WHERE NOT contains(line, ' - error TS')""",
+UNION ALL SELECT capture_id, 1099511627776, line_no, line FROM l WHERE NOT contains(line, ' - error TS') AND capture_id >= 0
+UNION ALL SELECT -1, 0, 0, 'no type errors'""",
     "kubectl_pods": f"""
-WITH s AS ({synthetic.KUBECTL}), f AS (SELECT capture_id, line_no, trim(substr(line, 1, 20)) AS name, substr(line, 21, 3) AS ready, split_part(trim(substr(line, 29)), ' ', 1) AS status FROM s),
+WITH s AS ({synthetic.KUBECTL}), f AS (SELECT capture_id, line_no, trim(substr(line, 1, 20)) AS name, substr(line, 21, 3) AS ready, split_part(trim(substr(line, 29)), ' ', 1) AS status FROM s WHERE line_no > 0),
 h AS (SELECT *, status = 'Running' AND ready = '1/1' AS well FROM f), g AS (SELECT capture_id, count(*) AS n, sum(CASE WHEN well THEN 1 ELSE 0 END) AS up FROM h GROUP BY capture_id)
-SELECT h.capture_id, concat('k', CAST(max(n) AS VARCHAR), CASE WHEN max(up) = 0 THEN 'n' WHEN max(up) = max(n) THEN 'r' ELSE 'm' END,
-  string_agg(concat(' ', name, CASE WHEN up = n THEN '' ELSE concat('(', ready, CASE WHEN well THEN '' ELSE concat(',', status) END, ')') END), '' ORDER BY line_no)) AS line FROM h JOIN g ON g.capture_id = h.capture_id GROUP BY h.capture_id""",
+SELECT h.capture_id, CAST(0 AS BIGINT) AS line_no, concat('k', CAST(max(n) AS VARCHAR), CASE WHEN max(up) = 0 THEN 'n' WHEN max(up) = max(n) THEN 'r' ELSE 'm' END,
+  string_agg(concat(' ', name, CASE WHEN up = n THEN '' ELSE concat('(', ready, CASE WHEN well THEN '' ELSE concat(',', status) END, ')') END), '' ORDER BY line_no)) AS line FROM h JOIN g ON g.capture_id = h.capture_id GROUP BY h.capture_id
+UNION ALL SELECT DISTINCT capture_id, 0, 'k0n' FROM s WHERE capture_id NOT IN (SELECT capture_id FROM g)""",
     "gh_checks": f"""
 WITH s AS ({synthetic.CHECKS}), t AS (SELECT *, split_part(line, chr(9), 2) AS state FROM s), bad AS (SELECT DISTINCT capture_id FROM t WHERE state = 'strange'), ok AS (SELECT * FROM t WHERE capture_id NOT IN (SELECT capture_id FROM bad)),
 c AS (SELECT capture_id, state, count(*) AS n, min(line_no) AS first FROM ok GROUP BY capture_id, state)
@@ -173,7 +181,7 @@ SELECT subcommand, count(*) AS n, CASE WHEN subcommand IN ({", ".join(f"'{c}'" f
     "plugin_routes": f"SELECT row_id, CASE WHEN command = 'git' THEN 'team' WHEN command = 'uv' THEN 'uv' ELSE 'tests' END AS plugin, CASE WHEN command = 'git' THEN 'project' ELSE 'user' END AS scope FROM ({synthetic.INVOCATIONS}) WHERE command IN ('git', 'uv', 'pytest')",
     "catalog_audit": "SELECT command, gap FROM (VALUES ('poetry', 'not catalogued'), ('npx', 'not catalogued')) AS t(command, gap)",
     "parity_check": """
-WITH d AS (SELECT doc_id AS case_id, substr(text, 1, 200) AS body FROM documents), x AS (SELECT * FROM d WHERE case_id % 10 <> 1), y AS (SELECT case_id, CASE WHEN case_id % 5 = 0 THEN replace(body, 'e', 'E') ELSE body END AS body FROM d WHERE case_id % 10 <> 2)
+WITH x AS (SELECT doc_id AS case_id, text AS body FROM documents), y AS (SELECT case_id, CASE WHEN case_id % 5 = 0 THEN replace(body, 'e', 'E') ELSE body END AS body FROM x)
 SELECT coalesce(x.case_id, y.case_id) AS case_id, CASE WHEN y.body IS NULL THEN 'only in baseline' WHEN x.body IS NULL THEN 'only in candidate' WHEN x.body = y.body THEN 'equal' ELSE 'differs' END AS verdict,
   CASE WHEN x.body <> y.body THEN CAST(strpos(x.body, 'e') AS BIGINT) END AS first_difference FROM x FULL OUTER JOIN y ON x.case_id = y.case_id""",
     "guard_fall_open": """
@@ -196,13 +204,15 @@ t AS (SELECT *, lag(status) OVER (PARTITION BY capture_id, job ORDER BY line_no)
 SELECT capture_id, line_no, concat(job, ': ', CASE WHEN was IS NULL THEN status ELSE concat(was, '->', status) END) AS change FROM t WHERE was IS NULL OR was <> status""",
     "docker_ps": """
 WITH s AS (SELECT s_nationkey AS k, s_suppkey AS i, (s_suppkey + s_nationkey) % 3 <> 0 AS up FROM supplier)
-SELECT k AS capture_id, concat('d', CAST(count(*) AS VARCHAR), CASE WHEN sum(CASE WHEN up THEN 1 ELSE 0 END) = 0 THEN 'none' WHEN bool_and(up) THEN 'up' ELSE 'm' END, string_agg(concat(' web-', CAST(i AS VARCHAR)), '' ORDER BY i)) AS line FROM s GROUP BY k""",
+SELECT k AS capture_id, CAST(0 AS BIGINT) AS line_no, concat('d', CAST(count(*) AS VARCHAR), CASE WHEN sum(CASE WHEN up THEN 1 ELSE 0 END) = 0 THEN 'none' WHEN bool_and(up) THEN 'up' ELSE 'm' END, string_agg(concat(' web-', CAST(i AS VARCHAR)), '' ORDER BY i)) AS line FROM s GROUP BY k
+UNION ALL SELECT n, 0, 'd0none' FROM (SELECT n_nationkey AS n FROM nation UNION ALL SELECT -1) WHERE n NOT IN (SELECT k FROM s)""",
     "shell_chains": """
 SELECT event_id, CAST(CASE event_id % 5 WHEN 0 THEN 3 WHEN 1 THEN 3 WHEN 3 THEN 2 WHEN 4 THEN 1 END AS BIGINT) AS n,
   CASE event_id % 5 WHEN 0 THEN concat('run ', event_type, '  /  echo "a;b"  /  cat') WHEN 1 THEN concat('run ', event_type, ' 2>&1 /  ls  / ') WHEN 3 THEN concat('run ', event_type, '  /  true') WHEN 4 THEN concat('run ', event_type) END AS parts FROM events""",
     "docker_images": """
 WITH s AS (SELECT s_nationkey AS k, s_suppkey AS i, s_suppkey % 5 = 0 AS bare, row_number() OVER (PARTITION BY s_nationkey, s_suppkey % 5 = 0 ORDER BY s_suppkey) AS r FROM supplier),
 g AS (SELECT k, count(*) AS n, sum(CASE WHEN bare THEN 1 ELSE 0 END) AS d, string_agg(CASE WHEN NOT bare AND r <= 8 THEN concat(' r', CAST(i AS VARCHAR), ':1.0(', CAST(i % 9 AS VARCHAR), 'MB)') END, '' ORDER BY i) AS s FROM s GROUP BY k)
-SELECT k AS capture_id, concat('images ', CAST(n AS VARCHAR), ':', s, CASE WHEN d > 0 THEN concat(' dangling x', CAST(d AS VARCHAR)) ELSE '' END, CASE WHEN n - d > 8 THEN concat(' (+', CAST(n - d - 8 AS VARCHAR), ')') ELSE '' END) AS line FROM g""",
-    "grid_rows": "SELECT r_regionkey AS capture_id, n AS line_no, concat(CAST(n AS VARCHAR), chr(9), r_name) AS line FROM region, (VALUES (CAST(1 AS BIGINT)), (3), (5)) AS t(n) WHERE r_regionkey <> 3",
+SELECT k AS capture_id, CAST(0 AS BIGINT) AS line_no, concat('images ', CAST(n AS VARCHAR), ':', s, CASE WHEN d > 0 THEN concat(' dangling x', CAST(d AS VARCHAR)) ELSE '' END, CASE WHEN n - d > 8 THEN concat(' (+', CAST(n - d - 8 AS VARCHAR), ')') ELSE '' END) AS line FROM g
+UNION ALL SELECT n, 0, 'images 0' FROM (SELECT n_nationkey AS n FROM nation UNION ALL SELECT -1) WHERE n NOT IN (SELECT k FROM s)""",
+    "grid_rows": "WITH x AS (SELECT *, row_number() OVER w - 1 AS i, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS lo, max(n_nationkey) OVER (PARTITION BY n_regionkey) AS hi FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) SELECT n_regionkey AS capture_id, CAST(i AS BIGINT) AS line_no, concat(CAST(n_nationkey AS VARCHAR), chr(9), n_name) AS line FROM x WHERE n_nationkey NOT IN (lo, hi) AND n_regionkey NOT IN (SELECT n_regionkey FROM x WHERE n_regionkey = 3 AND n_nationkey NOT IN (lo, hi) AND n_nationkey % 2 = 0) AND n_regionkey IN (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) >= 4)",
 }

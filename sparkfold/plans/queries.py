@@ -20,6 +20,11 @@ def _capture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def _compacted(spark: SparkSession, sf_dir: str, sql: str, form: str) -> DataFrame:
+    """capture_id, line_no, line of the captures' compact form."""
+    return captured.shown(captured.compact(L.render(_capture(spark, sf_dir, sql)).withColumnRenamed("body", "stdout"), form))
+
+
 def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "source")
 
@@ -89,7 +94,7 @@ def find_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def du_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.du_top(_capture(spark, sf_dir, synthetic.DU))
+    return _compacted(spark, sf_dir, synthetic.DU, "du")
 
 
 def rg_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,7 +106,7 @@ def rg_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return listing.file_slice(L.lines(_bodies(spark, sf_dir), "doc_id"), "doc_id")
+    return listing.file_slice(_bodies(spark, sf_dir), "doc_id")
 
 
 def git_status_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +122,11 @@ def git_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tsc_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.tsc(_capture(spark, sf_dir, synthetic.TSC_WHOLE))
+    return checks.tsc(_capture(spark, sf_dir, synthetic.TSC))
 
 
 def kubectl_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.kubectl_pods(_capture(spark, sf_dir, synthetic.KUBECTL))
+    return _compacted(spark, sf_dir, synthetic.KUBECTL, "kubectl_pods")
 
 
 def gh_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +187,7 @@ def guard_fall_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tool_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = L.render(_capture(spark, sf_dir, synthetic.TOOL_LINES_WHOLE))
+    bodies = L.render(_capture(spark, sf_dir, synthetic.TOOL_LINES))
     out = None
     for tool in keep.RULES:
         one = keep.keep(bodies, tool).select("capture_id", F.lit(tool).alias("tool"), "body")
@@ -195,7 +200,7 @@ def buildkit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docker_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shell.docker_ps(_capture(spark, sf_dir, synthetic.DOCKER_PS))
+    return _compacted(spark, sf_dir, synthetic.DOCKER_PS, "docker_ps")
 
 
 def shell_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +209,7 @@ def shell_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docker_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.docker_images(_capture(spark, sf_dir, synthetic.DOCKER_IMAGES))
+    return _compacted(spark, sf_dir, synthetic.DOCKER_IMAGES, "docker_images")
 
 
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

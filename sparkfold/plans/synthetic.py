@@ -25,7 +25,7 @@ SELECT p_size % 10 AS capture_id, CAST(row_number() OVER (PARTITION BY p_size %
 FROM part"""
 
 DU = """
-SELECT doc_id % 30 AS capture_id, CAST(row_number() OVER (PARTITION BY doc_id % 30 ORDER BY doc_id) - 1 AS BIGINT) AS line_no,
+SELECT CAST(floor(doc_id / 40) AS BIGINT) AS capture_id, CAST(row_number() OVER (PARTITION BY floor(doc_id / 40) ORDER BY doc_id) - 1 AS BIGINT) AS line_no,
        concat(cast(n_chars AS VARCHAR(20)), CASE WHEN doc_id % 3 = 0 THEN 'K' WHEN doc_id % 3 = 1 THEN '' ELSE 'M' END, chr(9), '/data/', source, '/', lang, cast(doc_id AS VARCHAR(20))) AS line
 FROM documents"""
 
@@ -44,17 +44,16 @@ SELECT s_suppkey % 5 AS capture_id, CAST(row_number() OVER (PARTITION BY s_suppk
        concat(CASE WHEN s_suppkey % 50 = 1 THEN '* ' ELSE '  ' END, CASE WHEN s_suppkey % 3 = 0 THEN 'remotes/origin/' ELSE '' END, 'b', cast((s_suppkey - s_suppkey % 3) AS VARCHAR(20)), CASE WHEN s_suppkey % 3 = 2 THEN 'x' ELSE '' END) AS line
 FROM supplier"""
 
-TSC_WHOLE = """
+TSC = """
 SELECT l_suppkey % 20 AS capture_id, CAST(row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS line_no,
        CASE WHEN l_orderkey % 97 = 0 THEN 'error TS18003 no inputs' WHEN l_orderkey % 89 = 0 THEN '' ELSE
        concat('src/f', cast(l_partkey AS VARCHAR(20)), '.ts:', cast(l_linenumber AS VARCHAR(9)), ':1 - error TS', cast((2000 + l_suppkey % 7 * 10 + l_linenumber) AS VARCHAR(9)), ': Cannot find name flag ', CASE WHEN l_linenumber = 2 THEN l_returnflag ELSE 'X' END, ' in this scope of the module') END AS line
-FROM lineitem"""
-
-#: A tenth of it, which the SQL of tsc_errors reads.
-TSC = TSC_WHOLE + " WHERE l_orderkey % 10 = 3"
+FROM lineitem
+UNION ALL SELECT -1, 0, 'Starting compilation' FROM region WHERE r_regionkey = 0"""
 
 KUBECTL = """
-SELECT s_nationkey AS capture_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS line_no,
+SELECT n_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, concat(rpad('NAME', 20, ' '), 'READY   STATUS    RESTARTS   AGE') AS line FROM (SELECT n_nationkey FROM nation UNION ALL SELECT -1) AS n
+UNION ALL SELECT s_nationkey AS capture_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS line_no,
        concat(rpad(concat('pod-', cast(s_suppkey AS VARCHAR(20))), 20, ' '), CASE WHEN s_suppkey % 7 = 0 THEN '0/1' ELSE '1/1' END, '     ', CASE WHEN s_suppkey % 11 = 0 THEN 'Pending' ELSE 'Running' END, '   0          5d') AS line
 FROM supplier"""
 
@@ -84,31 +83,30 @@ SELECT event_id AS row_id, concat('src', cast(user_id % 3 AS VARCHAR(9))) AS sou
        CASE event_type WHEN 'view' THEN (CASE event_id % 4 WHEN 0 THEN '-C|repo|status' WHEN 1 THEN 'log|-3' WHEN 2 THEN '--no-pager|bisect' ELSE '' END) WHEN 'click' THEN (CASE WHEN event_id % 3 = 0 THEN 'run|pytest|-q' ELSE '-q' END) ELSE 'build' END AS args
 FROM events"""
 
-TOOL_LINES_WHOLE = """
+TOOL_LINES = """
 SELECT l_suppkey % 25 AS capture_id, CAST(row_number() OVER (PARTITION BY l_suppkey % 25 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS line_no,
        CASE l_partkey % 12 WHEN 0 THEN 'Plan: 1 to add' WHEN 1 THEN '-- Configuring done' WHEN 2 THEN '[ 50%] Building' WHEN 3 THEN 'x.cs(1,2): error CS0103: gone' WHEN 4 THEN '    3 Warning(s)' WHEN 5 THEN 'Resolved 12 packages' WHEN 6 THEN '+ left==1'
          WHEN 7 THEN 'Executed 4 tests' WHEN 8 THEN '# a.b will be created' WHEN 9 THEN '1/2 Test #1: a .... 50%' WHEN 10 THEN '' ELSE concat('chatter ', CAST(l_linenumber AS VARCHAR(9))) END AS line
 FROM lineitem"""
 
-#: A tenth of it, which the SQL of tool_lines reads.
-TOOL_LINES = TOOL_LINES_WHOLE + " WHERE l_orderkey % 10 = 3"
-
 BUILDKIT = """
 SELECT s_nationkey AS capture_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS BIGINT) AS line_no,
        CASE WHEN s_nationkey = 5 THEN 'plain' WHEN s_suppkey % 4 = 0 THEN concat('#', CAST(s_suppkey % 8 AS VARCHAR(9)), ' DONE 0.1s') WHEN s_suppkey % 4 = 1 THEN concat('#9 naming to img', CAST(s_suppkey AS VARCHAR(9)), ' done') ELSE '#3 RUN x' END AS line
 FROM supplier"""
 
 DOCKER_PS = """
-SELECT s_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, 'CONTAINER ID   IMAGE   STATUS       NAMES' AS line FROM supplier GROUP BY s_nationkey
+SELECT n_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, 'CONTAINER ID   IMAGE   STATUS       NAMES' AS line FROM (SELECT n_nationkey FROM nation UNION ALL SELECT -1) AS n
 UNION ALL SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT), concat('abcdef012345   img     ', CASE WHEN (s_suppkey + s_nationkey) % 3 = 0 THEN 'Exited (0)   ' ELSE 'Up 2 hours   ' END, 'web-', CAST(s_suppkey AS VARCHAR(20))) FROM supplier"""
 
 CHAINS = """
 SELECT event_id, concat('run ', event_type, CASE event_id % 5 WHEN 0 THEN ' && echo "a;b" | cat' WHEN 1 THEN ' 2>&1; ls &' WHEN 2 THEN ' "open' WHEN 3 THEN ' || true' ELSE '' END) AS command FROM events"""
 
 DOCKER_IMAGES = """
-SELECT s_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, 'REPOSITORY   TAG      IMAGE ID   SIZE' AS line FROM supplier GROUP BY s_nationkey
+SELECT n_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, 'REPOSITORY   TAG      IMAGE ID   SIZE' AS line FROM (SELECT n_nationkey FROM nation UNION ALL SELECT -1) AS n
 UNION ALL SELECT s_nationkey, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT), concat(rpad(CASE WHEN s_suppkey % 5 = 0 THEN '<none>' ELSE concat('r', CAST(s_suppkey AS VARCHAR(20))) END, 13, ' '), '1.0      abcdef     ', CAST(s_suppkey % 9 AS VARCHAR(9)), 'MB') FROM supplier"""
 
 GRID = """
-SELECT r_regionkey AS capture_id, CAST(n AS BIGINT) AS line_no, CASE WHEN n % 2 = 0 THEN '+----+-------+' WHEN r_regionkey = 3 AND n = 5 THEN 'oops' ELSE concat('| ', CAST(n AS VARCHAR(9)), '  | ', r_name, ' |') END AS line
-FROM region JOIN (SELECT DISTINCT n_nationkey % 7 AS n FROM nation) ON n >= 0"""
+SELECT n_regionkey AS capture_id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS BIGINT) AS line_no,
+       CASE WHEN n_nationkey IN (SELECT min(n_nationkey) FROM nation GROUP BY n_regionkey) OR n_nationkey IN (SELECT max(n_nationkey) FROM nation GROUP BY n_regionkey) THEN '+----+-------+' WHEN n_regionkey = 3 AND n_nationkey % 2 = 0 THEN 'oops'
+            ELSE concat('| ', CAST(n_nationkey AS VARCHAR(9)), '  | ', n_name, ' |') END AS line
+FROM nation"""

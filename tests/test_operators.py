@@ -50,9 +50,11 @@ def test_listings(spark):
     assert _out(listing.find(_lines(spark, "d/a\nd/b\nd/c\nd/e\nd/f\ntop\n")), "parent", "ord") == ["top", "d/ (5 entries: a, b, c; 1 omitted; last: f; --raw for all)"]
     assert _out(listing.rg(_lines(spark, "a.rs:1:x\na.rs:2:y\nb.rs:3:z"))) == ["a.rs:1:x", ":2:y", "b.rs:3:z"]
     assert _out(listing.rg_files(_lines(spark, "s/a\ns/b\nt"))) == ["s/a", ":b", "t"]
-    du = listing.du_top(_lines(spark, "1.5M\t/x/a\n120\t/x/b\n7K\t/x/c"), top=2)
-    assert _out(du, "ord") == ["1.5M\t/x/a", "120\t/x/b", "7.0K\t(+1)"]
-    assert _out(listing.file_slice(_lines(spark, "\n".join(map(str, range(10)))))) == ["0", "1", "2", "3", "... 3 lines omitted ...", "7", "8", "9"]
+    whole = spark.createDataFrame([(0, "".join(f"{k}\n" for k in range(9))), (1, "\n".join(map(str, range(10)))), (2, "a\n\x01" * 9), (3, "a\nb\n"), (4, ""), (5, None)], "capture_id long, body string")
+    got = listing.file_slice(whole).orderBy("capture_id", "line_no").collect()
+    assert [r.line for r in got if r.capture_id == 0] == ["0", "1", "2", "3", "... 2 lines omitted ...", "6", "7", "8"]
+    assert [r.line for r in got if r.capture_id == 1] == ["0", "1", "2", "3", "... 3 lines omitted ...", "7", "8", "9"]
+    assert [sum(r.capture_id == k for r in got) for k in (2, 3, 4, 5)] == [10, 2, 0, 0]
 
 
 def test_checks(spark):

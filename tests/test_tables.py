@@ -10,9 +10,7 @@ def _out(df):
     return [r.line for r in df.orderBy("capture_id", *(["line_no"] if "line_no" in df.columns else [])).collect()]
 
 
-def test_images_and_releases(spark):
-    images = "REPOSITORY   TAG      IMAGE ID   CREATED   SIZE\nweb          1.0      aaa        now       5MB\n<none>       <none>   bbb        now       1MB\n"
-    assert _out(tables.docker_images(_lines(spark, images))) == ["images 2: web:1.0(5MB) dangling x1"]
+def test_releases(spark):
     assert _out(tables.helm_list(_lines(spark, "NAME\nweb prod 3 2024-01-01 10:00:00 +0000 UTC deployed web-1 2.0\n", "NAME\nshort row\n"))) == ["web prod r3 deployed web-1 2.0"]
     assert _out(tables.helm_history(_lines(spark, "REVISION\n1 Mon Jan superseded web-1 1.0 Install complete\n"))) == ["r1 superseded web-1 1.0 Install complete"]
     assert _out(tables.helm_status(_lines(spark, "NAME: web\nLAST DEPLOYED: now\nSTATUS: deployed\nNOTES:\nhello\n"))) == ["NAME: web", "STATUS: deployed", "NOTES:", "hello"]
