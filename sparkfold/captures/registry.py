@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from sparkfold.captures import builds, diagnostics, git, listings, packages, runners, services, tabular
+from sparkfold.captures import builds, diagnostics, generic, git, listings, packages, runners, services, tabular
 
 FACTS, LOSSY = "FactComplete", "PotentiallyLossy"
 
@@ -89,5 +89,6 @@ FORMS: dict[str, Form] = {
     "fold_prefixes": Form("data", _out(tabular.fold_prefixes)), "fold_blanks": Form("data", _out(tabular.fold_blanks)),
     "mypy": Form("diagnostics", _strict(diagnostics.mypy), FACTS, FACTS), "ruff": Form("diagnostics", _strict(diagnostics.ruff), FACTS, FACTS), "golangci_lint": Form("diagnostics", _strict(diagnostics.golangci, True), FACTS, FACTS),
     "rubocop": Form("diagnostics", _strict(diagnostics.rubocop), FACTS, FACTS), "lint": Form("diagnostics", _single(diagnostics.lint), FACTS, FACTS), "prettier": Form("diagnostics", _single(diagnostics.prettier), FACTS, FACTS),
+    "generic": Form("generic", _out(generic.compact)),
     "plan": Form("diagnostics", _single(diagnostics.plan), FACTS, FACTS),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfold.functions import text as T
+from sparkfold.operators import captured
+from sparkfold.plans import policy
 
 #: Bytes from which a body is not looked into.
 MOST = 16 * 1024 * 1024
@@ -80,3 +82,34 @@ def one_stream(captures: DataFrame) -> DataFrame:
     both = (F.col("stdout") != "") & (F.col("stderr") != "")
     side = F.when(both, None).when(F.col("stdout") != "", "stdout").otherwise("stderr")
     return captures.select("capture_id", side.alias("side"), F.when(side == "stdout", F.col("stdout")).when(side == "stderr", F.col("stderr")).alias("body"))
+
+
+#: Forms by what a body looks like: (form, pattern in its first line that is not empty, pattern anywhere), in order (fixed values).
+LOOKS = (
+    ("git_status", r"^(?:On branch |HEAD detached |\s*(?:interactive rebase in progress|You have unmerged paths|You are currently ))", ""), ("git_branch", r"^[* ] [^ ].*", ""), ("git_show", r"^commit [0-9a-fA-F]{40}(?:[ \t]|$)", r"(?m)^diff --git a/"), ("git_diff", r"^diff --git ", ""),
+    ("git_log", r"^commit [0-9a-fA-F]{40}(?:[ \t]|$)", ""), ("git_commit", r"^\[.* [0-9a-fA-F]{7}\]", ""), ("git_merge", r"^(?:Merge made by|Updating .*\.\.|Already up to date)", ""), ("git_blame", r"^\^?[0-9a-fA-F]{7,}\s*\(", ""),
+    ("cargo_test", "", r"test result:|(?m)^\s*running .* test"), ("jest", "", r"Test Suites:|Test Files|(?m)^Tests:"), ("js_test", "", r"(?m)^\s*\d+ (?:passing|failing)(?:$| \()|(?m)^\s*# tests "), ("go_test", "", r"=== RUN|--- (?:FAIL|PASS):|(?m)^(?:Benchmark|ok  \t|FAIL\t)|=== FUZZ"),
+    ("pytest", "", r"test session starts|(?:passed|failed) in |collected .* item"), ("docker_ps", r"^CONTAINER ID|^NAME.*IMAGE.*SERVICE.*STATUS", ""), ("kubectl_pods", r"^NAME.*READY.*STATUS", ""),
+    ("install", "", r"added (?s:.*)packages|up to date.*(?:audited|packages)|audited (?s:.*)packages|npm error|npm ERR!|npm WARN|Packages: [+-]|Already up to date| packages installed \[|success Saved |Package operations:|Lock file operations:|Nothing to install|Your requirements could not be resolved"),
+    ("tree_pipe", "", r"^(?![ \t]).*\n?(?:.*\n){0,5}?(?:[├└│]|(?:\|   |    )*(?:\|-- |`-- ))"), ("ls_long", r"^(?:total \d+$|[dlcbps-][rwxsStT-]{9})", ""), ("find_long", r"^\s*\d+\s+\d+\s+[dlcbps-][rwxsStT-]{9}", ""), ("du", r"^[ \t]*\d+(?:\.\d*)?[KMGTPEkmgtpe]?[bB]?\t.", ""),
+    ("curl_trace", r"^[*<>]", r"(?m)^> [A-Z]+ "),
+)
+
+
+def looks_like(body: Column) -> Column:
+    """The form that a body's content calls for; null for none, and for a body at the size limit."""
+    line = F.coalesce(first_line(body), F.lit(""))
+    out = F.when(F.octet_length(body) >= MOST, F.lit(None).cast("string"))
+    for form, first, anywhere in LOOKS:
+        rule = F.regexp_like(line, F.lit(first)) if first else F.lit(True)
+        out = out.when(rule & F.regexp_like(body, F.lit(anywhere)) if anywhere else rule, form)
+    return out.when(T.compactible(body), "generic")
+
+
+def registry(captures: DataFrame) -> DataFrame:
+    """What is shown of captures (capture_id, argv, stdout, stderr, exit_code, lossless): by the form of the command line; where there is none, by content if a shell
+    ran it, else by the generic form; then the guards. One pass, no shuffle."""
+    argv, out = F.col("argv"), F.col("stdout")
+    plain = F.when(T.compactible(out), "generic")
+    form = F.when(~F.col("lossless") & ~policy.passthrough(argv), F.coalesce(policy.form_of(argv), F.when(policy.in_shell(argv), looks_like(out)).otherwise(plain)))
+    return captured.compact(captures, form)

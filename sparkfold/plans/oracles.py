@@ -1,6 +1,6 @@
 """The same results in plain SQL, for comparison with another engine on the same tables."""
 
-from sparkfold.plans import catalog, scripts, synthetic
+from sparkfold.plans import catalog, examples, scripts, synthetic
 
 #: Cleaning of a line: escapes out, white space at the end off, inner runs of blanks to one.
 _ANSI = "regexp_replace({x}, '\\x1b(\\[[^@-~]*[@-~]?|\\][^\\x07\\x1b]*(\\x07|\\x1b\\\\)?|(?s:.))?', '', 'g')"
@@ -96,6 +96,27 @@ _COVER = "CASE WHEN command IN ({}) THEN 'auto-wrap' WHEN {} THEN 'transparent-r
     ", ".join(f"'{c}'" for c in catalog.WRAPPER),
 )
 
+
+
+def _literal(x) -> str:
+    return "CAST(NULL AS VARCHAR)" if x is None else str(x) if isinstance(x, (bool, int)) else "'" + x.replace("'", "''") + "'"
+
+
+def _dealt(rows: tuple, select: str, where: str = "true") -> str:
+    """The examples dealt to the orders; c0 is the command line, the others what is expected of it."""
+    values = ", ".join(f"({k}, {', '.join(map(_literal, r))})" for k, r in enumerate(rows))
+    names = ", ".join(f"c{k}" for k in range(len(rows[0])))
+    return f"SELECT o_orderkey, {select} FROM orders JOIN (VALUES {values}) AS v(i, {names}) ON v.i = o_orderkey % {len(rows)} WHERE {where}"
+
+
+_Q = "chr(39)"
+_QUOTED = f"array_to_string(list_transform(string_split(c0, ' '), lambda x: CASE WHEN regexp_full_match(x, '[A-Za-z0-9_./:=,+@%-]+') THEN x ELSE concat({_Q}, replace(x, {_Q}, concat({_Q}, chr(92), {_Q}, {_Q})), {_Q}) END), ' ')"
+_WRAPPED = f"CASE WHEN regexp_extract(string_split(c0, ' ')[1], '([^/]*)$', 1) IN ({', '.join(map(_literal, catalog.AUTO_WRAP))}) THEN 'short ' ELSE '' END"
+_FAMILY = {"git": "git", "cargo": "test-tools", "jest": "test-tools", "go": "test-tools", "ls": "listing", "tree": "listing", "composer": "package", "mypy": "diagnostics", "prettier": "diagnostics", "gh": "infra"}
+_CAPTURED = ", ".join(
+    f"('{s}', '{_FAMILY[s.split('_')[0]]}', {any(x.name == s and x.odd for x in scripts.SCRIPTS)}, {'--output' in line or '--jq' in line})" for s, line in examples.CAPTURED
+)
+
 ORACLES = {s.name: scripts.sql(s, True, False) for s in scripts.SCRIPTS} | {
     "generic_compact": f"WITH {_GENERIC} SELECT * FROM compact",
     "reduction_report": f"WITH {_REPORT} SELECT source, count(*) AS captures, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(displayed_bytes) AS BIGINT) AS displayed_bytes, CAST(sum(greatest(0, raw_bytes - displayed_bytes)) AS BIGINT) AS omitted_bytes, CAST(sum(greatest(0, raw_bytes - displayed_bytes)) * 100 // sum(raw_bytes) AS BIGINT) AS saved_percent FROM report GROUP BY source",
@@ -215,4 +236,20 @@ g AS (SELECT k, count(*) AS n, sum(CASE WHEN bare THEN 1 ELSE 0 END) AS d, strin
 SELECT k AS capture_id, CAST(0 AS BIGINT) AS line_no, concat('images ', CAST(n AS VARCHAR), ':', s, CASE WHEN d > 0 THEN concat(' dangling x', CAST(d AS VARCHAR)) ELSE '' END, CASE WHEN n - d > 8 THEN concat(' (+', CAST(n - d - 8 AS VARCHAR), ')') ELSE '' END) AS line FROM g
 UNION ALL SELECT n, 0, 'images 0' FROM (SELECT n_nationkey AS n FROM nation UNION ALL SELECT -1) WHERE n NOT IN (SELECT k FROM s)""",
     "grid_rows": "WITH x AS (SELECT *, row_number() OVER w - 1 AS i, min(n_nationkey) OVER (PARTITION BY n_regionkey) AS lo, max(n_nationkey) OVER (PARTITION BY n_regionkey) AS hi FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)) SELECT n_regionkey AS capture_id, CAST(i AS BIGINT) AS line_no, concat(CAST(n_nationkey AS VARCHAR), chr(9), n_name) AS line FROM x WHERE n_nationkey NOT IN (lo, hi) AND n_regionkey NOT IN (SELECT n_regionkey FROM x WHERE n_regionkey = 3 AND n_nationkey NOT IN (lo, hi) AND n_nationkey % 2 = 0) AND n_regionkey IN (SELECT n_regionkey FROM nation GROUP BY 1 HAVING count(*) >= 4)",
+    "command_policy": _dealt(examples.LINES, "c2 AS asked"),
+    "command_forms": _dealt(examples.LINES, "c1 AS form"),
+    "command_streams": _dealt(examples.LINES, "c3 AS decision"),
+    "runner_commands": _dealt(examples.RUNS, "c1 AS command, c2 AS chain"),
+    "command_words": _dealt(examples.TEXTS, "c1 AS words, c2 AS read_only"),
+    "command_programs": f"""SELECT o_orderkey, CAST(unnest(range(len(p))) AS BIGINT) AS ord, unnest(p) AS program FROM ({_dealt(examples.TEXTS, "string_split(c3, '/') AS p", "c3 IS NOT NULL")})""",
+    "command_rewrites": _dealt(examples.LINES, f"concat({_WRAPPED}, {_QUOTED}) AS rewritten"),
+    "session_commands": "SELECT event_id, concat('run ', event_type) AS command FROM events WHERE event_id % 4 < 3",
+    "plugin_forms": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 2 THEN 'ok' ELSE concat('order ', CAST(o_orderkey AS VARCHAR), ' of a long text') END AS out_stdout, CASE o_orderkey % 8 WHEN 0 THEN 'good' WHEN 1 THEN 'facts' END AS plugin_id, CASE o_orderkey % 8 WHEN 0 THEN 'PotentiallyLossy' WHEN 1 THEN 'FactComplete' ELSE 'ByteExact' END AS evidence FROM orders",
+    "plugin_dispositions": """
+WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS p, o_orderkey % 3 <> 0 AS matched FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'core-route' WHEN matched AND o_orderkey % 2 = 0 AND p = 2 THEN 'repo-unapproved' WHEN p = 3 THEN 'invalid-config' WHEN p = 4 THEN 'ambiguous' WHEN NOT matched THEN 'no-match'
+  WHEN o_orderkey % 13 = 0 THEN 'invalid-config' WHEN o_orderkey % 17 = 0 THEN 'untrusted' WHEN o_orderkey % 4 = 0 AND o_orderkey % 7 = 0 THEN 'integrity-mismatch' ELSE 'active' END AS disposition FROM k""",
+    "routed_captures": f"""
+WITH v(script, family, odd, blocked) AS (VALUES {_CAPTURED}), c AS (SELECT DISTINCT o_custkey AS k FROM orders)
+SELECT script, CASE WHEN blocked OR (odd AND k % 7 = 3) THEN 'passthrough' ELSE family END AS filter_name, count(*) AS captures FROM v CROSS JOIN c GROUP BY 1, 2""",
 }

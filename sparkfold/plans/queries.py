@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import captured, checks, generic, git, keep, listing, logs, shell, tables
-from sparkfold.plans import catalog, guards, scripts, synthetic, usage
+from sparkfold.operators import captured, checks, commands, generic, git, keep, listing, logs, shell, tables
+from sparkfold import plugins
+from sparkfold.plans import catalog, examples, guards, policy, scripts, synthetic, usage
 from sparkfold.sources.tables import stream, table, views
 
 
@@ -34,15 +35,13 @@ def generic_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _bodies(spark, sf_dir)
-    r = generic.report(raw, generic.rendered(generic.compact(raw, "doc_id"), "doc_id"), "doc_id").join(raw.select("doc_id", "source"), "doc_id")
-    g = r.groupBy("source").agg(F.count("*").alias("captures"), F.sum("raw_bytes").alias("raw_bytes"), F.sum("displayed_bytes").alias("displayed_bytes"), F.sum("omitted_bytes").alias("omitted_bytes"))
+    d = table(spark, sf_dir, "documents").select(F.struct("doc_id", "source").alias("capture_id"), F.col("text").alias("body"))
+    g = generic.report(d).groupBy(F.col("capture_id.source").alias("source")).agg(F.count("*").alias("captures"), *[F.sum(c).alias(c) for c in ("raw_bytes", "displayed_bytes", "omitted_bytes")])
     return g.withColumn("saved_percent", F.floor(F.col("omitted_bytes") * 100 / F.col("raw_bytes")).cast("long"))
 
 
 def reduction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _bodies(spark, sf_dir)
-    return usage.reduction_gate(generic.report(raw, generic.rendered(generic.compact(raw, "doc_id"), "doc_id"), "doc_id")).select("doc_id", "raw_bytes", "displayed_bytes", "passes")
+    return usage.reduction_gate(generic.report(_bodies(spark, sf_dir), "doc_id")).select("doc_id", "raw_bytes", "displayed_bytes", "passes")
 
 
 def pipe_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,10 +244,93 @@ def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]
     return query
 
 
+def _dealt(spark: SparkSession, sf_dir: str, rows: tuple) -> DataFrame:
+    """One of the examples (a handful of literals) for each order, by its key."""
+    texts = F.array(*[F.lit(r[0]) for r in rows])
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % len(rows)).cast("int")).alias("line")).withColumn("argv", F.split("line", " "))
+
+
+def command_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.col("argv")
+    asked = F.when(policy.asks(a, policy.QUERY), "query").when(policy.asks(a, policy.MACHINE), "machine").when(policy.asks(a, policy.EXACT), "exact").otherwise("")
+    return _dealt(spark, sf_dir, examples.LINES).select("o_orderkey", asked.alias("asked"))
+
+
+def command_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, examples.LINES).select("o_orderkey", policy.form_of(F.col("argv")).alias("form"))
+
+
+def command_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dealt(spark, sf_dir, examples.LINES).select("o_orderkey", policy.stream(F.col("argv")).alias("decision"))
+
+
+def runner_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = commands.unwrapped(_dealt(spark, sf_dir, examples.RUNS), "o_orderkey", "argv")
+    return found.select("o_orderkey", F.array_join("argv", " ").alias("command"), F.array_join("chain", " > ").alias("chain"))
+
+
+def command_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.words(_dealt(spark, sf_dir, examples.TEXTS), "o_orderkey", "line").select("o_orderkey", F.array_join("words", "/").alias("words"), "read_only")
+
+
+def command_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return commands.invocations(_dealt(spark, sf_dir, examples.TEXTS), "o_orderkey", "line").select("o_orderkey", "ord", "program")
+
+
+def command_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _dealt(spark, sf_dir, examples.LINES)
+    return d.select("o_orderkey", commands.rewritten(F.col("argv"), policy.base(F.get("argv", 0)).isin(*catalog.AUTO_WRAP), "short").alias("rewritten"))
+
+
+def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of session records that the rows of events stand for."""
+    e = table(spark, sf_dir, "events")
+    kind, said = F.col("event_id") % 4, F.concat(F.lit("run "), "event_type")
+    twice = F.concat(F.lit('{"items": [{"type": "tool_use", "name": "Bash", "input": {"command": "'), said, F.lit('"}}, {"type": "tool_use", "name": "Bash", "input": {"command": "'), said, F.lit('"}}, {"type": "tool_use", "name": "Read", "input": {"command": "no"}}]}'))
+    call = F.concat(F.lit('{"type": "function_call", "name": "functions.shell", "arguments": "{\\"cmd\\": \\"'), said, F.lit('\\"}"}'))
+    script = F.concat(F.lit('{"x": {"type": "custom_tool_call", "name": "exec", "input": "tools.exec_command({cmd: \''), said, F.lit("'})\"}}"))
+    rows = e.select("event_id", F.when(kind == 0, twice).when(kind == 1, call).when(kind == 2, script).otherwise(F.lit("no record")).alias("line"))
+    return commands.tool_calls(rows, "event_id", "line")
+
+
+def plugin_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plugins that keep the rules, break each of them, decline, or fail, over captures that the orders stand for."""
+    import base64
+
+    def made(text: str, evidence: str = "potentially-lossy", **more) -> dict:
+        return {"version": 1, "result": "transform", "evidence": evidence, "stdout_b64": base64.b64encode(text.encode()).decode(), "stderr_b64": ""} | more
+
+    registered = {
+        "good": lambda r: made("ok"), "facts": lambda r: made("ok", "fact-complete"), "long": lambda r: made("x" * 10_000), "more": lambda r: made("ok", extra=1), "odd": lambda r: made("ok", stdout_b64="Zh=="), "decline": lambda r: {"version": 1, "result": "decline"}, "fails": lambda r: 1 / 0,
+    }
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.array(F.lit("tool")).alias("argv"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of a long text")).alias("stdout"), F.lit("").alias("stderr"), (F.col("o_orderkey") % 2).cast("int").alias("exit_code"))
+    name = F.get(F.array(*[F.lit(n) for n in (*registered, "unknown")]), (F.col("o_orderkey") % (len(registered) + 1)).cast("int"))
+    return plugins.apply(o, registered, name, "o_orderkey").select("o_orderkey", "out_stdout", "plugin_id", "evidence")
+
+
+def plugin_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    project = F.get(F.array(*map(F.lit, ("absent", "approved", "unapproved", "invalid", "ambiguous"))), (k % 5).cast("int"))
+    why = plugins.disposition(k % 11 == 0, project, k % 3 != 0, F.when(k % 2 == 0, "project").otherwise("user"), F.when(k % 13 != 0, "p"), F.when(k % 17 != 0, "/p"), k % 4 == 0, F.lit("a"), F.when(k % 7 != 0, "a"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", why.alias("disposition"))
+
+
+def routed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of all scripts through the registry: by command line where there is one, else by content; the family that took each."""
+    out = None
+    for s, line in examples.CAPTURED:
+        script = next(x for x in scripts.SCRIPTS if x.name == s)
+        bodies = L.render(_capture(spark, sf_dir, scripts.sql(script, False, True)))
+        one = bodies.select(F.struct(F.lit(s).alias("script"), "capture_id").alias("capture_id"), F.split(F.lit(line), " ").alias("argv"), F.col("body").alias("stdout"), F.lit("").alias("stderr"), F.lit(0).alias("exit_code"), F.lit(False).alias("lossless"))
+        out = one if out is None else out.unionByName(one)
+    return guards.registry(out).groupBy(F.col("capture_id.script").alias("script"), "filter_name").agg(F.count("*").alias("captures"))
+
+
 QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
     f.__name__: f
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
         git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, docker_images, grid_rows, live_transitions,
+        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures,
     )
 }

@@ -7,9 +7,14 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sparkfold.captures import runners
+from sparkfold.captures.shape import plain
+from sparkfold.plans.policy import base
+
 _ANSI = re.compile(r"\x1b(?:\[[^@-~]*[@-~]?|\][^\x07\x1b]*(?:\x07|\x1b\\)?|[\s\S])?")
 _TIME = re.compile(r"^\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2}:\d{2})?[^ \t]*[ \t]*")
 #: A line of so many bytes, or more, turns a capture's stream into plain passage for good.
@@ -74,3 +79,100 @@ def transitions(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["capture_id", "line_no", "change"])
 
     return stream.groupBy("capture_id").applyInPandasWithState(step, "capture_id long, line_no long, change string", "known string", "append", GroupStateTimeout.NoTimeout)
+
+
+def kind(argv: Column) -> Column:
+    """Which live operator takes a followed command: tsc, jest, gh, logs, compose logs, or raw for logs whose metadata was asked for."""
+    command = base(F.get(argv, 0))
+    compose = (command == "docker-compose") | ((command == "docker") & (F.get(argv, 1) == "compose"))
+    kept = F.exists(argv, lambda x: F.regexp_like(x, F.lit(r"^(?:-t|(?:--timestamps|--details|--prefix|--no-log-prefix)(?:=.*)?)$")))
+    return F.when(command == "tsc", "tsc").when(command.isin("jest", "vitest"), "jest").when(command == "gh", "gh").when(kept, "raw").when(F.coalesce(compose, F.lit(False)), "compose").otherwise("logs")
+
+
+def _live(stream: DataFrame, fresh: dict, step, idle: int | None = None) -> DataFrame:
+    """capture_id, line_no, line of a function step(state, line_no, line, out), or step(state, None, None, out) when `idle` milliseconds went by; the
+    state is a dict of plain values."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = json.loads(state.get[0]) if state.exists else dict(fresh)
+        out: list[tuple] = []
+        if state.hasTimedOut:
+            step(own, None, None, out)
+        else:
+            for frame in frames:
+                part = frame.sort_values("line_no")
+                for no, line in zip(part["line_no"].tolist(), part["line"].tolist()):
+                    step(own, int(no), line or "", out)
+        state.update((json.dumps(own),))
+        if idle and own["frame"]:  # else a silent stream would be woken for ever
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame([(key[0], *o) for o in out], columns=["capture_id", "line_no", "line"])
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return stream.groupBy("capture_id").applyInPandasWithState(run, "capture_id long, line_no long, line string", "state string", "append", timeout)
+
+
+def _tsc_step(own: dict, no: int | None, line: str | None, out: list) -> None:
+    core = plain(line).strip(" \t\n\f\r")
+    if own["raw"] or (not core and own["detail"]):
+        out.append((no, line))
+    elif core.startswith("Found 0 errors"):
+        out += [(no, "clean (0 errors)")] * (not own["clean"])
+        own.update(clean=True, detail=False)
+    elif core.startswith("Found ") and "error" in core:
+        out.append((no, core))
+        own.update(clean=False, detail=False)
+    elif "error TS" in core:
+        m = re.match(r"(.*?) - error (TS[^:]*:.*)$", core)
+        out.append((no, f"{m[1]} {m[2]}" if m else core))
+        own.update(clean=False, detail=True)
+    elif core and own["detail"]:
+        out.append((no, line))
+    elif core and not re.search("Starting compilation in watch mode|File change detected. Starting incremental compilation", core):
+        own["raw"] = True
+        out.append((no, line))
+
+
+def type_check(stream: DataFrame) -> DataFrame:
+    """Diagnostics of a type checker that watches; that all is well comes once per change. A line of an unknown shape ends the shortening for good."""
+    return _live(stream, {"clean": False, "detail": False, "raw": False}, _tsc_step)
+
+
+#: A frame of so many bytes, or one that is none of a test runner, turns a stream into plain passage for good.
+FRAME = 512 * 1024
+
+
+def _frame_step(own: dict, no: int | None, line: str | None, out: list) -> None:
+    def flush() -> None:
+        text, own["frame"] = "".join(f"{x}\n" for x in own["frame"]), []
+        if not text:
+            return
+        if re.search(r"Test Suites:|Test Files|^Tests:", text, re.M):
+            shown = runners.jest(text)
+            out.extend((own["no"], x) for x in shown.removesuffix("\n").split("\n") if shown != own["last"])
+            own["last"] = shown
+        else:
+            out.extend((own["no"], x) for x in text.removesuffix("\n").split("\n"))
+            own.update(raw=True, last="")
+
+    if line is None:
+        flush()
+        return
+    clear = re.search(r"\x1b\[(?:2J|H)", line)
+    if clear and not own["raw"]:
+        flush()
+        line = line if own["raw"] else line[clear.start() :]
+    own["no"] = no
+    if own["raw"]:
+        out.append((no, line))
+    elif sum(len(x.encode()) + 1 for x in own["frame"]) + len(line.encode()) + 1 > FRAME:
+        out.extend((no, x) for x in [*own["frame"], line])
+        own.update(frame=[], last="", raw=True)
+    else:
+        own["frame"].append(line)
+
+
+def test_frames(stream: DataFrame, idle: int = 2000) -> DataFrame:
+    """Frames of a test runner that watches, each up to the next clearing of the screen or `idle` milliseconds of silence, where they differ from
+    the frame before."""
+    return _live(stream, {"frame": [], "last": "", "raw": False, "no": 0}, _frame_step, idle)
