@@ -5,17 +5,18 @@ after each, what the rest can still add is at most the product of the two remain
 candidates that cannot reach a query's k-th best score are dropped, the survivors compacted. The k-th best score known
 so far starts from exact scores of a few candidates and rises block by block.
 
-Queries go out in waves of about `wave` rows, so what is sent to the tasks is bounded; each wave passes over all
-candidates where they lie, and only k rows per query and task are exchanged.
+Queries go out in waves of about `wave` rows, one after another, so what is sent to the tasks is bounded and given back; each wave passes over all
+candidates where they lie, only k rows per query and task are exchanged, and its result is written before the next one begins.
 
-Components become floor(256 * x), x as double; scores are integer inner products (exact while they fit 53 bits, else
-taken in Python integers and returned modulo nothing: a score beyond 64 bits is an error). Vectors that are null or
+Components become floor(256 * x), x as double; scores are integer inner products: in doubles while all partial sums fit 53 bits, else, for that block and
+query length, in Python integers. Ranks go by the whole score; one beyond 64 bits is shown as the nearest 64-bit number. Vectors that are null or
 hold a null or non-finite component take no part; nor do vectors of another length than the query's, or null ids. A repeated id
 counts as one candidate per row, and as one query (its greatest vector). Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ STEP, BLOCK = 16, 4096
 
 def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best, by falling score, then id."""
+    if score.dtype == object:
+        return np.array(sorted(range(len(score)), key=lambda i: (-score[i], ids[i]))[:k], np.int64)
     if len(score) > 4 * k:
         cut = np.partition(score, len(score) - k)[len(score) - k]
         some = np.flatnonzero(score >= cut)
@@ -39,6 +42,17 @@ def _top(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -score))[:k]
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    """The same numbers as Python integers."""
+    return np.array([int(v) for v in x.ravel()], object).reshape(x.shape)
+
+
+def _sortable(x: int) -> str:
+    """A text that sorts as the number does, for numbers of up to 999 digits."""
+    digits = str(abs(x))
+    return f"1{len(digits):03}{digits}" if x >= 0 else f"0{999 - len(digits):03}" + digits.translate(str.maketrans("0123456789", "9876543210"))
+
+
 class Search:
     """Best candidates so far of each query, over blocks of candidates."""
 
@@ -49,7 +63,21 @@ class Search:
         self.rest = np.stack([np.sqrt(sq[:, s + STEP :].sum(1)) for s in self.steps], 1) if self.steps else np.zeros((len(ids), 0))
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
 
+    def add_large(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        """The same for blocks whose sums do not fit 53 bits: all scores in Python integers, query by query. From then on scores are such integers."""
+        v, q = _whole(vectors), _whole(self.q)
+        for j, own in enumerate(self.ids):
+            known, known_ids = self.best[j]
+            other = np.flatnonzero(ids != own)
+            score = np.array([sum(map(operator.mul, q[j], row)) for row in v[other]], object)
+            score, got = np.concatenate([_whole(known), score]), np.concatenate([known_ids, ids[other]])
+            top = _top(score, got, self.k)
+            self.best[j] = (score[top], got[top])
+
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if np.abs(vectors).max(initial=0) * np.abs(self.q).max(initial=0) * max(1, vectors.shape[1]) >= 2**53 or any(s.dtype == object for s, _ in self.best):
+            self.add_large(ids, vectors)
+            return
         v = np.ascontiguousarray(vectors.T, np.float64)  # dimension by dimension
         rest = np.stack([np.sqrt((v[s + STEP :] ** 2).sum(0)) for s in self.steps]) if self.steps else None
         first = self.q[:, :STEP] @ v[:STEP]
@@ -107,13 +135,12 @@ def search(vectors: DataFrame, is_query, k: int = 5, wave: int = 4096, id: str =
     asked = vectors.where(is_query).select(F.col(id).cast("long").alias("vec_id"), F.col(vector).alias("v")).where("vec_id is not null and v is not null")
     # Of a repeated id, the greatest usable vector.
     usable = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    asked = asked.where(usable).groupBy("vec_id").agg(F.max("v").alias("v"))
+    asked = common.stored(asked.where(usable).groupBy("vec_id").agg(F.max("v").alias("v")))
     waves = max(1, -(-asked.count() // wave))
-    parts = []
+    path, schema = common.scratch(spark), "query_id long, rank int, vec_id long, score long"
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("whole"), "vec_id")  # `whole` tells scores beyond 64 bits apart
     for w in range(waves):
         own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(waves)) == w).collect()  # about `wave` rows
-        if not own:
-            continue
         sets = {}
         for r in own:
             sets.setdefault(len(r.v), []).append(r)
@@ -127,21 +154,22 @@ def search(vectors: DataFrame, is_query, k: int = 5, wave: int = 4096, id: str =
                     for ids, v in _by_length(b.slice(lo, BLOCK)):
                         f = finders.get(v.shape[1])
                         if f is not None:
-                            if np.abs(v).max(initial=0) * np.abs(f.q).max(initial=0) * max(1, v.shape[1]) >= 2**53:
-                                raise OverflowError("scores beyond 53 bits are not exact in doubles")
                             f.add(ids, v)
             for f in finders.values():
                 n = [len(s) for s, _ in f.best]
-                yield pa.record_batch({"query_id": pa.array(np.repeat(f.ids, n)), "vec_id": pa.array(np.concatenate([i for _, i in f.best])), "score": pa.array(np.concatenate([s for s, _ in f.best]).astype(np.int64))})
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                flat = [x for s, _ in f.best for x in s.tolist()]
+                large = [x if isinstance(x, int) else None for x in flat]
+                yield pa.record_batch({
+                    "query_id": pa.array(np.repeat(f.ids, n)), "vec_id": pa.array(np.concatenate([i for _, i in f.best])), "score": pa.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in flat], pa.int64()),
+                    "whole": pa.array([None if x is None else _sortable(x) for x in large], pa.string()),
+                })
+
+        found = rows.mapInArrow(run, "query_id long, vec_id long, score long, whole string")
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        best.write.mode("append").parquet(path)  # one wave at a time, so that one set of queries is in the tasks' memory
+        sent.destroy()
+    common.discard(asked)
+    return spark.read.schema(schema).parquet(path)
 
 
 def op6_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -32,3 +32,17 @@ def test_search_against_all_pairs(spark):
 def test_search_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(df, F.col("vec_id") % 50 == 0).collect() == []
+
+
+def test_search_of_huge_components(spark):
+    rng = random.Random(2)
+    rows = [(k, [rng.choice([1e30, -3e29, 0.5, 7e18, 1e-3]) for _ in range(6)]) for k in range(60)] + [(60, [0.5] * 6), (61, [0.5] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    usable = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 50 == 0).collect()}
+    want = {}
+    for q, x in usable.items():
+        if q % 50 == 0:
+            for k, (s, i) in enumerate(sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in usable.items() if i != q)[:5]):
+                want[q, k + 1] = (i, min(max(-s, -(1 << 63)), (1 << 63) - 1))
+    assert got == want
