@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,9 +41,12 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder path under spark.checkpoint.dir; only where that is unset, under a local temporary folder."""
+    """A fresh folder path under spark.checkpoint.dir. Where that is unset, a temporary folder in local mode; on a cluster an error, as executors would
+    write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="sparkfold-")
         atexit.register(shutil.rmtree, base, True)
         spark.conf.set("spark.checkpoint.dir", f"file://{base}")
@@ -82,6 +86,27 @@ def texts(docs: DataFrame, *more: str, text: str = "text") -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *more)
 
 
+#: Text bytes of a training sample that go to the driver.
+SAMPLE_BYTES = 24_000_000
+
+
+def sample_texts(docs: DataFrame, ids: list, most_bytes: int = SAMPLE_BYTES, text: str = "text") -> list:
+    """doc_id and whole text of the rows with these ids, as many as `most_bytes` take, by a checksum of the id; of rows that share an id, the one with the
+    least text. `ids` are few (a bounded sample), and their lengths are read first, so no more than the bound is sent."""
+    if not ids:
+        return []
+    spark, kind = docs.sparkSession, dict(docs.dtypes)["doc_id"]
+    few = lambda some: F.broadcast(spark.createDataFrame([(i,) for i in some], f"doc_id {kind}"))
+    rows = texts(docs, text=text)
+    size = {r.doc_id: r.n for r in rows.join(few(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n")).collect()}
+    order = sorted(size, key=lambda i: (zlib.crc32(str(i).encode()), str(i)))
+    total = np.cumsum([size[i] for i in order])
+    kept = order[: int(np.searchsorted(total, most_bytes, "right"))]
+    if not kept:
+        return []
+    return sorted(rows.join(few(kept), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r.doc_id)
+
+
 def slices(batches: Iterator[pa.RecordBatch], col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about `most` bytes of text each, one row at least."""
     for b in batches:

@@ -7,8 +7,9 @@ words that lie in content lines decides whether it is kept (`least`, one half),
 The field is fitted by gradient ascent (forward-backward in numpy) on a bounded sample of labelled documents (`most`
 per class); every line of a document takes the document's quality label. Weights are a few dozen numbers.
 
-Null and empty texts have no words, so a base rule rejects them. Repeated rows are judged each. Without labels of both
-kinds, the field says content everywhere.
+Null and empty texts have no words, so a base rule rejects them. Repeated rows are judged each; of rows that share an id, training takes the least
+text, and the greater label. Of two equally good labels content wins. A text of one very long line, or of very many lines, is decoded whole. An empty
+table gives no rows, other columns play no part. Without labels of both kinds, the field says content everywhere.
 """
 
 from __future__ import annotations
@@ -187,7 +188,7 @@ def fit(doc: np.ndarray, features: np.ndarray, label: np.ndarray, weight: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500, text: str = "text") -> Field:
-    """Fit the field on at most `most` labelled documents of each quality, by the order of a hash of doc_id."""
+    """Fit the field on at most `most` labelled documents of each quality, by the order of a hash of doc_id, and at most common.SAMPLE_BYTES of text."""
     own = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     ids = {}
     for y in (0, 1):
@@ -196,9 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 1500, text: str = "tex
     flat = Field(np.zeros(len(FEATURES)), np.zeros((2, 2)), np.array([0.0, 1.0]))
     if len(set(ids.values())) < 2:
         return flat
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * most ids
-    rows = common.texts(docs, text=text).join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows = common.sample_texts(docs, list(ids), text=text)
+    if not rows:
+        return flat
     y = np.array([ids[r.doc_id] for r in rows], np.int64)
     doc, features, before = [], [], 0
     for part in common.slices(iter([pa.record_batch({"text": pa.array([r.text for r in rows], pa.large_string())})])):

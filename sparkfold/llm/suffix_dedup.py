@@ -4,7 +4,7 @@ Only suffixes at anchors are sorted: every window of `window` bytes has one (see
 anchors that the corpus holds once are left out, so the array is sparse but loses no repeat. An entry is the suffix at an
 anchor, cut to the window's length, followed by the bytes before the anchor in reverse. Each task sorts its entries into
 runs and writes them front-coded: how many bytes an entry shares with the one before, then the rest. Runs are exchanged by
-key range, with splitters from a bounded sample, and each range merges its runs in a loser tree that keeps, for every
+key range, with splitters from a sample of a few keys for each range, and each range merges its runs in a loser tree that keeps, for every
 run, the prefix its head is known to share with the last winner: heads with different known prefixes are ordered without
 looking at their bytes, and others are compared only behind it.
 
@@ -35,8 +35,8 @@ from sparkfold.llm.passages import corpus, repeated, sliding_min
 
 #: Bytes of an anchor's gram; entries of a run and of a written chunk of it; entries that a key range is meant to hold.
 GRAM, RUN, CHUNK, RANGE = 24, 100_000, 4096, 30_000
-#: Keys sampled for the splitters, whatever the corpus.
-SAMPLE = 20_000
+#: Keys sampled for the splitters: so many at least, and so many for each range.
+SAMPLE, PER_RANGE = 20_000, 4
 _U = np.uint64
 
 
@@ -235,12 +235,13 @@ def _runs(texts: DataFrame, window: int) -> tuple[DataFrame, int]:
 
 
 def _splitters(runs: DataFrame, ranges: int) -> np.ndarray:
-    """Range ends from at most about SAMPLE sampled keys."""
+    """Range ends from sampled keys, PER_RANGE for each range, so that a range holds about as many entries whatever the corpus."""
     total = (runs.agg(F.sum(F.octet_length("first"))).first()[0] or 0) // GRAM
     if ranges < 2 or not total:
         return np.zeros(0, f"S{GRAM}")
-    share = min(1.0, SAMPLE / total)
-    got = runs.select("first").where(F.rand(7) <= max(share, 1e-9)).limit(SAMPLE).collect() if share < 1 else runs.select("first").collect()
+    wanted = max(SAMPLE, PER_RANGE * ranges)
+    share = min(1.0, wanted / total)
+    got = runs.select("first").where(F.rand(7) <= max(share, 1e-9)).limit(wanted).collect() if share < 1 else runs.select("first").collect()
     keys = np.sort(np.concatenate([np.frombuffer(r.first, f"S{GRAM}") for r in got])) if got else np.zeros(0, f"S{GRAM}")
     return np.unique(keys[(np.arange(1, ranges) * len(keys)) // ranges]) if len(keys) else keys
 

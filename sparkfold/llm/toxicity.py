@@ -3,11 +3,14 @@
 A word is a run of letters and digits, lower-cased; its vector is the mean of the vectors of its whole form and of its
 character n-grams, so an unseen misspelling shares most of the vectors of the word it comes from. A document's vector
 is the mean over its words, and a softmax over two classes gives the score. Vectors and softmax are fitted together by
-Adam on cross-entropy over a bounded sample of labelled rows (`most` per class, weighted back to their shares).
+Adam on cross-entropy over a bounded sample of labelled rows (`most` per class and common.SAMPLE_BYTES of text in all, whole texts,
+weighted back to their shares).
 
 Scoring needs one number per vector, its product with the softmax weights, so what is sent to the tasks is `buckets`
 floats whatever the corpus. Every whole text is scored; an empty or null one gets the score of a zero vector.
-Documents without a label are scored alike; rows whose doc_id is null count as not held out.
+Documents without a label are scored alike; rows whose doc_id is null count as not held out. Repeated rows are scored each; of rows that share
+an id, training takes the least text, and the greater label. An empty table gives no rows; only doc_id and text are read, whatever other columns
+there are. A sample of one class, or of none, gives all documents one score.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.nda
         found.append(common.mix((sums[p + n] - sums[p]) * down[p] + np.uint64(n)))
     owner_all, found_all = np.concatenate(owner), np.concatenate(found)
     order = np.argsort(owner_all, kind="stable")
-    return (found_all[order] % np.uint64(buckets)).astype(np.int64), np.bincount(owner_all, minlength=len(starts))
+    return (found_all[order] % np.uint64(buckets)).astype(np.int32), np.bincount(owner_all, minlength=len(starts))
 
 
 class _Bags:
@@ -65,10 +68,10 @@ class _Bags:
     def __init__(self, data: np.ndarray, offs: np.ndarray, buckets: int):
         starts, ends, row, h = common.words_of(data, offs, lower=True, space=_BREAK)
         self.n = len(offs) - 1
-        u, first, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.row = row
+        u, first, word = np.unique(h, return_index=True, return_inverse=True)
+        self.word, self.row = word.astype(np.int32), row.astype(np.int32)  # half the room: all batches of a sample are held at once
         self.length = np.bincount(row, minlength=self.n) + NEUTRAL
-        self.gram, self.grams = _grams(data, starts[first], ends[first], u, buckets) if len(u) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.gram, self.grams = _grams(data, starts[first], ends[first], u, buckets) if len(u) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         self.gram_at = np.cumsum(self.grams) - self.grams
 
 
@@ -91,7 +94,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int
         bags.append((_Bags(*common.bytes_of(col), buckets), labels[own], weights[own]))
     seen = np.zeros((2, buckets))  # documents of each class that hold each vector
     for x, y, _ in bags:
-        pair = np.unique(x.row * max(1, len(x.grams)) + x.word)
+        pair = np.unique(x.row.astype(np.int64) * max(1, len(x.grams)) + x.word)
         r, word = pair // max(1, len(x.grams)), pair % max(1, len(x.grams))
         n = x.grams[word]
         own = np.unique(np.repeat(r, n) * buckets + x.gram[common.ranges(x.gram_at[word], n)])
@@ -114,7 +117,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, buckets: int
             if not len(x.gram):
                 continue
             step += 1
-            key = x.row * len(x.grams) + x.word
+            key = x.row.astype(np.int64) * len(x.grams) + x.word
             pair, n = np.unique(key, return_counts=True)
             r, word = pair // len(x.grams), pair % len(x.grams)
             share = (n / x.length[r]).astype(np.float32)[:, None] * scale
@@ -166,7 +169,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int, text: str = "text") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and weights of at most `most` training rows of each class, by the order of a hash of doc_id."""
+    """Texts, labels and weights of at most `most` training rows of each class, by the order of a hash of doc_id, and of at most common.SAMPLE_BYTES."""
     own = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     shares = {r.toxic: r.n for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     ids = {}
@@ -175,10 +178,7 @@ def sample(docs: DataFrame, labels: DataFrame, most: int, text: str = "text") ->
             ids[r.doc_id] = y
     if not ids:
         return [], np.zeros(0, np.int64), np.zeros(0)
-    spark = docs.sparkSession
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long"))  # at most 2 * most ids
-    rows = common.texts(docs, text=text).join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows = common.sample_texts(docs, list(ids), text=text)
     y = np.array([ids[r.doc_id] for r in rows], np.int64)
     weight = np.array([shares[k] / max(1, (y == k).sum()) for k in y.tolist()], np.float64)
     return [r.text for r in rows], y, weight

@@ -109,3 +109,57 @@ def test_scores(spark, docs, rows, empty):
     assert toxicity.score_documents(empty, m).collect() == []
     none = toxicity.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert toxicity.score_documents(docs, none).count() == len(rows)
+
+
+def test_held_out_rows_teach_nothing(spark):
+    """held_out is the checksum's, and labels of held-out rows change no score; labels of others do."""
+    import zlib
+
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join(rng.choice(words, 40)) + (" slur" if k % 3 == 0 else "")) for k in range(200)] + [(None, "slur"), (7, "another text"), (300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = lambda flip: spark.createDataFrame([(k, 1, int(k % 3 == 0) ^ int(flip(k))) for k in range(200)], "doc_id long, quality int, toxic int")
+    out = lambda k: zlib.crc32(str(k).encode()) % 4 == 2
+    scored = lambda flip: sorted((r.doc_id or -1, r.held_out, r.score) for r in toxicity.score_documents(docs, toxicity.train(docs, told(flip))).collect())
+    first = scored(lambda k: False)
+    assert all(h == (i >= 0 and out(i)) for i, h, _ in first) and len(first) == len(rows)
+    assert first == scored(out) and first != scored(lambda k: not out(k))
+    empty = [s for i, _, s in first if i in (300, 301)]
+    assert empty[0] == empty[1] and 0 <= empty[0] <= 1
+
+
+def test_scores_against_plain_python(spark):
+    """The score as a mean of means over words and their n-grams, one number at a time."""
+    rng = np.random.default_rng(6)
+    m = toxicity.Model(rng.normal(size=1 << 8).astype(np.float32), 0.3, 2.0)
+    text = "Some words, some MORE words; x"
+    one = lambda t: toxicity._Bags(*common.bytes_of(pa.array([t], pa.large_string())), 1 << 8)
+    words = re.findall("[a-z0-9]+", text.lower())
+    total = sum(float(np.mean([m.bucket[g].astype(np.float64) for g in one(w).gram])) for w in words)
+    z = m.bias + m.scale * total / (len(words) + toxicity.NEUTRAL)
+    assert abs(toxicity.score(m, *common.bytes_of(pa.array([text], pa.large_string())))[0] - 1 / (1 + np.exp(-z))) < 1e-9
+    assert len(one("word").gram) == 1 + sum(len("word") + 2 - n + 1 for n in (3, 4, 5))
+
+
+def test_mixed_documents_change_label_at_the_seam():
+    good = "A plain sentence of several words ends here.\nAnother one that reads well enough to keep.\nAnd a third of the same kind follows it.\n"
+    bad = "BUY!! NOW!! ***\nCHEAP!! SALE!!\na | b | c | d\n"
+    x = line_quality.describe(*common.bytes_of(pa.array([good, bad] * 4, pa.large_string())))
+    y = np.array([1, 0] * 4)
+    field = line_quality.fit(x.doc, x.features, y[x.doc], np.ones(8), 8)
+    mixed = line_quality.describe(*common.bytes_of(pa.array([good + bad, bad + good], pa.large_string())))
+    label = line_quality.viterbi(field, mixed.doc, mixed.features, 2)
+    assert label[mixed.doc == 0].tolist() == [1, 1, 1, 0, 0, 0] and label[mixed.doc == 1].tolist() == [0, 0, 0, 1, 1, 1]
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "x" * 100) for k in range(50)] + [(3, "a"), (None, "y")], "doc_id long, text string")
+    rows = common.sample_texts(docs, list(range(50)), most_bytes=1000)
+    assert len(rows) == 10 and all(r.text in ("x" * 100, "a") for r in rows)
+    assert {r.doc_id: r.text for r in common.sample_texts(docs, [3, 4])} == {3: "a", 4: "x" * 100} and common.sample_texts(docs, []) == [] and common.sample_texts(docs, [99]) == []
+
+
+def test_rules_on_an_empty_table(spark, empty):
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    assert line_quality.judge(empty, line_quality.train(empty, labels)).collect() == [] and toxicity.score_documents(empty, toxicity.train(empty, labels)).collect() == []
