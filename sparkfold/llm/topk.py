@@ -158,7 +158,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, wave: int = 4096, id: str =
             for f in finders.values():
                 n = [len(s) for s, _ in f.best]
                 flat = [x for s, _ in f.best for x in s.tolist()]
-                large = [x if isinstance(x, int) else None for x in flat]
+                large = [x if isinstance(x, int) and not -(1 << 63) < x < (1 << 63) - 1 else None for x in flat]
                 yield pa.record_batch({
                     "query_id": pa.array(np.repeat(f.ids, n)), "vec_id": pa.array(np.concatenate([i for _, i in f.best])), "score": pa.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in flat], pa.int64()),
                     "whole": pa.array([None if x is None else _sortable(x) for x in large], pa.string()),
