@@ -107,6 +107,12 @@ def sample_texts(docs: DataFrame, ids: list, most_bytes: int = SAMPLE_BYTES, tex
     return sorted(rows.join(few(kept), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r.doc_id)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that `df` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(c for c in (f"{n}{k or ''}" for k in range(len(taken) + 1)) if c.lower() not in taken) for n in names]
+
+
 def slices(batches: Iterator[pa.RecordBatch], col: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of the batches with about `most` bytes of text each, one row at least."""
     for b in batches:

@@ -16,7 +16,10 @@ Entries equal in full within a run collapse to the earliest at once, so passages
 are exchanged once per run. Copies of whole texts are set apart before (passages.py) and lose all their bytes.
 
 Null and empty texts have no bytes. Nothing is removed from rows without doc_id, nor because of them. Rows that share a
-doc_id but not a text are ordered by a hash of the text; equal rows are one document, its result repeated.
+doc_id but not a text are ordered by a hash of the text; equal rows are one document, its result repeated. doc_id is an integer. A very long text
+is one slice of its own; an empty table gives no rows; other columns, whatever their names, stay as they are.
+
+Copies of whole texts and entries that a run holds twice are exact classes already, by hash and by sort; the merge decides all others.
 """
 
 from __future__ import annotations
@@ -389,16 +392,17 @@ def cleaned(docs: DataFrame, window: int = 100) -> DataFrame:
     c = corpus(docs, {"n_bytes": F.octet_length("text").cast("long")})
     spans = common.stored(repeated_spans(c, window))
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_bytes") >= window)
-    change = c.rows.join(spans, ["doc_id", "h1"], "left").where(copy | F.col("spans").isNotNull()).select(F.col("doc_id").alias("_d"), F.col("h1").alias("_h"), copy.alias("_copy"), F.col("spans").alias("_spans")).dropDuplicates(["_d", "_h"])
+    d, h, whole_copy, cuts, own_hash = common.unused(docs, "_d", "_h", "_copy", "_spans", "_own")
+    change = c.rows.join(spans, ["doc_id", "h1"], "left").where(copy | F.col("spans").isNotNull()).select(F.col("doc_id").alias(d), F.col("h1").alias(h), copy.alias(whole_copy), F.col("spans").alias(cuts)).dropDuplicates([d, h])
     change = common.stored(change)
     c.drop()
-    joined = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit("")))).join(change, (F.col("doc_id") == F.col("_d")) & (F.col("_own") == F.col("_h")), "left").drop("_own", "_d", "_h")
+    joined = docs.withColumn(own_hash, F.xxhash64(F.coalesce("text", F.lit("")))).join(change, (F.col("doc_id") == F.col(d)) & (F.col(own_hash) == F.col(h)), "left").drop(own_hash, d, h)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in common.slices(batches):
             k = b.schema.get_field_index("text")
             out = []
-            for t, whole, s in zip(b.column(k).to_pylist(), b.column(b.schema.get_field_index("_copy")).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()):
+            for t, whole, s in zip(b.column(k).to_pylist(), b.column(b.schema.get_field_index(whole_copy)).to_pylist(), b.column(b.schema.get_field_index(cuts)).to_pylist()):
                 if whole:
                     t = ""
                 elif s:
@@ -408,12 +412,12 @@ def cleaned(docs: DataFrame, window: int = 100) -> DataFrame:
             cols = [pa.array(out, b.schema.field(k).type) if i == k else b.column(i) for i in range(b.num_columns - 2)]
             yield pa.record_batch(cols, names=b.schema.names[:-2])
 
-    changed = joined.where("_copy is not null")
+    changed = joined.where(F.col(whole_copy).isNotNull())
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
     done = changed.mapInArrow(cut, schema).where("text <> ''")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return joined.where("_copy is null").drop("_copy", "_spans").unionByName(done)
+    return joined.where(F.col(whole_copy).isNull()).drop(whole_copy, cuts).unionByName(done)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,3 +30,23 @@ def test_stages(spark):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, DATA)
     assert got.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and got.count() > 0
+
+
+def test_stages_of_odd_rows(spark, docs, rows, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, and columns with the names that operators use; then the empty table."""
+    from pyspark.sql import functions as F
+
+    labels = spark.createDataFrame([(i, k % 2, k % 3 == 0) for k, (i, t) in enumerate(rows)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd = docs.withColumn("_d", F.lit(1)).withColumn("_row", F.lit("r")).withColumn("_copy", F.lit(None).cast("string")).withColumn("_spans", F.lit(2))
+    whole = {(r.doc_id, r.text) for r in odd.collect()}
+    for table in (odd, odd.limit(0)):
+        now = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.stored(stage(spark, now, str(tmp_path)))
+            assert now.columns == odd.columns
+            if name != "suffix-array dedup":
+                assert {(r.doc_id, r.text) for r in now.select("doc_id", "text").collect()} <= whole
+        last = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path))
+        tokens = {r.doc_id for r in now.select("doc_id").collect()}
+        assert {r.doc_id for r in last.collect()} == tokens
