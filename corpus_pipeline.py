@@ -1,7 +1,8 @@
 """A training corpus from `documents`: quality, toxicity, near copies, repeated passages, packed sequences.
 
 Each stage is (name, function of spark, docs, sf_dir); its result is written as Parquet and read again as the next one's
-docs. All but the last return the columns of `documents`, reduced to what the stage keeps.
+docs. Null texts count as empty, which the base rules reject; rows without doc_id are judged by their text; repeated rows are
+judged each, and near copies of each other; empty tables stay empty; other columns go along, whatever their names. All but the last return the columns of `documents`, reduced to what the stage keeps.
 """
 
 from __future__ import annotations
@@ -28,10 +29,12 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies (five-word shingles, similarity 0.8) stays, the one with the least doc_id; rows without one come last, and of
     rows that share one, each is judged by its text and any one stays. Texts without words are in no group and stay."""
-    rows = common.stored(docs.withColumn("_row", F.monotonically_increasing_id()))  # stored, as the numbers are not the same when computed again
-    groups = minhash_dedup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words=5).select(F.col("doc_id").alias("_row"), "component_id")
-    least = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("least"))
-    return rows.join(least.select("least._row"), "_row", "left_semi").select(docs.columns)
+    (row,) = common.unused(docs, "_row")
+    rows = common.stored(docs.withColumn(row, F.monotonically_increasing_id()))  # stored, as the numbers are not the same when computed again
+    groups = minhash_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), words=5).select(F.col("doc_id").alias("row"), "component_id")
+    own = rows.select(F.col(row).alias("row"), "doc_id")
+    least = groups.join(own, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("least"))
+    return rows.join(least.select(F.col("least.row").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
