@@ -131,3 +131,47 @@ def canonical_unbase64(x: Column) -> Column:
     """Decoded bytes of canonical base64; null otherwise."""
     b = F.try_to_binary(x, F.lit("base64"))
     return F.when(F.base64(b) == x, b)
+
+
+def first_place(x: Column, needle: str) -> Column:
+    """Characters before the first occurrence; null if there is none, 0 for the empty needle."""
+    return F.lit(0) if not needle else F.nullif(F.instr(x, needle), F.lit(0)) - 1
+
+
+def last_place(x: Column, needle: str) -> Column:
+    """Characters before the last occurrence; null if there is none, the length for the empty needle."""
+    return F.length(x) if not needle else F.length(x) - len(needle) + 1 - F.nullif(F.instr(F.reverse(x), needle[::-1]), F.lit(0))
+
+
+def after_lines(x: Column, n: int) -> Column:
+    """What follows the first n line feeds; empty where there are fewer."""
+    return F.regexp_extract(x, rf"(?s)^(?:[^\n]*\n){{{n}}}(.*)$", 1)
+
+
+def strip_ansi_exact(x: Column) -> Column:
+    """Colour sequences and titles out; of any other escape only its first byte."""
+    return F.regexp_replace(x, r"\x1b(?:\[[^@-~]*[@-~]?|\][^\x07\x1b]*(?:\x07|\x1b\\)?)?", "")
+
+
+def location(x: Column) -> Column:
+    """path, line and rest of `path:line[:column]:rest`; null for any other text. A drive's colon is no separator."""
+    rule = r"(?s)^(.+?):(\d+(?::\d+(?=:))?):(.*)$"
+    return F.when(F.regexp_like(x, F.lit(rule)), F.struct(*[F.regexp_extract(x, rule, k + 1).alias(n) for k, n in enumerate(("path", "place", "rest"))]))
+
+
+def first_number(x: Column) -> Column:
+    return F.nullif(F.regexp_extract(x, r"(\d+)", 1), F.lit(""))
+
+
+def number_before(x: Column, marker: str) -> Column:
+    """The digits right before a marker, blanks between them aside."""
+    return F.nullif(F.regexp_extract(x, rf"(\d+) *\Q{marker}\E", 1), F.lit(""))
+
+
+def flag_on(x: Column) -> Column:
+    """An environment flag that is on."""
+    return F.coalesce(F.startswith(x, F.lit("1")), F.lit(False))
+
+
+def flag_off(x: Column) -> Column:
+    return F.coalesce(F.lower(x).isin("0", "false", "no", "off"), F.lit(False))

@@ -252,4 +252,17 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'core-route' WHEN matched
     "routed_captures": f"""
 WITH v(script, family, odd, blocked) AS (VALUES {_CAPTURED}), c AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT script, CASE WHEN blocked OR (odd AND k % 7 = 3) THEN 'passthrough' ELSE family END AS filter_name, count(*) AS captures FROM v CROSS JOIN c GROUP BY 1, 2""",
+    "usage_effective_records": f"""
+WITH u AS (SELECT CASE WHEN args = 'run|pytest|-q' THEN 'pytest' ELSE command END AS command, CASE WHEN args = 'run|pytest|-q' THEN 'uv run' ELSE '' END AS chain, command AS typed, args FROM ({synthetic.INVOCATIONS})),
+r AS (SELECT *, CASE WHEN chain <> '' THEN 'transparent-runner' WHEN command IN ('git', 'pytest', 'cargo') THEN 'auto-wrap' WHEN command = 'node' THEN 'wrapper-only' ELSE 'unlisted' END AS route, CASE WHEN command IN ('git', 'pytest', 'cargo', 'node') THEN 'catalogued-route' ELSE 'not-catalogued' END AS compaction,
+  command = 'pytest' OR (command = 'git' AND args IN ('log|-3')) OR (command = 'cargo' AND args = 'build') AS taken FROM u)
+SELECT command, count(*) AS n, CASE WHEN min(route) = max(route) THEN min(route) ELSE 'mixed' END AS routing_coverage, CASE WHEN min(compaction) = max(compaction) THEN min(compaction) ELSE 'mixed' END AS compaction_coverage,
+  CAST(sum(CASE WHEN taken THEN 1 ELSE 0 END) AS BIGINT) AS dispatchable, CASE WHEN max(chain) = '' THEN '' ELSE concat('uv run x', CAST(sum(CASE WHEN chain <> '' THEN 1 ELSE 0 END) AS VARCHAR)) END AS chains FROM r GROUP BY command""",
+    "usage_chains": f"SELECT 'uv run' AS chain, count(*) AS n, count(*) AS dispatchable FROM ({synthetic.INVOCATIONS}) WHERE args = 'run|pytest|-q' HAVING count(*) > 0",
+    "usage_totals": f"""WITH t AS (SELECT source, CASE WHEN command = 'nano' THEN 1 ELSE 0 END AS x FROM ({synthetic.INVOCATIONS}))
+SELECT concat('{{"n":', CAST(count(*) AS VARCHAR), CASE WHEN source IS NULL THEN '' ELSE concat(',"source":"', source, '"') END, ',"unlisted":', CAST(sum(x) AS VARCHAR), '}}') AS json FROM t GROUP BY ROLLUP (source)""",
+    "text_places": """
+WITH x AS (SELECT *, concat('C:/src/', event_type, '.rs:', CAST(event_id AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN ':7' ELSE '' END, ': error: 3 files') AS line FROM events)
+SELECT event_id, CAST(3 AS BIGINT) AS first_s, CAST(length(line) - 1 AS BIGINT) AS last_s, concat('rest ', chr(27), '[1mof', chr(27), '[0m ', chr(27), 'it') AS after, concat(event_type, chr(10), CAST(user_id AS VARCHAR), chr(10), 'rest of it') AS stripped, concat('C:/src/', event_type, '.rs') AS path,
+  concat(CAST(event_id AS VARCHAR), CASE WHEN event_id % 2 = 0 THEN ':7' ELSE '' END) AS place, CAST(event_id AS VARCHAR) AS number, '3' AS files, starts_with(CAST(event_id AS VARCHAR), '1') AS is_on, event_id % 2 = 0 AS is_off FROM x""",
 }

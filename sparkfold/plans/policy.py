@@ -140,7 +140,7 @@ def _holds(p: Policy, command: Column, argv: Column, args: Column) -> Column:
         bundle = F.regexp_like
         fine = lambda x: x.isin(*p.only) | (bundle(x, F.lit(rf"^-[{p.other_letters}]+$")) if p.other_letters else F.lit(False)) | F.startswith(x, F.lit("--classify=")) | F.startswith(x, F.lit("--indicator-style="))
         out = out | F.exists(args, lambda x: F.regexp_like(x, F.lit("^-.")) & ~fine(x))
-    return out & command.isin(*p.commands) if p.commands else out
+    return command.isin(*p.commands) & out if p.commands else out  # the cheap side first: most rows stop there
 
 
 def asks(argv: Column, policies: tuple[Policy, ...]) -> Column:

@@ -160,6 +160,28 @@ def usage_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _usage(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"))
 
 
+def usage_effective_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.effective_records(_usage(spark, sf_dir))
+
+
+def usage_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.runner_chains(_usage(spark, sf_dir))
+
+
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.as_json(usage.totals(_usage(spark, sf_dir)))
+
+
+def text_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    line = F.concat(F.lit("C:/src/"), "event_type", F.lit(".rs:"), F.col("event_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.lit(":7")).otherwise(""), F.lit(": error: 3 files"))
+    text = F.concat("event_type", F.lit("\n"), F.col("user_id").cast("string"), F.lit("\nrest \x1b[1mof\x1b[0m \x1bit"))
+    return e.select(
+        "event_id", T.first_place(line, "s").cast("long").alias("first_s"), T.last_place(line, "s").cast("long").alias("last_s"), T.after_lines(text, 2).alias("after"), T.strip_ansi_exact(text).alias("stripped"), T.location(line)["path"].alias("path"), T.location(line)["place"].alias("place"),
+        T.first_number(line).alias("number"), T.number_before(line, "files").alias("files"), T.flag_on(F.col("event_id").cast("string")).alias("is_on"), T.flag_off(F.when(F.col("event_id") % 2 == 0, "No").otherwise("yes")).alias("is_off"),
+    )
+
+
 def plugin_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     bindings = spark.createDataFrame([("user", ["git"], "vcs"), ("user", ["git", "log"], "history"), ("project", ["git"], "team"), ("user", ["uv", "run"], "uv"), ("user", ["pytest"], "tests")], "scope string, prefix array<string>, plugin string")
     return usage.longest_prefix(_usage(spark, sf_dir), bindings)
@@ -331,6 +353,6 @@ QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
         git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, docker_images, grid_rows, live_transitions,
-        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures,
+        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures, usage_effective_records, usage_chains, usage_totals, text_places,
     )
 }

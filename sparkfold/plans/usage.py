@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkfold.plans import catalog
+from sparkfold.operators import commands
+from sparkfold.plans import catalog, policy
 
 
 def covered_by(command: Column, arguments: Column) -> Column:
@@ -36,23 +37,53 @@ def git_counts(usage: DataFrame) -> DataFrame:
     return t.groupBy("subcommand").agg(F.count("*").alias("n")).withColumn("coverage", F.when(F.col("subcommand").isin(catalog.GIT_SUBCOMMANDS), "catalogued").otherwise("unlisted"))
 
 
-def unwrapped(argv: Column, layers: int = 4) -> tuple[Column, Column]:
-    """(argv behind its runners, the runners), for runners followed at once by their command."""
-    chain = F.array().cast("array<string>")
-    for _ in range(layers):
-        two, one = F.array_join(F.slice(argv, 1, 2), " "), F.get(argv, 0)
-        hit = F.when(two.isin([r for r in catalog.RUNNERS if " " in r]) & (F.size(argv) > 2), 2).when(one.isin([r for r in catalog.RUNNERS if " " not in r]) & (F.size(argv) > 1), 1).otherwise(0)
-        hit = F.when(F.startswith(F.get(argv, hit), F.lit("-")), 0).otherwise(hit)
-        chain = F.when(hit > 0, F.concat(chain, F.array(F.array_join(F.slice(argv, F.lit(1), hit), " ")))).otherwise(chain)
-        argv = F.slice(argv, hit + 1, F.size(argv) - hit + 1)
-    return argv, chain
+def behind_runners(usage: DataFrame) -> DataFrame:
+    """source, argv and chain (its names with ` > ` between) of each command line behind up to four runners; one that cannot be told stays as it is."""
+    rows = usage.select(F.struct("source", F.concat(F.array("command"), "arguments").alias("typed")).alias("run"), F.concat(F.array("command"), "arguments").alias("line"))
+    found = commands.unwrapped(rows, "run", "line")
+    return found.select("run.source", F.coalesce("argv", "run.typed").alias("argv"), F.coalesce(F.array_join("chain", " > "), F.lit("")).alias("chain"))
 
 
 def effective(usage: DataFrame) -> DataFrame:
     """command and chain behind runners, counted."""
-    argv, chain = unwrapped(F.concat(F.array("command"), "arguments"), 2)
-    t = usage.select(F.get(argv, 0).alias("command"), F.array_join(chain, " > ").alias("chain"))
-    return t.groupBy("command", "chain").agg(F.count("*").alias("n"))
+    return behind_runners(usage).groupBy(F.get("argv", 0).alias("command"), "chain").agg(F.count("*").alias("n"))
+
+
+def _behind(usage: DataFrame) -> DataFrame:
+    """The same with command, how it is routed, the form that takes it, and whether a family knows it."""
+    t = behind_runners(usage)
+    command, arguments = F.get("argv", 0), F.slice("argv", 2, F.greatest(F.size("argv"), F.lit(1)))
+    route = F.when(F.col("chain") != "", "transparent-runner").otherwise(covered_by(command, arguments))
+    return t.withColumn("command", command).withColumn("route", route).withColumn("form", policy.form_of(F.col("argv"))).withColumn("known", command.isin([c for f in catalog.FAMILIES.values() for c in f]))
+
+
+def effective_records(usage: DataFrame, least: int = 1) -> DataFrame:
+    """command, n, routing_coverage, compaction_coverage (mixed where its runs differ), dispatchable (runs that a form takes), and chains with their
+    numbers, of commands run `least` times or more behind their runners."""
+    t = _behind(usage)
+    compaction = F.when(F.col("known"), "catalogued-route").when(F.col("route") == "unlisted", "not-catalogued").otherwise("route-undeclared")
+    one = lambda c: F.when(F.min(c) == F.max(c), F.min(c)).otherwise("mixed")
+    # Two steps: by chain first, so that the list of chains is as long as there are chains, not runs.
+    by_chain = t.withColumn("compaction", compaction).groupBy("command", "chain", "route", "compaction").agg(F.count("*").alias("n"), F.count("form").alias("d"))
+    chains = by_chain.where("chain <> ''").groupBy("command", "chain").agg(F.sum("n").alias("n")).groupBy("command").agg(F.array_join(F.array_sort(F.collect_list(F.concat("chain", F.lit(" x"), F.col("n").cast("string")))), ", ").alias("chains"))
+    g = by_chain.groupBy("command").agg(F.sum("n").alias("n"), one("route").alias("routing_coverage"), one("compaction").alias("compaction_coverage"), F.sum("d").alias("dispatchable")).where(F.col("n") >= least)
+    return g.join(chains, "command", "left").withColumn("chains", F.coalesce("chains", F.lit("")))
+
+
+def runner_chains(usage: DataFrame, least: int = 1) -> DataFrame:
+    """chain, n and dispatchable of command lines behind runners."""
+    return _behind(usage).where("chain <> ''").groupBy("chain").agg(F.count("*").alias("n"), F.count("form").alias("dispatchable")).where(F.col("n") >= least)
+
+
+def totals(usage: DataFrame) -> DataFrame:
+    """source (null for all together), n, and how many runs no catalog lists."""
+    t = usage.withColumn("unlisted", (covered_by(F.col("command"), F.col("arguments")) == "unlisted").cast("long"))
+    return t.rollup("source").agg(F.count("*").alias("n"), F.sum("unlisted").alias("unlisted"))
+
+
+def as_json(report: DataFrame) -> DataFrame:
+    """One JSON text per row, its keys in order."""
+    return report.select(F.to_json(F.struct(*sorted(report.columns))).alias("json"))
 
 
 def first_difference(x: Column, y: Column) -> Column:
