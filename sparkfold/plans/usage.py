@@ -38,10 +38,10 @@ def git_counts(usage: DataFrame) -> DataFrame:
 
 
 def behind_runners(usage: DataFrame) -> DataFrame:
-    """source, argv and chain (its names with ` > ` between) of each command line behind up to four runners; one that cannot be told stays as it is."""
-    rows = usage.select(F.struct("source", F.concat(F.array("command"), "arguments").alias("typed")).alias("run"), F.concat(F.array("command"), "arguments").alias("line"))
-    found = commands.unwrapped(rows, "run", "line")
-    return found.select("run.source", F.coalesce("argv", "run.typed").alias("argv"), F.coalesce(F.array_join("chain", " > "), F.lit("")).alias("chain"))
+    """argv and chain (its names with ` > ` between) of each command line behind up to four runners; one that cannot be told stays as it is."""
+    typed = F.concat(F.array("command"), "arguments")
+    found = commands.unwrapped(usage.select(typed.alias("typed"), typed.alias("line")), "typed", "line")
+    return found.select(F.coalesce("argv", "typed").alias("argv"), F.coalesce(F.array_join("chain", " > "), F.lit("")).alias("chain"))
 
 
 def effective(usage: DataFrame) -> DataFrame:
