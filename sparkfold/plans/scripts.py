@@ -17,7 +17,7 @@ FIELDS = {
     "id": "CAST(o_orderkey AS VARCHAR(20))", "d": "CAST(o_orderkey % 10 AS VARCHAR(9))", "e": "CAST(o_orderkey % 3 AS VARCHAR(9))", "cust": "CAST(o_custkey AS VARCHAR(20))", "st": "lower(o_orderstatus)",
     "sha": "concat(md5(CAST(o_orderkey AS VARCHAR(20))), '01234567')", "sha7": "substr(md5(CAST(o_orderkey AS VARCHAR(20))), 1, 7)", "n": "CAST(count(*) AS VARCHAR(20))", "even": "CAST(sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) AS VARCHAR(20))",
     "odd": "CAST(sum(CASE WHEN o_orderkey % 2 = 1 THEN 1 ELSE 0 END) AS VARCHAR(20))", "first": "CAST(min(o_orderkey) AS VARCHAR(20))", "last": "CAST(max(o_orderkey) AS VARCHAR(20))", "tab": "chr(9)", "esc": "chr(27)",
-    "csha": "concat(md5(CAST(o_custkey AS VARCHAR(20))), '01234567')", "csha7": "substr(md5(CAST(o_custkey AS VARCHAR(20))), 1, 7)",
+    "csha": "concat(md5(concat('c', CAST(o_custkey AS VARCHAR(20)))), '01234567')", "csha7": "substr(md5(concat('c', CAST(o_custkey AS VARCHAR(20)))), 1, 7)",
 }
 EVEN, ODD = "o_orderkey % 2 = 0", "o_orderkey % 2 = 1"
 ANY_ODD, NONE_ODD = "max(o_orderkey % 2) = 1", "max(o_orderkey % 2) = 0"
