@@ -10,9 +10,10 @@ from sparkfold.llm.suffix_dedup import op8_suffix_dedup
 from sparkfold.llm.token_files import op1_token_files
 from sparkfold.llm.topk import OP6_SQL, op6_exact_topk
 from sparkfold.llm.toxicity import op9_toxicity
+from sparkfold.llm.vector_codes import OP12_SQL, op12_vector_codes
 from sparkfold.llm.viterbi_pieces import op2_sentencepiece
 
-_ALL = (op1_token_files, op2_sentencepiece, op3_line_quality, op4_token_counts, op5_packing, op6_exact_topk, op7_minhash_dedup, op8_suffix_dedup, op9_toxicity, op10_substring_dedup, op13_merkle_manifest)
+_ALL = (op1_token_files, op2_sentencepiece, op3_line_quality, op4_token_counts, op5_packing, op6_exact_topk, op7_minhash_dedup, op8_suffix_dedup, op9_toxicity, op10_substring_dedup, op12_vector_codes, op13_merkle_manifest)
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES: dict[str, str] = {"op6_exact_topk": OP6_SQL, "op7_minhash_dedup": OP7_SQL, "op10_substring_dedup": OP10_SQL, "op12_vector_codes": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
