@@ -42,7 +42,7 @@ _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|(
 #: Elements whose content is text up to their end tag; elements that have none.
 _RAW = frozenset(("script", "style", "title", "textarea", "iframe", "xmp", "noembed", "noframes"))
 _VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
-_INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"))
+_INLINE = frozenset(("a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "script", "small", "span", "strike", "strong", "style", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"))
 #: Zones by element, by role, and by a word of a class or id.
 _ELEMENTS = dict(nav="menu", menu="menu", header="header", footer="footer", aside="sidebar", form="form", button="form", select="form", fieldset="form", head="hidden", noscript="hidden", template="hidden", svg="hidden", object="hidden", canvas="hidden", dialog="notice")
 _WORDS = {
