@@ -13,7 +13,7 @@ from sparkfold.functions import text as T
 from sparkfold.operators import captured, checks, commands, generic, git, keep, listing, logs, shell, tables
 from sparkfold import plugins
 from sparkfold.plans import catalog, examples, guards, policy, scripts, synthetic, usage
-from sparkfold.sources.tables import stream, table, views
+from sparkfold.sources.tables import scratch, sessions, stream, table, views
 
 
 def _capture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -239,7 +239,6 @@ def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def live_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a stream: job states per group of users, their changes written as they come and read back."""
-    from sparkfold.sources.tables import scratch
     from sparkfold.streaming import live
 
     events = stream(spark, sf_dir, "events")
@@ -305,14 +304,18 @@ def command_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Commands of session records that the rows of events stand for."""
+    """Commands of session logs that the rows of events stand for: a folder of files per kind of event, a record (or a line that is none) per event."""
     e = table(spark, sf_dir, "events")
     kind, said = F.col("event_id") % 4, F.concat(F.lit("run "), "event_type")
-    twice = F.concat(F.lit('{"items": [{"type": "tool_use", "name": "Bash", "input": {"command": "'), said, F.lit('"}}, {"type": "tool_use", "name": "Bash", "input": {"command": "'), said, F.lit('"}}, {"type": "tool_use", "name": "Read", "input": {"command": "no"}}]}'))
-    call = F.concat(F.lit('{"type": "function_call", "name": "functions.shell", "arguments": "{\\"cmd\\": \\"'), said, F.lit('\\"}"}'))
-    script = F.concat(F.lit('{"x": {"type": "custom_tool_call", "name": "exec", "input": "tools.exec_command({cmd: \''), said, F.lit("'})\"}}"))
-    rows = e.select("event_id", F.when(kind == 0, twice).when(kind == 1, call).when(kind == 2, script).otherwise(F.lit("no record")).alias("line"))
-    return commands.tool_calls(rows, "event_id", "line")
+    use = lambda name: F.concat(F.lit(f'{{"type": "tool_use", "name": "{name}", "input": {{"command": "'), said, F.lit('"}}'))
+    twice = F.concat(F.lit('"items": [[{"deep": '), use("Bash"), F.lit("}], "), use("Bash"), F.lit(", "), use("Read"), F.lit("]"))
+    call = F.concat(F.lit('"x": {"type": "function_call", "name": "functions.shell", "arguments": "{\\"cmd\\": \\"'), said, F.lit('\\"}"}'))
+    script = F.concat(F.lit('"x": {"type": "custom_tool_call", "name": "exec", "input": "tools.exec_command({cmd: \''), said, F.lit("'})\"}"))
+    record = F.concat(F.lit('{"event": '), F.col("event_id").cast("string"), F.lit(", "), F.when(kind == 0, twice).when(kind == 1, call).otherwise(script), F.lit("}"))
+    logs_at = scratch(spark)
+    e.select("event_type", F.when(kind == 3, "no record").otherwise(record).alias("line")).write.partitionBy("event_type").text(logs_at)
+    found = sessions(spark, logs_at, "*.txt").select(F.try_variant_get("record", "$.event", "long").alias("event_id"), "record")
+    return commands.tool_calls(found, "event_id", "record")
 
 
 def plugin_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

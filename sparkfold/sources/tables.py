@@ -36,9 +36,9 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("capture_id"), F.col("content").cast("string").alias("body"))
 
 
-def sessions(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_no-free rows of `record` (a variant) for each valid line of the session logs below `path`."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+def sessions(spark: SparkSession, path: str, pattern: str = "*.jsonl") -> DataFrame:
+    """path and `record` (a variant) of each valid line of the session logs anywhere below `path`; lines that are no JSON are dropped."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     return lines.select("path", F.try_parse_json("value").alias("record")).where("record is not null")
 
 
@@ -54,3 +54,10 @@ def scratch(spark: SparkSession) -> str:
         base = f"file://{base}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/sparkfold-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: it is computed once, and a lost executor costs nothing."""
+    path = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,22 +6,52 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfold import plugins
-from sparkfold.captures import commands as C
 from sparkfold.operators import commands
 from sparkfold.plans import examples, guards, policy
 from sparkfold.streaming import live
 
 
-def test_words_and_chains():
-    assert C.shell_words("") is None and C.shell_words("a\nb") is None and C.shell_words("x" * 257) is None and C.shell_words("''") == [""] and C.shell_words(r"a\ b") == ["a b"]
-    assert C.chain("a && b | c; d & e") == ["a", "b", "c", "d", "e"] and C.chain("a 2>&1") == ["a 2>&1"] and C.chain("'open") is None
-    assert C.invocations("sh -lc 'cd x; time y'") == [("time", ["y"])] and C.invocations("sh") is None and C.invocations("# x") is None and C.invocations("") is None
-    assert C.unwrapped([]) == ([], []) and C.unwrapped(["npx"]) is None and C.unwrapped(["uv", "run", "-x", "a"]) is None
+def _programs(spark, *texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    out = [[] for _ in texts]
+    for r in commands.invocations(df, "k", "text").orderBy("k", "ord").collect():
+        out[r.k].append((r.program, r.arguments))
+    return out
+
+
+def test_words(spark):
+    cases = {"": None, "a\nb": None, "x" * 257: None, "''": [""], r"a\ b": ["a b"], "a'b c'\"d\\\"e\"": ["ab cd\"e"], "a 'open": None, "a | b": None, "echo $x": None, '"a`b"': None, " ls\t-l ": ["ls", "-l"], "'$x' y": ["$x", "y"], "é": ["é"]}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k long, text string")
+    assert [r.words for r in commands.words(df, "k", "text").orderBy("k").collect()] == list(cases.values())
+    long = spark.createDataFrame([(1, "ls " + "'a' " * 50_000)], "k long, text string")
+    assert len(commands.words(long, "k", "text").first().words) == 50_001
+
+
+def test_what_runs(spark):
+    got = _programs(spark, "sh -lc 'cd x; time y'", "sh", "# x", "", "bash -c \"sh -c 'git status && zsh -c ls'; pwd\"", "A=1 env -i B=2 /usr/bin/make -j", "'open", "x 2>&1 | y", "exec env", "bash -c 'if x'", None)
+    assert got == [[("time", ["y"])], [], [], [], [("git", ["status"]), ("ls", []), ("pwd", [])], [("make", ["-j"])], [], [("x", ["2>&1"]), ("y", [])], [], [], []]
+    df = spark.createDataFrame([(1, "short -v -- git log"), (2, "/bin/short pytest -q")], "k long, text string")
+    assert [(r.program, r.arguments) for r in commands.invocations(df, "k", "text", ("short",)).orderBy("k").collect()] == [("git", ["log"]), ("pytest", ["-q"])]
+
+
+def test_runners(spark):
+    lines = [[], ["npx"], ["uv", "run", "-x", "a"], ["/usr/bin/npx", "-yy"], ["poetry", "-qq", "run", "a"], ["npx", "-pq", "-y", "b", "-c"], ["poetry", "-q", "run", "--", "a", "-x"], ["uv", "run", "--with=x", "--", "uvx", "--from", "y", "z"], ["pnpm", "-rw", "exec", "a"], None]
+    got = commands.unwrapped(spark.createDataFrame([(k, a) for k, a in enumerate(lines)], "k long, argv array<string>"), "k", "argv").orderBy("k").collect()
+    none = (None, None)
+    assert [(r.argv, r.chain) for r in got] == [([], []), none, none, none, (["a"], ["poetry run"]), (["b", "-c"], ["npx"]), (["a", "-x"], ["poetry run"]), (["z"], ["uv run", "uvx"]), (["a"], ["pnpm exec"]), none]
 
 
-def test_records():
-    deep = {"x": [{"y": {"type": "tool_use", "name": "a/b.Shell", "input": {"cmd": "z", "command": "a"}}}], "type": "other"}
-    assert C.tool_calls(json.dumps(deep)) == ["a", "z"] and C.tool_calls("no") == [] and C.tool_calls('{"type": "tool_use", "name": "Read", "input": {"command": "x"}}') == []
+def test_records(spark):
+    deep = {"x": [{"y": {"type": "tool_use", "name": "a/b.Shell", "input": {"cmd": "z", "command": "a", "command_line": 3}}}, 1, "s"], "type": "other"}
+    inner = {"type": "function_call", "name": "shell", "arguments": json.dumps({"cmd": "in"}), "more": {"type": "tool_use", "name": "bash", "input": {"cmd": "never"}}}
+    script = {"type": "custom_tool_call", "name": "exec", "input": "tools.exec_command({\"cmd\": \"a \\\"b\\\"\"}); tools.exec_command({x: 1, command : 'c'})"}
+    rows = [json.dumps(deep), "no", json.dumps({"type": "tool_use", "name": "Read", "input": {"command": "x"}}), json.dumps([[[inner]]]), json.dumps(script), json.dumps(script | {"input": json.dumps({"cmd": "j"})}), None, "[]", json.dumps([deep, deep])]
+    for _ in range(150):
+        rows[2] = f'{{"d": {rows[2]}}}' if _ else json.dumps({"type": "function_call", "name": "f.bash", "arguments": {"cmd": "low"}})
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, line string")
+    got = sorted((r.k, r.command) for r in commands.tool_calls(df, "k", "line").collect())
+    assert got == [(0, "a"), (0, "z"), (2, "low"), (3, "in"), (4, 'a "b"'), (4, "c"), (5, "j"), (8, "a"), (8, "z")]
+    assert spark.conf.get("spark.sql.cteRecursionRowLimit") != "-1"
 
 
 def test_tables_of_commands(spark):
