@@ -59,12 +59,14 @@ def shortlog(table: DataFrame, key: str = "capture_id") -> DataFrame:
 
 
 def diff(table: DataFrame, key: str = "capture_id") -> DataFrame:
-    """key, line_no, line: `d path` for each file, `@ old|new context` for each hunk, content lines as they are; headers go."""
-    t = table.withColumn("file", F.regexp_extract("line", r"^diff --git a/(.*?) b/", 1)).withColumn("hunk", F.regexp_like("line", F.lit(r"^@@ -\S+ \+\S+ @@")))
-    in_hunk = L.carried(F.when(F.col("file") != "", F.lit(False)).when(F.col("hunk"), F.lit(True)), key)
-    t = t.withColumn("inside", F.coalesce(in_hunk, F.lit(False)))
-    hunk = F.regexp_replace("line", r"^@@ -(\S+) \+(\S+) @@", "@$1|$2")
-    out = F.when(F.col("file") != "", F.concat(F.lit("d "), "file")).when(F.col("hunk"), hunk).when(F.col("inside") & F.regexp_like("line", F.lit(r"^[-+ \\]")), F.col("line")).when(F.startswith("line", F.lit("Binary files")), "B")
+    """key, line_no, line: `d path` (or `d old -> new`) for each file, `@old|new context` for each hunk, `B` for binary files; index, path and rename headers go,
+    content lines stay as they are."""
+    t = table.withColumn("line", F.rtrim(T.strip_ansi(F.col("line")), F.lit(" \t\n\f\r")))
+    old, new = F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)$", 1), F.regexp_extract("line", r"^diff --git a/(.*) b/(.*)$", 2)
+    file = F.concat(F.lit("d "), old, F.when(old != new, F.concat(F.lit(" -> "), new)).otherwise(""))
+    header = F.regexp_like("line", F.lit(r"^(?:(?:dis)?similarity index |index |--- (?:a/|/dev/null)|\+\+\+ (?:b/|/dev/null)|(?:rename|copy) (?:from|to) )"))
+    out = F.when(F.startswith("line", F.lit("diff --git a/")), file).when(F.regexp_like("line", F.lit(r"^@@ -\S+ \+\S+ @@")), F.regexp_replace("line", r"^@@ -(\S+) \+(\S+) @@", "@$1|$2"))
+    out = out.when(F.regexp_like("line", F.lit("^Binary files .* differ$")), "B").when(~header, F.col("line"))
     return t.select(key, "line_no", out.alias("line")).where("line is not null")
 
 

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkfold.functions import text as T
-from sparkfold.operators import captured
-from sparkfold.plans import policy
 
 #: Bytes from which a body is not looked into.
 MOST = 16 * 1024 * 1024
@@ -104,12 +102,3 @@ def looks_like(body: Column) -> Column:
         rule = F.regexp_like(line, F.lit(first)) if first else F.lit(True)
         out = out.when(rule & F.regexp_like(body, F.lit(anywhere)) if anywhere else rule, form)
     return out.when(T.compactible(body), "generic")
-
-
-def registry(captures: DataFrame) -> DataFrame:
-    """What is shown of captures (capture_id, argv, stdout, stderr, exit_code, lossless): by the form of the command line; where there is none, by content if a shell
-    ran it, else by the generic form; then the guards. One pass, no shuffle."""
-    argv, out = F.col("argv"), F.col("stdout")
-    plain = F.when(T.compactible(out), "generic")
-    form = F.when(~F.col("lossless") & ~policy.passthrough(argv), F.coalesce(policy.form_of(argv), F.when(policy.in_shell(argv), looks_like(out)).otherwise(plain)))
-    return captured.compact(captures, form)

@@ -252,6 +252,9 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'core-route' WHEN matched
     "routed_captures": f"""
 WITH v(script, family, odd, blocked) AS (VALUES {_CAPTURED}), c AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT script, CASE WHEN blocked OR (odd AND k % 7 = 3) THEN 'passthrough' ELSE family END AS filter_name, count(*) AS captures FROM v CROSS JOIN c GROUP BY 1, 2""",
+    "registered_captures": "\nUNION ALL ".join(
+        f"SELECT CAST({k} AS BIGINT) AS case_no, capture_id, line_no, line FROM ({scripts.sql(next(x for x in scripts.SCRIPTS if x.name == name), shown, False)})" for k, (name, _, _, shown) in enumerate(examples.REGISTERED)
+    ),
     "usage_effective_records": f"""
 WITH u AS (SELECT CASE WHEN args = 'run|pytest|-q' THEN 'pytest' ELSE command END AS command, CASE WHEN args = 'run|pytest|-q' THEN 'uv run' ELSE '' END AS chain, command AS typed, args FROM ({synthetic.INVOCATIONS})),
 r AS (SELECT *, CASE WHEN chain <> '' THEN 'transparent-runner' WHEN command IN ('git', 'pytest', 'cargo') THEN 'auto-wrap' WHEN command = 'node' THEN 'wrapper-only' ELSE 'unlisted' END AS route, CASE WHEN command IN ('git', 'pytest', 'cargo', 'node') THEN 'catalogued-route' ELSE 'not-catalogued' END AS compaction,

@@ -180,41 +180,6 @@ def stream(argv: Column) -> Column:
     return F.when(follows | watched, "stream").when(long_lived | (compose & F.array_contains(argv, "up") & ~has("-d", "--detach")), "inherit").otherwise("capture")
 
 
-_INSTALL = ("install", "i", "ci", "add", "remove", "rm")
-#: (commands, first arguments or None, second arguments or None, an option that must be there or None, form); the first that holds decides.
-ROUTES = (
-    (("git",), ("status",), None, None, "git_status"), (("git",), ("diff",), None, None, "git_diff"), (("git",), ("log",), None, "--stat", "git_log_stat"), (("git",), ("log",), None, None, "git_log"), (("git",), ("show",), None, "--stat", "git_log_stat"),
-    (("git",), ("show",), None, None, "git_show"), (("git",), ("branch",), None, None, "git_branch"), (("git",), ("commit",), None, None, "git_commit"), (("git",), ("merge",), None, None, "git_merge"), (("git",), ("blame",), None, None, "git_blame"),
-    (("git",), ("checkout", "switch"), None, None, "git_checkout"), (("git",), ("fetch",), None, None, "git_fetch"), (("git",), ("push",), None, None, "git_push"), (("git",), ("pull",), None, None, "git_pull"), (("git",), ("rebase",), None, None, "git_rebase"),
-    (("git",), ("stash",), None, None, "git_stash"), (("git",), ("grep",), None, None, "git_grep"), (("gt", "graphite"), ("log",), None, None, "git_stack_log"), (("gt", "graphite"), ("status",), None, None, "git_status"),
-    (("nextest",), ("run",), None, None, "nextest"), (("cargo",), ("nextest",), ("run",), None, "nextest"), (("cargo",), ("test", "bench"), None, None, "cargo_test"), (("jest", "vitest"), None, None, None, "jest"), (("mocha",), None, None, None, "js_test"),
-    (("node",), None, None, "--test", "js_test"), (("go",), ("test",), None, None, "go_test"), (("pytest",), None, None, None, "pytest"), (("rspec",), None, None, None, "rspec"), (("dotnet",), ("test",), None, None, "dotnet_test"),
-    (("playwright",), ("test",), None, None, "playwright"), (("find",), None, None, None, "find_long"), (("tree",), None, None, None, "tree"), (("ls",), None, None, "-C", "ls_columns"), (("ls",), None, None, None, "ls"), (("du",), None, None, "-s", "du"), (("du",), None, None, None, "du_rows"),
-    (("wc",), None, None, None, "wc"), (("diff",), None, None, None, "difference"), (("head", "tail"), None, None, None, "file_slice"), (("make", "ninja"), None, None, None, "native_build"), (("cargo", "go", "zig"), ("build", "check"), None, None, "native_build"),
-    (("vite", "next", "nuxt", "turbo"), ("build", "run"), None, None, "frontend_build"), (("webpack",), None, None, None, "frontend_build"), (("esbuild",), None, None, None, "esbuild"), (("gradle", "gradlew"), None, None, None, "gradle"), (("mvn", "mvnw"), None, None, None, "maven"),
-    (("prisma",), ("migrate",), None, None, "prisma"), (("rake",), ("-T", "--tasks"), None, None, "rake_tasks"), (("npm",), ("ls", "list"), None, None, "package_tree"), (("yarn", "pnpm"), ("list", "ls"), None, None, "package_tree"), (("bun",), ("pm",), ("ls",), None, "package_tree"),
-    (("pnpm",), ("outdated",), None, None, "pnpm_outdated"), (("npm", "pnpm", "yarn", "bun"), _INSTALL, None, None, "install"), (("composer",), ("install", "require", "update", "upgrade", "remove", "create-project"), None, None, "install"),
-    (("pip", "pip3"), ("install",), None, None, "pip_install"), (("uv",), ("sync", "add", "remove", "lock", "tree", "pip"), None, None, "uv"), (("uvx", "poetry", "npx", "bunx"), None, None, None, "package_tool"),
-    (("curl",), None, None, "-v", "curl"), (("docker",), ("ps",), None, None, "docker_ps"), (("docker-compose",), ("ps",), None, None, "docker_ps"), (("docker",), ("compose",), ("ps",), None, "docker_ps"), (("docker",), ("images",), None, None, "docker_images"),
-    (("kubectl",), ("get",), ("pods", "pod", "po"), None, "kubectl_pods"), (("gh",), ("pr", "issue"), ("view",), None, "gh_view"), (("gh",), ("run",), ("list",), None, "gh_run_list"), (("gh",), ("run",), ("view",), None, "gh_run_view"), (("gh",), ("pr",), ("list",), None, "gh_pr_list"),
-    (("gh",), ("search",), None, None, "gh_table"), (("gh",), ("release", "issue"), ("list",), None, "gh_table"), (("acli",), ("jira",), ("workitem",), "view", "acli_view"), (("acli",), ("jira", "confluence"), None, None, "acli_table"), (("pup",), None, None, None, "pup_table"),
-    (("sqlite3",), None, None, None, "sqlite_table"), (("cat", "bat", "batcat"), None, None, None, "outline"), (("mypy",), None, None, None, "mypy"), (("ruff",), None, None, None, "ruff"), (("golangci-lint",), ("run",), None, None, "golangci_lint"),
-    (("rubocop",), None, None, None, "rubocop"), (("eslint", "biome"), None, None, None, "lint"), (("prettier",), None, None, None, "prettier"), (("terraform", "tofu"), ("plan",), None, None, "plan"),
-)
-
-
-def form_of(argv: Column) -> Column:
-    """The form for a command line; null for none, and for a command line whose output must stay as it is."""
-    command, first, second = base(F.get(argv, 0)), F.get(argv, 1), F.get(argv, 2)
-    out = F.when(F.lit(False), F.lit(""))
-    for commands, a, b, option, form in ROUTES:
-        rule = command.isin(*commands)
-        rule = rule & first.isin(*a) if a else rule
-        rule = rule & second.isin(*b) if b else rule
-        out = out.when(rule & F.array_contains(argv, option) if option else rule, form)
-    return F.when(~passthrough(argv), out)
-
-
 def in_shell(argv: Column) -> Column:
     """A shell that runs one text, no dialogue: its output is told by content."""
     return base(F.get(argv, 0)).isin("sh", "bash", "zsh") & F.array_contains(argv, "-c") & ~F.arrays_overlap(argv, F.array(*map(F.lit, ("-i", "--interactive", "-l", "--login"))))

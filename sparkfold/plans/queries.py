@@ -12,7 +12,7 @@ from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
 from sparkfold.operators import captured, checks, commands, generic, git, keep, listing, logs, shell, tables
 from sparkfold import plugins
-from sparkfold.plans import catalog, examples, guards, policy, scripts, synthetic, usage
+from sparkfold.plans import catalog, examples, guards, policy, registry, routes, scripts, synthetic, usage
 from sparkfold.sources.tables import scratch, sessions, stream, table, views
 
 
@@ -258,7 +258,7 @@ def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]
         printed = _capture(spark, sf_dir, scripts.sql(script, False, True))
         if not name:
             return captured.shown(captured.compact(L.render(printed).withColumnRenamed("body", script.stream), script.form))
-        out = getattr({"git": git, "shell": shell, "tables": tables, "keep": keep}[module], name)(printed)
+        out = getattr({"git": git, "shell": shell, "tables": tables, "keep": keep, "listing": listing}[module], name)(printed)
         order = Window.partitionBy("capture_id").orderBy("line_no")
         return out.select("capture_id", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
 
@@ -278,7 +278,7 @@ def command_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def command_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dealt(spark, sf_dir, examples.LINES).select("o_orderkey", policy.form_of(F.col("argv")).alias("form"))
+    return _dealt(spark, sf_dir, examples.LINES).select("o_orderkey", routes.operator_of(F.col("argv")).alias("form"))
 
 
 def command_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,15 +340,32 @@ def plugin_dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", why.alias("disposition"))
 
 
+def _captures(spark: SparkSession, sf_dir: str, rows: tuple) -> DataFrame:
+    """Captures that scripts print, each (script, command line, exit code) of `rows`; capture_id is its number there and the script's own."""
+    views(spark, sf_dir)
+    by_name, printed = {x.name: x for x in scripts.SCRIPTS}, None
+    for name in dict.fromkeys(r[0] for r in rows):
+        one = spark.sql(scripts.sql(by_name[name], False, True)).select(F.struct(F.lit(name).alias("script"), "capture_id").alias("capture_id"), "line_no", "line")
+        printed = one if printed is None else printed.unionByName(one)
+    bodies = L.render(printed)  # one exchange for all scripts
+    dealt = [(k, name, line.split(" "), code, by_name[name].stream) for k, (name, line, code) in enumerate(rows)]
+    lines_ = F.broadcast(spark.createDataFrame(dealt, "case int, script string, argv array<string>, exit_code int, stream string"))  # the rows given
+    both = bodies.select("capture_id.script", F.col("capture_id.capture_id").alias("own"), "body").join(lines_, "script")
+    on = lambda stream: F.when(F.col("stream") == stream, F.col("body")).otherwise("")
+    return both.select(F.struct("case", F.col("own").alias("capture_id")).alias("capture_id"), "argv", on("stdout").alias("stdout"), on("stderr").alias("stderr"), "exit_code", F.lit(False).alias("lossless"))
+
+
 def routed_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures of all scripts through the registry: by command line where there is one, else by content; the family that took each."""
-    out = None
-    for s, line in examples.CAPTURED:
-        script = next(x for x in scripts.SCRIPTS if x.name == s)
-        bodies = L.render(_capture(spark, sf_dir, scripts.sql(script, False, True)))
-        one = bodies.select(F.struct(F.lit(s).alias("script"), "capture_id").alias("capture_id"), F.split(F.lit(line), " ").alias("argv"), F.col("body").alias("stdout"), F.lit("").alias("stderr"), F.lit(0).alias("exit_code"), F.lit(False).alias("lossless"))
-        out = one if out is None else out.unionByName(one)
-    return guards.registry(out).groupBy(F.col("capture_id.script").alias("script"), "filter_name").agg(F.count("*").alias("captures"))
+    shown = registry.registry(_captures(spark, sf_dir, tuple((s, line, 0) for s, line in examples.CAPTURED)))
+    names = F.array(*[F.lit(s) for s, _ in examples.CAPTURED])
+    return shown.groupBy(F.get(names, F.col("capture_id.case")).alias("script"), "filter_name").agg(F.count("*").alias("captures"))
+
+
+def registered_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line that the registry shows of captures of all families, behind runners, of failed commands, and of commands that print something else."""
+    shown = registry.registry(_captures(spark, sf_dir, tuple(r[:3] for r in examples.REGISTERED)))
+    return captured.shown(shown).select(F.col("capture_id.case").cast("long").alias("case_no"), F.col("capture_id.capture_id").alias("capture_id"), "line_no", "line")
 
 
 QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
@@ -356,6 +373,6 @@ QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
         git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, docker_images, grid_rows, live_transitions,
-        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures, usage_effective_records, usage_chains, usage_totals, text_places,
+        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures, registered_captures, usage_effective_records, usage_chains, usage_totals, text_places,
     )
 }

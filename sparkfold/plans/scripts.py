@@ -92,7 +92,7 @@ SCRIPTS = (
         (" 6 files changed, 6 insertions(+)", "  6 files changed, 6 insertions(+)", EVEN))),
     Script("git_show", "git_show", head=(("commit {csha}", None), ("Merge: 123 456", None), ("Author: x", None), ("", None), ("    subject {cust}", "{csha7} subject {cust}"), (None, "p 123 456"), ("    more", "  more"), ("", ""), ("diff --git a/x b/x", "d x"), ("index 1..2 100644", None), ("--- a/x", None), ("+++ b/x", None)),
         each=(("@@ -{id},2 +{id},3 @@ fn f{d}", "@{id},2|{id},3 fn f{d}"), (" a{id}", " a{id}"), ("+b{e}", "+b{e}"))),
-    Script("git_diff", "git_diff", each=(("diff --git a/s{id} b/s{id}", "d s{id}", EVEN), ("diff --git a/s{id} b/t{id}", "d s{id} -> t{id}", ODD), ("similarity index 90%", None, ODD), ("rename from s{id}", None, ODD), ("rename to t{id}", None, ODD), ("index 1..2", None), ("--- a/s{id}", None), ("+++ b/s{id}", None),
+    Script("git_diff", "git.diff", each=(("diff --git a/s{id} b/s{id}", "d s{id}", EVEN), ("diff --git a/s{id} b/t{id}", "d s{id} -> t{id}", ODD), ("similarity index 90%", None, ODD), ("rename from s{id}", None, ODD), ("rename to t{id}", None, ODD), ("index 1..2", None), ("--- a/s{id}", None), ("+++ b/s{id}", None),
         ("@@ -1,2 +1,2 @@", "@1,2|1,2"), ("-{esc}[31mold{esc}[m", "-old"), ("+new {d}", "+new {d}"), ("Binary files a/q and b/q differ", "B", EVEN))),
     Script("git_branch_verbose", "git_branch", head=(("* main     {csha7} [origin/main: gone] last of {cust}", "* main {csha7} @origin/main gone last of {cust}"),), each=(("  b{id}  {sha7} work {id}", "b{id} {sha7} work {id} =o", EVEN), ("  l{id}  {sha7} [origin/l] x", "l{id} {sha7} @origin/l x", ODD), ("  remotes/origin/b{id} {sha7} work", None, EVEN),
         ("  remotes/origin/q{id}", " remotes/origin/q{id}", ODD))),
@@ -158,7 +158,7 @@ SCRIPTS = (
     Script("tree_pipe", "tree_pipe", head=((".", "."), ("├── z", "  z")), each=(("├── f{id}", "~f{id}"),)),
     Script("difference", "difference", odd="Only in x: y", each=(("{id}c{id}", "@{id}c{id}"), ("< old {d}", "-old {d}"), ("---", None), ("> new {d}", "+new {d}"))),
     Script("unified_difference", "difference", odd="Only in x: y", each=(("--- a{id}", "--- a{id}"), ("+++ b{id}", "+++ b{id}"), ("@@ -1,2 +{id},2 @@ f", "@1,2|{id},2 f"), (" same", " same"), ("-x{d}", "-x{d}"), ("+y{d}", "+y{d}"))),
-    Script("wc", "wc", each=(("  {d}  {id}   {e} f{id}.txt", "{d} {id} {e} f{id}.txt"), ("none", "none", ODD))),
+    Script("wc", "listing.word_counts", each=(("  {d}  {id}   {e} f{id}.txt", "{d} {id} {e} f{id}.txt"), ("none", "none", ODD))),
     Script("du_rows", "du_rows", odd="du: denied", each=(("{id}K{tab}/a/{id}", "{id}K{tab}/a/{id}", "o_orderkey < 100"), ("1234{tab}/c{id}", "1200{tab}/c{id}"))),
     Script("curl_trace", "curl_trace", head=(("* Trying 1.2.3.4:80...", "* Trying 1.2.3.4:80..."), ("* TLSv1.3 (OUT)", None), ("* Server certificate:", None), ("*  subject: x", None), ("> GET /c{cust} HTTP/1.1", "> GET /c{cust} HTTP/1.1"), ("{ [5 bytes data]", None)), each=(("< x-{id}: {d}", "< x-{id}: {d}"),)),
     Script("curl", "curl", stream="stderr", head=(("> GET /c{cust} HTTP/1.1", "curl GET h{cust}.x/c{cust} -> HTTP/1.1 200 OK text/html len={n}"), ("> Host: h{cust}.x", None), ("< HTTP/1.1 200 OK", None), ("< Content-Type: text/html; charset=x", None), ("< Content-Length: {n}", None)), each=(("* note {id}", None),)),

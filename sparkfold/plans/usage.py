@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfold.operators import commands
-from sparkfold.plans import catalog, policy
+from sparkfold.plans import catalog, routes
 
 
 def covered_by(command: Column, arguments: Column) -> Column:
@@ -54,7 +54,7 @@ def _behind(usage: DataFrame) -> DataFrame:
     t = behind_runners(usage)
     command, arguments = F.get("argv", 0), F.slice("argv", 2, F.greatest(F.size("argv"), F.lit(1)))
     route = F.when(F.col("chain") != "", "transparent-runner").otherwise(covered_by(command, arguments))
-    return t.withColumn("command", command).withColumn("route", route).withColumn("form", policy.form_of(F.col("argv"))).withColumn("known", command.isin([c for f in catalog.FAMILIES.values() for c in f]))
+    return t.withColumn("command", command).withColumn("route", route).withColumn("form", routes.operator_of(F.col("argv"))).withColumn("known", command.isin([c for f in catalog.FAMILIES.values() for c in f]))
 
 
 def effective_records(usage: DataFrame, least: int = 1) -> DataFrame:

@@ -39,7 +39,7 @@ def test_footers_are_bounded():
 
 def test_transfers_and_merges_of_other_shapes():
     assert git.push("To h:x\nweird line\n") is None and git.push("Everything up-to-date\n") == "= up-to-date\n" and git.push("x\nEverything up-to-date\n") is None
-    assert git.pull("Already up to date.\n") == "@ up-to-date\n"
+    assert git.pull("Already up to date.\n") == "@ up-to-date\n" and git.pull("odd\nAlready up to date.\n") is None and git.status("odd words\n") is None
     assert git.merge("Auto-merging a\nCONFLICT (content): Merge conflict in a/b\nAutomatic merge failed; fix\n") == "! conflict a/b\n! failed\n"
     assert git.commit("nothing here\n") is None and git.stash("stash@{0}: WIP on main: abc1234 did\nstash@{1}: On dev: x\n") == "$0 main abc1234 did\n$1 dev x\n"
     assert git.diff("diff --git a/x b/y\nBinary files a/x and b/y differ\n@@ -1 +1 @@ f\n\\ No newline\n") == "d x -> y\nB\n@1|1 f\n\\ No newline\n"

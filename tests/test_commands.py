@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkfold import plugins
 from sparkfold.operators import commands
-from sparkfold.plans import examples, guards, policy
+from sparkfold.plans import examples, guards, policy, registry, routes
 from sparkfold.streaming import live
 
 
@@ -63,21 +63,65 @@ def test_tables_of_commands(spark):
 
 def test_policies_of_odd_command_lines(spark):
     df = spark.createDataFrame([([],), (["git"],), (None,), ([""],), (["a/b/jq", "."],), (["ls", "--", "-l"],)], "argv array<string>")
-    got = df.select(policy.passthrough(F.col("argv")).alias("p"), policy.form_of(F.col("argv")).alias("f"), policy.stream(F.col("argv")).alias("s")).collect()
+    got = df.select(policy.passthrough(F.col("argv")).alias("p"), routes.operator_of(F.col("argv")).alias("f"), policy.stream(F.col("argv")).alias("s")).collect()
     assert [(r.p, r.f, r.s) for r in got] == [(False, None, "capture"), (False, None, "capture"), (False, None, "capture"), (False, None, "capture"), (True, None, "capture"), (False, "ls", "capture")]
 
 
+SCHEMA = "capture_id long, argv array<string>, stdout string, stderr string, exit_code int, lossless boolean"
+
+
+def _shown(spark, rows):
+    df = spark.createDataFrame([(k, a.split(" ") if isinstance(a, str) else a, o, e, c, False) for k, (a, o, e, c) in enumerate(rows)], SCHEMA)
+    return [(r.out_stdout, r.out_stderr, r.filter_name, r.evidence) for r in registry.registry(df).orderBy("capture_id").collect()]
+
+
 def test_registry(spark):
     log = "commit " + "a" * 40 + "\n\n    s\n"
-    rows = [(1, ["git", "log"], log, "", 0, False), (2, ["git", "log"], log, "", 0, True), (3, ["git", "log"], log, "", 1, False), (4, ["sh", "-c", "x"], log, "", 0, False), (5, ["sh", "-lc", "-i"], log, "", 0, False), (6, ["tool"], "same\n" * 2000, "e", 0, False), (7, ["tool"], log, "", 0, False), (8, ["jest"], "FAIL a\n", "", 1, False)]
-    got = {r.capture_id: (r.out_stdout, r.filter_name) for r in guards.registry(spark.createDataFrame(rows, "capture_id long, argv array<string>, stdout string, stderr string, exit_code int, lossless boolean")).collect()}
-    assert got == {1: ("aaaaaaa s\n", "git"), 2: (log, "passthrough"), 3: (log, "passthrough"), 4: ("aaaaaaa s\n", "git"), 5: (log, "passthrough"), 6: ("same ×2000\n", "generic"), 7: (log, "passthrough"), 8: ("FAIL a\n", "test-tools")}
+    same = lambda o, e="": (o, e, "passthrough", "ByteExact")
+    rows = [
+        ("git log", log, "", 0), ("git log", log, "", 1), ("sh -c x", log, "", 0), (["sh", "-lc", "-i"], log, "", 0), ("tool", "same\n" * 2000, "e", 0), ("tool", log, "", 0), (None, "x", None, None), ([], None, "e\n", 0),
+        ("git status --short", " M a/b.rs\n M a/c.rs\n?? d\n", "", 0), ("git status", "strange words\n", "", 0), ("git status", "", "", 0), ("make", "", "", 2), ("git log --oneline", "abc1234 x\n", "", 0),
+    ]
+    want = [
+        ("aaaaaaa s\n", "", "git", "PotentiallyLossy"), same(log), ("aaaaaaa s\n", "", "git", "PotentiallyLossy"), same(log), ("same ×2000\n", "e", "generic", "FactComplete"), same(log), same("x"), same("", "e\n"),
+        (" M a/b.rs\n M c.rs\n?? d\n", "", "git", "FactComplete"), same("strange words\n"), same("(no changes; git status exited 0 with no output)\n"), same("(make exited 2 with no output)\n"), same("abc1234 x\n"),
+    ]
+    assert _shown(spark, rows) == want
+    assert registry.registry(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_registry_never_says_passed_of_a_failure(spark):
+    same = lambda o, e="": (o, e, "passthrough", "ByteExact")
+    unknown, load = "not a recognized test report\n", "ImportError while loading conftest\n"
+    rows = [(c, o, e, 1) for c in ("cargo test", "npx jest", "uv run pytest", "go test ./...", "node --test", "npm test") for o, e in ((unknown, ""), ("", load))]
+    rows += [("jest", "PASS a\nTests: 3 passed\n", "", 1), ("jest", "PASS a\nTests: 3 passed\n", "", 0), ("jest", "PASS a\nTests: 3 passed\n", "warning\n", 0), ("npm install", "weird line\n", "", 0), ("yarn list", "yarn list v1\n├─ a@1\n│  └─ b@2\n└─ c@3\n", "", 0)]
+    got = _shown(spark, rows)
+    assert got[:12] == [same(unknown), same("", load)] * 6
+    assert got[12:] == [same("PASS a\nTests: 3 passed\n"), ("all tests passed\n", "", "test-tools", "FactComplete"), same("PASS a\nTests: 3 passed\n", "warning\n"), same("weird line\n"), ("yarn list v1\ndeps +2: a@1, c@3\nnested rows x1\n", "", "package", "PotentiallyLossy")]
+
+
+def test_registry_keeps_streams_apart(spark):
+    refs = "From h:x\n   1111111..2222222  main -> origin/main\n"
+    rows = [("git pull", "Already up to date.\n", refs, 0), ("git pull", "odd\n", refs, 0), ("git fetch", "x\n", refs, 0), ("git merge", "Already up to date.\n", "warning: x\n", 0), ("git push", "to stdout\n", "Everything up-to-date\n", 0)]
+    refs_out = "< 1111111..2222222 main -> origin/main\n"
+    assert [r[:2] for r in _shown(spark, rows)] == [("@ up-to-date\n", refs_out), ("odd\n", refs_out), ("x\n", refs), ("Already up to date.\n", "warning: x\n"), ("to stdout\n", "= up-to-date\n")]
+
+
+def test_registry_over_line_tables(spark):
+    tsc = "".join(f"a{k}.ts:1:2 - error TS1: no\n" for k in range(4))
+    rows = [
+        ("uv run npx tsc", tsc, "", 2), ("docker compose logs", "web | x\nweb | x\n", "", 0), ("kubectl logs p", "2024-01-01T10:00:00Z up\n2024-01-01T10:00:01Z up\n", "", 0), ("rg x", "a:1:x\na:2:y\n", "", 0), ("find . -name x", "a/1\na/2\na/3\n", "", 0),
+        ("cmake --build b", "[ 50%] Building\nchatter\n", "", 0), ("terraform plan", "Plan: 1 to add\nx\n", "", 0), ("gh pr list --json a", '{ "a" : [1, 2] }\n', "", 0), ("ps aux", "a  b\na  b\n", "", 0), ("gh pr checks 3", "j\tfail\t1m\thttps://x\n", "", 1), ("pip list", "Package  Version\n-------  ---\na  1\n", "", 0), ("ctest", "words\n", "", 0),
+    ]
+    got = [r[0] for r in _shown(spark, rows)]
+    assert got == ["TS1 x4: a0.ts:1:2, a1.ts:1:2, a2.ts:1:2, ... (1 more)\nno\n", "web| x ×2\n", "up ×2\n", "a:1:x\n:2:y\n", "a/ (3 entries: 1, 2, 3)\n", "[ 50%] Building\n", "Plan: 1 to add\n", '{"a":[1,2]}\n', "a b\n~ x1\n", "1 checks: 1 fail\nj\tfail\t1m\thttps://x\n", "a 1\n", "words\n"]
 
 
 def test_examples_name_forms_that_exist():
     from sparkfold.captures.registry import FORMS
 
-    assert {r[1] for r in examples.LINES if r[1]} <= set(FORMS) and {r[-1] for r in policy.ROUTES} <= set(FORMS) and {r[0] for r in guards.LOOKS} <= set(FORMS)
+    known = set(FORMS) | set(registry.OPERATORS) | {"script_test"}
+    assert {r[1] for r in examples.LINES if r[1]} <= known and {r.operator for r in routes.ROUTES} <= known and {r[0] for r in guards.LOOKS} <= known and set(routes.SEEN) <= known
 
 
 def test_plugins_conform():
