@@ -117,6 +117,13 @@ _CAPTURED = ", ".join(
     f"('{s}', '{_FAMILY[s.split('_')[0]]}', {any(x.name == s and x.odd for x in scripts.SCRIPTS)}, {'--output' in line or '--jq' in line})" for s, line in examples.CAPTURED
 )
 
+_EVENT_NO = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1"
+_LIVE_LOGS = f"""
+WITH l AS (SELECT user_id, {_EVENT_NO} AS line_no, {synthetic.LIVE_LOG_MARK} AS mark, epoch_ms(ts) AS ms FROM events),
+p AS (SELECT *, lag(mark) OVER w AS was, lag(ms) OVER w AS before FROM l WINDOW w AS (PARTITION BY user_id ORDER BY line_no)),
+i AS (SELECT *, sum(CASE WHEN was IS NULL OR was <> mark OR ms - before >= 1800000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY line_no) AS island FROM p)
+SELECT user_id AS capture_id, CAST(min(line_no) AS BIGINT) AS line_no, concat(max(mark), CASE WHEN count(*) > 1 THEN concat(' ×', CAST(count(*) AS VARCHAR)) ELSE '' END) AS line FROM i WHERE mark <> '' GROUP BY user_id, island"""
+
 ORACLES = {s.name: scripts.sql(s, True, False) for s in scripts.SCRIPTS} | {
     "generic_compact": f"WITH {_GENERIC} SELECT * FROM compact",
     "reduction_report": f"WITH {_REPORT} SELECT source, count(*) AS captures, CAST(sum(raw_bytes) AS BIGINT) AS raw_bytes, CAST(sum(displayed_bytes) AS BIGINT) AS displayed_bytes, CAST(sum(greatest(0, raw_bytes - displayed_bytes)) AS BIGINT) AS omitted_bytes, CAST(sum(greatest(0, raw_bytes - displayed_bytes)) * 100 // sum(raw_bytes) AS BIGINT) AS saved_percent FROM report GROUP BY source",
@@ -252,6 +259,21 @@ SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'core-route' WHEN matched
     "routed_captures": f"""
 WITH v(script, family, odd, blocked) AS (VALUES {_CAPTURED}), c AS (SELECT DISTINCT o_custkey AS k FROM orders)
 SELECT script, CASE WHEN blocked OR (odd AND k % 7 = 3) THEN 'passthrough' ELSE family END AS filter_name, count(*) AS captures FROM v CROSS JOIN c GROUP BY 1, 2""",
+    "live_lines": f"""
+WITH l AS (SELECT user_id, {_EVENT_NO} AS line_no, {synthetic.LIVE_LINE} AS line, count(*) OVER (PARTITION BY user_id) AS n FROM events)
+SELECT user_id AS capture_id, CAST(line_no AS BIGINT) AS line_no, line FROM l WHERE line_no + 1 < n OR user_id % 3 = 0""",
+    "live_logs": _LIVE_LOGS,
+    "live_types": f"""
+WITH l AS (SELECT user_id, {_EVENT_NO} AS line_no, event_id, event_type AS t FROM events),
+s AS (SELECT *, coalesce(last_value(CASE t WHEN 'view' THEN true WHEN 'error' THEN false WHEN 'click' THEN false END IGNORE NULLS) OVER w, false) AS clean,
+  coalesce(last_value(CASE t WHEN 'error' THEN true WHEN 'view' THEN false WHEN 'click' THEN false END IGNORE NULLS) OVER w, false) AS detail
+  FROM l WINDOW w AS (PARTITION BY user_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id AS capture_id, CAST(line_no AS BIGINT) AS line_no, CASE t WHEN 'error' THEN concat('src/f', CAST(event_id AS VARCHAR), '.ts:1:1 TS2: x') WHEN 'view' THEN 'clean (0 errors)' WHEN 'click' THEN 'Found 1 error. Watching for file changes.'
+  WHEN 'signup' THEN '' ELSE 'File change detected. Starting incremental compilation...' END AS line FROM s WHERE t IN ('error', 'click') OR (t = 'view' AND NOT clean) OR (t NOT IN ('error', 'click', 'view') AND detail)""",
+    "live_frames": f"""
+WITH l AS (SELECT user_id, {_EVENT_NO} AS k, event_type AS t FROM events), d AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY k) AS was FROM l)
+SELECT user_id AS capture_id, CAST(2 * k + 1 AS BIGINT) AS line_no, unnest(CASE WHEN t = 'view' THEN ['all tests passed'] ELSE [concat('FAIL t-', t), 'Tests: 1 failed'] END) AS line FROM d WHERE was IS NULL OR was <> t""",
+    "live_bytes": f"""SELECT (SELECT CAST(sum(strlen({synthetic.LIVE_LOG})) AS BIGINT) FROM events) AS bytes_in, (SELECT CAST(sum(strlen(line)) AS BIGINT) FROM ({_LIVE_LOGS})) AS bytes_shown""",
     "registered_captures": "\nUNION ALL ".join(
         f"SELECT CAST({k} AS BIGINT) AS case_no, capture_id, line_no, line FROM ({scripts.sql(next(x for x in scripts.SCRIPTS if x.name == name), shown, False)})" for k, (name, _, _, shown) in enumerate(examples.REGISTERED)
     ),

@@ -3,6 +3,7 @@ them (synthetic.py)."""
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,7 +14,8 @@ from sparkfold.functions import text as T
 from sparkfold.operators import captured, checks, commands, generic, git, keep, listing, logs, shell, tables
 from sparkfold import plugins
 from sparkfold.plans import catalog, examples, guards, policy, registry, routes, scripts, synthetic, usage
-from sparkfold.sources.tables import scratch, sessions, stream, table, views
+from sparkfold.sources.tables import scratch, sessions, stream, table, views, written
+from sparkfold.streaming import sides
 
 
 def _capture(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -250,6 +252,77 @@ def live_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("capture_id long, line_no long, change string").parquet(f"{out}/rows")
 
 
+def _followed(spark: SparkSession, chunks: DataFrame, shown: sides.Shown | None, counter: sides.ByteCounter | None = None) -> DataFrame:
+    """What is shown of chunks that come in three batches (column `batch`): each is written, then the query goes on from its checkpoint. Event time is the
+    clock, half an hour of silence its idle time."""
+    at = scratch(spark)
+    chunks = written(chunks)
+    for batch in range(3):
+        chunks.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{at}/in")
+        stream_ = spark.readStream.schema(chunks.drop("batch").schema).parquet(f"{at}/in").withWatermark("at", "1 hour")
+        stream_ = sides.counted(stream_, "in", "bytes") if counter else stream_
+        out = sides.sides(stream_, shown, "EventTime", idle=1_800_000)
+        out = sides.counted(out, "shown", "line") if counter else out
+        with sides.state_store(spark):
+            query = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+            run = str(query.runId)
+            query.awaitTermination()
+        for _ in range(600):  # listeners are told afterwards
+            if counter is None or run in counter.ended:
+                break
+            time.sleep(0.05)
+    rows = spark.read.schema("capture_id long, side string, line_no long, line binary, raw boolean, incomplete boolean").parquet(f"{at}/out")
+    return rows.select("capture_id", "line_no", F.col("line").cast("string").alias("line"))
+
+
+def _printed_by_events(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A chunk for each event of a user, holding the SQL `text`, at the event's time; then one that ends the user's stream."""
+    views(spark, sf_dir)
+    return spark.sql(f"""
+        WITH b AS (SELECT CAST(min(ts) AS TIMESTAMP) AS lo, CAST(max(ts) AS TIMESTAMP) AS hi FROM events),
+        c AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, encode({text}, 'UTF-8') AS bytes FROM events),
+        e AS (SELECT user_id, (SELECT hi FROM b) + INTERVAL 1 SECOND, count(*), CAST(NULL AS BINARY), true FROM c GROUP BY user_id),
+        a AS (SELECT user_id, ts, seq, bytes, false AS ended FROM c UNION ALL SELECT * FROM e)
+        SELECT user_id AS capture_id, 'stdout' AS side, CAST(seq AS BIGINT) AS seq, ts AS at, bytes, ended, false AS exited,
+               CAST(least(2, floor(3 * (unix_micros(ts) - unix_micros(lo)) / (unix_micros(hi) - unix_micros(lo) + 1))) AS INT) AS batch FROM a CROSS JOIN b""")
+
+
+def live_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of byte streams that are cut every 61 bytes, within characters and line ends; a third of them end, the others keep their last line."""
+    views(spark, sf_dir)
+    body = f"encode(concat_ws('\n', transform(sort_array(collect_list(struct(ts, event_id, {synthetic.LIVE_LINE} AS line))), x -> x.line)), 'UTF-8')"
+    chunks = spark.sql(f"""
+        WITH b AS (SELECT user_id, {body} AS body FROM events GROUP BY user_id),
+        c AS (SELECT user_id, body, CAST(ceil(octet_length(body) / 61) AS INT) AS n, explode(sequence(0, CAST(ceil(octet_length(body) / 61) AS INT) - 1)) AS seq FROM b)
+        SELECT user_id AS capture_id, 'stdout' AS side, CAST(seq AS BIGINT) AS seq, timestamp_seconds(1704067200 + seq) AS at, substring(body, 61 * seq + 1, 61) AS bytes, seq + 1 = n AND user_id % 3 = 0 AS ended, false AS exited,
+               least(2, seq DIV 8) AS batch FROM c""")
+    return _followed(spark, chunks, None)
+
+
+def live_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, _printed_by_events(spark, sf_dir, synthetic.LIVE_LOG), sides.log_runs())
+
+
+def live_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, _printed_by_events(spark, sf_dir, synthetic.LIVE_TYPES), sides.type_checks())
+
+
+def live_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _followed(spark, _printed_by_events(spark, sf_dir, synthetic.LIVE_FRAMES), sides.test_frames())
+
+
+def live_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that came in and bytes that were shown of live logs, as a listener saw them go by."""
+    counter = sides.ByteCounter()
+    spark.streams.addListener(counter)
+    try:
+        _followed(spark, _printed_by_events(spark, sf_dir, synthetic.LIVE_LOG), sides.log_runs(), counter)
+    finally:
+        spark.streams.removeListener(counter)
+    ((own, seen),) = counter.bytes.items()
+    return spark.createDataFrame([(seen["in"], seen["shown"])], "bytes_in long, bytes_shown long")
+
+
 def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]:
     """What is shown of the captures that a script prints: capture_id, line_no, line."""
     module, _, name = script.form.partition(".")
@@ -373,6 +446,6 @@ QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
         git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, docker_images, grid_rows, live_transitions,
-        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures, registered_captures, usage_effective_records, usage_chains, usage_totals, text_places,
+        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures, registered_captures, live_lines, live_logs, live_types, live_frames, live_bytes, usage_effective_records, usage_chains, usage_totals, text_places,
     )
 }

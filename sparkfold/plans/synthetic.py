@@ -110,3 +110,13 @@ SELECT n_regionkey AS capture_id, CAST(row_number() OVER (PARTITION BY n_regionk
        CASE WHEN n_nationkey IN (SELECT min(n_nationkey) FROM nation GROUP BY n_regionkey) OR n_nationkey IN (SELECT max(n_nationkey) FROM nation GROUP BY n_regionkey) THEN '+----+-------+' WHEN n_regionkey = 3 AND n_nationkey % 2 = 0 THEN 'oops'
             ELSE concat('| ', CAST(n_nationkey AS VARCHAR(9)), '  | ', n_name, ' |') END AS line
 FROM nation"""
+
+#: What followed commands print about an event: a line, a log line, a line of a type check, a frame of a test runner.
+LIVE_LINE = "concat('é', event_type, ' ', CAST(event_id AS VARCHAR(20)), CASE WHEN event_id % 5 = 0 THEN chr(13) ELSE '' END)"
+LIVE_LOG_MARK = "CASE WHEN event_id % 23 = 0 THEN '' WHEN event_type IN ('view', 'click') THEN 'busy' ELSE event_type END"
+LIVE_LOG = f"concat(CASE WHEN event_id % 23 = 0 THEN '' ELSE concat('2024-01-01 10:00:1', CAST(event_id % 10 AS VARCHAR(20)), ' ', {LIVE_LOG_MARK}) END, chr(10))"
+LIVE_TYPES = (
+    "concat(CASE event_type WHEN 'error' THEN concat('src/f', CAST(event_id AS VARCHAR(20)), '.ts:1:1 - error TS2: x') WHEN 'view' THEN 'Found 0 errors. Watching for file changes.' "
+    "WHEN 'click' THEN 'Found 1 error. Watching for file changes.' WHEN 'signup' THEN '' ELSE 'File change detected. Starting incremental compilation...' END, chr(10))"
+)
+LIVE_FRAMES = "concat(chr(27), '[2J', CASE WHEN event_type = 'view' THEN concat('PASS x', chr(10), 'Tests: 2 passed') ELSE concat('FAIL t-', event_type, chr(10), 'Tests: 1 failed') END, chr(10))"

@@ -1,4 +1,4 @@
-"""The log operators on live streams, with explicit state per capture. Arrival order is the only clock: rows carry `line_no`."""
+"""Steps of the operators on followed commands (sides.py runs them on byte streams), job states, and which operator takes a command."""
 
 from __future__ import annotations
 
@@ -13,54 +13,19 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sparkfold.captures import runners
 from sparkfold.captures.shape import plain
+from sparkfold.operators.commands import logical
 from sparkfold.plans.policy import base
 
 _ANSI = re.compile(r"\x1b(?:\[[^@-~]*[@-~]?|\][^\x07\x1b]*(?:\x07|\x1b\\)?|[\s\S])?")
 _TIME = re.compile(r"^\d{4}-\d{2}-\d{2}(?: \d{2}:\d{2}:\d{2})?[^ \t]*[ \t]*")
-#: A line of so many bytes, or more, turns a capture's stream into plain passage for good.
-LONGEST = 64 * 1024
 
 
-def collapse(stream: DataFrame, idle: str = "2000") -> DataFrame:
-    """`stream` has capture_id, line_no, line. Runs of lines that differ only in their timestamp come out once, with their number, when another
-    line, an empty line, or `idle` milliseconds end them."""
+def without_escapes(line: str) -> str:
+    return _ANSI.sub("", line)
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, line, mark, n, raw = state.get if state.exists else (0, "", "", 0, False)
-        out: list[tuple] = []
-
-        def flush() -> None:
-            nonlocal n
-            if n:
-                out.append((key[0], first, _TIME.sub("", line), n))
-            n = 0
 
-        if state.hasTimedOut:
-            flush()
-        else:
-            rows = pd.concat(list(frames)).sort_values("line_no")
-            for no, text in zip(rows["line_no"].tolist(), rows["line"].tolist()):
-                if raw or len(text.encode()) >= LONGEST:
-                    flush()
-                    raw = True
-                    out.append((key[0], no, text, 1))
-                    continue
-                clean = _ANSI.sub("", text).rstrip(" \t\n\f\r")
-                own = _TIME.sub("", clean)
-                if clean and n and own == mark:
-                    n += 1
-                    continue
-                flush()
-                if clean:
-                    first, line, mark, n = no, clean, own, 1
-        state.update((int(first), line, mark, int(n), bool(raw)))
-        if n:
-            state.setTimeoutDuration(int(idle))
-        yield pd.DataFrame(out, columns=["capture_id", "line_no", "line", "n"])
-
-    return stream.groupBy("capture_id").applyInPandasWithState(
-        step, "capture_id long, line_no long, line string, n long", "first long, line string, mark string, n long, raw boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
+def without_time(line: str) -> str:
+    return _TIME.sub("", line)
 
 
 def transitions(stream: DataFrame) -> DataFrame:
@@ -69,8 +34,8 @@ def transitions(stream: DataFrame) -> DataFrame:
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         known = json.loads(state.get[0]) if state.exists else {}
         out = []
-        rows = pd.concat(list(frames)).sort_values("line_no")
-        for no, job, status in zip(rows["line_no"].tolist(), rows["job"].tolist(), rows["status"].tolist()):
+        rows = sorted(r for f in frames for r in zip(f["line_no"].tolist(), f["job"].tolist(), f["status"].tolist()))
+        for no, job, status in rows:
             was = known.get(job)
             if was != status:
                 out.append((key[0], no, f"{job}: {status}" if was is None else f"{job}: {was}->{status}"))
@@ -82,37 +47,19 @@ def transitions(stream: DataFrame) -> DataFrame:
 
 
 def kind(argv: Column) -> Column:
-    """Which live operator takes a followed command: tsc, jest, gh, logs, compose logs, or raw for logs whose metadata was asked for."""
-    command = base(F.get(argv, 0))
-    compose = (command == "docker-compose") | ((command == "docker") & (F.get(argv, 1) == "compose"))
-    kept = F.exists(argv, lambda x: F.regexp_like(x, F.lit(r"^(?:-t|(?:--timestamps|--details|--prefix|--no-log-prefix)(?:=.*)?)$")))
-    return F.when(command == "tsc", "tsc").when(command.isin("jest", "vitest"), "jest").when(command == "gh", "gh").when(kept, "raw").when(F.coalesce(compose, F.lit(False)), "compose").otherwise("logs")
-
-
-def _live(stream: DataFrame, fresh: dict, step, idle: int | None = None) -> DataFrame:
-    """capture_id, line_no, line of a function step(state, line_no, line, out), or step(state, None, None, out) when `idle` milliseconds went by; the
-    state is a dict of plain values."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own = json.loads(state.get[0]) if state.exists else dict(fresh)
-        out: list[tuple] = []
-        if state.hasTimedOut:
-            step(own, None, None, out)
-        else:
-            for frame in frames:
-                part = frame.sort_values("line_no")
-                for no, line in zip(part["line_no"].tolist(), part["line"].tolist()):
-                    step(own, int(no), line or "", out)
-        state.update((json.dumps(own),))
-        if idle and own["frame"]:  # else a silent stream would be woken for ever
-            state.setTimeoutDuration(idle)
-        yield pd.DataFrame([(key[0], *o) for o in out], columns=["capture_id", "line_no", "line"])
+    """Which live operator takes a followed command, behind its runners: tsc, jest, gh, logs, compose logs, or raw for logs whose metadata was asked for."""
+
+    def told(a: Column) -> Column:
+        command = base(F.get(a, 0))
+        compose = (command == "docker-compose") | ((command == "docker") & (F.get(a, 1) == "compose"))
+        kept = F.exists(a, lambda x: F.regexp_like(x, F.lit(r"^(?:-t|(?:--timestamps|--details|--prefix|--no-log-prefix)(?:=.*)?)$")))
+        by_name = F.when(command == "tsc", "tsc").when(command.isin("jest", "vitest"), "jest").when(command == "gh", "gh")
+        return by_name.when(kept, "raw").when(F.coalesce(compose, F.lit(False)), "compose").otherwise("logs")
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return stream.groupBy("capture_id").applyInPandasWithState(run, "capture_id long, line_no long, line string", "state string", "append", timeout)
+    return F.transform(F.array(F.coalesce(logical(argv)["argv"], argv)), told)[0]
 
 
-def _tsc_step(own: dict, no: int | None, line: str | None, out: list) -> None:
+def tsc_step(own: dict, no: int | None, line: str | None, out: list) -> None:
     core = plain(line).strip(" \t\n\f\r")
     if own["raw"] or (not core and own["detail"]):
         out.append((no, line))
@@ -133,16 +80,11 @@ def _tsc_step(own: dict, no: int | None, line: str | None, out: list) -> None:
         out.append((no, line))
 
 
-def type_check(stream: DataFrame) -> DataFrame:
-    """Diagnostics of a type checker that watches; that all is well comes once per change. A line of an unknown shape ends the shortening for good."""
-    return _live(stream, {"clean": False, "detail": False, "raw": False}, _tsc_step)
-
-
 #: A frame of so many bytes, or one that is none of a test runner, turns a stream into plain passage for good.
 FRAME = 512 * 1024
 
 
-def _frame_step(own: dict, no: int | None, line: str | None, out: list) -> None:
+def frame_step(own: dict, no: int | None, line: str | None, out: list) -> None:
     def flush() -> None:
         text, own["frame"] = "".join(f"{x}\n" for x in own["frame"]), []
         if not text:
@@ -170,9 +112,3 @@ def _frame_step(own: dict, no: int | None, line: str | None, out: list) -> None:
         own.update(frame=[], last="", raw=True)
     else:
         own["frame"].append(line)
-
-
-def test_frames(stream: DataFrame, idle: int = 2000) -> DataFrame:
-    """Frames of a test runner that watches, each up to the next clearing of the screen or `idle` milliseconds of silence, where they differ from
-    the frame before."""
-    return _live(stream, {"frame": [], "last": "", "raw": False, "no": 0}, _frame_step, idle)

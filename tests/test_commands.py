@@ -1,14 +1,14 @@
 """Command lines, policies, plugins, and the live operators step by step and over several batches."""
 
+import datetime
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from sparkfold import plugins
 from sparkfold.operators import commands
 from sparkfold.plans import examples, guards, policy, registry, routes
-from sparkfold.streaming import live
+from sparkfold.streaming import live, sides
 
 
 def _programs(spark, *texts):
@@ -145,38 +145,88 @@ def _steps(step, fresh, rows):
 
 def test_type_check_steps():
     rows = ["Starting compilation in watch mode...", "", "a.ts:1:2 - error TS1: no", "", "  x = 1", "Found 1 error. Watching", "", "File change detected. Starting incremental compilation...", "Found 0 errors.", "Found 0 errors.", "odd", "Found 0 errors."]
-    assert _steps(live._tsc_step, {"clean": False, "detail": False, "raw": False}, rows) == [(2, "a.ts:1:2 TS1: no"), (3, ""), (4, "  x = 1"), (5, "Found 1 error. Watching"), (8, "clean (0 errors)"), (10, "odd"), (11, "Found 0 errors.")]
+    assert _steps(live.tsc_step, {"clean": False, "detail": False, "raw": False}, rows) == [(2, "a.ts:1:2 TS1: no"), (3, ""), (4, "  x = 1"), (5, "Found 1 error. Watching"), (8, "clean (0 errors)"), (10, "odd"), (11, "Found 0 errors.")]
 
 
 def test_frame_steps():
     fresh = lambda: {"frame": [], "last": "", "raw": False, "no": 0}
-    assert _steps(live._frame_step, fresh(), ["FAIL a", "Tests: 1 failed", "\x1b[2JFAIL a", "Tests: 1 failed", None, "\x1b[HPASS x", "Tests: 2 passed", None]) == [(1, "FAIL a"), (1, "Tests: 1 failed"), (6, "all tests passed")]  # the second frame says the same
-    assert _steps(live._frame_step, fresh(), ["words", None, "more"]) == [(0, "words"), (2, "more")]
+    assert _steps(live.frame_step, fresh(), ["FAIL a", "Tests: 1 failed", "\x1b[2JFAIL a", "Tests: 1 failed", None, "\x1b[HPASS x", "Tests: 2 passed", None]) == [(1, "FAIL a"), (1, "Tests: 1 failed"), (6, "all tests passed")]  # the second frame says the same
+    assert _steps(live.frame_step, fresh(), ["words", None, "more"]) == [(0, "words"), (2, "more")]
     big = "x" * (live.FRAME // 2)
-    assert [k for k, _ in _steps(live._frame_step, fresh(), [big, big, "y"])] == [1, 1, 2]
+    assert [k for k, _ in _steps(live.frame_step, fresh(), [big, big, "y"])] == [1, 1, 2]
 
 
-@pytest.mark.parametrize("operator", ["type_check", "transitions"])
-def test_live_operators_over_batches(spark, tmp_path, operator):
+def _written(spark, path, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_transitions_over_batches(spark, tmp_path):
     """The same rows in one file and in three, read one file at a time."""
-    rows = {
-        "type_check": ["a.ts:1:2 - error TS1: no", "Found 1 error.", "Found 0 errors.", "Found 0 errors.", "b.ts:1:2 - error TS2: x", "Found 0 errors."], "transitions": ["run", "run", "fail", "fail", "pass", "pass"],
-    }[operator]
-    made = []
+    rows, made, schema = ["run", "run", "fail", "fail", "pass", "pass"], [], "capture_id long, line_no long, job string, status string"
     for parts in (1, 3):
-        path = str(tmp_path / f"in{parts}")
-        size = len(rows) // parts
+        path, size = str(tmp_path / f"in{parts}"), len(rows) // parts
         for p in range(parts):
-            part = [(7, k, line, "j", line) for k, line in list(enumerate(rows))[p * size : (p + 1) * size]]
-            spark.createDataFrame(part, "capture_id long, line_no long, line string, job string, status string").coalesce(1).write.mode("append").parquet(path)
-        stream = spark.readStream.schema("capture_id long, line_no long, line string, job string, status string").option("maxFilesPerTrigger", 1).parquet(path)
-        query = getattr(live, operator)(stream).writeStream.format("parquet").option("path", str(tmp_path / f"out{parts}")).option("checkpointLocation", str(tmp_path / f"state{parts}")).trigger(availableNow=True).start()
+            _written(spark, path, [(7, k, "j", s) for k, s in list(enumerate(rows))[p * size : (p + 1) * size]], schema)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        query = live.transitions(stream).writeStream.format("parquet").option("path", str(tmp_path / f"out{parts}")).option("checkpointLocation", str(tmp_path / f"state{parts}")).trigger(availableNow=True).start()
         assert query.awaitTermination(60)
         made.append(sorted(map(tuple, spark.read.parquet(str(tmp_path / f"out{parts}")).collect())))
     assert made[0] == made[1] and made[0]
 
 
+CHUNKS = "capture_id long, side string, seq long, at timestamp, bytes binary, ended boolean, exited boolean"
+
+
+def _at(ms):
+    return datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(milliseconds=ms)
+
+
+def _sides(spark, tmp_path, batches, shown=None, **more):
+    """Rows out of batches of chunks (capture, side, seq, ms, bytes, ended, exited), each run to its end from the same checkpoint, on event time."""
+    at = str(tmp_path / f"sides{len(list(tmp_path.iterdir()))}")
+    for batch in batches:
+        _written(spark, at + "/in", [(c, s, q, _at(ms), b, e, x) for c, s, q, ms, b, e, x in batch], CHUNKS)
+        stream = spark.readStream.schema(CHUNKS).parquet(at + "/in").withWatermark("at", "0 seconds")
+        with sides.state_store(spark):
+            query = sides.sides(stream, shown, "EventTime", **more).writeStream.format("parquet").option("path", at + "/out").option("checkpointLocation", at + "/state").trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+    return sorted((r.capture_id, r.side, r.line_no, bytes(r.line), r.raw, r.incomplete) for r in spark.read.parquet(at + "/out").collect())
+
+
+def test_lines_of_cut_streams(spark, tmp_path):
+    text = "é one\r\n\nthree\nno end".encode()
+    cut = [(1, "out", k, k, text[3 * k : 3 * k + 3], 3 * k + 3 >= len(text), False) for k in range(-(-len(text) // 3))]
+    other = [(1, "err", 0, 0, b"a\nleft", False, False), (2, "out", 0, 0, None, False, False), (2, "out", 1, 1, b"x" * 70 + b"\nnext\nmore", False, False), (2, "out", 2, 2, b"\nrest", True, False)]
+    want = [(1, "err", 0, b"a", False, False), *[(1, "out", k, x, False, False) for k, x in enumerate(text.split(b"\n"))], (2, "out", 0, b"x" * 70 + b"\nnext\nmore", True, False), (2, "out", 1, b"\nrest", True, False)]
+    assert _sides(spark, tmp_path, [cut[::-1] + other], longest=64) == want
+    # Chunks that come too early wait for those before them, also over batches; known ones are not taken twice.
+    later = [cut[1:4], cut[:1] + cut[:1] + other, cut[4:]]
+    shifted = [[(c, s, q, 1000 * k + ms, b, e, x) for c, s, q, ms, b, e, x in batch] for k, batch in enumerate(later)]
+    assert _sides(spark, tmp_path, shifted, longest=64) == want
+
+
+def test_silence_and_exits_by_timers(spark, tmp_path):
+    """Time is advanced by another capture's chunks."""
+    clock = lambda ms: (9, "out", ms, ms, b"", False, False)
+    busy = [(1, "out", 0, 0, b"up\nup\n", False, False), (2, "out", 0, 0, b"part", False, True), (3, "out", 0, 0, b"up\n", False, False)]
+    first = _sides(spark, tmp_path, [[*busy, clock(1)], [clock(1500)]], sides.log_runs())
+    assert first == [(2, "out", 0, b"part", False, False), (2, "out", 1, b"", False, True)]  # the grace of an exit is over, two seconds are not
+    later = [(1, "out", 1, 9000, b"up\n", True, False)]
+    got = _sides(spark, tmp_path, [[*busy, clock(1)], [clock(1500)], [clock(4000)], [*later, (3, "out", 1, 9000, b"", True, False)]], sides.log_runs())
+    assert [r for r in got if r[0] != 2] == [(1, "out", 0, "up ×2".encode(), False, False), (1, "out", 2, b"up", False, False), (3, "out", 0, b"up", False, False)]
+
+
+def test_type_checks_and_frames_over_batches(spark, tmp_path):
+    rows = [b"a.ts:1:2 - error TS1: no\n", b"Found 1 error.\n", b"Found 0 errors.\n", b"Found 0 errors.\n", b"b.ts:1:2 - error TS2: x\n", b"Found 0 errors.\n"]
+    chunks = [(1, "out", k, k, b, k == 5, False) for k, b in enumerate(rows)]
+    whole, parts = (_sides(spark, tmp_path, b, sides.type_checks()) for b in ([chunks], [chunks[:2], chunks[2:3], chunks[3:]]))
+    assert whole == parts and [r[3] for r in whole] == [b"a.ts:1:2 TS1: no", b"Found 1 error.", b"clean (0 errors)", b"b.ts:1:2 TS2: x", b"clean (0 errors)"]
+    frames = [b"\x1b[2JFAIL a\nTests: 1 failed\n", b"\x1b[2JFAIL a\nTests: 1 failed\n", b"\x1b[HPASS x\nTests: 2 passed\n"]
+    chunks = [(1, "out", k, 100 * k, b, k == 2, False) for k, b in enumerate(frames)]
+    assert [r[2:4] for r in _sides(spark, tmp_path, [chunks[:1], chunks[1:]], sides.test_frames())] == [(1, b"FAIL a"), (1, b"Tests: 1 failed"), (5, b"all tests passed")]
+
+
 def test_live_kinds(spark):
-    lines = ["tsc -w", "npx tsc", "jest --watch", "gh run watch", "docker compose logs -f", "docker logs -f x", "docker logs -f --timestamps x", "kubectl logs -f --prefix=true x"]
+    lines = ["tsc -w", "npx tsc", "uv run jest --watch", "gh run watch", "docker compose logs -f", "docker logs -f x", "docker logs -f --timestamps x", "kubectl logs -f --prefix=true x"]
     got = spark.createDataFrame([(k, x.split()) for k, x in enumerate(lines)], "k long, argv array<string>").orderBy("k").select(live.kind(F.col("argv")).alias("kind")).collect()
-    assert [r.kind for r in got] == ["tsc", "logs", "jest", "gh", "compose", "logs", "raw", "raw"]
+    assert [r.kind for r in got] == ["tsc", "tsc", "jest", "gh", "compose", "logs", "raw", "raw"]
