@@ -251,6 +251,7 @@ UNION ALL SELECT n, 0, 'images 0' FROM (SELECT n_nationkey AS n FROM nation UNIO
     "command_programs": f"""SELECT o_orderkey, CAST(unnest(range(len(p))) AS BIGINT) AS ord, unnest(p) AS program FROM ({_dealt(examples.TEXTS, "string_split(c3, '/') AS p", "c3 IS NOT NULL")})""",
     "command_rewrites": _dealt(examples.LINES, f"concat({_WRAPPED}, {_QUOTED}) AS rewritten"),
     "session_commands": "SELECT event_id, concat('run ', event_type) AS command FROM events WHERE event_id % 4 < 3",
+    "session_database": "SELECT conv_id, turn, concat('echo ', CAST(conv_id AS VARCHAR), ' ', CAST(length(text) AS VARCHAR)) AS command FROM conversations WHERE role = 'user'",
     "plugin_forms": "SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 2 THEN 'ok' ELSE concat('order ', CAST(o_orderkey AS VARCHAR), ' of a long text') END AS out_stdout, CASE o_orderkey % 8 WHEN 0 THEN 'good' WHEN 1 THEN 'facts' END AS plugin_id, CASE o_orderkey % 8 WHEN 0 THEN 'PotentiallyLossy' WHEN 1 THEN 'FactComplete' ELSE 'ByteExact' END AS evidence FROM orders",
     "plugin_dispositions": """
 WITH k AS (SELECT o_orderkey, o_orderkey % 5 AS p, o_orderkey % 3 <> 0 AS matched FROM orders)

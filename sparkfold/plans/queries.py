@@ -14,6 +14,7 @@ from sparkfold.functions import text as T
 from sparkfold.operators import captured, checks, commands, generic, git, keep, listing, logs, shell, tables
 from sparkfold import plugins
 from sparkfold.plans import catalog, examples, guards, policy, registry, routes, scripts, synthetic, usage
+from sparkfold.sources import databases
 from sparkfold.sources.tables import scratch, sessions, stream, table, views, written
 from sparkfold.streaming import sides
 
@@ -391,6 +392,21 @@ def session_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return commands.tool_calls(found, "event_id", "record")
 
 
+def session_database(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of session databases that the turns of conversations are written to: a call of a shell for each turn of a user, other records for the others."""
+    c = table(spark, sf_dir, "conversations")
+    own = F.concat(F.lit('"conv": '), F.col("conv_id").cast("string"), F.lit(', "turn": '), F.col("turn").cast("string"))
+    command = F.concat(F.lit("echo "), F.col("conv_id").cast("string"), F.lit(" "), F.length("text").cast("string"))
+    shell_call = F.concat(F.lit("{"), own, F.lit(', "type": "tool", "tool": "bash", "state": {"input": {"command": "'), command, F.lit('"}}}'))
+    other = F.when(F.col("turn") % 2 == 0, F.lit("no record")).otherwise(F.concat(F.lit("{"), own, F.lit(', "type": "tool", "tool": "read", "state": {"input": {"command": "x"}}}')))
+    at = scratch(spark)
+    databases.write(c.select(F.when(F.col("role") == "user", shell_call).otherwise(other).alias("data")), at)
+    found = databases.records(spark, at)
+    said = databases.shell_commands(found).join(found.select("path", "row", "data"), ["path", "row"])
+    record = F.try_parse_json("data")
+    return said.select(F.try_variant_get(record, "$.conv", "long").alias("conv_id"), F.try_variant_get(record, "$.turn", "long").alias("turn"), "command")
+
+
 def plugin_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plugins that keep the rules, break each of them, decline, or fail, over captures that the orders stand for."""
     import base64
@@ -446,6 +462,6 @@ QUERIES = {s.name: scripted(s) for s in scripts.SCRIPTS} | {
     for f in (
         generic_compact, reduction_report, reduction_gate, pipe_signals, pipe_route, text_functions, json_minify, docker_logs, compose_logs, job_transitions, grep_matches, find_paths, du_top, rg_matches, rg_files, file_slice,
         git_status_short, git_reflog, git_branches, tsc_errors, kubectl_pods, gh_checks, pip_table, columnar_rows, usage_commands, usage_git, usage_effective, usage_sources, plugin_routes, catalog_audit, parity_check, guard_fall_open, tool_lines, buildkit_steps, docker_ps, shell_chains, docker_images, grid_rows, live_transitions,
-        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, plugin_forms, plugin_dispositions, routed_captures, registered_captures, live_lines, live_logs, live_types, live_frames, live_bytes, usage_effective_records, usage_chains, usage_totals, text_places,
+        command_policy, command_forms, command_streams, runner_commands, command_words, command_programs, command_rewrites, session_commands, session_database, plugin_forms, plugin_dispositions, routed_captures, registered_captures, live_lines, live_logs, live_types, live_frames, live_bytes, usage_effective_records, usage_chains, usage_totals, text_places,
     )
 }
