@@ -95,10 +95,10 @@ FORMS: dict[str, Form] = {
     "ls_long": Form("listing", _out(listings.ls_long), LOSSY), "ls": Form("listing", _out(listings.ls), LOSSY), "ls_columns": Form("listing", _out(lambda text: listings.ls(text, True)), LOSSY),
     "find_long": Form("listing", _out(listings.find_long), LOSSY), "tree": Form("listing", _out(listings.tree), LOSSY), "tree_pipe": Form("listing", _out(listings.tree_pipe)), "difference": Form("listing", _out(listings.difference), FACTS, FACTS),
     "file_slice": Form("listing", _out(listings.file_slice), LOSSY), "wc": Form("listing", _out(listings.wc)), "du": Form("listing", _out(listings.du), LOSSY), "du_rows": Form("listing", _out(lambda text: listings.du(text, False)), LOSSY),
-    "curl": Form("infra", lambda o, e, code: (services.curl(o, e), "") if e else None), "curl_trace": Form("infra", _out(services.curl_trace)), "docker_ps": Form("infra", _out(services.docker_ps)), "docker_images": Form("infra", _out(services.docker_images)),
-    "kubectl_pods": Form("infra", _out(services.kubectl_pods)), "gh_view": Form("infra", _out(services.view)), "gh_run_list": Form("infra", _out(services.run_list)), "gh_run_view": Form("infra", _out(services.run_view)),
-    "gh_pr_list": Form("infra", _out(services.pr_list)), "gh_table": Form("infra", _out(services.ragged)), "acli_table": Form("infra", _out(services.table)), "acli_view": Form("infra", _out(services.ticket)),
-    "pup_table": Form("data", _out(tabular.bars), LOSSY), "sqlite_table": Form("data", _out(tabular.ruled), LOSSY), "outline": Form("data", _out(tabular.outline), LOSSY),
+    "curl": Form("infra", lambda o, e, code: (services.curl(o, e), "") if e else None), "curl_trace": Form("infra", _out(services.curl_trace)), 
+    "gh_view": Form("infra", _out(services.view)), "gh_run_view": Form("infra", _out(services.run_view)),
+    "acli_view": Form("infra", _out(services.ticket)),
+    "outline": Form("data", _out(tabular.outline), LOSSY),
     "fold_prefixes": Form("data", _out(tabular.fold_prefixes)), "fold_blanks": Form("data", _out(tabular.fold_blanks)),
     "mypy": Form("diagnostics", _strict(diagnostics.mypy), FACTS, FACTS), "ruff": Form("diagnostics", _strict(diagnostics.ruff), FACTS, FACTS), "golangci_lint": Form("diagnostics", _strict(diagnostics.golangci, True), FACTS, FACTS),
     "rubocop": Form("diagnostics", _strict(diagnostics.rubocop), FACTS, FACTS), "lint": Form("diagnostics", _single(diagnostics.lint), FACTS, FACTS), "prettier": Form("diagnostics", _single(diagnostics.prettier), FACTS, FACTS),

@@ -7,36 +7,6 @@ import re
 from sparkfold.captures.shape import BLANK, joined, plain
 
 
-def bars(text: str) -> str:
-    """Rows between bars as fields; rules go, other lines stay."""
-    out = []
-    for row in (r.removesuffix("\r") for r in plain(text).split("\n")):
-        piped = len(row) >= 2 and row[0] == "|" and "|" in row[1:]
-        if not row or re.fullmatch(r"\+[+=-]*", row) or (piped and not row.strip("|-")):
-            continue
-        cells = [c.strip(BLANK) for c in row.removeprefix("|").removesuffix("|").split("|")] if piped else [row]
-        while cells and not cells[-1]:
-            cells.pop()
-        out += ["\t".join(cells)] * bool(cells)
-    return joined(out)
-
-
-def ruled(text: str) -> str | None:
-    """A table whose second line is dashes, which say where columns begin; None for any other text."""
-    rows = text.split("\n")
-    some = [k for k, r in enumerate(rows) if r.strip(BLANK)]
-    if len(some) < 3 or not re.fullmatch(r"[ \t]*-[- \t]*", rows[some[1]]):
-        return None
-    title = rows[some[0]]
-    first = len(title) - len(title.lstrip())
-    head = [first, *[m.end() for m in re.finditer(r"\s{2,}(?=\S)", title) if m.end() > first]]
-    cols = [m.start() for m in re.finditer("-+", rows[some[1]])]
-    if len(head) < 2 or len(cols) < 2:
-        return None
-    cut = lambda r, at: "\t".join(r[a:b].strip(BLANK) for a, b in zip(at, [*at[1:], max(len(r), at[-1])]))
-    return joined(cut(rows[k], head if k < some[1] else cols) for k in some if k != some[1])
-
-
 #: File endings by language (fixed values); the ending `-` stands for data, which has no outline.
 LANGUAGES = {
     "rust": ("rs",), "zig": ("zig",), "go": ("go",), "python": ("py", "pyi"), "script": ("ts", "tsx", "mts", "js", "jsx", "mjs"), "java": ("java", "kt", "kts"), "c": ("c", "h", "cpp", "cc", "hpp", "hh"), "ruby": ("rb",),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import captured, checks, commands, generic, git, keep, listing, logs, shell, tables
+from sparkfold.operators import captured, checks, commands, generic, git, headed, keep, listing, logs, shell, tables
 from sparkfold import plugins
 from sparkfold.plans import catalog, examples, guards, policy, registry, routes, scripts, synthetic, usage
 from sparkfold.sources import databases
@@ -128,7 +128,7 @@ def tsc_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kubectl_pods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compacted(spark, sf_dir, synthetic.KUBECTL, "kubectl_pods")
+    return headed.kubectl_pods(_capture(spark, sf_dir, synthetic.KUBECTL))
 
 
 def gh_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,7 +224,7 @@ def buildkit_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docker_ps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compacted(spark, sf_dir, synthetic.DOCKER_PS, "docker_ps")
+    return headed.docker_ps(_capture(spark, sf_dir, synthetic.DOCKER_PS))
 
 
 def shell_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +233,7 @@ def shell_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def docker_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _compacted(spark, sf_dir, synthetic.DOCKER_IMAGES, "docker_images")
+    return headed.docker_images(_capture(spark, sf_dir, synthetic.DOCKER_IMAGES))
 
 
 def grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +332,10 @@ def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]
         printed = _capture(spark, sf_dir, scripts.sql(script, False, True))
         if not name:
             return captured.shown(captured.compact(L.render(printed).withColumnRenamed("body", script.stream), script.form))
-        out = getattr({"git": git, "shell": shell, "tables": tables, "keep": keep, "listing": listing}[module], name)(printed)
+        if module == "keep_body":
+            kept = keep.keep(L.render(printed), name)
+            return captured.shown(kept.select("capture_id", F.col("body").alias("out_stdout"), F.lit("").alias("out_stderr")))
+        out = getattr({"headed": headed, "git": git, "shell": shell, "tables": tables, "keep": keep, "listing": listing}[module], name)(printed)
         order = Window.partitionBy("capture_id").orderBy("line_no")
         return out.select("capture_id", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
 

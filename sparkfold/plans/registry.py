@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkfold.captures.registry import FORMS
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import captured, checks, commands, git, keep, listing, logs, shell, tables
+from sparkfold.operators import captured, checks, commands, git, headed, keep, listing, logs, shell, tables
 from sparkfold.plans import guards, policy, routes
 from sparkfold.sources.tables import scratch
 
@@ -105,6 +105,15 @@ OPERATORS = {
     "helm_history": Operator("infra", by_lines(tables.helm_history), LOSSY),
     "helm_status": Operator("infra", by_lines(tables.helm_status), LOSSY),
     "docker_stats": Operator("infra", by_lines(keep.docker_stats), LOSSY),
+    "docker_ps": Operator("infra", by_lines(headed.docker_ps)),
+    "docker_images": Operator("infra", by_lines(headed.docker_images)),
+    "kubectl_pods": Operator("infra", by_lines(headed.kubectl_pods)),
+    "gh_table": Operator("infra", by_lines(headed.ragged)),
+    "gh_run_list": Operator("infra", by_lines(headed.run_list)),
+    "gh_pr_list": Operator("infra", by_lines(headed.pr_list)),
+    "acli_table": Operator("infra", by_lines(headed.single_blanks)),
+    "pup_table": Operator("data", by_lines(headed.bars), LOSSY),
+    "sqlite_table": Operator("data", by_lines(headed.ruled), LOSSY),
     "json": Operator("data", minified, LOSSY),
     "grid": Operator("data", by_lines(tables.grid), LOSSY),
     "psql": Operator("data", by_lines(tables.psql), LOSSY),

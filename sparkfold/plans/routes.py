@@ -182,6 +182,7 @@ SEEN = {
     "helm_status": r"\ANAME: (?s:.*)\nSTATUS: ",
     "docker_stats": r"\ACONTAINER ID\s+NAME\s+CPU %",
     "docker_ps": r"\A\n*(?:CONTAINER ID|NAME.*IMAGE.*SERVICE.*STATUS)",
+    "docker_images": r"\A\n*REPOSITORY.*TAG.*IMAGE ID",
     "kubectl_pods": r"\A\n*NAME.*READY.*STATUS",
     "pre_commit": r"(?m:\.{3,}(?:Passed|Failed|Skipped)\s*$)",
     "columns": r"(?m:\S {2,}\S)",

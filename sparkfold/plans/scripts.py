@@ -163,15 +163,15 @@ SCRIPTS = (
     Script("curl_trace", "curl_trace", head=(("* Trying 1.2.3.4:80...", "* Trying 1.2.3.4:80..."), ("* TLSv1.3 (OUT)", None), ("* Server certificate:", None), ("*  subject: x", None), ("> GET /c{cust} HTTP/1.1", "> GET /c{cust} HTTP/1.1"), ("{ [5 bytes data]", None)), each=(("< x-{id}: {d}", "< x-{id}: {d}"),)),
     Script("curl", "curl", stream="stderr", head=(("> GET /c{cust} HTTP/1.1", "curl GET h{cust}.x/c{cust} -> HTTP/1.1 200 OK text/html len={n}"), ("> Host: h{cust}.x", None), ("< HTTP/1.1 200 OK", None), ("< Content-Type: text/html; charset=x", None), ("< Content-Length: {n}", None)), each=(("* note {id}", None),)),
     Script("gh_view", "gh_view", odd="no fields", head=(("title:{tab}T{cust}", "#{n} OPEN T{cust}"), ("state:{tab}OPEN", None), ("labels:{tab}", None), ("author:{tab}a{cust}", "author:{tab}a{cust}"), ("number:{tab}{n}", None), ("--", None)), each=(("body {id}", "body {id}"), ("", ""))),
-    Script("gh_run_list", "gh_run_list", head=(("STATUS     TITLE    WORKFLOW  BRANCH  EVENT  ID    ELAPSED  AGE", "STATUS TITLE WORKFLOW BRANCH EVENT ID ELAPSED AGE"),), each=(("completed  fix {d}    ci        main    push   123   1m       2d", "completed fix {d} ci main push 123 1m 2d"),)),
+    Script("gh_run_list", "headed.run_list", head=(("STATUS     TITLE    WORKFLOW  BRANCH  EVENT  ID    ELAPSED  AGE", "STATUS TITLE WORKFLOW BRANCH EVENT ID ELAPSED AGE"),), each=(("completed  fix {d}    ci        main    push   123   1m       2d", "completed fix {d} ci main push 123 1m 2d"),)),
     Script("gh_run_view", "gh_run_view", head=(("main · 1", "main · 1"), ("", None), ("JOBS", "JOBS"), (None, "✓ {even} passed", "sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) > 0")), each=(("✓ j{id} in 1s", None, EVEN), ("X j{id} in 2s", "X j{id} in 2s", ODD), ("  ✓ set up", None, ODD), (None, "  ✓ 1 steps passed", ODD), ("  X run {d}", "  X run {d}", ODD)),
         tail=(("", None), ("ANNOTATIONS", "ANNOTATIONS"), ("X exit 1", "X exit 1  [×2: a, b]"), ("a: x#1", None), ("X exit 1", None), ("b: y#2", None), ("", None), ("To see what failed, try: x", "To see what failed, try: x"))),
-    Script("gh_pr_list", "gh_pr_list", head=(("Showing {n} of {n} open pull requests in a/b", "Showing {n} of {n} open pull requests in a/b"), ("", None)), each=(("#{id}  title {d}  branch", "#{id}  title {d}  branch"), ("loading", None))),
-    Script("gh_table", "gh_table", head=(("NAME        STATE  AGE", "NAME{tab}STATE{tab}AGE"),), each=(("n{d}          open   {e}d", "n{d}{tab}open{tab}{e}d", EVEN), ("a longer name {d}  shut   {e}d", "a longer name {d}{tab}shut{tab}{e}d", ODD)), tail=(("Showing {n}  of  {n}", "Showing {n} of {n}"),)),
-    Script("acli_table", "acli_table", each=(("T{id}    open{tab}x  {d}", "T{id} open x {d}"),)),
+    Script("gh_pr_list", "headed.pr_list", head=(("Showing {n} of {n} open pull requests in a/b", "Showing {n} of {n} open pull requests in a/b"), ("", None)), each=(("#{id}  title {d}  branch", "#{id}  title {d}  branch"), ("loading", None))),
+    Script("gh_table", "headed.ragged", head=(("NAME        STATE  AGE", "NAME{tab}STATE{tab}AGE"),), each=(("n{d}          open   {e}d", "n{d}{tab}open{tab}{e}d", EVEN), ("a longer name {d}  shut   {e}d", "a longer name {d}{tab}shut{tab}{e}d", ODD)), tail=(("Showing {n}  of  {n}", "Showing {n} of {n}"),)),
+    Script("acli_table", "headed.single_blanks", each=(("T{id}    open{tab}x  {d}", "T{id} open x {d}"),)),
     Script("acli_view", "acli_view", head=(("Key: K-{cust}", "Key: K-{cust}"), ("chatter", None), ("Description:", "Description:"), ("   said {n}", "  said {n}"), ("more of it", None), ("Fields:", "Fields:")), each=(("F{id}:", "F{id}:"), ("  v{d}", "  v{d}"))),
-    Script("pup_table", "pup_table", head=(("+----+----+", None), ("| ID | N |", "ID{tab}N"), ("|----|---|", None)), each=(("| {id} | {d} |", "{id}{tab}{d}"),), tail=(("+----+----+", None), ("{n} rows", "{n} rows"))),
-    Script("sqlite_table", "sqlite_table", head=(("id          n", "id{tab}n"), ("----------  --", None)), each=(("k{d}          {e}", "k{d}{tab}{e}"),)),
+    Script("pup_table", "headed.bars", head=(("+----+----+", None), ("| ID | N |", "ID{tab}N"), ("|----|---|", None)), each=(("| {id} | {d} |", "{id}{tab}{d}"),), tail=(("+----+----+", None), ("{n} rows", "{n} rows"))),
+    Script("sqlite_table", "headed.ruled", head=(("id          n", "id{tab}n"), ("----------  --", None)), each=(("k{d}          {e}", "k{d}{tab}{e}"),)),
     Script("mypy", "mypy", odd="Traceback", each=(("f{id}.py:{d}: error: bad", "f{id}.py:{d}: error: bad"), ("    x = {id}", "    x = {id}")), tail=(("Found {n} errors in 1 file", "Found {n} errors in 1 file"),)),
     Script("ruff_concise", "ruff", each=(("f{id}.py:{d}:1: E501 long", "f{id}.py"), (None, "  {d}:1 E501 long"), ("f{id}.py:9:1: F401 unused", "  9:1 F401 unused", ODD), ("chatter", None)), tail=(("Found {n} errors.", "Found {n} errors."),)),
     Script("ruff_full", "ruff", each=(("E501 Line {id}", "E501 Line {id}"), (" --> f{id}.py:{d}:1", " --> f{id}.py:{d}:1"), ("  |", "  |")), tail=(("Found {n} errors.", "Found {n} errors."), ("after", None))),
@@ -179,7 +179,7 @@ SCRIPTS = (
     Script("rubocop", "rubocop", head=(("Inspecting {n} files", None), ("Offenses:", None), ("", None)), each=(("f{id}.rb:{d}:1: C: Style/X: bad", "f{id}.rb:{d}:1: C: Style/X: bad"), ("x = {id}", "x = {id}"), ("", None)), tail=(("{n} files inspected, {n} offenses detected", "{n} files inspected, {n} offenses detected"),)),
     Script("lint", "lint", each=(("/src/f{id}.js", "/src/f{id}.js", ODD), ("/src/f{id}.js", None, EVEN), ("  {d}:1   error   no {id}  no-x", "{d}:1 error no {id} no-x", ODD), ("", None)), tail=(("✖ {odd} problems", "✖ {odd} problems"),)),
     Script("prettier", "prettier", head=((None, "[warn] c{cust}"), (None, "formatted 2: a.js, b.js"), ("a.js 12ms", None), ("b.js 1ms", None)), each=(("u{id}.js 3ms (unchanged)", None),), tail=(("[warn] c{cust}", None),)),
-    Script("plan_actions", "plan", head=(("Terraform will perform the following actions:", "Terraform will perform the following actions:"),), each=(("  # x.r{id} will be updated in-place", "# x.r{id} will be updated in-place"), ("      ~ size = {d} -> 9 # forces replacement", "~ size = {d} -> 9 # forces replacement"), ("        id = {id}", None)), tail=(("Plan: 0 to add, {n} to change", "Plan: 0 to add, {n} to change"),)),
+    Script("plan_actions", "keep_body.plan", head=(("Terraform will perform the following actions:", "Terraform will perform the following actions:"),), each=(("  # x.r{id} will be updated in-place", "# x.r{id} will be updated in-place"), ("      ~ size = {d} -> 9 # forces replacement", "~ size = {d} -> 9 # forces replacement"), ("        id = {id}", None)), tail=(("Plan: 0 to add, {n} to change", "Plan: 0 to add, {n} to change"),)),
     Script("git_config", "git.trimmed", each=(("  user.n{id}=v {d}  ", "user.n{id}=v {d}"), ("", None))),
     Script("git_remotes", "git.remotes", each=(("r{id}{tab}https://h/{d}.git (fetch)", "r{id} https://h/{d}.git (fetch)"),), odd="bad line"),
     Script("git_shortlog", "git.shortlog", each=(("   {d}{tab}A{id} B", "{d} A{id} B"),)),
