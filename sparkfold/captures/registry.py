@@ -38,16 +38,6 @@ def _out(f: Callable[[str], str | None]):
     return streams
 
 
-def _err(f: Callable[[str], str | None]):
-    """For the other stream, where standard output has nothing."""
-
-    def streams(stdout: str, stderr: str, exit_code: int) -> tuple[str, str] | None:
-        got = None if stdout else _known(stderr, f(stderr))
-        return None if got is None else (stdout, got)
-
-    return streams
-
-
 def _each(on_out: Callable[[str], str | None], on_err: Callable[[str], str | None]):
     """Each stream by its own form; facts stay on the stream that they came on."""
 
@@ -79,9 +69,9 @@ def _strict(f, empty: bool = False):
 
 
 FORMS: dict[str, Form] = {
-    "git_status": Form("git", _out(git.status)), "git_log": Form("git", _out(git.log), LOSSY), "git_log_stat": Form("git", _out(git.log_stat), LOSSY), "git_show": Form("git", _out(git.show), LOSSY),
-    "git_diff": Form("git", _out(git.diff)), "git_branch": Form("git", _out(git.branch)), "git_commit": Form("git", _out(git.commit)), "git_merge": Form("git", _single(git.merge)), "git_blame": Form("git", _out(git.blame), LOSSY),
-    "git_checkout": Form("git", _single(git.checkout)), "git_fetch": Form("git", _err(git.fetch)), "git_push": Form("git", _each(lambda text: None, git.push)), "git_pull": Form("git", _each(git.pull, git.pull_refs)), "git_rebase": Form("git", _single(git.rebase)),
+    "git_log_stat": Form("git", _out(git.log_stat), LOSSY), "git_show": Form("git", _out(git.show), LOSSY),
+    "git_branch": Form("git", _out(git.branch)), "git_commit": Form("git", _out(git.commit)), "git_merge": Form("git", _single(git.merge)), "git_blame": Form("git", _out(git.blame), LOSSY),
+    "git_pull": Form("git", _each(git.pull, git.pull_refs)), "git_rebase": Form("git", _single(git.rebase)),
     "git_stash": Form("git", _single(git.stash)), "git_grep": Form("git", _out(lambda text: text), "ByteExact"), "git_stack_log": Form("git", _out(git.stack_log), LOSSY),
     "cargo_test": Form("test-tools", _single(runners.cargo, "cargo_test"), FACTS, FACTS), "jest": Form("test-tools", _single(runners.jest, "jest"), FACTS, FACTS), "js_test": Form("test-tools", _single(runners.js_test, "js_test"), FACTS, FACTS),
     "go_test": Form("test-tools", _single(runners.go, "go_test"), FACTS, FACTS), "pytest": Form("test-tools", _single(runners.pytest, "pytest"), FACTS, FACTS), "nextest": Form("test-tools", _out(runners.nextest), FACTS, FACTS),

@@ -133,7 +133,8 @@ def _ragged(table: DataFrame, key: str) -> DataFrame:
     t = _with_head(table.where(F.btrim("line", F.lit(_BLANK)) != ""), key)
     t = t.withColumn("heads", F.transform(_fields_of("head"), lambda f: f["at"])).where(F.size("heads") >= 2)
     note = ~F.col("is_head") & F.regexp_like("line", F.lit("^(?:Showing |No )"))
-    return t.withColumn("cells", F.when(~note, _aligned(_fields_of("line"), F.col("heads"))))
+    t = t.withColumn("fields", _fields_of("line"))  # a column of its own, as the alignment speaks of it many times
+    return t.withColumn("cells", F.when(~note, _aligned(F.col("fields"), F.col("heads"))))
 
 
 def ragged(table: DataFrame, key: str = "capture_id") -> DataFrame:

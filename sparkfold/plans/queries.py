@@ -336,6 +336,10 @@ def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]
             kept = keep.keep(L.render(printed), name)
             return captured.shown(kept.select("capture_id", F.col("body").alias("out_stdout"), F.lit("").alias("out_stderr")))
         out = getattr({"headed": headed, "git": git, "shell": shell, "tables": tables, "keep": keep, "listing": listing}[module], name)(printed)
+        if script.odd:  # what the operator does not know stays as it is
+            raw = printed.select("capture_id", F.col("line_no").cast("long").alias("line_no"), "line")
+            out = out.select("capture_id", F.col("line_no").cast("long").alias("line_no"), "line")
+            out = out.unionByName(raw.join(out.select("capture_id").distinct(), "capture_id", "left_anti"))
         order = Window.partitionBy("capture_id").orderBy("line_no")
         return out.select("capture_id", (F.row_number().over(order) - 1).cast("long").alias("line_no"), "line")
 

@@ -32,6 +32,7 @@ class Operator:
     run: Callable[[DataFrame], DataFrame]
     evidence: str = FACTS
     failed: str | None = None
+    stream: str = ""  # the one that it takes; else the one that has text, and standard output where both have
 
 
 def by_lines(operator: Callable[..., DataFrame], *order: str, line: Column | None = None, **more) -> Callable[[DataFrame], DataFrame]:
@@ -75,6 +76,11 @@ def _buildkit(table: DataFrame, key: str) -> DataFrame:
 
 
 OPERATORS = {
+    "git_status": Operator("git", by_lines(git.status)),
+    "git_log": Operator("git", by_lines(git.log), LOSSY),
+    "git_checkout": Operator("git", by_lines(git.checkout)),
+    "git_fetch": Operator("git", by_lines(git.fetched), stream="stderr"),
+    "git_push": Operator("git", by_lines(git.pushed), stream="stderr"),
     "git_status_short": Operator("git", by_lines(git.status_short)),
     "git_branches": Operator("git", by_lines(git.branches)),
     "git_reflog": Operator("git", by_lines(git.reflog)),
@@ -164,12 +170,12 @@ def _applied(part: DataFrame, op: Operator) -> DataFrame:
     """row, got_stdout, got_stderr, filter_name, got_evidence of one operator's captures. It takes the one stream that has text; where both have, the first alone."""
     evidence = F.when(F.col("exit_code") == 0, op.evidence).otherwise(op.failed)
     mine = part.where("exit_code = 0") if op.failed is None else part
-    on_err = (F.col("stdout") == "") & (F.col("stderr") != "")
+    on_err = (F.col("stdout") == "") & (F.col("stderr") != "") if not op.stream else F.lit(op.stream == "stderr")
     bodies = mine.select("row", F.when(on_err, F.col("stderr")).otherwise(F.col("stdout")).alias("body"))
     got = op.run(bodies).select("row", F.col("body").alias("got"))
     both = mine.join(got, "row")
     return both.select(
-        "row", F.when(on_err, F.lit("")).otherwise(F.col("got")).alias("got_stdout"), F.when(on_err, F.col("got")).otherwise(F.col("stderr")).alias("got_stderr"), F.lit(op.family).alias("family"), evidence.alias("got_evidence"),
+        "row", F.when(on_err, F.col("stdout")).otherwise(F.col("got")).alias("got_stdout"), F.when(on_err, F.col("got")).otherwise(F.col("stderr")).alias("got_stderr"), F.lit(op.family).alias("family"), evidence.alias("got_evidence"),
     )
 
 

@@ -82,10 +82,10 @@ def gone(*lines: str) -> tuple:
 
 
 SCRIPTS = (
-    Script("git_status", "git_status", head=(("On branch c{cust}", "# c{cust} +{n}"), ("Your branch is ahead of 'origin/x' by {n} commits.", None), ("", None), ("Changes not staged for commit:", None), ("  (use \"git add\" to update)", None)),
+    Script("git_status", "git.status", head=(("On branch c{cust}", "# c{cust} +{n}"), ("Your branch is ahead of 'origin/x' by {n} commits.", None), ("", None), ("Changes not staged for commit:", None), ("  (use \"git add\" to update)", None)),
         each=(("{tab}modified:   f{id}.rs", "M f{id}.rs", EVEN), ("{tab}deleted:    g{id}.rs", "d g{id}.rs", ODD)),
         tail=(("", None), ("You have unmerged paths.", "! You have unmerged paths."), ("Untracked files:", None), ("{tab}n/a1.c", "? n/a1.c..a6.c"), *gone(*(f"{{tab}}n/a{k}.c" for k in range(2, 7))), ("{tab}m/x", "? m/x"), ("{tab}m/y", "? y"), ("{tab}m/z", "? z"))),
-    Script("git_log", "git_log", each=(("commit {sha}", None), ("Author: A <a@b.c>", None), ("Date:   now", None), ("", None), ("    order {id}", "{sha7} order {id} [Fixes: #{d}; Signed-off-by: s{e}]", EVEN), ("    Change {id}", "{sha7} Change {id}", ODD), ("", None),
+    Script("git_log", "git.log", each=(("commit {sha}", None), ("Author: A <a@b.c>", None), ("Date:   now", None), ("", None), ("    order {id}", "{sha7} order {id} [Fixes: #{d}; Signed-off-by: s{e}]", EVEN), ("    Change {id}", "{sha7} Change {id}", ODD), ("", None),
         ("    some body", None), ("    Fixes: #{d}", None, EVEN), ("    Signed-off-by: s{e}", None, EVEN), ("", None))),
     Script("git_log_stat", "git_log_stat", each=(("commit {sha}", None), ("", None), ("    order {id}", "{sha7} order {id}"), ("", None), (" a/x.rs | 2 +-", "  a/x.rs | 2 +-", ODD), (" 1 file changed", "  1 file changed", ODD), (" src/a.rs | 3 ++-", "  src/ (4 files, +5 -2)", EVEN),
         (" src/b.rs | 1 +", None, EVEN), (" src/c.rs | 1 -", None, EVEN), (" src/d.rs | 2 ++", None, EVEN), (" img.png | Bin 0 -> 9 bytes", "  img.png | Bin 0 -> 9 bytes", EVEN), (" old => new.rs | 1 +", "  old => new.rs | 1 +", EVEN),
@@ -102,10 +102,10 @@ SCRIPTS = (
         tail=((" {n} files changed, {even} insertions(+)", "+{even}/-0 files={n}"),)),
     Script("git_blame", "git_blame", head=(("{csha} (Bo 2024-01-02 10:00:00 +0000 1) x", "b {csha7} 2024-01-02 Bo"), (None, " x"), ("{csha} (Bo 2024-01-02 10:00:00 +0000 2) y", " y"), ("{csha} (Bo 2024-01-02 10:00:00 +0000 3) z", " z"), ("{csha} (Bo 2024-01-02 10:00:00 +0000 4) w", " (+1)")),
         each=(("{sha} (w{id} 2024-01-02 10:00:00 +0000 {d}) code {id}", "b {sha7} 2024-01-02 w{id}"), (None, " code {id}"))),
-    Script("git_checkout", "git_checkout", each=(("M{tab}f{id}", "M f{id}", EVEN), ("D{tab}f{id}", "d f{id}", ODD), ("some chatter", None))),
-    Script("git_switch", "git_checkout", stream="stderr", head=(("Switched to branch 'b{cust}'", "^ b{cust}"),), each=(("HEAD is now at {sha} did {id}", "^ detached {sha7} did {id}", EVEN), ("Previous HEAD position was x", None, ODD)), tail=(("Your branch is up to date with 'origin/b{cust}'.", "= origin/b{cust}"),)),
-    Script("git_fetch", "git_fetch", stream="stderr", head=(("remote: Enumerating objects: {n}, done.", None), ("From host:x", None)), each=(("   {sha}..{sha}  b{id} -> origin/b{id}", "< {sha7}..{sha7} b{id} -> origin/b{id}", EVEN), (" * [new branch]      n{id} -> origin/n{id}", "+ new n{id} -> origin/n{id}", ODD), (" - [deleted]         (none) -> origin/g{id}", "- deleted (none) -> origin/g{id}", ODD))),
-    Script("git_push", "git_push", stream="stderr", odd="hint: something else", head=(("Counting objects: {n}, done.", None), ("To host:x", None)), each=(("   {sha}..{sha}  b{id} -> b{id}", "> {sha7}..{sha7} b{id}", EVEN), (" ! [rejected]        r{id} -> r{id} (fetch first)", "! rejected r{id} -> r{id} (fetch first)", ODD))),
+    Script("git_checkout", "git.checkout", each=(("M{tab}f{id}", "M f{id}", EVEN), ("D{tab}f{id}", "d f{id}", ODD), ("some chatter", None))),
+    Script("git_switch", "git.checkout", stream="stderr", head=(("Switched to branch 'b{cust}'", "^ b{cust}"),), each=(("HEAD is now at {sha} did {id}", "^ detached {sha7} did {id}", EVEN), ("Previous HEAD position was x", None, ODD)), tail=(("Your branch is up to date with 'origin/b{cust}'.", "= origin/b{cust}"),)),
+    Script("git_fetch", "git.fetched", stream="stderr", head=(("remote: Enumerating objects: {n}, done.", None), ("From host:x", None)), each=(("   {sha}..{sha}  b{id} -> origin/b{id}", "< {sha7}..{sha7} b{id} -> origin/b{id}", EVEN), (" * [new branch]      n{id} -> origin/n{id}", "+ new n{id} -> origin/n{id}", ODD), (" - [deleted]         (none) -> origin/g{id}", "- deleted (none) -> origin/g{id}", ODD))),
+    Script("git_push", "git.pushed", stream="stderr", odd="hint: something else", head=(("Counting objects: {n}, done.", None), ("To host:x", None)), each=(("   {sha}..{sha}  b{id} -> b{id}", "> {sha7}..{sha7} b{id}", EVEN), (" ! [rejected]        r{id} -> r{id} (fetch first)", "! rejected r{id} -> r{id} (fetch first)", ODD))),
     Script("git_pull", "git_pull", head=(("Updating {csha7}..abcdef0", "@ fast-forward {csha7}..abcdef0"), ("Fast-forward", None)), each=((" f{id} | 2 +-", None),), tail=((" {n} files changed, {even} insertions(+), {odd} deletions(-)", "+{even}/-{odd} files={n}"),)),
     Script("git_rebase", "git_rebase", each=(("Applying: step {id}", "r step {id}"), ("CONFLICT (content): Merge conflict in f{id}", "! conflict f{id}", ODD), ("Using index info", None)), tail=(("Successfully rebased and updated refs/heads/b{cust}.", "@ rebased b{cust}"),)),
     Script("git_stash", "git_stash", tail=(("Saved working directory and index state WIP on b{cust}: {csha7} did it", "$ b{cust} {csha7} did it"),)),
