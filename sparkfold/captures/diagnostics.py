@@ -110,18 +110,6 @@ def prettier(stdout: str, stderr: str = "") -> str:
 _PLAN = rx(r"^Plan: ", r"^No changes\.", r"^(?:│ )?(?:Error|Warning): ", r"^(?:Terraform|OpenTofu) will perform", r"^# .* (?:will|must) be ", r"^(?:\+|-|~|-/\+) resource ")
 
 
-def plan(stdout: str, stderr: str = "") -> str:
-    """What would change: resources, and below the announcement of the actions each changed line."""
-    out = []
-    for s in (stdout, stderr):
-        acting = False
-        for row in cores(s):
-            acting = acting or "will perform the following actions" in row
-            if row and (_PLAN.search(row) or (acting and ("# forces replacement" in row or re.match(r"(?:-/\+|~|\+|-) ", row)))):
-                out.append(row)
-    return joined(out) or ("plan ok\n" if stdout or stderr else "")
-
-
 def strict(classify, stdout: str, stderr: str, exit_code: int, empty_is_clean: bool = False) -> tuple[str, str] | None:
     """Both streams through a classifier; None if nothing may change: output for machines, unknown shapes, or a failure without a diagnostic."""
     if structured(stdout) or structured(stderr):

@@ -83,8 +83,8 @@ FORMS: dict[str, Form] = {
     "install": Form("package", _single(packages.install, "install"), LOSSY, FACTS), "package_tree": Form("package", _out(packages.tree), LOSSY), "pnpm_outdated": Form("package", _out(packages.pnpm_outdated)),
     "pip_install": Form("package", _single(packages.pip_install), LOSSY), "uv": Form("package", _single(packages.uv), LOSSY),
     "ls_long": Form("listing", _out(listings.ls_long), LOSSY), "ls": Form("listing", _out(listings.ls), LOSSY), "ls_columns": Form("listing", _out(lambda text: listings.ls(text, True)), LOSSY),
-    "find_long": Form("listing", _out(listings.find_long), LOSSY), "tree": Form("listing", _out(listings.tree), LOSSY), "tree_pipe": Form("listing", _out(listings.tree_pipe)), "difference": Form("listing", _out(listings.difference), FACTS, FACTS),
-    "file_slice": Form("listing", _out(listings.file_slice), LOSSY), "wc": Form("listing", _out(listings.wc)), "du": Form("listing", _out(listings.du), LOSSY), "du_rows": Form("listing", _out(lambda text: listings.du(text, False)), LOSSY),
+    "find_long": Form("listing", _out(listings.find_long), LOSSY), "difference": Form("listing", _out(listings.difference), FACTS, FACTS),
+    "du": Form("listing", _out(listings.du), LOSSY), "du_rows": Form("listing", _out(lambda text: listings.du(text, False)), LOSSY),
     "curl": Form("infra", lambda o, e, code: (services.curl(o, e), "") if e else None), "curl_trace": Form("infra", _out(services.curl_trace)), 
     "gh_view": Form("infra", _out(services.view)), "gh_run_view": Form("infra", _out(services.run_view)),
     "acli_view": Form("infra", _out(services.ticket)),
@@ -93,5 +93,4 @@ FORMS: dict[str, Form] = {
     "mypy": Form("diagnostics", _strict(diagnostics.mypy), FACTS, FACTS), "ruff": Form("diagnostics", _strict(diagnostics.ruff), FACTS, FACTS), "golangci_lint": Form("diagnostics", _strict(diagnostics.golangci, True), FACTS, FACTS),
     "rubocop": Form("diagnostics", _strict(diagnostics.rubocop), FACTS, FACTS), "lint": Form("diagnostics", _single(diagnostics.lint), FACTS, FACTS), "prettier": Form("diagnostics", _single(diagnostics.prettier), FACTS, FACTS),
     "generic": Form("generic", _out(generic.compact)),
-    "plan": Form("diagnostics", _single(diagnostics.plan), FACTS, FACTS),
 }

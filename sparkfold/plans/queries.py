@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import captured, checks, commands, generic, git, headed, keep, listing, logs, shell, tables
+from sparkfold.operators import captured, checks, commands, generic, git, headed, keep, listing, logs, shell, tables, trees
 from sparkfold import plugins
 from sparkfold.plans import catalog, examples, guards, policy, registry, routes, scripts, synthetic, usage
 from sparkfold.sources import databases
@@ -335,7 +335,7 @@ def scripted(script: scripts.Script) -> Callable[[SparkSession, str], DataFrame]
         if module == "keep_body":
             kept = keep.keep(L.render(printed), name)
             return captured.shown(kept.select("capture_id", F.col("body").alias("out_stdout"), F.lit("").alias("out_stderr")))
-        out = getattr({"headed": headed, "git": git, "shell": shell, "tables": tables, "keep": keep, "listing": listing}[module], name)(printed)
+        out = getattr({"headed": headed, "git": git, "shell": shell, "tables": tables, "keep": keep, "listing": listing, "trees": trees}[module], name)(printed)
         if script.odd:  # what the operator does not know stays as it is
             raw = printed.select("capture_id", F.col("line_no").cast("long").alias("line_no"), "line")
             out = out.select("capture_id", F.col("line_no").cast("long").alias("line_no"), "line")

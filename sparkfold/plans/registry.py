@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sparkfold.captures.registry import FORMS
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
-from sparkfold.operators import captured, checks, commands, git, headed, keep, listing, logs, shell, tables
+from sparkfold.operators import captured, checks, commands, git, headed, keep, listing, logs, shell, tables, trees
 from sparkfold.plans import guards, policy, routes
 from sparkfold.sources.tables import scratch
 
@@ -102,6 +102,8 @@ OPERATORS = {
     "rg_files": Operator("listing", by_lines(listing.rg_files)),
     "find_paths": Operator("listing", by_lines(listing.find, "parent", "ord"), LOSSY),
     "find_files": Operator("listing", by_lines(listing.find, "parent", "ord", noun="files"), LOSSY),
+    "tree": Operator("listing", by_lines(trees.tree), LOSSY),
+    "tree_pipe": Operator("listing", by_lines(trees.drawn)),
     "wc": Operator("listing", by_lines(listing.word_counts)),
     "file_slice": Operator("listing", sliced, LOSSY),
     "service_logs": Operator("infra", by_lines(_times)),

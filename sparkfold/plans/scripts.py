@@ -154,8 +154,8 @@ SCRIPTS = (
     Script("ls_columns", "ls_columns", tail=(("b{cust}  c{cust}{tab}a{cust}", "a{cust}"), (None, "b{cust}"), (None, "c{cust}"))),
     Script("find_long", "find_long", odd="find: no", head=(("  1  8 -rw-r--r--  1 u g 9 Jan  1 10:00 a/w", "a/ (5 entries: s, t/, u; 1 omitted; last: w; --raw for all)"), ("  2  8 drwxr-xr-x  1 u g 9 Jan  1 10:00 a/t", None),
         ("  3  8 -rw-r--r--  1 u g 9 Jan  1 10:00 a/s", None), ("  4  8 -rw-r--r--  1 u g 9 Jan  1 10:00 a/u", None), ("  5  8 -rw-r--r--  1 u g 9 Jan  1 10:00 a/v", None)), tail=(("  9  8 -rw-r--r--  1 u g 9 Jan  1 10:00 z{cust}/only", "z{cust}/only"),)),
-    Script("tree", "tree", head=((".", "."),), each=(("├── d{id}", "  d{id}/ (4 files: a, b, c; 1 omitted; --raw for all)"), ("│   ├── a", None), ("│   ├── b", None), ("│   ├── c", None), ("│   └── e", None)), tail=(("└── last", "  last"), ("", None), ("{n} directories, 9 files", "{n} directories, 9 files"))),
-    Script("tree_pipe", "tree_pipe", head=((".", "."), ("├── z", "  z")), each=(("├── f{id}", "~f{id}"),)),
+    Script("tree", "trees.tree", head=((".", "."),), each=(("├── d{id}", "  d{id}/ (4 files: a, b, c; 1 omitted; --raw for all)"), ("│   ├── a", None), ("│   ├── b", None), ("│   ├── c", None), ("│   └── e", None)), tail=(("└── last", "  last"), ("", None), ("{n} directories, 9 files", "{n} directories, 9 files"))),
+    Script("tree_pipe", "trees.drawn", head=((".", "."), ("├── z", "  z")), each=(("├── f{id}", "~f{id}"),)),
     Script("difference", "difference", odd="Only in x: y", each=(("{id}c{id}", "@{id}c{id}"), ("< old {d}", "-old {d}"), ("---", None), ("> new {d}", "+new {d}"))),
     Script("unified_difference", "difference", odd="Only in x: y", each=(("--- a{id}", "--- a{id}"), ("+++ b{id}", "+++ b{id}"), ("@@ -1,2 +{id},2 @@ f", "@1,2|{id},2 f"), (" same", " same"), ("-x{d}", "-x{d}"), ("+y{d}", "+y{d}"))),
     Script("wc", "listing.word_counts", each=(("  {d}  {id}   {e} f{id}.txt", "{d} {id} {e} f{id}.txt"), ("none", "none", ODD))),

@@ -15,7 +15,7 @@ def covered_by(command: Column, arguments: Column) -> Column:
     runner = F.lit(False)
     for r in catalog.RUNNERS:
         runner = runner | (words == r) | F.startswith(words, F.lit(r + " "))
-    return F.when(command.isin(catalog.AUTO_WRAP), "auto-wrap").when(runner, "transparent-runner").when(command.isin(catalog.WRAPPER), "wrapper-only").otherwise("unlisted")
+    return F.when(command.isin(*catalog.AUTO_WRAP), "auto-wrap").when(runner, "transparent-runner").when(command.isin(*catalog.WRAPPER), "wrapper-only").otherwise("unlisted")
 
 
 def command_counts(usage: DataFrame, least: int = 1) -> DataFrame:
@@ -34,7 +34,7 @@ def git_subcommand(arguments: Column) -> Column:
 
 def git_counts(usage: DataFrame) -> DataFrame:
     t = usage.where("command = 'git'").withColumn("subcommand", git_subcommand(F.col("arguments"))).where("subcommand is not null")
-    return t.groupBy("subcommand").agg(F.count("*").alias("n")).withColumn("coverage", F.when(F.col("subcommand").isin(catalog.GIT_SUBCOMMANDS), "catalogued").otherwise("unlisted"))
+    return t.groupBy("subcommand").agg(F.count("*").alias("n")).withColumn("coverage", F.when(F.col("subcommand").isin(*catalog.GIT_SUBCOMMANDS), "catalogued").otherwise("unlisted"))
 
 
 def behind_runners(usage: DataFrame) -> DataFrame:

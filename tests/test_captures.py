@@ -65,7 +65,6 @@ def test_checkers_leave_what_they_do_not_know():
     assert diagnostics.mypy("a.py:1: error: x\nTraceback\n") is None and diagnostics.mypy("Success: no issues\n") == ("Success: no issues\n", False)
     assert diagnostics.strict(diagnostics.mypy, '{"a": 1}', "", 0) is None and diagnostics.strict(diagnostics.mypy, "Success: x\n", "", 1) is None and diagnostics.strict(diagnostics.golangci, "", "", 0, True) == ("", "")
     assert diagnostics.split_location("C:/a.py:12:3: x") == ("C:/a.py", "12:3", " x") and diagnostics.split_location("a.py:12: x") == ("a.py", "12", " x") and diagnostics.split_location("a.py:12: x", True) is None
-    assert diagnostics.plan("~ size = 1\n") == "plan ok\n"
 
 
 def test_operator_guards(spark):

@@ -3,7 +3,7 @@
 import random
 
 from sparkfold.functions import lines as L
-from sparkfold.operators import git, headed
+from sparkfold.operators import git, headed, trees
 
 
 def said(spark, operator, *texts, **more):
@@ -67,3 +67,56 @@ def test_padded_rows_lose_no_field(spark):
     rows = ["NAME      STATE     AGE       ID"] + ["  ".join(word() + " " * rng.randint(0, 8) for _ in range(rng.randint(1, 6))) for _ in range(200)]
     got = said(spark, headed.ragged, "\n".join(rows) + "\n")[0].removesuffix("\n").split("\n")
     assert len(got) == len(rows) and all(a.split() == b.split() and b.count("\t") == 3 for a, b in zip(rows, got))
+
+
+def _walked(rows):
+    """The tree of (depth, name, is_dir) rows by recursion."""
+    kids, path = {k: [] for k in range(len(rows))}, []
+    for k, (d, _, _) in enumerate(rows):
+        del path[d:]
+        if path:
+            kids[path[-1]].append(k)
+        path.append(k)
+    few = lambda names, noun: f"({len(names)} {noun}: {', '.join(names[:3])}" + (f"; {len(names) - 3} omitted; --raw for all" if len(names) > 3 else "") + ")"
+    shown = lambda k: rows[k][1] + "/" * (rows[k][2] and rows[k][1] != ".")
+    out = []
+
+    def walk(k):
+        out.append("  " * rows[k][0] + shown(k))
+        files = [c for c in kids[k] if not rows[c][2]]
+        for c in kids[k]:
+            pad = "  " * rows[c][0]
+            if not rows[c][2]:
+                if len(files) < 4:
+                    out.append(pad + rows[c][1])
+                elif c == files[0]:
+                    out.append(pad + few([rows[f][1] for f in files], "files"))
+            elif len(kids[c]) >= 4 and (rows[c][0] >= 2 or not any(rows[g][2] for g in kids[c])):
+                out.append(f"{pad}{rows[c][1]}/ " + few([shown(g) for g in kids[c]], "entries" if any(rows[g][2] for g in kids[c]) else "files"))
+            else:
+                walk(c)
+
+    walk(0)
+    return "".join(f"{x}\n" for x in out)
+
+
+def test_trees_with_both_glyph_sets(spark):
+    rng = random.Random(8)
+    texts, want = [], []
+    for case in range(6):
+        depths = [0]
+        for _ in range(rng.randint(3, 60)):
+            depths.append(rng.randint(1, min(depths[-1] + 1, 6)))
+        rows = [(d, f"n{k}" if k else ".", k + 1 < len(depths) and depths[k + 1] > d or k == 0) for k, d in enumerate(depths)]
+        box = lambda d: "│   " * (d - 1) + "├── " if d else ""
+        plain = lambda d: "|   " * (d - 1) + "|-- " if d else ""
+        texts.append("".join((plain if case % 2 else box)(d) + name + "\n" for d, name, _ in rows) + "\n3 directories, 9 files\n")
+        want.append(_walked(rows) + "3 directories, 9 files\n")
+    assert said(spark, trees.tree, *texts, ".\n│   │   │   jumps\n", "") == [*want, None, None]
+    assert said(spark, trees.drawn, ".\n├── a\n│   └── b\n├── c\n├── d\n")[0] == ".\n  a\n    b\n  c\n~d\n"
+
+
+def test_a_long_tree(spark):
+    text = ".\n" + "".join(f"├── d{k}\n" + "".join(f"│   ├── f{j}\n" for j in range(9)) for k in range(10_000))
+    got = said(spark, trees.tree, text)[0].split("\n")
+    assert len(got) == 10_002 and got[5] == "  d4/ (9 files: f0, f1, f2; 6 omitted; --raw for all)"
