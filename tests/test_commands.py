@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -136,6 +137,49 @@ def test_plugins_conform():
     assert plugins.checked(lambda r: half(r) | {"evidence": "potentially-lossy"}, [], "long text", "", 1) is None and plugins.checked(half, [], "long text", "", 1) == ("lon", "", "FactComplete")
 
 
+def _hangs(request):
+    time.sleep(60)
+
+
+def _dies(request):
+    import os
+
+    os._exit(3)
+
+
+def _short(request):
+    import base64
+
+    return {"version": 1, "result": "transform", "evidence": "fact-complete", "stdout_b64": base64.b64encode(b"ok").decode(), "stderr_b64": ""}
+
+
+def _large(request):
+    return {"x": "y" * 100_000}
+
+
+def test_plugins_that_hang_die_or_say_too_much(spark):
+    names = ["hangs", "good", "dies", "good", "large", "good", "unknown", None]
+    df = spark.createDataFrame([(k, ["x"], "a long text", "", 0, n) for k, n in enumerate(names)], "capture_id long, argv array<string>, stdout string, stderr string, exit_code int, plugin string").coalesce(1)
+    got = plugins.apply(df, {"hangs": _hangs, "dies": _dies, "good": _short, "large": _large}, F.col("plugin"), seconds=1.0, most=50_000).orderBy("capture_id").collect()
+    assert [(r.out_stdout, r.plugin_id) for r in got] == [("ok", "good") if n == "good" else ("a long text", None) for n in names]
+
+
+class _Twice(plugins.Isolated):
+    """A process that answers one request twice."""
+
+    def _serve(self, pipe):
+        pipe.send_bytes(b"{}")
+        pipe.send_bytes(b"{}")
+        pipe.recv_bytes()
+
+
+def test_a_second_answer_is_refused():
+    beside = _Twice({})
+    beside._begin()
+    time.sleep(0.5)
+    assert beside.answer("x", {}) is None and beside.child is None
+
+
 def _steps(step, fresh, rows):
     out = []
     for k, line in enumerate(rows):
