@@ -6,7 +6,7 @@ like is left out, then blocks are joined.
 
 A word's weight belongs to the element that it stands in, a tag's to its name; both belong to the zone instead (nav, footer, advert ...) where an element, a
 role or a class name opens one. A weight is the log-odds of standing inside to outside of the labelled regions, with prior counts for what no page shows;
-words' are held between 0 and 1, tags' below 0. A zone costs once, where it opens, so that an advert within an article does not end it. Labelled pages are pages whose blocks are lines of one text of a corpus of texts; at most
+words' are held between 0 and 1, tags' below 0. A zone costs once, where it opens, so that an advert within an article does not end it. Labelled pages are pages whose neighbouring blocks are neighbouring lines of a text of a corpus; at most
 `SAMPLE` pages of at most `SAMPLE_HTML` characters are read, in the order of a checksum of their ids. Without any, the prior counts alone give the weights.
 
 Defined results: a null or empty page, or one without words outside of zones, has an empty text. Character references are decoded as browsers do (also without a semicolon
@@ -219,23 +219,46 @@ def main_text(page: str | None, weights: dict[tuple[str, str], float]) -> str:
     return " ".join("".join(said).split())
 
 
+#: Between the marks of neighbouring lines, and before the first and after the last line of a text.
+_NEXT, _EDGE = "\x01", "\x02"
+
+
+def _mark(text: str) -> str:
+    """A block as lines are told by: all of a short one, the beginning of a longer one."""
+    return f"={text}" if len(text) < HEAD else f"^{text[:HEAD]}"
+
+
 def labelled_pages(pages: DataFrame, texts: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_HTML) -> list[tuple[list, set[int]]]:
-    """Tokens and content blocks of at most `sample` pages: a block is content where it is, or begins, a line of the one text that the page shares most blocks with."""
+    """Tokens and content blocks of at most `sample` pages. Two neighbouring blocks are content where two neighbouring lines of some text are alike, one block where
+    it is alike to the one line of some text; so is a heading that the first of them begins with. What is asked of the texts is as large as the sample, and each line of
+    a text answers once, however common it is."""
     spark = pages.sparkSession
     rows = pages.where(F.length("html").between(1, most)).select("page_id", "html").orderBy(F.crc32(F.col("page_id").cast("string")), "page_id", "html").limit(sample).collect()
     read = [tokens(r.html) for r in rows]
-    held = [(p, k, len(text) < HEAD, text[:HEAD]) for p, page in enumerate(read) for k, (_, _, text) in enumerate(blocks(page))]
-    if not held:
+    said = [[text for _, _, text in blocks(page)] for page in read]
+    pair = lambda a, b: f"{_mark(a)}{_NEXT}{_mark(b)}"
+    alone = lambda a: f"{_EDGE}{_NEXT}{_mark(a)}{_NEXT}{_EDGE}"
+    asked = {pair(a, b) for own in said for a, b in zip(own, own[1:], strict=False)} | {alone(a) for own in said for a in own}
+    if not asked:
         return []
-    asked = F.broadcast(spark.createDataFrame(held, "page int, block int, short boolean, head string"))  # blocks of the sample
-    line = F.explode(F.split(F.col("text"), "\n"))
-    lines = texts.select(F.xxhash64("text").alias("of"), line.alias("line")).select("of", F.trim(F.regexp_replace("line", r"(?U)\s+", " ")).alias("line")).where("line <> ''")
-    short = F.length("line") < HEAD
-    # A short block is the whole line, a longer one its beginning; a heading may be cut off anywhere.
-    found = lines.select("of", short.alias("short"), F.substring("line", 1, HEAD).alias("head")).distinct().join(asked, ["short", "head"])
-    per_text = found.groupBy("page", "of").agg(F.collect_set("block").alias("own"), F.countDistinct("block").alias("n"))
-    per_page = per_text.groupBy("page").agg(F.max(F.struct("n", "of", "own")).alias("x")).select("page", "x.own").collect()
-    return [(read[r.page], set(r.own)) for r in sorted(per_page, key=lambda r: r.page)]
+    few = F.broadcast(spark.createDataFrame([(a,) for a in sorted(asked)], "said string"))  # blocks of the sample
+    line = F.filter(F.transform(F.split(F.col("text"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    mark = F.transform(line, lambda x: F.when(F.length(x) < HEAD, F.concat(F.lit("="), x)).otherwise(F.concat(F.lit("^"), F.substring(x, 1, HEAD))))
+    marks = texts.select(mark.alias("m")).where("size(m) > 0")
+    both = F.zip_with(F.slice("m", F.lit(1), F.size("m") - 1), F.slice("m", F.lit(2), F.size("m")), lambda a, b: F.concat(a, F.lit(_NEXT), b))
+    one = F.array(F.concat(F.lit(_EDGE + _NEXT), F.get("m", 0), F.lit(_NEXT + _EDGE)))
+    found = {r.said for r in marks.select(F.explode(F.when(F.size("m") == 1, one).otherwise(both)).alias("said")).join(few, "said", "left_semi").distinct().collect()}  # as many as were asked for, at most
+    out = []
+    for page, own in zip(read, said, strict=True):
+        content = {k for k, a in enumerate(own) if alone(a) in found}
+        for k in range(len(own) - 1):
+            content |= {k, k + 1} if pair(own[k], own[k + 1]) in found else set()
+        if content:
+            first = min(content)
+            if first and own[first].startswith(own[first - 1][:HEAD]):
+                content.add(first - 1)
+            out.append((page, content))
+    return out
 
 
 def extracted(pages: DataFrame, weights: dict[tuple[str, str], float]) -> DataFrame:
