@@ -7,7 +7,7 @@ like is left out, then blocks are joined.
 A word's weight belongs to the element that it stands in, a tag's to its name; both belong to the zone instead (nav, footer, advert ...) where an element, a
 role or a class name opens one. A weight is the log-odds of standing inside to outside of the labelled regions, with prior counts for what no page shows;
 words' are held between 0 and 1, tags' below 0. A zone costs once, where it opens, so that an advert within an article does not end it. Labelled pages are pages whose neighbouring blocks are neighbouring lines of a text of a corpus; at most
-`SAMPLE` pages of at most `SAMPLE_HTML` characters are read, in the order of a checksum of their ids. Without any, the prior counts alone give the weights.
+`SAMPLE` pages of at most `SAMPLE_HTML` characters are read, in the order of a checksum of their ids (one page of an id, none without an id). Without any, the prior counts alone give the weights.
 
 Defined results: a null or empty page, or one without words outside of zones, has an empty text. Character references are decoded as browsers do (also without a semicolon
 where HTML allows it). White space is Unicode's. Block elements and line breaks part words, inline elements do not. Unclosed elements end with their parent; an
@@ -20,6 +20,7 @@ from __future__ import annotations
 import html
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -233,7 +234,12 @@ def labelled_pages(pages: DataFrame, texts: DataFrame, sample: int = SAMPLE, mos
     it is alike to the one line of some text; so is a heading that the first of them begins with. What is asked of the texts is as large as the sample, and each line of
     a text answers once, however common it is."""
     spark = pages.sparkSession
-    rows = pages.where(F.length("html").between(1, most)).select("page_id", "html").orderBy(F.crc32(F.col("page_id").cast("string")), "page_id", "html").limit(sample).collect()
+    usable = pages.where(F.length("html").between(1, most) & F.col("page_id").isNotNull())
+    # Ids first, then the pages with these ids, one of each: no task sends more than ids and its share of the sample.
+    chosen = usable.select("page_id", F.crc32(F.col("page_id").cast("string")).alias("crc")).orderBy("crc", "page_id").limit(sample).select("page_id").collect()
+    ids = spark.createDataFrame([(i,) for i in {r.page_id for r in chosen}], f"page_id {dict(pages.dtypes)['page_id']}")
+    rows = usable.join(F.broadcast(ids), "page_id", "left_semi").groupBy("page_id").agg(F.min("html").alias("html")).collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r.page_id).encode()), str(r.page_id)))
     read = [tokens(r.html) for r in rows]
     said = [[text for _, _, text in blocks(page)] for page in read]
     pair = lambda a, b: f"{_mark(a)}{_NEXT}{_mark(b)}"
