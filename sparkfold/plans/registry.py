@@ -79,7 +79,7 @@ OPERATORS = {
     "git_status": Operator("git", by_lines(git.status)),
     "git_log": Operator("git", by_lines(git.log), LOSSY),
     "git_checkout": Operator("git", by_lines(git.checkout)),
-    "git_fetch": Operator("git", by_lines(git.fetched), stream="stderr"),
+    "git_fetch": Operator("git", by_lines(git.fetched)),
     "git_push": Operator("git", by_lines(git.pushed), stream="stderr"),
     "git_status_short": Operator("git", by_lines(git.status_short)),
     "git_branches": Operator("git", by_lines(git.branches)),
