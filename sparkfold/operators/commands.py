@@ -7,6 +7,7 @@ separator that no command line has, so that options are skipped by one pattern e
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,39 +83,45 @@ def _heads(wrappers: tuple[str, ...]) -> str:
     return rf"^(?:{'|'.join(out)})*+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, as lambdas share no expressions."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _part(part: Column, wrappers: tuple[str, ...]) -> Column:
     """kind, program, arguments, inner of one command of a chain. Kinds: run, nothing, shell (`inner` is what it runs), odd (cannot be told)."""
     split = F.transform(F.regexp_extract_all(part, F.lit(f"({_ANY_WORD})"), F.lit(1)), lambda w: _unquoted(w, r"""["\\]"""))
     joined = F.regexp_replace(F.array_join(F.transform(split, lambda w: F.concat(w, F.lit(SEP))), ""), _heads(wrappers), "")
-    rest = F.split(F.regexp_replace(joined, f"{SEP}$", ""), SEP)
-    name = F.regexp_extract(F.get(rest, 0), r"([^/]*)$", 1)
-    flag = F.array_min(F.filter(F.transform(rest, lambda w, i: F.when((i > 0) & w.isin("-c", "-lc", "-cl"), i)), lambda i: i.isNotNull()))
-    inner = F.when(name.isin(*SHELLS), F.get(rest, flag + 1))
-    kind = (
-        F.when((joined == "") | name.isin(*BUILTINS), "nothing").when(name.isin(*KEYWORDS) | name.startswith("#"), "odd").when(name.isin(*SHELLS), F.when(inner.isNull(), "odd").otherwise("shell")).otherwise("run")
-    )
-    return F.struct(kind.alias("kind"), name.alias("program"), F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))).alias("arguments"), inner.alias("inner"))
+
+    def told(words: Column, rest: Column, name: Column) -> Column:
+        flag = F.array_min(F.filter(F.transform(rest, lambda w, i: F.when((i > 0) & w.isin("-c", "-lc", "-cl"), i)), lambda i: i.isNotNull()))
+        inner = F.when(name.isin(*SHELLS), F.get(rest, flag + 1))
+        kind = F.when((words == "") | name.isin(*BUILTINS), "nothing").when(name.isin(*KEYWORDS) | name.startswith("#"), "odd").when(name.isin(*SHELLS), F.when(inner.isNull(), "odd").otherwise("shell")).otherwise("run")
+        return F.struct(kind.alias("kind"), name.alias("program"), F.slice(rest, 2, F.greatest(F.size(rest), F.lit(1))).alias("arguments"), inner.alias("inner"))
+
+    named = lambda words, rest: _let(F.regexp_extract(F.get(rest, 0), r"([^/]*)$", 1), lambda name: told(words, rest, name))
+    return _let(joined, lambda words: _let(F.split(F.regexp_replace(words, f"{SEP}$", ""), SEP), lambda rest: named(words, rest)))
 
 
 def invocations(df: DataFrame, key: str, command: str, wrappers: tuple[str, ...] = ()) -> DataFrame:
     """key, ord, program, arguments of all that each command line runs, behind assignments, wrappers and shells; none where that cannot be told.
-    Commands within shells are taken apart in rounds, one for each depth that the table has. `wrappers`: programs that only run another one."""
-    rows = written(df.select(F.col(key).alias("key"), F.col(command).alias("text")).withColumn("row", F.monotonically_increasing_id()))
-    todo, levels = rows.select("row", F.array().cast("array<int>").alias("path"), "text"), []
-    while True:
-        parts = F.filter(F.transform(shell.chain(F.col("text")), T.trim_ascii), lambda p: p != "")
+    Commands within shells are put in their place in rounds, one for each depth that the table has. A row keeps its key, so nothing is joined or
+    shuffled. `wrappers`: programs that only run another one."""
+
+    def parts(text: Column) -> Column:
         odd = F.array(F.struct(F.lit("odd").alias("kind"), F.lit("").alias("program"), F.array().cast("array<string>").alias("arguments"), F.lit(None).cast("string").alias("inner")))
-        found = todo.select("row", "path", F.posexplode(F.coalesce(F.transform(parts, lambda p: _part(p, wrappers)), odd)).alias("pos", "x"))
-        levels.append(written(found.select("row", F.concat("path", F.array("pos")).alias("path"), "x.*")))
-        todo = levels[-1].where("kind = 'shell'").select("row", "path", F.col("inner").alias("text"))
+        return F.coalesce(F.transform(F.filter(F.transform(shell.chain(text), T.trim_ascii), lambda p: p != ""), lambda p: _part(p, wrappers)), odd)
+
+    has = lambda kind: F.exists("found", lambda x: x["kind"] == kind)
+    todo, out = df.select(F.col(key).alias("key"), parts(F.col(command)).alias("found")), None
+    while True:
+        level = written(todo).where(~has("odd"))
+        one = level.where(~has("shell")).select("key", F.posexplode(F.filter("found", lambda x: x["kind"] == "run")).alias("ord", "x"))
+        out = one if out is None else out.unionByName(one)
+        todo = level.where(has("shell"))
         if todo.isEmpty():
             break
-    every = levels[0]
-    for level in levels[1:]:
-        every = every.unionByName(level)
-    run = F.when(F.col("kind") == "run", F.struct("path", "program", "arguments"))
-    told = every.groupBy("row").agg(F.bool_or(F.col("kind") == "odd").alias("odd"), F.sort_array(F.collect_list(run)).alias("found")).where(~F.col("odd"))  # as many as a command line has words
-    out = told.join(rows.select("row", "key"), "row").select("key", F.posexplode("found").alias("ord", "x"))
+        todo = todo.select("key", F.flatten(F.transform("found", lambda x: F.when(x["kind"] == "shell", parts(x["inner"])).otherwise(F.array(x)))).alias("found"))
     return out.select(F.col("key").alias(key), F.col("ord").cast("long").alias("ord"), "x.program", "x.arguments")
 
 

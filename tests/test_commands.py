@@ -35,6 +35,15 @@ def test_what_runs(spark):
     assert [(r.program, r.arguments) for r in commands.invocations(df, "k", "text", ("short",)).orderBy("k").collect()] == [("git", ["log"]), ("pytest", ["-q"])]
 
 
+def test_what_runs_without_joins(spark):
+    """Keys stay with their rows: a join here was made a broadcast that grew with the table."""
+    df = spark.range(100).select("id", F.when(F.col("id") % 2 == 0, "bash -c 'sh -c \"a; b\" && c'; d").otherwise("e").alias("text"))
+    found = commands.invocations(df, "id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, found.select("id", "ord", "program").collect())) == sorted((k, i, p) for k in range(100) for i, p in enumerate("e" if k % 2 else "abcd"))
+
+
 def test_runners(spark):
     lines = [[], ["npx"], ["uv", "run", "-x", "a"], ["/usr/bin/npx", "-yy"], ["poetry", "-qq", "run", "a"], ["npx", "-pq", "-y", "b", "-c"], ["poetry", "-q", "run", "--", "a", "-x"], ["uv", "run", "--with=x", "--", "uvx", "--from", "y", "z"], ["pnpm", "-rw", "exec", "a"], None]
     got = commands.unwrapped(spark.createDataFrame([(k, a) for k, a in enumerate(lines)], "k long, argv array<string>"), "k", "argv").orderBy("k").collect()
