@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
@@ -88,9 +88,14 @@ def pre_commit(table: DataFrame, key: str = "capture_id") -> DataFrame:
     low = F.lower("line")
     why = F.startswith("line", F.lit("- hook id:")) | F.startswith("line", F.lit("- exit code:")) | F.contains(low, F.lit("error")) | F.contains(low, F.lit("failed")) | F.regexp_like("line", F.lit(r":")) & F.regexp_like("line", F.lit(r"\.py|\.yaml|\.yml|\.toml|\.json"))
     out = F.when(F.col("status") == "Failed", F.regexp_replace("line", r"[ \t]*\.{3,}Failed$", " Failed")).when((F.col("status") == "") & (F.col("last") == "Failed") & why, F.col("line"))
-    shown = t.select(key, "line_no", out.alias("line")).where("line is not null")
-    passed = t.where("status = 'Passed'").groupBy(key).agg(F.count("*").alias("n"), (F.max("line_no") + F.lit(1 << 30)).alias("line_no"))
-    return shown.unionByName(passed.select(key, "line_no", F.concat(F.lit("passed: "), F.col("n").cast("string"), F.when(F.col("n") == 1, " hook").otherwise(" hooks")).alias("line")))
+    # How many passed is said with the last line, from the same rows in the same order.
+    every = L.ordered(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.withColumn("out", out).withColumn("n", F.count_if(F.col("status") == "Passed").over(every)).withColumn("at_end", F.row_number().over(L.ordered(key)) == F.count("*").over(every))
+    t = t.where("out is not null or at_end and n > 0")
+    passed = F.concat(F.lit("passed: "), F.col("n").cast("string"), F.when(F.col("n") == 1, " hook").otherwise(" hooks"))
+    own, last = F.struct("line_no", F.col("out").alias("line")), F.struct((F.col("line_no") + F.lit(1 << 30)).alias("line_no"), passed.alias("line"))
+    said = F.when(F.col("at_end") & (F.col("n") > 0), F.array(own, last)).otherwise(F.array(own))
+    return t.select(key, F.explode(said).alias("x")).select(key, "x.line_no", "x.line").where("line is not null")
 
 
 def docker_stats(table: DataFrame, key: str = "capture_id") -> DataFrame:
