@@ -49,9 +49,8 @@ def trimmed(table: DataFrame, key: str = "capture_id") -> DataFrame:
 def remotes(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """Single-blank fields of verbose remotes; a capture with a line of fewer than three fields stays as it is."""
     t = table.withColumn("fields", F.filter(F.split("line", r"[ \t\n\f\r]+"), lambda x: x != ""))
-    bad = t.where(F.size("fields").between(1, 2)).select(key).distinct()
-    good = t.join(bad, key, "left_anti").where(F.size("fields") > 0).select(key, "line_no", F.array_join("fields", " ").alias("line"))
-    return good.unionByName(table.join(bad, key, "left_semi").select(key, "line_no", "line"))
+    t = t.withColumn("bad", F.max(F.size("fields").between(1, 2)).over(Window.partitionBy(key)))  # no order, so that rows stay as they were sorted
+    return t.where(F.col("bad") | (F.size("fields") > 0)).select(key, "line_no", F.when(F.col("bad"), F.col("line")).otherwise(F.array_join("fields", " ")).alias("line"))
 
 
 def shortlog(table: DataFrame, key: str = "capture_id") -> DataFrame:

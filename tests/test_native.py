@@ -3,7 +3,7 @@
 import random
 
 from sparkfold.functions import lines as L
-from sparkfold.operators import git, headed, trees
+from sparkfold.operators import git, headed, keep, trees
 
 
 def said(spark, operator, *texts, **more):
@@ -120,3 +120,22 @@ def test_a_long_tree(spark):
     text = ".\n" + "".join(f"├── d{k}\n" + "".join(f"│   ├── f{j}\n" for j in range(9)) for k in range(10_000))
     got = said(spark, trees.tree, text)[0].split("\n")
     assert len(got) == 10_002 and got[5] == "  d4/ (9 files: f0, f1, f2; 6 omitted; --raw for all)"
+
+
+def test_line_tables_are_read_once(spark):
+    """pre_commit read its lines twice, remotes four times, and each reading sorted them anew in the same task."""
+    rows = [(1, 0, "a.....Passed"), (1, 1, "b.....Failed"), (1, 2, "- hook id: b"), (2, 0, "c.....Passed"), (2, 1, "words"), (3, 0, "d.....Failed"), (4, 0, "o  u\t(fetch)"), (5, 0, "o u (fetch)"), (5, 1, "odd"), (5, 2, ""), (6, 0, "")]
+    table = spark.createDataFrame(rows, "capture_id long, line_no long, line string")
+    hooks, remotes = keep.pre_commit(table.where("capture_id < 4")), git.remotes(table.where("capture_id > 3"))
+    for found in (hooks, remotes):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Scan ExistingRDD") == 1
+    said = lambda df: [(r.capture_id, r.line) for r in df.orderBy("capture_id", "line_no").collect()]
+    assert said(hooks) == [(1, "b Failed"), (1, "- hook id: b"), (1, "passed: 1 hook"), (2, "passed: 1 hook"), (3, "d Failed")]
+    assert said(remotes) == [(4, "o u (fetch)"), (5, "o u (fetch)"), (5, "odd"), (5, "")]
+
+
+def test_rows_in_order_need_no_places(spark):
+    rows = [(1, 0, "NAME  STATE  AGE"), (1, 1, "a     open   3d"), (1, 2, "b            4d"), (1, 3, "Showing 2  of 2"), (2, 0, "one column"), (2, 1, "x")]
+    t = headed._ragged(spark.createDataFrame(rows, "capture_id long, line_no long, line string"), "capture_id").orderBy("line_no").collect()
+    assert [r.cells for r in t] == [["NAME", "STATE", "AGE"], ["a", "open", "3d"], ["b", "", "4d"], None]
+    assert [r.heads is not None for r in t] == [False, False, True, False]
