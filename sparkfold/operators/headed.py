@@ -99,9 +99,18 @@ def kubectl_pods(table: DataFrame, key: str = "capture_id") -> DataFrame:
     return _one_line(g, key, F.concat(F.lit("k"), F.col("n").cast("string"), state, F.when(all_up, _said("names")).otherwise(_said("bad"))))
 
 
+def _tokens(line: str) -> Column:
+    return F.regexp_extract_all(line, F.lit(r"(\s{2,}|\s?\S+(?:\s\S+)*)"), F.lit(1))
+
+
+def _texts_of(line: str) -> Column:
+    """The fields of a line without where they stand, which no fold is needed for."""
+    return F.filter(F.transform(_tokens(line), lambda t: F.btrim(t, F.lit(_BLANK))), lambda t: t != "")
+
+
 def _fields_of(line: str) -> Column:
     """(start, text) of each field: text with single blanks, fields two blanks or more apart."""
-    tokens = F.regexp_extract_all(line, F.lit(r"(\s{2,}|\s?\S+(?:\s\S+)*)"), F.lit(1))
+    tokens = _tokens(line)
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<at:int,text:string>>").alias("out"))
 
     def step(s: Column, t: Column) -> Column:
@@ -131,10 +140,12 @@ def _aligned(fields: Column, heads: Column) -> Column:
 def _ragged(table: DataFrame, key: str) -> DataFrame:
     """Rows that are not blank with `cells`, null in closing remarks; a header of one column gives no row."""
     t = _with_head(table.where(F.btrim("line", F.lit(_BLANK)) != ""), key)
-    t = t.withColumn("heads", F.transform(_fields_of("head"), lambda f: f["at"])).where(F.size("heads") >= 2)
+    t = t.withColumn("columns", F.size(_texts_of("head"))).where("columns >= 2").withColumn("texts", _texts_of("line"))
     note = ~F.col("is_head") & F.regexp_like("line", F.lit("^(?:Showing |No )"))
-    t = t.withColumn("fields", _fields_of("line"))  # a column of its own, as the alignment speaks of it many times
-    return t.withColumn("cells", F.when(~note, _aligned(F.col("fields"), F.col("heads"))))
+    # Where a row has as many fields as there are columns they stand in order; places are only found for the others.
+    odd = ~note & (F.size("texts") != F.col("columns"))
+    t = t.withColumn("heads", F.when(odd, F.transform(_fields_of("head"), lambda f: f["at"]))).withColumn("fields", F.when(odd, _fields_of("line")))  # columns of their own, as the alignment speaks of them many times
+    return t.withColumn("cells", F.when(note, F.lit(None)).when(odd, _aligned(F.col("fields"), F.col("heads"))).otherwise(F.col("texts")))
 
 
 def ragged(table: DataFrame, key: str = "capture_id") -> DataFrame:
