@@ -83,10 +83,18 @@ SELECT event_id AS row_id, concat('src', cast(user_id % 3 AS VARCHAR(9))) AS sou
        CASE event_type WHEN 'view' THEN (CASE event_id % 4 WHEN 0 THEN '-C|repo|status' WHEN 1 THEN 'log|-3' WHEN 2 THEN '--no-pager|bisect' ELSE '' END) WHEN 'click' THEN (CASE WHEN event_id % 3 = 0 THEN 'run|pytest|-q' ELSE '-q' END) ELSE 'build' END AS args
 FROM events"""
 
-TOOL_LINES = """
+_TOOL_LINE = """CASE l_partkey % 12 WHEN 0 THEN 'Plan: 1 to add' WHEN 1 THEN '-- Configuring done' WHEN 2 THEN '[ 50%] Building' WHEN 3 THEN 'x.cs(1,2): error CS0103: gone' WHEN 4 THEN '    3 Warning(s)' WHEN 5 THEN 'Resolved 12 packages' WHEN 6 THEN '+ left==1'
+         WHEN 7 THEN 'Executed 4 tests' WHEN 8 THEN '# a.b will be created' WHEN 9 THEN '1/2 Test #1: a .... 50%' WHEN 10 THEN '' ELSE concat('chatter ', CAST(l_linenumber AS VARCHAR(9))) END"""
+
+TOOL_LINES = f"""
 SELECT l_suppkey % 25 AS capture_id, CAST(row_number() OVER (PARTITION BY l_suppkey % 25 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS line_no,
-       CASE l_partkey % 12 WHEN 0 THEN 'Plan: 1 to add' WHEN 1 THEN '-- Configuring done' WHEN 2 THEN '[ 50%] Building' WHEN 3 THEN 'x.cs(1,2): error CS0103: gone' WHEN 4 THEN '    3 Warning(s)' WHEN 5 THEN 'Resolved 12 packages' WHEN 6 THEN '+ left==1'
-         WHEN 7 THEN 'Executed 4 tests' WHEN 8 THEN '# a.b will be created' WHEN 9 THEN '1/2 Test #1: a .... 50%' WHEN 10 THEN '' ELSE concat('chatter ', CAST(l_linenumber AS VARCHAR(9))) END AS line
+       {_TOOL_LINE} AS line
+FROM lineitem"""
+
+#: The same lines with the order that numbers them, so that no window has to.
+TOOL_ROWS = f"""
+SELECT l_suppkey % 25 AS capture_id, struct(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS at,
+       {_TOOL_LINE} AS line
 FROM lineitem"""
 
 BUILDKIT = """

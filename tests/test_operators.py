@@ -96,6 +96,18 @@ def test_kept_lines(spark):
     assert _out(keep.docker_stats(_lines(spark, "CONTAINER ID NAME CPU %\nabc web 1% 2MiB / 3GiB 4% x y"))) == ["web 1% 2MiB/3GiB 4%"]
 
 
+def test_kept_lines_by_blocks(spark):
+    """Line by line, as of one body; a body of a whole capture outgrew an executor."""
+    said = ["+ a", "OpenTofu will perform the following actions:", " + b ", "\x1b[1merror: x\x1b[0m", "", "Executed 4 tests", "~ c # forces replacement", "[ 5%] y", "Plan: 1", "  # d will be e"]
+    texts = {1: said, 2: said[2:], 3: ["noise"], 4: said * 3}
+    rows = [(k, n, line) for k, lines_ in texts.items() for n, line in enumerate(lines_)]
+    table, bodies = spark.createDataFrame(rows, "capture_id long, line_no long, line string"), spark.createDataFrame([(k, "\n".join(x) + "\n") for k, x in texts.items()], "capture_id long, body string")
+    tools = tuple(keep.RULES)
+    want = {(r.capture_id, x): r.body for x in tools for r in keep.keep(bodies, x).collect()}
+    got = keep.keep_lines(table, tools, "line_no", F.floor(F.col("line_no") / 4)).collect()
+    assert len(got) == len(want) and {(r.capture_id, r.tool): r.body for r in got} == want
+
+
 def test_shell_and_trees(spark):
     df = spark.createDataFrame([("a && b 'x;y' | c 2>&1; d",), ("it's",), ("",)], "s string")
     assert [r.v for r in df.select(shell.chain(df.s).alias("v")).collect()] == [["a ", " b 'x;y' ", " c 2>&1", " d"], None, [""]]
