@@ -7,6 +7,7 @@ The lists are fixed values. A policy holds for its commands if any of its parts
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -140,20 +141,44 @@ def _holds(p: Policy, command: Column, argv: Column, args: Column) -> Column:
         bundle = F.regexp_like
         fine = lambda x: x.isin(*p.only) | (bundle(x, F.lit(rf"^-[{p.other_letters}]+$")) if p.other_letters else F.lit(False)) | F.startswith(x, F.lit("--classify=")) | F.startswith(x, F.lit("--indicator-style="))
         out = out | F.exists(args, lambda x: F.regexp_like(x, F.lit("^-.")) & ~fine(x))
-    return command.isin(*p.commands) & out if p.commands else out  # the cheap side first: most rows stop there
+    return out
+
+
+def once(argv: Column, rules: Callable[[Column, Column, Column], Column]) -> Column:
+    """rules(command, argv, args), with the command's name and its options found once for all rules: a list of rules is too long for generated code, which
+    would share them."""
+    said = F.struct(base(F.get(argv, 0)).alias("command"), argv.alias("argv"), options(argv).alias("args"))
+    return F.transform(F.array(said), lambda x: rules(x["command"], x["argv"], x["args"]))[0]
+
+
+def by_command(rules: list, command: Column, of: Callable[[tuple], Column]) -> Column:
+    """of(the rules of the command that is there, in order); null where no rule names it. Other commands' rules are not asked."""
+    names: dict[tuple, list[str]] = {}
+    for name in dict.fromkeys(c for r in rules for c in r.commands):
+        names.setdefault(tuple(k for k, r in enumerate(rules) if name in r.commands), []).append(name)
+    out = F.when(F.lit(False), of(()))
+    for which, commands in names.items():
+        out = out.when(command.isin(*commands), of(tuple(rules[k] for k in which)))
+    return out
 
 
 def asks(argv: Column, policies: tuple[Policy, ...]) -> Column:
-    command, args = base(F.get(argv, 0)), options(argv)
-    out = F.lit(False)
-    for p in policies:
-        out = out | _holds(p, command, argv, args)
-    return F.coalesce(out, F.lit(False))
+    def rules(command: Column, argv: Column, args: Column) -> Column:
+        def any_of(some) -> Column:
+            out = F.lit(False)
+            for p in some:
+                out = out | _holds(p, command, argv, args)
+            return out
+
+        own = by_command([p for p in policies if p.commands], command, any_of)
+        return F.coalesce(any_of([p for p in policies if not p.commands]) | own, F.lit(False))
+
+    return once(argv, rules)
 
 
 def passthrough(argv: Column) -> Column:
     """Help, output for machines, or output whose bytes are promised."""
-    return asks(argv, QUERY) | asks(argv, MACHINE) | asks(argv, EXACT)
+    return asks(argv, (*QUERY, *MACHINE, *EXACT))
 
 
 _SERVERS = ("vite", "next", "nuxt", "webpack")

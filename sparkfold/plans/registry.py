@@ -40,7 +40,8 @@ def by_lines(operator: Callable[..., DataFrame], *order: str, line: Column | Non
     order = order or ("line_no",)
 
     def run(bodies: DataFrame) -> DataFrame:
-        table = L.lines(bodies.withColumn("body", F.regexp_replace("body", r"\n\z", "")), "row")
+        # A body is never null, so the outer form gives the same lines; the other one has its input filtered before captures are dealt out.
+        table = bodies.select("row", F.posexplode_outer(F.split(F.regexp_replace("body", r"\n\z", ""), "\n")).alias("line_no", "line"))
         out = operator(table, key="row", **more).select("row", F.struct(*order).alias("at"), (F.col("line") if line is None else line).alias("line"))
         return L.render(out, "row", "line", "at")
 
@@ -168,17 +169,40 @@ def routed(captures: DataFrame) -> DataFrame:
     return t.select(F.monotonically_increasing_id().alias("row"), "capture_id", F.slice("argv", 1, 2).alias("command"), "stdout", "stderr", "exit_code", operator.alias("operator"))
 
 
+#: What is kept of a capture besides its part.
+_KEPT = ("row", "capture_id", "command", "stdout", "stderr", "exit_code")
+
+
 def _applied(part: DataFrame, op: Operator) -> DataFrame:
-    """row, got_stdout, got_stderr, filter_name, got_evidence of one operator's captures. It takes the one stream that has text; where both have, the first alone."""
+    """_KEPT with got_stdout, got_stderr, family and got_evidence of one operator's captures; what is got is null where it does not know one. It takes the one stream
+    that has text; where both have, the first alone. Captures are dealt out once, whole, by `row`: lines, windows and the join stay where their capture lies."""
     evidence = F.when(F.col("exit_code") == 0, op.evidence).otherwise(op.failed)
-    mine = part.where("exit_code = 0") if op.failed is None else part
+    mine = part.where("row is not null" if op.failed is not None else "row is not null and exit_code = 0").select(*_KEPT).repartition("row")
     on_err = (F.col("stdout") == "") & (F.col("stderr") != "") if not op.stream else F.lit(op.stream == "stderr")
-    bodies = mine.select("row", F.when(on_err, F.col("stderr")).otherwise(F.col("stdout")).alias("body"))
+    # Always true. As it names every column, both readers of `mine` ask for the same rows, and one exchange serves them.
+    there = F.coalesce(*[F.col(c).isNotNull() | (F.col("row") >= 0) for c in _KEPT[1:]], F.lit(True))
+    bodies = mine.select("row", F.when(there, F.when(on_err, F.col("stderr")).otherwise(F.col("stdout"))).alias("body"))
     got = op.run(bodies).select("row", F.col("body").alias("got"))
-    both = mine.join(got, "row")
-    return both.select(
-        "row", F.when(on_err, F.col("stdout")).otherwise(F.col("got")).alias("got_stdout"), F.when(on_err, F.col("got")).otherwise(F.col("stderr")).alias("got_stderr"), F.lit(op.family).alias("family"), evidence.alias("got_evidence"),
+    both = mine.join(got, "row", "left")
+    known = F.col("got").isNotNull()
+    out = both.select(
+        *_KEPT, F.when(known, F.when(on_err, F.col("stdout")).otherwise(F.col("got"))).alias("got_stdout"), F.when(known, F.when(on_err, F.col("got")).otherwise(F.col("stderr"))).alias("got_stderr"),
+        F.lit(op.family).alias("family"), F.when(known, evidence).alias("got_evidence"),
     )
+    return out if op.failed is not None else out.unionByName(_as_they_are(part.where("row is null or exit_code <> 0")))
+
+
+def _as_they_are(part: DataFrame) -> DataFrame:
+    return part.select(*_KEPT, *[F.lit(None).cast("string").alias(c) for c in ("got_stdout", "got_stderr", "family", "got_evidence")])
+
+
+def _compacted(part: DataFrame) -> DataFrame:
+    """The same of captures with forms of whole captures, in one pass where they lie: a capture's other columns go with it as its key."""
+    spoilt = [name for name in WHOLE if FORMS[name].failed == LOSSY]  # not shown of a failed command, so not asked
+    form = F.when((F.col("exit_code") == 0) | ~F.col("part").isin(*spoilt), F.col("part"))
+    done = captured.compact(part.withColumn("own", F.struct("row", "capture_id", "command", "exit_code")), form, "own")
+    evidence = F.when(F.col("filter_name") != "passthrough", F.col("evidence"))
+    return done.select("own.*", F.col("out_stdout").alias("stdout"), F.col("out_stderr").alias("stderr"), F.col("out_stdout").alias("got_stdout"), F.col("out_stderr").alias("got_stderr"), F.col("filter_name").alias("family"), evidence.alias("got_evidence"))
 
 
 def hint(command: Column, exit_code: Column) -> Column:
@@ -196,23 +220,15 @@ def registry(captures: DataFrame) -> DataFrame:
     schema = t.drop("operator").withColumn("part", F.lit("")).schema
     store = spark.read.schema(schema).parquet(path)
     present = sorted(r.part for r in store.select("part").distinct().collect())  # as many as there are operators, at most
-    found = None
-    for name in present:
-        if name not in OPERATORS:
-            continue
-        one = _applied(store.where(F.col("part") == name), OPERATORS[name])
-        found = one if found is None else found.unionByName(one)
-    whole = [name for name in present if name in WHOLE]
+    whole, native = [name for name in present if name in WHOLE], [name for name in present if name in OPERATORS]
+    t = _as_they_are(store.where(~F.col("part").isin(*whole, *native)))
     if whole:
-        part = store.where(F.col("part").isin(*whole))
-        done = captured.compact(part, F.col("part"), "row").where("filter_name <> 'passthrough'")
-        one = done.select("row", F.col("out_stdout").alias("got_stdout"), F.col("out_stderr").alias("got_stderr"), F.col("filter_name").alias("family"), F.col("evidence").alias("got_evidence"))
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = store.limit(0).select("row", F.lit("").alias("got_stdout"), F.lit("").alias("got_stderr"), F.lit("").alias("family"), F.lit("").alias("got_evidence"))
+        t = t.unionByName(_compacted(store.where(F.col("part").isin(*whole))))
+    for name in native:
+        t = t.unionByName(_applied(store.where(F.col("part") == name), OPERATORS[name]))
     # A failed command is only shown whole, or by a form that loses nothing.
     taken = F.col("got_evidence").isNotNull() & ((F.col("exit_code") == 0) | (F.col("got_evidence") != LOSSY))
-    t = store.join(found, "row", "left").withColumn("taken", F.coalesce(taken, F.lit(False)))
+    t = t.withColumn("taken", F.coalesce(taken, F.lit(False)))
     t = t.withColumn("out_stdout", F.when(F.col("taken"), F.col("got_stdout")).otherwise(F.col("stdout"))).withColumn("out_stderr", F.when(F.col("taken"), F.col("got_stderr")).otherwise(F.col("stderr")))
     quiet = (F.col("out_stdout") == "") & (F.col("out_stderr") == "")
     return t.select(

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkfold.plans.policy import base, has_option, options, passthrough
+from sparkfold.plans.policy import by_command, has_option, once, passthrough
 
 
 @dataclass(frozen=True)
@@ -194,8 +194,8 @@ SEEN = {
 }
 
 
-def _rule(r: Route, command: Column, argv: Column, args: Column) -> Column:
-    out = command.isin(*r.commands)
+def _rule(r: Route, argv: Column, args: Column) -> Column:
+    out = F.lit(True)
     out = out & F.get(argv, 1).isin(*r.first) if r.first else out
     out = out & F.get(argv, 2).isin(*r.second) if r.second else out
     if r.one_of:
@@ -212,10 +212,14 @@ def _rule(r: Route, command: Column, argv: Column, args: Column) -> Column:
 
 def operator_of(argv: Column) -> Column:
     """The operator for a command line; null for none, and for a command line whose output must stay as it is."""
-    command, args = base(F.get(argv, 0)), options(argv)
-    plain, always = F.when(F.lit(False), F.lit("")), F.when(F.lit(False), F.lit(""))
-    for r in ROUTES:
-        rule = _rule(r, command, argv, args)
-        plain = plain.when(rule, r.operator)
-        always = always.when(rule, r.operator) if r.despite_policy else always
-    return F.coalesce(always, F.when(~passthrough(argv), plain))
+    def rules(command: Column, argv: Column, args: Column) -> Column:
+        def first(some) -> Column:
+            out = F.when(F.lit(False), F.lit(""))
+            for r in some:
+                out = out.when(_rule(r, argv, args), r.operator)
+            return out
+
+        return F.struct(by_command(ROUTES, command, first).alias("plain"), by_command([r for r in ROUTES if r.despite_policy], command, first).alias("always"))
+
+    found = once(argv, rules)
+    return F.coalesce(found["always"], F.when(~passthrough(argv), found["plain"]))

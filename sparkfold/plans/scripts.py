@@ -72,6 +72,27 @@ def sql(script: Script, expected: bool, spark: bool) -> str:
     return numbered(f"SELECT * FROM ({side(1)}) AS x WHERE NOT ({_IS_ODD}) UNION ALL SELECT * FROM ({printed}) AS y WHERE {_IS_ODD}")
 
 
+def bodies(these: tuple[Script, ...]) -> str:
+    """capture_id and what each script prints of it, a column of its name, null if it prints nothing: all from one grouping of the orders, whose texts are made
+    where they were brought together."""
+
+    def lines(rows: tuple) -> str:
+        return "array(" + ", ".join(_expression(x[0], x[2] if len(x) > 2 else None) for x in rows if x[0] is not None) + ")"
+
+    def each(rows: tuple) -> str:
+        return re.sub(r"\bo_(?=orderkey\b|orderstatus\b)", "x.o_", lines(rows))
+
+    parts, texts = [], []
+    for k, s in enumerate(these):
+        parts += [f"{lines(rows)} AS {name}_{k}" for name, rows in (("head", s.head), ("tail", s.tail)) if rows]
+        strange = [f"array(CASE WHEN {_IS_ODD.replace('capture_id', 'o_custkey')} THEN '{s.odd}' END)"] if s.odd else []
+        every = strange + [f"head_{k}"] * bool(s.head) + [f"flatten(transform(o_rows, x -> {each(s.each)}))"] * bool(s.each) + [f"tail_{k}"] * bool(s.tail)
+        texts.append(f"array_compact(concat({', '.join(every)})) AS {s.name}")
+    names = ", ".join(f"CASE WHEN size({s.name}) > 0 THEN concat(array_join({s.name}, chr(10)), chr(10)) END AS {s.name}" for s in these)
+    grouped = f"SELECT {', '.join(['o_custkey', 'sort_array(collect_list(struct(o_orderkey, o_orderstatus))) AS o_rows', *parts])} FROM dealt_orders GROUP BY o_custkey"
+    return f"SELECT capture_id, {names} FROM (SELECT o_custkey AS capture_id, {', '.join(texts)} FROM ({grouped}))"
+
+
 def same(*lines: str) -> tuple:
     """Lines that are shown as they are printed."""
     return tuple((x, x) for x in lines)

@@ -283,3 +283,26 @@ def test_live_kinds(spark):
     lines = ["tsc -w", "npx tsc", "uv run jest --watch", "gh run watch", "docker compose logs -f", "docker logs -f x", "docker logs -f --timestamps x", "kubectl logs -f --prefix=true x"]
     got = spark.createDataFrame([(k, x.split()) for k, x in enumerate(lines)], "k long, argv array<string>").orderBy("k").select(live.kind(F.col("argv")).alias("kind")).collect()
     assert [r.kind for r in got] == ["tsc", "tsc", "jest", "gh", "compose", "logs", "raw", "raw"]
+
+
+def test_captures_are_dealt_out_once(spark):
+    """Lines were shuffled for the operator's windows, then its bodies and the captures for two joins; on a gigabyte this filled the disks."""
+    rows = [("git status", "On branch m\nUntracked files:\n\tq\n", "", 0), ("git status", "On branch n\n", "", 1), ("git remote -v", "o\tu (fetch)\n", "", 0), ("make", "x\n", "", 0)]
+    df = registry.registry(spark.createDataFrame([(k, a.split(" "), o, e, c, False) for k, (a, o, e, c) in enumerate(rows)], SCHEMA))
+    assert [r.out_stdout for r in sorted(df.collect())] == ["# m\n? q\n", "On branch n\n", "o u (fetch)\n", "x\n"]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    assert sum("Exchange hashpartitioning" in x and "ReusedExchange" not in x for x in plan) == 2 and sum("ReusedExchange" in x for x in plan) >= 2
+
+
+def test_scripts_print_the_same_at_once(spark):
+    """Bodies of all scripts from one grouping are those that the lines of each, numbered and put together again, give."""
+    from sparkfold.functions import lines as L
+    from sparkfold.plans import scripts
+    from sparkfold.sources.tables import table, views
+
+    views(spark, "/root/testdata/sf0.001")
+    table(spark, "/root/testdata/sf0.001", "orders").createOrReplaceTempView("dealt_orders")
+    some = tuple(s for s in scripts.SCRIPTS if s.name in ("git_log", "git_push", "git_switch", "jest", "ls_columns", "git_pull", "du_rows", "gh_view"))
+    got = {(r.capture_id, s.name): r[s.name] for r in spark.sql(scripts.bodies(some)).collect() for s in some}
+    want = {(r.capture_id, s.name): r.body for s in some for r in L.render(spark.sql(scripts.sql(s, False, True))).collect()}
+    assert len(some) == 8 and got == want
