@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sparkfold.captures.registry import FORMS
@@ -173,11 +173,15 @@ def routed(captures: DataFrame) -> DataFrame:
 _KEPT = ("row", "capture_id", "command", "stdout", "stderr", "exit_code")
 
 
-def _applied(part: DataFrame, op: Operator) -> DataFrame:
+#: Bytes of text that one task takes of an operator's captures; their lines and windows are several times as many.
+_TEXT = 16 << 20
+
+
+def _applied(part: DataFrame, op: Operator, tasks: int) -> DataFrame:
     """_KEPT with got_stdout, got_stderr, family and got_evidence of one operator's captures; what is got is null where it does not know one. It takes the one stream
     that has text; where both have, the first alone. Captures are dealt out once, whole, by `row`: lines, windows and the join stay where their capture lies."""
     evidence = F.when(F.col("exit_code") == 0, op.evidence).otherwise(op.failed)
-    mine = part.where("row is not null" if op.failed is not None else "row is not null and exit_code = 0").select(*_KEPT).repartition("row")
+    mine = part.where("row is not null" if op.failed is not None else "row is not null and exit_code = 0").select(*_KEPT).repartition(tasks, "row")
     on_err = (F.col("stdout") == "") & (F.col("stderr") != "") if not op.stream else F.lit(op.stream == "stderr")
     # Always true. As it names every column, both readers of `mine` ask for the same rows, and one exchange serves them.
     there = F.coalesce(*[F.col(c).isNotNull() | (F.col("row") >= 0) for c in _KEPT[1:]], F.lit(True))
@@ -216,16 +220,19 @@ def registry(captures: DataFrame) -> DataFrame:
     """capture_id, out_stdout, out_stderr, filter_name, evidence of captures (capture_id, argv, stdout, stderr, exit_code, lossless)."""
     spark, path = captures.sparkSession, scratch(captures.sparkSession)
     t = routed(captures)
-    t.withColumn("part", F.coalesce("operator", F.lit("none"))).drop("operator").write.partitionBy("part").option("compression", "zstd").parquet(path)
+    seen = Observation()
+    sized = t.observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("stdout") + F.octet_length("stderr")).alias("bytes"))
+    sized.withColumn("part", F.coalesce("operator", F.lit("none"))).drop("operator").write.partitionBy("part").option("compression", "zstd").parquet(path)
     schema = t.drop("operator").withColumn("part", F.lit("")).schema
     store = spark.read.schema(schema).parquet(path)
-    present = sorted(r.part for r in store.select("part").distinct().collect())  # as many as there are operators, at most
+    present = {r["part"]: r["count"] for r in store.groupBy("part").count().orderBy("part").collect()}  # as many as there are operators, at most
+    each = (seen.get["bytes"] or 0) / max(1, seen.get["n"])  # bytes of a capture
     whole, native = [name for name in present if name in WHOLE], [name for name in present if name in OPERATORS]
     t = _as_they_are(store.where(~F.col("part").isin(*whole, *native)))
     if whole:
         t = t.unionByName(_compacted(store.where(F.col("part").isin(*whole))))
     for name in native:
-        t = t.unionByName(_applied(store.where(F.col("part") == name), OPERATORS[name]))
+        t = t.unionByName(_applied(store.where(F.col("part") == name), OPERATORS[name], 1 + int(present[name] * each / _TEXT)))
     # A failed command is only shown whole, or by a form that loses nothing.
     taken = F.col("got_evidence").isNotNull() & ((F.col("exit_code") == 0) | (F.col("got_evidence") != LOSSY))
     t = t.withColumn("taken", F.coalesce(taken, F.lit(False)))
