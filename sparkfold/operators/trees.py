@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
-from sparkfold.sources.tables import written
 
 #: Files of a folder, or entries of a folder, from which on they become one line; names that this line gives.
 MANY, SAMPLES = 4, 3
@@ -32,15 +31,18 @@ def _entries(table: DataFrame) -> DataFrame:
 def levels(rows: DataFrame, key: str) -> DataFrame:
     """`rows` (key, line_no, depth, others) with `parent`, the line number of the row one level up, and `end`, that of the first row that is not below."""
     steps = rows.withColumn("before", F.coalesce(F.lag("depth").over(L.ordered(key)), F.lit(-1)))
-    shut = steps.where("depth <= before").select(key, "line_no", F.explode(F.sequence("depth", "before")).alias("level"), F.lit(0).alias("what"))
-    opened = rows.select(key, "line_no", F.col("depth").alias("level"), F.lit(2).alias("what"))
-    child = rows.where("depth > 0").select(key, "line_no", (F.col("depth") - 1).alias("level"), F.lit(1).alias("what"))
+    event = lambda level, what: F.struct(level.alias("level"), F.lit(what).alias("what"))
+    own, above = F.array(event(F.col("depth"), 2)), F.when(F.col("depth") > 0, F.array(event(F.col("depth") - 1, 1)))
+    shut = F.when(F.col("depth") <= F.col("before"), F.transform(F.sequence("depth", "before"), lambda x: event(x, 0)))
+    others = F.struct(*[c for c in rows.columns if c not in (key, "line_no")])
+    events = steps.select(key, "line_no", others.alias("x"), F.explode(F.concat(own, F.coalesce(above, F.slice(own, 1, 0)), F.coalesce(shut, F.slice(own, 1, 0)))).alias("e"))
+    events = events.select(key, "line_no", "e.level", "e.what", F.when(F.col("e.what") == 2, F.col("x")).alias("x"))
     w = Window.partitionBy(key, "level").orderBy("line_no", "what")
     back = Window.partitionBy(key, "level").orderBy(F.desc("line_no"), F.desc("what"))  # frames that only grow, in both directions
     after = F.last(F.when(F.col("what") == 0, F.col("line_no")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
-    events = shut.unionByName(child).unionByName(opened).withColumn("parent", F.last(F.when(F.col("what") == 2, F.col("line_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", after)
-    own = events.where("what > 0").groupBy(key, "line_no").agg(F.max(F.when(F.col("what") == 1, F.col("parent"))).alias("parent"), F.max(F.when(F.col("what") == 2, F.col("end"))).alias("end"))
-    return rows.join(own, [key, "line_no"])
+    events = events.withColumn("parent", F.last(F.when(F.col("what") == 2, F.col("line_no")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("end", after)
+    g = events.where("what > 0").groupBy(key, "line_no").agg(F.first("x", ignorenulls=True).alias("x"), F.max(F.when(F.col("what") == 1, F.col("parent"))).alias("parent"), F.max(F.when(F.col("what") == 2, F.col("end"))).alias("end"))
+    return g.select(key, "line_no", "x.*", "parent", "end")
 
 
 def _few(names: Column, n: Column, noun: Column) -> Column:
@@ -51,40 +53,45 @@ def _few(names: Column, n: Column, noun: Column) -> Column:
 def tree(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, line_no, line: indentation by two blanks instead of drawing. Four files of a folder and more become one line with samples; so does a folder of four entries
     and more that has no folder in it, or that is deep itself. The totals stay."""
-    total = table.where(F.regexp_like("line", F.lit(_TOTAL)))
-    last = total.groupBy(key).agg(F.max(F.struct("line_no", F.regexp_replace("line", r"\r$", "").alias("line"))).alias("x")).select(key, F.col("x.line_no").cast("long").alias("line_no"), "x.line")
-    t = _entries(table.where(~F.regexp_like("line", F.lit(_TOTAL))))
     w, group = L.ordered(key), Window.partitionBy(key)
-    fine = F.col("name").isNotNull() & (F.col("depth") <= F.coalesce(F.lag("depth").over(w), F.lit(-1)) + 1)
-    t = t.withColumn("fine", fine).withColumn("all_fine", F.min("fine").over(group)).where("all_fine")
+    is_total = F.regexp_like("line", F.lit(_TOTAL))
+    t = table.withColumn("line_no", F.col("line_no").cast("long"))
+    t = t.withColumn("total", F.max(F.when(is_total, F.struct("line_no", F.regexp_replace("line", r"\r$", "").alias("line")))).over(group))
+    t = _entries(t.where(~is_total))
+    was = F.lag("depth").over(w)
+    fine = F.col("name").isNotNull() & (F.col("depth") <= F.coalesce(was, F.lit(-1)) + 1)
+    t = t.withColumn("fine", fine).withColumn("total", F.when(was.isNull(), F.col("total"))).withColumn("all_fine", F.min("fine").over(group)).where("all_fine")
     t = t.withColumn("is_dir", F.endswith("name", F.lit("/")) | (F.col("depth") == 0) | (F.coalesce(F.lead("depth").over(w), F.lit(0)) > F.col("depth")))
-    # Each step speaks of the one before several times, so steps are written.
-    t = written(t.select(key, "line_no", "depth", F.regexp_replace("name", "/$", "").alias("name"), "is_dir"))
-    t = written(levels(t, key))
+    # From here on each step goes on from the rows of the one before, by explosion, windows and grouping: without a join, rows stay where their capture was brought together.
+    t = levels(t.select(key, "line_no", "depth", F.regexp_replace("name", "/$", "").alias("name"), "is_dir", "total"), key)
     shown = F.concat("name", F.when(F.col("is_dir") & (F.col("name") != "."), "/").otherwise(""))
-    # What each folder holds directly: at most its samples are kept, by place.
-    kid = t.where("parent is not null").withColumn("shown", shown).withColumn("nth", F.row_number().over(Window.partitionBy(key, "parent").orderBy("line_no"))).withColumn("nth_file", F.row_number().over(Window.partitionBy(key, "parent", "is_dir").orderBy("line_no")))
-    sample = lambda keep, name: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("line_no", F.col(name).alias("v"))))), lambda x: x["v"])
-    held = kid.groupBy(key, F.col("parent").alias("folder")).agg(
-        F.count("*").alias("kids"), F.count_if(~F.col("is_dir")).alias("files"), sample(F.col("nth") <= SAMPLES, "shown").alias("some"), sample(~F.col("is_dir") & (F.col("nth_file") <= SAMPLES), "name").alias("some_files"),
-        F.min(F.when(~F.col("is_dir"), F.col("line_no"))).alias("first_file"),
-    )
-    own = held.select(key, F.col("folder").alias("line_no"), "kids", F.col("files").alias("own_files"), "some")
-    above = held.select(key, F.col("folder").alias("parent"), "files", "some_files", "first_file")
-    t = t.join(own, [key, "line_no"], "left").join(above, [key, "parent"], "left")
+    # What each folder holds directly: at most its samples are kept, by place. A row stands at its own folder, and at its parent's as one of those held.
+    at = F.explode(F.array(F.struct(F.col("line_no").alias("folder"), F.lit(False).alias("held")), F.struct(F.col("parent").alias("folder"), F.lit(True).alias("held"))))
+    m = t.select("*", at.alias("at")).select("*", "at.*").drop("at").where("folder is not null").withColumn("shown", shown).withColumn("file", F.col("held") & ~F.col("is_dir"))
+    whole = Window.partitionBy(key, "folder")
+    so_far = whole.orderBy("line_no", "held").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    m = m.withColumn("nth", F.count_if("held").over(so_far)).withColumn("nth_file", F.count_if("file").over(so_far))
+    sample = lambda keep, name: F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("line_no", F.col(name).alias("v")))).over(whole)), lambda x: x["v"])
+    m = m.withColumn("kids", F.count_if("held").over(whole)).withColumn("files", F.count_if("file").over(whole)).withColumn("first_file", F.min(F.when(F.col("file"), F.col("line_no"))).over(whole))
+    m = m.withColumn("some", sample(F.col("held") & (F.col("nth") <= SAMPLES), "shown")).withColumn("some_files", sample(F.col("file") & (F.col("nth_file") <= SAMPLES), "name"))
+    mine = lambda held, *names: F.first(F.when(F.col("held") == held, F.struct(*names)), ignorenulls=True)
+    own = mine(False, "depth", "name", "is_dir", "total", "parent", "end", "kids", F.col("files").alias("own_files"), "some")
+    g = m.groupBy(key, "line_no").agg(own.alias("own"), mine(True, "files", "some_files", "first_file").alias("above"))
+    t = g.select(key, "line_no", "own.*", "above.*")
     plain = F.col("kids") == F.col("own_files")
     t = t.withColumn("shut", F.coalesce(F.col("is_dir") & F.col("parent").isNotNull() & (F.col("kids") >= MANY) & ((F.col("depth") >= 2) | plain), F.lit(False)))
-    t = written(t)
     # Rows below a folder that is shut are hidden: one up where it begins, one down where it ends.
-    marks = t.where("shut").select(key, (F.col("line_no") + 1).alias("line_no"), F.lit(1).alias("d")).unionByName(t.where("shut and end is not null").select(key, F.col("end").alias("line_no"), F.lit(-1).alias("d")))
-    every = t.select("*", F.lit(0).alias("d"), F.lit(True).alias("row")).unionByName(marks.withColumn("row", F.lit(False)), allowMissingColumns=True)
-    before = Window.partitionBy(key).orderBy("line_no").rangeBetween(Window.unboundedPreceding, 0)
-    t = every.withColumn("hidden", F.sum("d").over(before) > 0).where("row and not hidden")
+    step = lambda place, d: F.struct(place.alias("place"), F.lit(d).alias("d"))
+    marks = F.array(step(F.col("line_no"), 0), F.when(F.col("shut"), step(F.col("line_no") + 1, 1)), F.when(F.col("shut") & F.col("end").isNotNull(), step(F.col("end"), -1)))
+    row = F.struct(*[c for c in t.columns if c != key])
+    every = t.select(key, row.alias("row"), F.explode(marks).alias("m")).where("m is not null").select(key, "m.place", "m.d", F.when(F.col("m.d") == 0, F.col("row")).alias("row"))
+    before = Window.partitionBy(key).orderBy("place").rangeBetween(Window.unboundedPreceding, 0)
+    t = every.withColumn("hidden", F.sum("d").over(before) > 0).where("row is not null and not hidden").select(key, "row.*")
     indent = F.repeat(F.lit("  "), F.col("depth"))
     many_files = ~F.col("is_dir") & (F.coalesce("files", F.lit(0)) >= MANY)
     line = F.when(F.col("shut"), F.concat(indent, "name", F.lit("/ "), _few(F.col("some"), F.col("kids"), F.when(plain, "files").otherwise("entries")))).when(many_files, F.concat(indent, _few(F.col("some_files"), F.col("files"), F.lit("files")))).otherwise(F.concat(indent, shown))
-    rows = t.where(~many_files | (F.col("line_no") == F.col("first_file"))).select(key, F.col("line_no").cast("long").alias("line_no"), line.alias("line"))
-    return rows.unionByName(last.join(rows.select(key).distinct(), key, "left_semi"))
+    rows = t.where(~many_files | (F.col("line_no") == F.col("first_file"))).select(key, F.explode(F.array("total", F.struct("line_no", line.alias("line")))).alias("x"))
+    return rows.where("x is not null").select(key, "x.line_no", "x.line")
 
 
 def drawn(table: DataFrame, key: str = "capture_id") -> DataFrame:

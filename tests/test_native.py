@@ -139,3 +139,11 @@ def test_rows_in_order_need_no_places(spark):
     t = headed._ragged(spark.createDataFrame(rows, "capture_id long, line_no long, line string"), "capture_id").orderBy("line_no").collect()
     assert [r.cells for r in t] == [["NAME", "STATE", "AGE"], ["a", "open", "3d"], ["b", "", "4d"], None]
     assert [r.heads is not None for r in t] == [False, False, True, False]
+
+
+def test_a_tree_is_brought_together_once(spark):
+    """Each step was written and shuffled anew, several times in joins."""
+    table = spark.createDataFrame([(1, 0, "."), (1, 1, "├── a"), (1, 2, ""), (1, 3, "1 directory, 1 file")], "capture_id long, line_no long, line string")
+    found = trees.tree(table)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert [r.line for r in found.orderBy("line_no").collect()] == [".", "  a", "1 directory, 1 file"]
