@@ -44,13 +44,22 @@ SELECT s_suppkey % 5 AS capture_id, CAST(row_number() OVER (PARTITION BY s_suppk
        concat(CASE WHEN s_suppkey % 50 = 1 THEN '* ' ELSE '  ' END, CASE WHEN s_suppkey % 3 = 0 THEN 'remotes/origin/' ELSE '' END, 'b', cast((s_suppkey - s_suppkey % 3) AS VARCHAR(20)), CASE WHEN s_suppkey % 3 = 2 THEN 'x' ELSE '' END) AS line
 FROM supplier"""
 
-TSC = """
+_TSC_LINE = """CASE WHEN l_orderkey % 97 = 0 THEN 'error TS18003 no inputs' WHEN l_orderkey % 89 = 0 THEN '' ELSE
+       concat('src/f', cast(l_partkey AS VARCHAR(20)), '.ts:', cast(l_linenumber AS VARCHAR(9)), ':1 - error TS', cast((2000 + l_suppkey % 7 * 10 + l_linenumber) AS VARCHAR(9)), ': Cannot find name flag ', CASE WHEN l_linenumber = 2 THEN l_returnflag ELSE 'X' END, ' in this scope of the module') END"""
+
+TSC = f"""
 SELECT l_suppkey % 20 AS capture_id, CAST(row_number() OVER (PARTITION BY l_suppkey % 20 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS BIGINT) AS line_no,
-       CASE WHEN l_orderkey % 97 = 0 THEN 'error TS18003 no inputs' WHEN l_orderkey % 89 = 0 THEN '' ELSE
-       concat('src/f', cast(l_partkey AS VARCHAR(20)), '.ts:', cast(l_linenumber AS VARCHAR(9)), ':1 - error TS', cast((2000 + l_suppkey % 7 * 10 + l_linenumber) AS VARCHAR(9)), ': Cannot find name flag ', CASE WHEN l_linenumber = 2 THEN l_returnflag ELSE 'X' END, ' in this scope of the module') END AS line
+       {_TSC_LINE} AS line
 FROM lineitem
 UNION ALL SELECT -1, 0, 'Starting compilation' FROM region WHERE r_regionkey = 0"""
 
+#: The same lines with the columns whose order numbers them, so that no window has to.
+TSC_ROWS = f"""
+SELECT l_suppkey % 20 AS capture_id, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+       {_TSC_LINE} AS line
+FROM lineitem
+UNION ALL SELECT -1, 0, 0, 0, 0, 0, 'Starting compilation' FROM region WHERE r_regionkey = 0"""
+
 KUBECTL = """
 SELECT n_nationkey AS capture_id, CAST(0 AS BIGINT) AS line_no, concat(rpad('NAME', 20, ' '), 'READY   STATUS    RESTARTS   AGE') AS line FROM (SELECT n_nationkey FROM nation UNION ALL SELECT -1) AS n
 UNION ALL SELECT s_nationkey AS capture_id, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS BIGINT) AS line_no,

@@ -1,9 +1,11 @@
+import random
+
 from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
 from sparkfold.functions import text as T
 from sparkfold.operators import checks, generic, git, keep, listing, logs, shell
-from sparkfold.plans import catalog, guards, usage
+from sparkfold.plans import catalog, guards, queries, usage
 from sparkfold.streaming import live
 
 
@@ -108,6 +110,31 @@ def test_kept_lines_by_blocks(spark):
     assert len(got) == len(want) and {(r.capture_id, r.tool): r.body for r in got} == want
 
 
+def test_tsc_by_blocks(spark):
+    """Lines that no one has numbered, block by block, as in one capture; the windows over a whole capture outgrew a task."""
+    rng, rows = random.Random(8), []
+    for capture in range(12):
+        for at in rng.sample(range(-40, 400), 0 if capture == 11 else rng.randint(1, 120)):
+            said = rng.choice(["x" * 39 + "é" + rng.choice("ab"), "y" * 38 + rng.choice(["é", "è"]), rng.choice(["", "z"]), "w: v "])
+            diagnostic = f"{rng.choice(['', chr(27) + '[31m'])}f{at}.ts:1 - error TS{rng.randint(1, 4 + 9 * (capture % 3))}: {said}"
+            rows.append((capture, at // 7, at % 7, rng.choice([diagnostic, diagnostic, "error TS9 odd", " ", "", "Found 2 errors", "f.ts - error TS3 no colon"]) if capture % 5 else rng.choice(["", "odd"])))
+    table = spark.createDataFrame(rows, "capture_id long, a long, b long, line string")
+    numbers = {}
+    for k, capture in enumerate(sorted(rows)):
+        numbers.setdefault(capture[0], k)
+    one = spark.createDataFrame([(c, k - numbers[c], line) for k, (c, _, _, line) in enumerate(sorted(rows))], "capture_id long, line_no long, line string")
+    want = sorted(map(tuple, checks.tsc(one).collect()))
+    assert sorted(map(tuple, checks.tsc_rows(table, ("a", "b"), F.floor(F.col("a") / 3)).collect())) == want
+    assert {w[3] for w in want if w[0] % 5 == 0} == {"no type errors"} and any(" x3: " in w[3] for w in want) and any("TS3 no colon" in w[3] for w in want)
+
+
+def test_tsc_errors_sorts_no_whole_capture(spark):
+    """Lines are numbered by blocks of a capture; a window by capture alone took all of its lines into one task."""
+    plan = queries.tsc_errors(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    ranks = [x for x in plan.split("\n") if "row_number()" in x]
+    assert ranks and all("[block#" in x for x in ranks)
+
+
 def test_shell_and_trees(spark):
     df = spark.createDataFrame([("a && b 'x;y' | c 2>&1; d",), ("it's",), ("",)], "s string")
     assert [r.v for r in df.select(shell.chain(df.s).alias("v")).collect()] == [["a ", " b 'x;y' ", " c 2>&1", " d"], None, [""]]
