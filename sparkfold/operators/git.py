@@ -66,7 +66,8 @@ def diff(table: DataFrame, key: str = "capture_id") -> DataFrame:
     header = F.regexp_like("line", F.lit(r"^(?:(?:dis)?similarity index |index |--- (?:a/|/dev/null)|\+\+\+ (?:b/|/dev/null)|(?:rename|copy) (?:from|to) )"))
     out = F.when(F.startswith("line", F.lit("diff --git a/")), file).when(F.regexp_like("line", F.lit(r"^@@ -\S+ \+\S+ @@")), F.regexp_replace("line", r"^@@ -(\S+) \+(\S+) @@", "@$1|$2"))
     out = out.when(F.regexp_like("line", F.lit("^Binary files .* differ$")), "B").when(~header, F.col("line"))
-    return t.select(key, "line_no", out.alias("line")).where("line is not null")
+    # Exploded, as a condition on the line itself would be asked where lines are made: each pattern twice, in a method too long for the JVM to compile.
+    return t.select(key, "line_no", F.explode(F.array(out)).alias("line")).where("line is not null")
 
 
 #: Sections of a long status, labels of changed paths in them, and the letters they become (fixed values). The empty label is any other.

@@ -148,25 +148,37 @@ def _js_runner(body: Column) -> Column:
     return F.when(F.regexp_like(body, F.lit(routes.SEEN["jest"])), "jest").otherwise("js_test")
 
 
-def routed(captures: DataFrame) -> DataFrame:
-    """row, capture_id, command, stdout, stderr, exit_code and the operator for each capture, null for none. Streams of 16 MiB and more have none."""
+def _asked(line: Column) -> Column:
+    """What a command line says by itself: the operator that it names, whether its output stays as it is, whether a shell ran it."""
+    argv = F.coalesce(commands.logical(line)["argv"], line)
+    return F.struct(routes.operator_of(argv).alias("named"), policy.passthrough(argv).alias("silent"), policy.in_shell(argv).alias("shell"))
+
+
+def routed(captures: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """row, capture_id, command, stdout, stderr, exit_code and the operator for each capture, null for none. Streams of 16 MiB and more have none. `lines`: a small
+    table of command lines (argv), which are asked once instead of with each capture; others are asked where they are."""
     has = set(captures.columns)
     stream = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in has else F.lit("")
     t = captures.select(
         "capture_id", "argv", stream("stdout").alias("stdout"), stream("stderr").alias("stderr"), F.coalesce(F.col("exit_code").cast("int"), F.lit(0)).alias("exit_code"), F.coalesce("lossless", F.lit(False)).alias("lossless"),
-        F.coalesce(commands.logical(F.col("argv"))["argv"], "argv").alias("logical"),
     )
-    argv, out = F.col("logical"), F.col("stdout")
+    if lines is None:
+        t = t.withColumn("asked", _asked(F.col("argv")))
+    else:
+        once = lines.select(F.col("argv").alias("line")).distinct().withColumn("known", _asked(F.col("line")))
+        t = t.join(F.broadcast(once), F.col("argv") == F.col("line"), "left").withColumn("asked", F.when(F.col("known").isNull(), _asked(F.col("argv"))).otherwise(F.col("known")))
+    out = F.col("stdout")
     small = F.greatest(F.octet_length("stdout"), F.octet_length("stderr")).between(1, guards.MOST - 1)
-    named = routes.operator_of(argv)
-    t = t.withColumn("named", F.when(~F.col("lossless") & small, named))
-    told = F.when(~F.col("lossless") & small & ~policy.passthrough(argv), F.when(policy.in_shell(argv), by_content(out)).when(T.compactible(out), "generic"))
+    t = t.withColumn("named", F.when(~F.col("lossless") & small, F.col("asked.named")))
+    told = F.when(~F.col("lossless") & small & ~F.col("asked.silent"), F.when(F.col("asked.shell"), by_content(out)).when(T.compactible(out), "generic"))
     body = F.when(out == "", F.col("stderr")).otherwise(out)
     seen = F.when(F.col("named").isNull(), False)
     for name, pattern in routes.SEEN.items():  # each capture is held against its own pattern only
         seen = seen.when(F.col("named") == name, F.regexp_like(out, F.lit(pattern)) | F.regexp_like(F.col("stderr"), F.lit(pattern)))
     operator = F.when(~seen.otherwise(True), told).when(F.col("named") == "script_test", _js_runner(body)).when((F.col("named") == "pup_table") & F.regexp_like(body, F.lit(r"\A\s*[{\[]")), "json").otherwise(F.col("named"))
-    return t.select(F.monotonically_increasing_id().alias("row"), "capture_id", F.slice("argv", 1, 2).alias("command"), "stdout", "stderr", "exit_code", operator.alias("operator"))
+    # A lambda, though it changes nothing: with one Spark writes the projection as many short methods, else as one too long for the JVM to compile.
+    command = F.transform(F.slice("argv", 1, 2), lambda x: x)
+    return t.select(F.monotonically_increasing_id().alias("row"), "capture_id", command.alias("command"), "stdout", "stderr", "exit_code", operator.alias("operator"))
 
 
 #: What is kept of a capture besides its part.
@@ -216,13 +228,13 @@ def hint(command: Column, exit_code: Column) -> Column:
     return F.when(clean, F.format_string("(no changes; git %s exited 0 with no output)\n", F.get(command, 1))).otherwise(F.format_string("(%s exited %d with no output)\n", name, exit_code))
 
 
-def registry(captures: DataFrame) -> DataFrame:
-    """capture_id, out_stdout, out_stderr, filter_name, evidence of captures (capture_id, argv, stdout, stderr, exit_code, lossless)."""
+def registry(captures: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """capture_id, out_stdout, out_stderr, filter_name, evidence of captures (capture_id, argv, stdout, stderr, exit_code, lossless). `lines`: as in `routed`."""
     spark, path = captures.sparkSession, scratch(captures.sparkSession)
-    t = routed(captures)
+    t = routed(captures, lines)
     seen = Observation()
     sized = t.observe(seen, F.count("*").alias("n"), F.sum(F.octet_length("stdout") + F.octet_length("stderr")).alias("bytes"))
-    sized.withColumn("part", F.coalesce("operator", F.lit("none"))).drop("operator").write.partitionBy("part").option("compression", "zstd").parquet(path)
+    sized.withColumn("part", F.coalesce("operator", F.lit("none"))).drop("operator").write.partitionBy("part").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     schema = t.drop("operator").withColumn("part", F.lit("")).schema
     store = spark.read.schema(schema).parquet(path)
     present = {r["part"]: r["count"] for r in store.groupBy("part").count().orderBy("part").collect()}  # as many as there are operators, at most

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import groupby
 
 #: Expressions for `{name}`, in SQL that both dialects read.
 FIELDS = {
@@ -72,25 +73,32 @@ def sql(script: Script, expected: bool, spark: bool) -> str:
     return numbered(f"SELECT * FROM ({side(1)}) AS x WHERE NOT ({_IS_ODD}) UNION ALL SELECT * FROM ({printed}) AS y WHERE {_IS_ODD}")
 
 
-def bodies(these: tuple[Script, ...]) -> str:
-    """capture_id and what each script prints of it, a column of its name, null if it prints nothing: all from one grouping of the orders, whose texts are made
-    where they were brought together."""
+def _text(lines: tuple) -> str:
+    """What is printed of `lines` as one text, each line ended by a line feed, in as few concatenations as there are conditions."""
+
+    def joined(texts: list[str]) -> str:
+        parts = [p for p in re.split(r"(\{\w+\})", "".join(texts)) if p]
+        return "concat(" + ", ".join(f"coalesce({FIELDS[p[1:-1]]}, '')" if re.fullmatch(r"\{\w+\}", p) else "'" + p.replace("'", "''") + "'" for p in parts) + ")"
 
-    def lines(rows: tuple) -> str:
-        return "array(" + ", ".join(_expression(x[0], x[2] if len(x) > 2 else None) for x in rows if x[0] is not None) + ")"
+    runs = [(condition, [x[0] + "\n" for x in run]) for condition, run in groupby((x for x in lines if x[0] is not None), lambda x: x[2] if len(x) > 2 else None)]
+    parts = [joined(texts) if condition is None else f"CASE WHEN {condition} THEN {joined(texts)} ELSE '' END" for condition, texts in runs]
+    return f"concat({', '.join(parts)})" if len(parts) > 1 else "".join(parts) or "''"
 
-    def each(rows: tuple) -> str:
-        return re.sub(r"\bo_(?=orderkey\b|orderstatus\b)", "x.o_", lines(rows))
 
-    parts, texts = [], []
+def bodies(these: tuple[Script, ...]) -> str:
+    """capture_id and what each script prints of it, a column of its name, null if it prints nothing: all from one grouping of the orders, whose texts are made
+    where they were brought together."""
+    each, parts, texts = [], [], []
     for k, s in enumerate(these):
-        parts += [f"{lines(rows)} AS {name}_{k}" for name, rows in (("head", s.head), ("tail", s.tail)) if rows]
-        strange = [f"array(CASE WHEN {_IS_ODD.replace('capture_id', 'o_custkey')} THEN '{s.odd}' END)"] if s.odd else []
-        every = strange + [f"head_{k}"] * bool(s.head) + [f"flatten(transform(o_rows, x -> {each(s.each)}))"] * bool(s.each) + [f"tail_{k}"] * bool(s.tail)
-        texts.append(f"array_compact(concat({', '.join(every)})) AS {s.name}")
-    names = ", ".join(f"CASE WHEN size({s.name}) > 0 THEN concat(array_join({s.name}, chr(10)), chr(10)) END AS {s.name}" for s in these)
-    grouped = f"SELECT {', '.join(['o_custkey', 'sort_array(collect_list(struct(o_orderkey, o_orderstatus))) AS o_rows', *parts])} FROM dealt_orders GROUP BY o_custkey"
-    return f"SELECT capture_id, {names} FROM (SELECT o_custkey AS capture_id, {', '.join(texts)} FROM ({grouped}))"
+        each += [f"'each_{k}', {_text(s.each)}"] * bool(s.each)
+        parts += [f"{_text(rows)} AS {name}_{k}" for name, rows in (("head", s.head), ("tail", s.tail)) if rows]
+        strange = [f"CASE WHEN {_IS_ODD.replace('capture_id', 'o_custkey')} THEN {_text(((s.odd, None),))} ELSE '' END"] if s.odd else []
+        every = strange + [f"head_{k}"] * bool(s.head) + [f"array_join(o_rows.each_{k}, '')"] * bool(s.each) + [f"tail_{k}"] * bool(s.tail)
+        texts.append(f"nullif(concat({', '.join(every)}), '') AS {s.name}")
+    # Texts are made order by order in one projection. Where there is a lambda, Spark writes it as many short methods; all in one would be too long for the JVM to compile.
+    made = f"SELECT o_custkey, transform(array(o_orderkey), x -> x)[0] AS o_orderkey, named_struct({', '.join(each) or repr('none') + ', 0'}) AS o_texts FROM dealt_orders"
+    grouped = f"SELECT {', '.join(['o_custkey', 'sort_array(collect_list(struct(o_orderkey, o_texts))).o_texts AS o_rows', *parts])} FROM ({made}) GROUP BY o_custkey"
+    return f"SELECT o_custkey AS capture_id, {', '.join(texts)} FROM ({grouped})"
 
 
 def same(*lines: str) -> tuple:
