@@ -47,4 +47,4 @@ def head_tail(table: DataFrame, head: int, tail: int, notice: Column, key: str =
 def render(table: DataFrame, key: str = "capture_id", line: str = "line", order: str = "line_no") -> DataFrame:
     """One body per capture: its lines in order, each ended by a line feed."""
     w = F.sort_array(F.collect_list(F.struct(order, line)))
-    return table.groupBy(key).agg(w.alias("_l")).select(key, F.concat(F.array_join(F.transform("_l", lambda x: x[line]), "\n"), F.lit("\n")).alias("body"))
+    return table.groupBy(key).agg(w.alias("_l")).select(key, F.concat(F.array_join(F.col("_l")[line], "\n"), F.lit("\n")).alias("body"))

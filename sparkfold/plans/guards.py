@@ -93,12 +93,17 @@ LOOKS = (
     ("curl_trace", r"^[*<>]", r"(?m)^> [A-Z]+ "),
 )
 
+#: Forms of LOOKS whose pattern needs one of the substrings of SIGNALS.
+HINTED = {name: name for name in ("cargo_test", "jest", "js_test", "go_test", "pytest")} | {"install": "npm_install"}
 
-def looks_like(body: Column) -> Column:
-    """The form that a body's content calls for; null for none, and for a body at the size limit."""
-    line = F.coalesce(first_line(body), F.lit(""))
+
+def looks_like(body: Column, line: Column | None = None) -> Column:
+    """The form that a body's content calls for; null for none, and for a body at the size limit. `line`: its `first_line`, where that is at hand."""
+    line = F.coalesce(first_line(body) if line is None else line, F.lit(""))
     out = F.when(F.octet_length(body) >= MOST, F.lit(None).cast("string"))
     for form, first, anywhere in LOOKS:
         rule = F.regexp_like(line, F.lit(first)) if first else F.lit(True)
+        hinted = HINTED.get(form)  # a pattern with many branches is only tried on a body that has a substring which it needs
+        rule = rule & signal(hinted, body) if hinted else rule
         out = out.when(rule & F.regexp_like(body, F.lit(anywhere)) if anywhere else rule, form)
     return out.when(T.compactible(body), "generic")

@@ -134,14 +134,17 @@ OPERATORS = {
 WHOLE = {name: name for name in FORMS if name not in OPERATORS}
 #: What a shell's output looks like, by an operator's own mark, in order; then what forms look like.
 _SHELL_MARKS = ("git_status_short", "git_reflog", "tsc", "helm_list", "helm_history", "docker_stats", "pre_commit")
+#: What a body must begin with, or have, for its mark to be looked for; a pattern is tried at every character.
+_BEGINS, _HAS = {"helm_list": "NAME", "helm_history": "REVISION", "docker_stats": "CONTAINER ID"}, {"pre_commit": "..."}
 
 
-def by_content(body: Column) -> Column:
-    """The operator that a body's content calls for; null for none."""
+def by_content(body: Column, line: Column | None = None) -> Column:
+    """The operator that a body's content calls for; null for none. `line`: its first line with text, where that is at hand."""
     out = F.when(F.octet_length(body) >= guards.MOST, F.lit(None).cast("string"))
     for name in _SHELL_MARKS:
-        out = out.when(F.regexp_like(body, F.lit(routes.SEEN[name])), name)
-    return out.otherwise(guards.looks_like(body))
+        hint = F.startswith(body, F.lit(_BEGINS[name])) if name in _BEGINS else F.contains(body, F.lit(_HAS[name])) if name in _HAS else guards.signal(name, body) if name in guards.SIGNALS else F.lit(True)
+        out = out.when(hint & F.regexp_like(body, F.lit(routes.SEEN[name])), name)
+    return out.otherwise(guards.looks_like(body, line))
 
 
 def _js_runner(body: Column) -> Column:
@@ -169,8 +172,8 @@ def routed(captures: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         t = t.join(F.broadcast(once), F.col("argv") == F.col("line"), "left").withColumn("asked", F.when(F.col("known").isNull(), _asked(F.col("argv"))).otherwise(F.col("known")))
     out = F.col("stdout")
     small = F.greatest(F.octet_length("stdout"), F.octet_length("stderr")).between(1, guards.MOST - 1)
-    t = t.withColumn("named", F.when(~F.col("lossless") & small, F.col("asked.named")))
-    told = F.when(~F.col("lossless") & small & ~F.col("asked.silent"), F.when(F.col("asked.shell"), by_content(out)).when(T.compactible(out), "generic"))
+    t = t.withColumn("named", F.when(~F.col("lossless") & small, F.col("asked.named"))).withColumn("first", F.when(F.col("asked.shell") & small, guards.first_line(out)))
+    told = F.when(~F.col("lossless") & small & ~F.col("asked.silent"), F.when(F.col("asked.shell"), by_content(out, F.col("first"))).when(T.compactible(out), "generic"))
     body = F.when(out == "", F.col("stderr")).otherwise(out)
     seen = F.when(F.col("named").isNull(), False)
     for name, pattern in routes.SEEN.items():  # each capture is held against its own pattern only
