@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkfold.functions import lines as L
@@ -16,18 +16,21 @@ def _fields(table: DataFrame) -> DataFrame:
     return table.withColumn("f", F.filter(F.split("line", r"[ \t\n\f\r]+"), lambda x: x != "")).where(F.size("f") > 0)
 
 
+def _without(t: DataFrame, bad: Column, key: str) -> DataFrame:
+    """`t` without the captures that have a bad row; by a window, as a join would make the fields of all lines twice."""
+    return t.withColumn("bad", F.max(F.coalesce(bad, F.lit(False))).over(Window.partitionBy(key))).where("not bad").drop("bad")
+
+
 def helm_list(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, line_no, line: name, namespace, revision, and the last three columns (status, chart, version)."""
     t = _fields(table.where("line_no > 0"))
-    bad = t.where(F.size("f") < 9).select(key).distinct()
-    return t.join(bad, key, "left_anti").select(key, "line_no", F.concat(F.expr("concat(f[0], ' ', f[1], ' r', f[2], ' ')"), F.array_join(F.slice("f", -3, 3), " ")).alias("line"))
+    return _without(t, F.size("f") < 9, key).select(key, "line_no", F.concat(F.expr("concat(f[0], ' ', f[1], ' r', f[2], ' ')"), F.array_join(F.slice("f", -3, 3), " ")).alias("line"))
 
 
 def helm_history(table: DataFrame, key: str = "capture_id") -> DataFrame:
     """key, line_no, line: revision, and everything from the state on."""
     t = _fields(table.where("line_no > 0")).withColumn("at", F.get(F.filter(F.transform("f", lambda x, i: F.when(x.isin(*RELEASE_STATES), i)), lambda i: i.isNotNull()), 0))
-    bad = t.where("at is null or at + 2 >= size(f)").select(key).distinct()
-    return t.join(bad, key, "left_anti").select(key, "line_no", F.concat(F.lit("r"), F.get("f", 0), F.lit(" "), F.array_join(F.slice(F.col("f"), F.col("at") + 1, F.size("f") - F.col("at")), " ")).alias("line"))
+    return _without(t, F.expr("at is null or at + 2 >= size(f)"), key).select(key, "line_no", F.concat(F.lit("r"), F.get("f", 0), F.lit(" "), F.array_join(F.slice(F.col("f"), F.col("at") + 1, F.size("f") - F.col("at")), " ")).alias("line"))
 
 
 def helm_status(table: DataFrame, key: str = "capture_id") -> DataFrame:

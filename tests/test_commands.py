@@ -306,3 +306,34 @@ def test_scripts_print_the_same_at_once(spark):
     got = {(r.capture_id, s.name): r[s.name] for r in spark.sql(scripts.bodies(some)).collect() for s in some}
     want = {(r.capture_id, s.name): r.body for s in some for r in L.render(spark.sql(scripts.sql(s, False, True))).collect()}
     assert len(some) == 8 and got == want
+
+
+def test_command_lines_are_asked_once(spark):
+    """Each capture's command line was held against every route; lines that are given are asked once, others where they are, with the same answers."""
+    rows = [("git status", "On branch m\nUntracked files:\n\tq\n", "", 0), ("sh -c x", "On branch m\nUntracked files:\n\tq\n", "", 0), ("git config -l", " a=b \n", "", 0), ("pytest --co", "collected 3 items\n", "", 0)]
+    df = spark.createDataFrame([(k, a.split(" "), o, e, c, False) for k, (a, o, e, c) in enumerate(rows)] + [(9, None, "x", None, None, False)], SCHEMA)
+    some = spark.createDataFrame([(rows[k][0].split(" "),) for k in (0, 1, 0, 3)], "argv array<string>")
+    want = {r.capture_id: (r.command, r.operator) for r in registry.routed(df).collect()}
+    assert {r.capture_id: (r.command, r.operator) for r in registry.routed(df, some).collect()} == want
+    assert [want[k][1] for k in (0, 1, 2, 3, 9)] == ["git_status", "git_status", "trimmed", None, None]
+
+
+def test_hints_lose_no_form(spark):
+    """Patterns of shells' output are tried only where a substring hints at them: each branch still tells its form."""
+    bodies = {
+        "cargo_test": ["test result: ok", "x\n running 3 tests"], "jest": ["a\nTest Suites: 1", "Test Files 2", "Tests: 3"], "js_test": ["a\n  3 passing", "4 failing (1)", "x\n # tests 3"],
+        "go_test": ["x\n=== RUN", "--- FAIL: x", "x\nBenchmarkX", "x\nok  \tp", "=== FUZZ"], "pytest": ["x test session starts", "1 passed in 2", "failed in 3", "collected 3 items"],
+        "install": ["added 3\npackages", "up to date, audited 3", "npm WARN x", "Packages: +3", "3 packages installed [1s]", "success Saved x", "Package operations: 3", "Lock file operations: 2", "Nothing to install", "Your requirements could not be resolved"],
+        "tsc": ["Found 0 errors", "a: error TS1: x", "Found 3 errors in 2 files"], "pre_commit": ["check....Passed"], "helm_list": ["NAME NAMESPACE REVISION"], "helm_history": ["REVISION UPDATED STATUS"], "docker_stats": ["CONTAINER ID  NAME  CPU %"], "generic": ["z" * 5000],
+    }
+    rows = [(form, x) for form, some in bodies.items() for x in some]
+    got = spark.createDataFrame(rows, "form string, body string").select("form", "body", registry.by_content(F.col("body")).alias("told")).collect()
+    assert [(r.body, r.told) for r in got] == [(x, form) for form, x in rows]
+
+
+def test_printed_texts_are_made_without_lambdas_over_orders(spark):
+    """A lambda over each customer's orders was not compiled and took half of the writing; the one that is left only splits the projection."""
+    from sparkfold.plans import scripts
+
+    some = tuple(s for s in scripts.SCRIPTS if s.name in ("git_log", "git_push", "jest"))
+    assert scripts.bodies(some).count("transform(") == 1
